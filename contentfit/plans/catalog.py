@@ -10,12 +10,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contentfit.functions import text as tx
 from contentfit.operators import fit as fx
 from contentfit.operators import sections as sx
-from contentfit.sources.tables import read_table
+from contentfit.operators import terms as tm
+from contentfit.sources.tables import read_table, search_performance
 
 # Cut used where the driver tables never reach the default 0.65.
 LOW_CUT = 0.3
+# List length for the priority-term union; at k=5 the two lists share no
+# term on the driver tables, so the dedupe would go untested.
+PRIORITY_K = 40
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +83,62 @@ def title_fit_full(spark, sf_dir):
     return pairs.select("page_id", "field", "item_id", "score", "verdict")
 
 
+# --- priority terms ----------------------------------------------------------
+
+def top_clicks(spark, sf_dir):
+    return tm.top_k(search_performance(spark, sf_dir), "clicks")
+
+
+def top_impressions(spark, sf_dir):
+    return tm.top_k(search_performance(spark, sf_dir), "impressions")
+
+
+def priority_terms(spark, sf_dir):
+    return tm.priority_terms(search_performance(spark, sf_dir), PRIORITY_K)
+
+
+# --- text functions ----------------------------------------------------------
+
+def _conversations(spark, sf_dir):
+    return read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
+
+
+def clean_intents(spark, sf_dir):
+    """Every user turn cleaned as an intent label."""
+    c = _conversations(spark, sf_dir).where(F.col("role") == "user")
+    return c.select("conv_id", "turn", tx.clean_intent("text").alias("intent"))
+
+
+def distinct_intents(spark, sf_dir):
+    """A5: distinct cleaned intents with their first appearance."""
+    return tm.distinct_first_seen(clean_intents(spark, sf_dir), "intent", ["conv_id", "turn"])
+
+
+def normalize_ws(spark, sf_dir):
+    """C3 over whole conversation texts."""
+    c = _conversations(spark, sf_dir)
+    return c.select("conv_id", "turn", tx.normalize_ws("text").alias("text"))
+
+
+def _events_props(spark, sf_dir):
+    return read_table(spark, sf_dir, "events", ["event_id", "props"])
+
+
+def parse_number(spark, sf_dir):
+    """C5 (column form) and C6 (trim first) on event properties."""
+    e = _events_props(spark, sf_dir)
+    return e.select("event_id", tx.parse_number("props").alias("num"),
+                    tx.parse_number("props", trim_first=True).alias("num_trimmed"))
+
+
+def first_json(spark, sf_dir):
+    """First JSON object, presence of key ``k`` and its value."""
+    e = _events_props(spark, sf_dir)
+    j = tx.first_json("props")
+    return e.select("event_id", F.regexp_extract("props", tx.FIRST_JSON_RE, 0).alias("json_text"),
+                    tx.has_key(j, "k").alias("has_k"), F.try_element_at(j, F.lit("k")).alias("k"))
+
+
 QUERIES = {
     "page_titles": page_titles,
     "page_meta": page_meta,
@@ -90,6 +151,14 @@ QUERIES = {
     "section_counts": section_counts,
     "page_record": page_record,
     "title_fit_full": title_fit_full,
+    "top_clicks": top_clicks,
+    "top_impressions": top_impressions,
+    "priority_terms": priority_terms,
+    "clean_intents": clean_intents,
+    "distinct_intents": distinct_intents,
+    "normalize_ws": normalize_ws,
+    "parse_number": parse_number,
+    "first_json": first_json,
 }
 
 FLAGSHIP = "title_fit_full"
