@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contentfit import config
-from contentfit.operators.vectors import cosine_from, lexical_cosine, lexical_vector
+from contentfit.operators.vectors import cosine_from, lexical_cosine, lexical_vector, with_lexical_vector
 
 
 def verdict(score, cut: float = config.VERDICT_CUT, labels=config.VERDICT_LABELS) -> Column:
@@ -76,8 +76,8 @@ def lexical_all_pairs(left: DataFrame, left_text: str, right: DataFrame, right_t
                       max_rows: int = config.BROADCAST_MAX_ROWS) -> DataFrame:
     """All pairs with the guarded lexical cosine and a verdict.
     Adds ``score`` (rounded) and ``verdict`` (from the unrounded score)."""
-    lv = left.withColumn("_lv", lexical_vector(F.col(left_text)))
-    rv = right.withColumn("_rv", lexical_vector(F.col(right_text)))
+    lv = with_lexical_vector(left, left_text, "_lv")
+    rv = with_lexical_vector(right, right_text, "_rv")
     pairs = all_pairs(lv, rv, right_keys, lambda: lexical_cosine(F.col("_lv"), F.col("_rv")), max_rows)
     return (pairs.withColumn("verdict", verdict(F.col("score"), cut, labels))
                  .withColumn("score", F.round("score", digits))
@@ -85,22 +85,18 @@ def lexical_all_pairs(left: DataFrame, left_text: str, right: DataFrame, right_t
 
 
 def _exploded_entries(df: DataFrame, keys: Sequence[str], text: str, prefix: str) -> DataFrame:
-    v = df.select(*keys, lexical_vector(F.col(text)).alias("_v"))
+    v = with_lexical_vector(df.select(*keys, text), text, "_v")
     return (v.select(*keys, F.col("_v.norm").alias(f"{prefix}norm"), F.explode("_v.entries").alias("_e"))
              .select(*keys, f"{prefix}norm", F.col("_e.term").alias("term"), F.col("_e.tf").alias(f"{prefix}tf")))
 
 
-def lexical_match(left: DataFrame, left_keys: Sequence[str], left_text: str,
-                  right: DataFrame, right_keys: Sequence[str], right_text: str,
-                  min_score: float, digits: int = 6,
-                  max_rows: int = config.BROADCAST_MAX_ROWS,
-                  salt_buckets: int = config.SALT_BUCKETS) -> DataFrame:
-    """Pairs whose lexical cosine is >= ``min_score`` (> 0).
-
-    Output: left keys, right keys, ``score`` (rounded), ``raw_score``.
-    """
-    if not min_score > 0:
-        raise ValueError("lexical_match needs a positive threshold; use lexical_all_pairs for zero pairs")
+def lexical_scores(left: DataFrame, left_keys: Sequence[str], left_text: str,
+                   right: DataFrame, right_keys: Sequence[str], right_text: str,
+                   max_rows: int = config.BROADCAST_MAX_ROWS,
+                   salt_buckets: int = config.SALT_BUCKETS) -> DataFrame:
+    """Every pair that shares at least one term, with ``dot`` and the
+    unrounded cosine ``raw_score`` (pairs sharing nothing score 0 and are not
+    emitted)."""
     le = _exploded_entries(left, left_keys, left_text, "l")
     re_ = _exploded_entries(right, right_keys, right_text, "r")
     _, small = checked_row_count(re_, max_rows)
@@ -115,9 +111,58 @@ def lexical_match(left: DataFrame, left_keys: Sequence[str], left_text: str,
         j = le_s.join(re_s, ["term", "_salt"]).drop("_salt")
     dots = (j.groupBy(*left_keys, "lnorm", *right_keys, "rnorm")
               .agg(F.sum(F.col("ltf") * F.col("rtf")).alias("dot")))
-    scored = dots.withColumn("raw_score", cosine_from(F.col("dot"), F.col("lnorm"), F.col("rnorm")))
-    return (scored.where(F.col("raw_score") >= F.lit(min_score))
-                  .select(*left_keys, *right_keys, F.round("raw_score", digits).alias("score"), "raw_score"))
+    return (dots.withColumn("raw_score", cosine_from(F.col("dot"), F.col("lnorm"), F.col("rnorm")))
+                .drop("lnorm", "rnorm"))
+
+
+def lexical_match(left: DataFrame, left_keys: Sequence[str], left_text: str,
+                  right: DataFrame, right_keys: Sequence[str], right_text: str,
+                  min_score: float, digits: int = 6,
+                  max_rows: int = config.BROADCAST_MAX_ROWS,
+                  salt_buckets: int = config.SALT_BUCKETS) -> DataFrame:
+    """Pairs whose lexical cosine is >= ``min_score`` (> 0).
+
+    Output: left keys, right keys, ``score`` (rounded), ``raw_score``.
+    """
+    if not min_score > 0:
+        raise ValueError("lexical_match needs a positive threshold; use lexical_all_pairs for zero pairs")
+    sc = lexical_scores(left, left_keys, left_text, right, right_keys, right_text, max_rows, salt_buckets)
+    return (sc.where(F.col("raw_score") >= F.lit(min_score))
+              .select(*left_keys, *right_keys, F.round("raw_score", digits).alias("score"), "raw_score"))
+
+
+def best_section_per_query(sections: DataFrame, queries: DataFrame, query_key: str, query_text: str,
+                           cut: float = config.VERDICT_CUT, labels=config.VERDICT_LABELS,
+                           digits: int = 6, max_rows: int = config.BROADCAST_MAX_ROWS) -> DataFrame:
+    """J5 (D6): for every page and query, the best-scoring section, ties by
+    (section, ordinal).  Scored sparsely: only pairs sharing a term are
+    scored; a (page, query) with no such pair takes the page's first section
+    at score 0, which is what the full table would pick."""
+    keys = ["page_id", "section", "ordinal"]
+    nz = lexical_scores(sections, keys, "text", queries, [query_key], query_text, max_rows)
+    best = best_by(nz, ["page_id", query_key], "raw_score", ["section", "ordinal"],
+                   ["section", "ordinal", "raw_score"])
+    first = (sections.groupBy("page_id")
+                     .agg(F.min(F.struct("section", "ordinal")).alias("_f"))
+                     .select("page_id", F.col("_f.section").alias("f_section"), F.col("_f.ordinal").alias("f_ordinal")))
+    q_ids = queries.select(query_key)
+    grid = all_pairs(first, q_ids, [query_key], lambda: F.lit(0.0), max_rows).drop("score")
+    out = grid.join(best, ["page_id", query_key], "left")
+    raw = F.coalesce(F.col("raw_score"), F.lit(0.0))
+    return out.select(
+        "page_id", query_key,
+        F.coalesce(F.col("section"), F.col("f_section")).alias("section"),
+        F.coalesce(F.col("ordinal"), F.col("f_ordinal")).alias("ordinal"),
+        F.round(raw, digits).alias("score"), verdict(raw, cut, labels).alias("verdict"))
+
+
+def self_fit(df: DataFrame, a: str, b: str, cut: float = config.VERDICT_CUT,
+             labels=config.VERDICT_LABELS, digits: int = 6) -> DataFrame:
+    """Score two text columns of the same row (title vs description)."""
+    v = with_lexical_vector(with_lexical_vector(df, a, "_va"), b, "_vb")
+    return (v.withColumn("_raw", lexical_cosine(F.col("_va"), F.col("_vb"))).drop("_va", "_vb")
+              .withColumn("score", F.round("_raw", digits))
+              .withColumn("verdict", verdict(F.col("_raw"), cut, labels)).drop("_raw"))
 
 
 def best_by(pairs: DataFrame, group_cols: Sequence[str], score_col: str,

@@ -37,17 +37,39 @@ def tokens(text) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(_c(text), F.lit(""))), F.lit(TOKEN_RE), F.lit(0))
 
 
+def entries_from_sorted(srt) -> Column:
+    """Run-length encode a sorted token array into term-sorted
+    ``array<struct<term string, tf bigint>>``.
+
+    Lambdas only see the elements zipped into them; nothing inside a lambda
+    refers back to a computed array (Spark would re-evaluate it per element).
+    """
+    s = _c(srt)
+    n = F.size(s)
+    prev = F.concat(F.array(F.lit(None).cast("string")), s)
+    marks = F.zip_with(s, prev, lambda x, p: x.isNotNull() & (p.isNull() | (x != p)))
+    terms = F.filter(F.zip_with(s, marks, lambda x, m: F.when(m, x)), lambda x: x.isNotNull())
+    starts = F.filter(F.transform(marks, lambda m, i: F.when(m, i).otherwise(F.lit(-1))), lambda v: v >= 0)
+    ends = F.concat(F.slice(starts, 2, F.greatest(n, F.lit(1))), F.array(n))
+    counts = F.zip_with(starts, ends, lambda st, en: (en - st).cast("long"))
+    # zip_with pads the shorter side with nulls (empty text): drop those.
+    return F.filter(F.zip_with(terms, counts, lambda t, c: F.struct(t.alias("term"), c.alias("tf"))),
+                    lambda e: e["term"].isNotNull())
+
+
 def term_entries(text) -> Column:
-    """Sparse term-frequency vector of a text: term-sorted
-    ``array<struct<term string, tf bigint>>`` (row-local, O(n log n))."""
-    srt = F.array_sort(tokens(text))
-    n = F.size(srt)
-    marks = F.transform(srt, lambda x, i: F.when(
-        i == 0, i).when(x != F.element_at(srt, i), i).otherwise(F.lit(-1)))
-    starts = F.filter(marks, lambda s: s >= 0)
-    return F.transform(starts, lambda s, j: F.struct(
-        F.element_at(srt, s + 1).alias("term"),
-        (F.coalesce(F.try_element_at(starts, j + 2), n) - s).cast("long").alias("tf")))
+    """Sparse term-frequency vector of a text (row-local, O(n log n))."""
+    return entries_from_sorted(F.array_sort(tokens(text)))
+
+
+def with_lexical_vector(df, text: str, out: str):
+    """Add ``out`` = ``struct<entries, norm>`` for ``text``.  The sorted
+    tokens are materialised in their own projection first, so the encoding
+    reads a column instead of re-running the tokenizer."""
+    tmp = f"_{out}_srt"
+    df = df.withColumn(tmp, F.array_sort(tokens(F.col(text))))
+    e = entries_from_sorted(F.col(tmp))
+    return df.withColumn(out, F.struct(e.alias("entries"), entries_norm(e).alias("norm"))).drop(tmp)
 
 
 def entries_norm(entries) -> Column:
@@ -123,13 +145,8 @@ def embedder_udf(encode: Callable[[list[str]], list[list[float]]], batch_size: i
 
 def hashed_vector(text, num_features: int = 1 << 18) -> Column:
     """V1 alternative: term frequencies hashed into ``num_features`` buckets
-    (like ``ml.feature.HashingTF``) as the same sorted-entries shape, so the
+    (like ``ml.feature.HashingTF``) in the same sorted-entries shape, so the
     cosine code is shared.  Collisions merge terms."""
-    srt = F.array_sort(F.transform(tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(num_features)).cast("string")))
-    n = F.size(srt)
-    marks = F.transform(srt, lambda x, i: F.when(i == 0, i).when(x != F.element_at(srt, i), i).otherwise(F.lit(-1)))
-    starts = F.filter(marks, lambda s: s >= 0)
-    e = F.transform(starts, lambda s, j: F.struct(
-        F.element_at(srt, s + 1).alias("term"),
-        (F.coalesce(F.try_element_at(starts, j + 2), n) - s).cast("long").alias("tf")))
+    hashed = F.transform(tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(num_features)).cast("string"))
+    e = entries_from_sorted(F.array_sort(hashed))
     return F.struct(e.alias("entries"), entries_norm(e).alias("norm"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from contentfit.functions import text as tx
 from contentfit.operators import fit as fx
+from contentfit.operators import improve as im
 from contentfit.operators import sections as sx
 from contentfit.operators import terms as tm
 from contentfit.sources.tables import read_table, search_performance
@@ -139,6 +140,68 @@ def first_json(spark, sf_dir):
                     tx.has_key(j, "k").alias("has_k"), F.try_element_at(j, F.lit("k")).alias("k"))
 
 
+# --- scoring joins -----------------------------------------------------------
+
+def _documents(spark, sf_dir):
+    return read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+
+
+def _query_side(spark, sf_dir):
+    return _benchmark(spark, sf_dir).select("item_id", F.col("text").alias("qtext"))
+
+
+def _doc_fit(spark, sf_dir, min_score):
+    """Documents x benchmark texts with score >= min_score, verdict
+    at the default cut."""
+    m = fx.lexical_match(_documents(spark, sf_dir), ["doc_id"], "text",
+                         _query_side(spark, sf_dir), ["item_id"], "qtext", min_score)
+    return m.select("doc_id", "item_id", "score", fx.verdict(F.col("raw_score")).alias("verdict"))
+
+
+def lexical_fit(spark, sf_dir):
+    return _doc_fit(spark, sf_dir, fx.config.VERDICT_CUT)
+
+
+def verdict_counts(spark, sf_dir):
+    """V4: verdict distribution of the document fit table (pairs >= 0.3)."""
+    return _doc_fit(spark, sf_dir, LOW_CUT).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
+def improvable_strict(spark, sf_dir):
+    """Verdict fit AND score in the band (query job)."""
+    return im.improvable(_doc_fit(spark, sf_dir, LOW_CUT), "strict")
+
+
+def improvable_any(spark, sf_dir):
+    """Verdict fit OR score in the band (intent job)."""
+    return im.improvable(_doc_fit(spark, sf_dir, LOW_CUT), "any")
+
+
+def _intents_from_benchmark(spark, sf_dir):
+    return _benchmark(spark, sf_dir).select(tx.clean_intent("text").alias("intent")).distinct()
+
+
+def section_intent_fit(spark, sf_dir):
+    """Every h1 section x every distinct cleaned intent, all pairs."""
+    h1 = sx.page_sections(_pages(spark, sf_dir), kinds=("h1",)).drop("url")
+    pairs = fx.lexical_all_pairs(h1, "text", _intents_from_benchmark(spark, sf_dir), "intent",
+                                 ["intent"], cut=LOW_CUT)
+    return pairs.select("page_id", "section", "ordinal", "text", "intent", "score", "verdict")
+
+
+def title_heading_selffit(spark, sf_dir):
+    """Title against the first paragraph of the same page."""
+    arr = sx.page_arrays(_pages(spark, sf_dir))
+    df = arr.select("page_id", "title", F.coalesce(F.try_element_at("p", F.lit(1)), F.lit("")).alias("paragraph"))
+    return fx.self_fit(df, "title", "paragraph", cut=LOW_CUT)
+
+
+def best_section_per_query(spark, sf_dir):
+    """Per page and benchmark text, the best section."""
+    secs = sx.page_sections(_pages(spark, sf_dir)).drop("url")
+    return fx.best_section_per_query(secs, _query_side(spark, sf_dir), "item_id", "qtext", cut=LOW_CUT)
+
+
 QUERIES = {
     "page_titles": page_titles,
     "page_meta": page_meta,
@@ -159,6 +222,13 @@ QUERIES = {
     "normalize_ws": normalize_ws,
     "parse_number": parse_number,
     "first_json": first_json,
+    "lexical_fit": lexical_fit,
+    "verdict_counts": verdict_counts,
+    "improvable_strict": improvable_strict,
+    "improvable_any": improvable_any,
+    "section_intent_fit": section_intent_fit,
+    "title_heading_selffit": title_heading_selffit,
+    "best_section_per_query": best_section_per_query,
 }
 
 FLAGSHIP = "title_fit_full"
