@@ -97,7 +97,8 @@ def pct_change(old, new, eps: float = 1e-8) -> Column:
     """(new-old)/max(old,eps)*100 rounded to 2; 0.0 when old <= 0."""
     o, n = _c(old), _c(new)
     raw = (n - o) / F.greatest(o, F.lit(eps)) * 100.0
-    return F.when(o > 0, F.round(raw, 2)).otherwise(F.lit(0.0))
+    # "+ 0.0" turns a rounded -0.0 into 0.0.
+    return F.when(o > 0, F.round(raw, 2) + F.lit(0.0)).otherwise(F.lit(0.0))
 
 
 def round_score(x, digits: int = 6) -> Column:

@@ -49,3 +49,43 @@ def row_defaults(df: DataFrame, text_col: str = "text", section_col: str = "sect
     if context_col:
         out = out.withColumn(context_col, F.coalesce(F.col(context_col), F.lit("")))
     return out
+
+
+def improve_by_rules(work: DataFrame, pack, keys=(), query_col: str = "query", text_col: str = "text",
+                     section_col: str = "section", score_col: str = "score", rollback: bool = False,
+                     digits: int = 6, eps: float = config.PCT_EPS) -> DataFrame:
+    """I4: per row, candidate 1 from the rule dispatched by section (finished,
+    then cut to the length budget) and candidate 2 a short answer (cut); both
+    scored against the query, the better kept (tie -> candidate 1), and the
+    percent change computed from unrounded scores (C7).
+
+    I5: the query job writes the better candidate even when it scores below
+    the old text (``rollback=False``, as the reference); ``rollback=True``
+    keeps the old text and score instead.  Everything is row-local.
+    """
+    from contentfit.functions import rules as R
+    from contentfit.operators.vectors import lexical_cosine, with_lexical_vector
+
+    df = work.select(*keys,
+                     F.coalesce(F.col(query_col), F.lit("")).alias("_q"),
+                     F.coalesce(F.col(text_col), F.lit("")).alias("_cur"),
+                     F.lower(F.coalesce(F.col(section_col), F.lit(""))).alias("_tag"),
+                     F.coalesce(F.col(score_col).cast("double"), F.lit(0.0)).alias("_old"))
+    q, cur, tag = F.col("_q"), F.col("_cur"), F.col("_tag")
+    df = (df.withColumn("_det", R.enforce_budget(cur, R.finalize(R.rule_candidate(cur, q, tag, pack), tag, pack),
+                                                 tag, pack))
+            .withColumn("_qans", R.enforce_budget(cur, R.short_answer(q, tag, pack), tag, pack)))
+    df = with_lexical_vector(with_lexical_vector(with_lexical_vector(df, "_q", "_vq"), "_det", "_vd"), "_qans", "_va")
+    df = (df.withColumn("_s1", lexical_cosine(F.col("_vq"), F.col("_vd")))
+            .withColumn("_s2", lexical_cosine(F.col("_vq"), F.col("_va")))
+            .drop("_vq", "_vd", "_va"))
+    best_text = F.when(F.col("_s1") >= F.col("_s2"), F.col("_det")).otherwise(F.col("_qans"))
+    best = F.greatest(F.col("_s1"), F.col("_s2"))
+    if rollback:
+        keep_old = best <= F.col("_old")
+        best_text = F.when(keep_old, cur).otherwise(best_text)
+        best = F.when(keep_old, F.col("_old")).otherwise(best)
+    return df.select(*keys, tag.alias("section"), q.alias("query"), cur.alias("old_text"),
+                     best_text.alias("new_text"), F.round("_old", digits).alias("old_score"),
+                     F.round(best, digits).alias("new_score"),
+                     tx.pct_change(F.col("_old"), best, eps).alias("pct_change"))

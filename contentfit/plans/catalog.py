@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contentfit.functions import rules as rl
 from contentfit.functions import text as tx
 from contentfit.operators import fit as fx
 from contentfit.operators import improve as im
@@ -202,6 +203,35 @@ def best_section_per_query(spark, sf_dir):
     return fx.best_section_per_query(secs, _query_side(spark, sf_dir), "item_id", "qtext", cut=LOW_CUT)
 
 
+# --- improvement -------------------------------------------------------------
+
+IMPROVE_KINDS = ("h1", "p", "li", "div")
+
+
+def _improve_work(spark, sf_dir):
+    """Fit rows the query job works on: page sections (title as a section of
+    its own) x benchmark texts, verdict at the low cut AND score in the band
+    [low cut, 0.85] (F5), with the texts joined back."""
+    pages = _pages(spark, sf_dir)
+    arr = sx.page_arrays(pages)
+    secs = (sx.page_sections(pages, kinds=IMPROVE_KINDS).drop("url")
+              .unionByName(arr.select("page_id", F.lit("title").alias("section"),
+                                      F.lit(1).cast("int").alias("ordinal"), F.col("title").alias("text"))))
+    keys = ["page_id", "section", "ordinal"]
+    qs = _query_side(spark, sf_dir)
+    m = fx.lexical_match(secs, keys, "text", qs, ["item_id"], "qtext", LOW_CUT)
+    fit = m.withColumn("verdict", fx.verdict(F.col("raw_score"), LOW_CUT))
+    work = im.improvable(fit, "strict", score_col="raw_score", lo=LOW_CUT)
+    return work.join(secs, keys).join(F.broadcast(qs), "item_id")
+
+
+def improve_by_rules(spark, sf_dir):
+    """I4/I5/A8/P3/C7 with the English test pack."""
+    work = _improve_work(spark, sf_dir)
+    return im.improve_by_rules(work, rl.ENGLISH_TEST, keys=["page_id", "ordinal", "item_id"],
+                               query_col="qtext", score_col="raw_score")
+
+
 QUERIES = {
     "page_titles": page_titles,
     "page_meta": page_meta,
@@ -229,6 +259,7 @@ QUERIES = {
     "section_intent_fit": section_intent_fit,
     "title_heading_selffit": title_heading_selffit,
     "best_section_per_query": best_section_per_query,
+    "improve_by_rules": improve_by_rules,
 }
 
 FLAGSHIP = "title_fit_full"
