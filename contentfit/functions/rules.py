@@ -158,6 +158,12 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(x: Column, body) -> Column:
+    """Evaluate ``x`` once and hand it to ``body`` as a lambda variable, so
+    a rule reading its input several times does not recompute it."""
+    return F.transform(F.array(x), body).getItem(0)
+
+
 def _lit(x) -> Column:
     return F.lit(x) if isinstance(x, str) else x
 
@@ -195,8 +201,8 @@ def finalize(x, tag, pack: RulePack) -> Column:
     t = F.regexp_replace(t, r"^[ ,;:\-]+|[ ,;:\-]+$", "")
     t = strip_ws(F.regexp_replace(t, _tails_re(pack), ""))
     tg = F.lower(_lit(tag))
-    ends = t.rlike(r"[.!?]$")
-    return F.when(tg.isin(*pack.dispatch_heading), t).when(ends, t).otherwise(F.concat(t, F.lit(".")))
+    return let(t, lambda v: F.when(tg.isin(*pack.dispatch_heading), v).when(v.rlike(r"[.!?]$"), v)
+               .otherwise(F.concat(v, F.lit("."))))
 
 
 def _n_words(s: Column) -> Column:
@@ -209,21 +215,25 @@ def enforce_budget(original, cand, tag, pack: RulePack) -> Column:
     n+1; other: floor(1.1n) when n >= 10 else n+1.  Either side empty ->
     the candidate unchanged."""
     o = normalize_ws(F.coalesce(_lit(original), F.lit("")))
-    c_raw = _lit(cand)
-    c = normalize_ws(F.coalesce(c_raw, F.lit("")))
-    n = _n_words(o)
-    cw = F.split(c, " ")
     tg = F.lower(_lit(tag))
-    keep = F.lit(False)
-    for suf in pack.keep_suffixes:
-        keep = keep | c.endswith(suf)
-    head_budget = F.greatest(n + 4, F.floor(n * 18 / 10).cast("int"))
-    other_budget = F.when(n >= 10, F.floor(n * 11 / 10).cast("int")).otherwise(n + 1)
-    cut = lambda b: F.array_join(F.slice(cw, 1, b), " ")
-    res = (F.when(tg.isin(*pack.dispatch_heading), F.when(keep, c).otherwise(cut(head_budget)))
-            .when(tg == "li", cut(n + 1))
-            .otherwise(cut(other_budget)))
-    return F.when((n == 0) | (c == ""), c_raw).otherwise(res)
+
+    def with_c(c_raw):
+        c = normalize_ws(F.coalesce(c_raw, F.lit("")))
+
+        def body(n, c):
+            cw = F.split(c, " ")
+            keep = F.lit(False)
+            for suf in pack.keep_suffixes:
+                keep = keep | c.endswith(suf)
+            head_budget = F.greatest(n + 4, F.floor(n * 18 / 10).cast("int"))
+            other_budget = F.when(n >= 10, F.floor(n * 11 / 10).cast("int")).otherwise(n + 1)
+            cut = lambda b: F.array_join(F.slice(cw, 1, b), " ")
+            res = (F.when(tg.isin(*pack.dispatch_heading), F.when(keep, c).otherwise(cut(head_budget)))
+                    .when(tg == "li", cut(n + 1))
+                    .otherwise(cut(other_budget)))
+            return F.when((n == 0) | (c == ""), c_raw).otherwise(res)
+        return let(F.struct(_n_words(o).alias("n"), c.alias("c")), lambda s: body(s["n"], s["c"]))
+    return let(_lit(cand), with_c)
 
 
 def scrub_phrases(x, pack: RulePack) -> Column:
@@ -247,12 +257,15 @@ def replace_first(t: Column, rule: MicroRule) -> Column:
 
 def micro_edit(x, pack: RulePack) -> Column:
     """The first rule that changes the text applies once, then R4."""
-    t = normalize_ws(F.coalesce(_lit(x), F.lit("")))
-    out = t
-    for rule in reversed(pack.micro_rules):
-        r = replace_first(t, rule)
-        out = F.when(r != t, r).otherwise(out)
-    return scrub_phrases(out, pack)
+    def pick(t, rest):
+        return lambda r: F.when(r != t, r).otherwise(rest)
+
+    def body(t):
+        out = t
+        for rule in reversed(pack.micro_rules):
+            out = let(replace_first(t, rule), pick(t, out))
+        return out
+    return scrub_phrases(let(normalize_ws(F.coalesce(_lit(x), F.lit(""))), body), pack)
 
 
 def implies_how(q, pack: RulePack) -> Column:
@@ -260,63 +273,70 @@ def implies_how(q, pack: RulePack) -> Column:
     return _any_contains(qnorm(q), pack.how_stems)
 
 
-def base_from_query(q, pack: RulePack) -> Column:
-    """First matching stem -> its phrase, else the query; title-cased."""
-    L = qnorm(q)
+def _base_from_l(L: Column, pack: RulePack) -> Column:
     out = title_case(L, pack)
     for stems, phrase in reversed(pack.base_rules):
         out = F.when(_any_contains(L, stems), title_case(F.lit(phrase), pack)).otherwise(out)
     return out
 
 
+def base_from_query(q, pack: RulePack) -> Column:
+    """First matching stem -> its phrase, else the query; title-cased."""
+    return let(qnorm(q), lambda L: _base_from_l(L, pack))
+
+
 def heading_from_query(q, pack: RulePack) -> Column:
     """How-to -> base + how suffix; guide -> base + guide suffix; else
     the title-cased query."""
-    L = qnorm(q)
-    how = L.rlike(bounded(quote_re(pack.how_word))) | implies_how(q, pack)
-    base = base_from_query(q, pack)
-    return (F.when(how, F.concat(base, F.lit(pack.how_suffix)))
-             .when(L.rlike(pack.guide_re), F.concat(base, F.lit(pack.guide_suffix)))
-             .otherwise(title_case(L, pack)))
+    def body(L):
+        how = L.rlike(bounded(quote_re(pack.how_word))) | _any_contains(L, pack.how_stems)
+        return (F.when(how, F.concat(_base_from_l(L, pack), F.lit(pack.how_suffix)))
+                 .when(L.rlike(pack.guide_re), F.concat(_base_from_l(L, pack), F.lit(pack.guide_suffix)))
+                 .otherwise(title_case(L, pack)))
+    return let(qnorm(q), body)
 
 
 def summary_from_old(cur, q, pack: RulePack) -> Column:
     """One sentence from three flags of the old text and the query
     family, then R5 and R2 (as div)."""
-    t = normalize_ws(F.coalesce(_lit(cur), F.lit("")))
-    has_search = t.rlike("(?iu)" + pack.flag_search)
-    has_cpc = t.rlike("(?iu)(?:" + pack.flag_cpc + ")")
-    has_platform = t.rlike("(?iu)" + pack.flag_platform)
-    L = qnorm(q)
-    first = F.when(has_cpc | has_platform, F.lit(pack.summary_cpc)).otherwise(F.lit(pack.summary_basic))
-    fam_a = F.concat(F.concat_ws(", ", first, F.when(has_search, F.lit(pack.summary_search))), F.lit("."))
-    sent = (F.when(_any_contains(L, pack.summary_stems_a), fam_a)
-             .when(_any_contains(L, pack.summary_stems_b), F.lit(pack.summary_b))
-             .otherwise(F.lit(pack.summary_default)))
+    def body(t, L):
+        has_search = t.rlike("(?iu)" + pack.flag_search)
+        has_cpc = t.rlike("(?iu)(?:" + pack.flag_cpc + ")")
+        has_platform = t.rlike("(?iu)" + pack.flag_platform)
+        first = F.when(has_cpc | has_platform, F.lit(pack.summary_cpc)).otherwise(F.lit(pack.summary_basic))
+        fam_a = F.concat(F.concat_ws(", ", first, F.when(has_search, F.lit(pack.summary_search))), F.lit("."))
+        return (F.when(_any_contains(L, pack.summary_stems_a), fam_a)
+                 .when(_any_contains(L, pack.summary_stems_b), F.lit(pack.summary_b))
+                 .otherwise(F.lit(pack.summary_default)))
+    sent = let(F.struct(normalize_ws(F.coalesce(_lit(cur), F.lit(""))).alias("t"), qnorm(q).alias("L")),
+               lambda s: body(s["t"], s["L"]))
     return finalize(micro_edit(sent, pack), F.lit("div"), pack)
 
 
 def li_from_query(q, original, pack: RulePack) -> Column:
     """Short list-item sentence, else original (or the title-cased
     query) + suffix; then R2 as li."""
-    L = qnorm(q)
-    o = normalize_ws(F.coalesce(_lit(original), F.lit("")))
-    base = F.when(o == "", title_case(L, pack)).otherwise(o)
-    out = F.concat(base, F.lit(pack.li_suffix))
-    for stem, sent in reversed(pack.li_rules):
-        out = F.when(L.contains(stem), F.lit(sent)).otherwise(out)
+    def body(L, o):
+        base = F.when(o == "", title_case(L, pack)).otherwise(o)
+        out = F.concat(base, F.lit(pack.li_suffix))
+        for stem, sent in reversed(pack.li_rules):
+            out = F.when(L.contains(stem), F.lit(sent)).otherwise(out)
+        return out
+    out = let(F.struct(qnorm(q).alias("L"), normalize_ws(F.coalesce(_lit(original), F.lit(""))).alias("o")),
+              lambda s: body(s["L"], s["o"]))
     return finalize(out, F.lit("li"), pack)
 
 
 def short_answer(q, tag, pack: RulePack) -> Column:
     """Second candidate, a short question from the query; then R2."""
-    L = qnorm(q)
-    out = (F.when(L.rlike(bounded(quote_re(pack.how_word))),
-                  F.concat(base_from_query(q, pack), F.lit(pack.short_how_suffix)))
-            .otherwise(title_case(L, pack)))
-    for stem, sent in reversed(pack.short_rules):
-        out = F.when(L.contains(stem), F.lit(sent)).otherwise(out)
-    return finalize(out, tag, pack)
+    def body(L):
+        out = (F.when(L.rlike(bounded(quote_re(pack.how_word))),
+                      F.concat(_base_from_l(L, pack), F.lit(pack.short_how_suffix)))
+                .otherwise(title_case(L, pack)))
+        for stem, sent in reversed(pack.short_rules):
+            out = F.when(L.contains(stem), F.lit(sent)).otherwise(out)
+        return out
+    return finalize(let(qnorm(q), body), tag, pack)
 
 
 def rule_candidate(cur, q, tag, pack: RulePack) -> Column:
