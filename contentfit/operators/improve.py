@@ -89,3 +89,66 @@ def improve_by_rules(work: DataFrame, pack, keys=(), query_col: str = "query", t
                      best_text.alias("new_text"), F.round("_old", digits).alias("old_score"),
                      F.round(best, digits).alias("new_score"),
                      tx.pct_change(F.col("_old"), best, eps).alias("pct_change"))
+
+
+def first_k_in_order(df: DataFrame, key: str, order_col: str, k: int) -> DataFrame:
+    """The k smallest ``order_col`` values per key as columns ``o1..ok``
+    (null when the key has fewer).  Each step is a partial aggregate
+    (``min``) over the rows above the previous value, so no key is ever
+    gathered whole into one task, unlike a window partitioned by the key."""
+    firsts = df.groupBy(key).agg(F.min(order_col).alias("o1"))
+    for i in range(2, k + 1):
+        prev = firsts.select(key, F.col(f"o{i - 1}").alias("_prev"))
+        nxt = (df.join(prev, key).where(F.col(order_col) > F.col("_prev"))
+                 .groupBy(key).agg(F.min(order_col).alias(f"o{i}")))
+        firsts = firsts.join(nxt, key, "left")
+    return firsts
+
+
+def attempt_texts(raw: DataFrame, rows: DataFrame, row_key: str = "row_key", required_key: str = "text",
+                  max_tries: int = config.MAX_TRIES, old_text_col: str = "old_text") -> DataFrame:
+    """Per (row, attempt), the first try whose raw output holds a JSON
+    object with ``required_key`` (X4/X5); an attempt without one falls back to
+    the row's current text.  ``raw``: (row_key, attempt, try, raw)."""
+    parsed = raw.where(F.col("try") <= max_tries).withColumn("_j", tx.first_json("raw"))
+    valid = parsed.where(tx.has_key("_j", required_key))
+    first_valid = (valid.groupBy(row_key, "attempt")
+                        .agg(F.min_by(F.element_at("_j", F.lit(required_key)), F.col("try")).alias("_txt")))
+    attempts = raw.select(row_key, "attempt").distinct()
+    return (attempts.join(first_valid, [row_key, "attempt"], "left")
+                    .join(rows.select(row_key, old_text_col), row_key)
+                    .select(row_key, "attempt", F.coalesce("_txt", old_text_col).alias("text")))
+
+
+def first_improving_attempt(rows: DataFrame, candidates: DataFrame, row_key: str = "row_key",
+                            max_attempts: int = config.MAX_ATTEMPTS, digits: int = 6,
+                            eps: float = config.PCT_EPS) -> DataFrame:
+    """Per row, the first attempt (by number, up to
+    ``max_attempts``) whose text scores strictly above the old score against
+    the intent; otherwise the old text and score (rollback).
+
+    ``rows``: (row_key, intent, old_text, section, old_score [unrounded]);
+    ``candidates``: (row_key, attempt, text).  Attempts are independent
+    resamples (the reference's loop stops at the first improvement), so all
+    are scored in one pass and ``min_by`` over the improving ones picks it.
+    """
+    from contentfit.operators.vectors import lexical_cosine, with_lexical_vector
+
+    r = row_defaults(rows, text_col="old_text", section_col="section", score_col="old_score",
+                     context_col="intent")
+    cand = (candidates.where(F.col("attempt") <= max_attempts)
+                      .join(r.select(row_key, "intent", "old_score"), row_key))
+    cand = with_lexical_vector(with_lexical_vector(cand, "intent", "_vi"), "text", "_vt")
+    cand = cand.withColumn("score", lexical_cosine(F.col("_vi"), F.col("_vt"))).drop("_vi", "_vt")
+    first = (cand.where(F.col("score") > F.col("old_score"))
+                 .groupBy(row_key)
+                 .agg(F.min_by(F.struct("text", "score", "attempt"), F.col("attempt")).alias("_f")))
+    out = r.join(first, row_key, "left")
+    new_score = F.coalesce(F.col("_f.score"), F.col("old_score"))
+    return out.select(
+        row_key, "intent", "old_text",
+        F.coalesce(F.col("_f.text"), F.col("old_text")).alias("new_text"),
+        "section", F.round("old_score", digits).alias("old_score"),
+        F.round(new_score, digits).alias("new_score"),
+        tx.pct_change(F.col("old_score"), new_score, eps).alias("pct_change"),
+        F.coalesce(F.col("_f.attempt"), F.lit(0)).cast("int").alias("attempt"))

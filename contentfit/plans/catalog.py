@@ -232,6 +232,39 @@ def improve_by_rules(spark, sf_dir):
                                query_col="qtext", score_col="raw_score")
 
 
+def _intent_job_inputs(spark, sf_dir):
+    """Intent-job rows and candidates from conversations: the first user
+    turn is the intent (cleaned, C1), the first assistant turn the current
+    text, and the next three assistant turns attempts 1-3."""
+    from contentfit.config import MAX_ATTEMPTS
+    from contentfit.operators.vectors import lexical_cosine, with_lexical_vector
+
+    conv = _conversations(spark, sf_dir)
+    users = (conv.where(F.col("role") == "user").groupBy("conv_id")
+                 .agg(F.min_by("text", "turn").alias("user_text")))
+    asst = conv.where(F.col("role") == "assistant").select("conv_id", "turn", "text")
+    ks = im.first_k_in_order(asst, "conv_id", "turn", 1 + MAX_ATTEMPTS)
+    a = asst.join(ks, "conv_id")
+    old = a.where(F.col("turn") == F.col("o1")).select("conv_id", F.col("text").alias("old_text"))
+    rows = (users.join(old, "conv_id")
+                 .select(F.col("conv_id").alias("row_key"), tx.clean_intent("user_text").alias("intent"),
+                         "old_text", F.lit(None).cast("string").alias("section")))
+    rows = with_lexical_vector(with_lexical_vector(rows, "intent", "_vi"), "old_text", "_vo")
+    rows = rows.withColumn("old_score", lexical_cosine(F.col("_vi"), F.col("_vo"))).drop("_vi", "_vo")
+    attempt = (F.when(F.col("turn") == F.col("o2"), 1).when(F.col("turn") == F.col("o3"), 2)
+                .when(F.col("turn") == F.col("o4"), 3))
+    cands = (a.withColumn("attempt", attempt).where(F.col("attempt").isNotNull())
+              .select(F.col("conv_id").alias("row_key"), "attempt", "text"))
+    return rows, cands
+
+
+def first_improving_attempt(spark, sf_dir):
+    """Intent improvement from a candidate table."""
+    rows, cands = _intent_job_inputs(spark, sf_dir)
+    out = im.first_improving_attempt(rows, cands)
+    return out.withColumnRenamed("row_key", "conv_id")
+
+
 QUERIES = {
     "page_titles": page_titles,
     "page_meta": page_meta,
@@ -260,6 +293,7 @@ QUERIES = {
     "title_heading_selffit": title_heading_selffit,
     "best_section_per_query": best_section_per_query,
     "improve_by_rules": improve_by_rules,
+    "first_improving_attempt": first_improving_attempt,
 }
 
 FLAGSHIP = "title_fit_full"
