@@ -64,28 +64,40 @@ def improve_by_rules(work: DataFrame, pack, keys=(), query_col: str = "query", t
     keeps the old text and score instead.  Everything is row-local.
     """
     from contentfit.functions import rules as R
-    from contentfit.operators.vectors import lexical_cosine, with_lexical_vector
+    from contentfit.operators.vectors import let, lexical_cosine, lexical_vector
 
     df = work.select(*keys,
                      F.coalesce(F.col(query_col), F.lit("")).alias("_q"),
                      F.coalesce(F.col(text_col), F.lit("")).alias("_cur"),
                      F.lower(F.coalesce(F.col(section_col), F.lit(""))).alias("_tag"),
                      F.coalesce(F.col(score_col).cast("double"), F.lit(0.0)).alias("_old"))
-    q, cur, tag = F.col("_q"), F.col("_cur"), F.col("_tag")
-    df = (df.withColumn("_det", R.enforce_budget(cur, R.finalize(R.rule_candidate(cur, q, tag, pack), tag, pack),
-                                                 tag, pack))
-            .withColumn("_qans", R.enforce_budget(cur, R.short_answer(q, tag, pack), tag, pack)))
-    df = with_lexical_vector(with_lexical_vector(with_lexical_vector(df, "_q", "_vq"), "_det", "_vd"), "_qans", "_va")
-    df = (df.withColumn("_s1", lexical_cosine(F.col("_vq"), F.col("_vd")))
-            .withColumn("_s2", lexical_cosine(F.col("_vq"), F.col("_va")))
-            .drop("_vq", "_vd", "_va"))
-    best_text = F.when(F.col("_s1") >= F.col("_s2"), F.col("_det")).otherwise(F.col("_qans"))
-    best = F.greatest(F.col("_s1"), F.col("_s2"))
+
+    def score(c):
+        q, cur, tag = c["q"], c["cur"], c["tag"]
+        det = R.enforce_budget(cur, R.finalize(R.rule_candidate(cur, q, tag, pack), tag, pack), tag, pack)
+        qans = R.enforce_budget(cur, R.short_answer(q, tag, pack), tag, pack)
+
+        def pick(t):
+            vq = lexical_vector(q)
+            return let(F.struct(lexical_cosine(vq, lexical_vector(t["det"])).alias("s1"),
+                                lexical_cosine(vq, lexical_vector(t["qans"])).alias("s2")),
+                       lambda sc: F.struct(
+                           F.when(sc["s1"] >= sc["s2"], t["det"]).otherwise(t["qans"]).alias("text"),
+                           F.greatest(sc["s1"], sc["s2"]).alias("score")))
+        return let(F.struct(det.alias("det"), qans.alias("qans")), pick)
+
+    # One bound expression per row: a filter pushed below this projection
+    # (e.g. the report's delta test) copies it once instead of re-inlining
+    # every intermediate column.
+    res = let(F.struct(F.col("_q").alias("q"), F.col("_cur").alias("cur"), F.col("_tag").alias("tag")), score)
+    df = df.withColumn("_res", res)
+    best_text, best = F.col("_res.text"), F.col("_res.score")
+    cur = F.col("_cur")
     if rollback:
         keep_old = best <= F.col("_old")
         best_text = F.when(keep_old, cur).otherwise(best_text)
         best = F.when(keep_old, F.col("_old")).otherwise(best)
-    return df.select(*keys, tag.alias("section"), q.alias("query"), cur.alias("old_text"),
+    return df.select(*keys, F.col("_tag").alias("section"), F.col("_q").alias("query"), cur.alias("old_text"),
                      best_text.alias("new_text"), F.round("_old", digits).alias("old_score"),
                      F.round(best, digits).alias("new_score"),
                      tx.pct_change(F.col("_old"), best, eps).alias("pct_change"))

@@ -78,10 +78,16 @@ def entries_norm(entries) -> Column:
     return F.sqrt(ss.cast("double"))
 
 
+def let(x: Column, body) -> Column:
+    """Evaluate ``x`` once and hand it to ``body`` as a lambda variable."""
+    return F.transform(F.array(x), body).getItem(0)
+
+
 def lexical_vector(text) -> Column:
-    """``struct<entries, norm>`` for a text column."""
-    e = term_entries(text)
-    return F.struct(e.alias("entries"), entries_norm(e).alias("norm"))
+    """``struct<entries, norm>`` for a text column, each step evaluated once
+    (usable inside other lambdas, where no extra projection is possible)."""
+    return let(F.array_sort(tokens(text)), lambda s: let(
+        entries_from_sorted(s), lambda e: F.struct(e.alias("entries"), entries_norm(e).alias("norm"))))
 
 
 def entries_dot(a, b) -> Column:
@@ -101,9 +107,9 @@ def cosine_from(dot, norm_a, norm_b) -> Column:
 
 
 def lexical_cosine(va, vb) -> Column:
-    """Cosine of two ``lexical_vector`` structs."""
-    a, b = _c(va), _c(vb)
-    return cosine_from(entries_dot(a["entries"], b["entries"]), a["norm"], b["norm"])
+    """Cosine of two ``lexical_vector`` structs (each bound once)."""
+    return let(F.struct(_c(va).alias("a"), _c(vb).alias("b")), lambda v: cosine_from(
+        entries_dot(v["a"]["entries"], v["b"]["entries"]), v["a"]["norm"], v["b"]["norm"]))
 
 
 def dense_dot(a, b) -> Column:

@@ -14,6 +14,7 @@ from contentfit.functions import rules as rl
 from contentfit.functions import text as tx
 from contentfit.operators import fit as fx
 from contentfit.operators import improve as im
+from contentfit.operators import report as rp
 from contentfit.operators import sections as sx
 from contentfit.operators import terms as tm
 from contentfit.sources.tables import read_table, search_performance
@@ -265,6 +266,33 @@ def first_improving_attempt(spark, sf_dir):
     return out.withColumnRenamed("row_key", "conv_id")
 
 
+def pct_change(spark, sf_dir):
+    """Stored change next to the change recomputed from the rounded
+    scores (the committed rows of the reference agree on all 40)."""
+    imp = improve_by_rules(spark, sf_dir)
+    return imp.select("page_id", "ordinal", "item_id", "section", "old_score", "new_score", "pct_change",
+                      tx.pct_change("old_score", "new_score").alias("pct_from_rounded"))
+
+
+def _report_rows(spark, sf_dir):
+    intent = rp.report_rows(first_improving_attempt(spark, sf_dir), "intent", "intent")
+    query = rp.report_rows(improve_by_rules(spark, sf_dir), "query", "query")
+    return intent.unionByName(query)
+
+
+def report_rows(spark, sf_dir):
+    return _report_rows(spark, sf_dir)
+
+
+def report_summary(spark, sf_dir):
+    return rp.report_summary(_report_rows(spark, sf_dir))
+
+
+def report_formatted(spark, sf_dir):
+    return rp.report_formatted(_report_rows(spark, sf_dir)).select(
+        "mode", "html", "context", "old_score_txt", "new_score_txt", "delta_txt")
+
+
 QUERIES = {
     "page_titles": page_titles,
     "page_meta": page_meta,
@@ -294,6 +322,10 @@ QUERIES = {
     "best_section_per_query": best_section_per_query,
     "improve_by_rules": improve_by_rules,
     "first_improving_attempt": first_improving_attempt,
+    "pct_change": pct_change,
+    "report_rows": report_rows,
+    "report_summary": report_summary,
+    "report_formatted": report_formatted,
 }
 
 FLAGSHIP = "title_fit_full"
