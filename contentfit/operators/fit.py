@@ -173,3 +173,55 @@ def best_by(pairs: DataFrame, group_cols: Sequence[str], score_col: str,
     order = F.struct((-F.col(score_col)).alias("neg"), *[F.col(c) for c in tie_cols])
     best = F.min_by(F.struct(*[F.col(c) for c in keep_cols]), order).alias("_best")
     return pairs.groupBy(*group_cols).agg(best).select(*group_cols, *[F.col(f"_best.{c}").alias(c) for c in keep_cols])
+
+
+def centroids(df: DataFrame, key: str, vec: str) -> DataFrame:
+    """Mean vector per key (in double).  Partial aggregation per (key,
+    position); the collected list per key has one entry per dimension, so
+    its size is bounded by the vector width, not by the data."""
+    from pyspark.sql import functions as F2  # noqa: N812
+    per_pos = (df.select(key, F2.posexplode(vec).alias("pos", "v"))
+                 .groupBy(key, "pos").agg(F2.avg(F2.col("v").cast("double")).alias("m")))
+    return (per_pos.groupBy(key)
+                   .agg(F2.array_sort(F2.collect_list(F2.struct("pos", "m"))).alias("_pm"))
+                   .select(key, F2.transform("_pm", lambda e: e["m"]).alias("centroid")))
+
+
+def dense_all_pairs(left: DataFrame, left_vec: str, right: DataFrame, right_vec: str,
+                    right_keys: Sequence[str], cut: float = config.VERDICT_CUT,
+                    labels=config.VERDICT_LABELS, digits: int = 6,
+                    max_rows: int = config.BROADCAST_MAX_ROWS) -> DataFrame:
+    """V2 over supplied vectors: every left row x every (bounded) right row,
+    cosine and verdict, computed inside the task."""
+    from contentfit.operators.vectors import dense_cosine
+    pairs = all_pairs(left, right, right_keys, lambda: dense_cosine(F.col(left_vec), F.col(right_vec)), max_rows)
+    return (pairs.withColumn("verdict", verdict(F.col("score"), cut, labels))
+                 .withColumn("score", F.round("score", digits)))
+
+
+def nearest_label(items: DataFrame, item_key: str, item_text: str, labelled: DataFrame, label_col: str,
+                  max_rows: int = config.BROADCAST_MAX_ROWS, digits: int = 6) -> DataFrame:
+    """X6 default: each item takes the label whose text scores highest
+    against it (ties by label ascending).  Only pairs sharing a term are
+    scored; an item sharing no term with any label takes the smallest label
+    at score 0, exactly what the full cross table would give."""
+    lab = labelled.select(F.col(label_col).alias("_label")).distinct()
+    nz = lexical_scores(lab, ["_label"], "_label", items.select(item_key, item_text), [item_key], item_text,
+                        max_rows)
+    best = best_by(nz, [item_key], "raw_score", ["_label"], ["_label", "raw_score"])
+    smallest = lab.agg(F.min("_label").alias("_min_label"))
+    out = items.join(best, item_key, "left").crossJoin(F.broadcast(smallest))
+    raw = F.coalesce(F.col("raw_score"), F.lit(0.0))
+    return out.select(*items.columns, F.coalesce(F.col("_label"), F.col("_min_label")).alias(label_col),
+                      F.round(raw, digits).alias("score"))
+
+
+def assign_labels(items: DataFrame, item_key: str, item_text: str, supplied: DataFrame, labelled: DataFrame,
+                  label_col: str = "intent", max_rows: int = config.BROADCAST_MAX_ROWS) -> DataFrame:
+    """Label from a supplied (text -> label) table where the item's
+    text is in it; otherwise the nearest labelled text's label."""
+    sup = supplied.select(F.col("query").alias(item_text), F.col(label_col).alias("_sup")).dropDuplicates([item_text])
+    near = nearest_label(items, item_key, item_text, labelled, label_col, max_rows)
+    return (near.join(sup, item_text, "left")
+                .select(*items.columns, F.coalesce("_sup", label_col).alias(label_col),
+                        F.when(F.col("_sup").isNotNull(), F.lit(1.0)).otherwise(F.col("score")).alias("score")))

@@ -293,6 +293,26 @@ def report_formatted(spark, sf_dir):
         "mode", "html", "context", "old_score_txt", "new_score_txt", "delta_txt")
 
 
+# --- dense vectors and labels ------------------------------------------------
+
+def dense_fit(spark, sf_dir):
+    """V2: every embedding against every label centroid (mean of the
+    label's vectors), cosine and verdict at the low cut."""
+    emb = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"])
+    cents = fx.centroids(emb, "label", "embedding").withColumnRenamed("label", "centroid_label")
+    pairs = fx.dense_all_pairs(emb.select("vec_id", "embedding"), "embedding", cents, "centroid",
+                               ["centroid_label"], cut=LOW_CUT)
+    return pairs.select("vec_id", "centroid_label", "score", "verdict")
+
+
+def query_intents(spark, sf_dir):
+    """Each benchmark text labelled with the nearest cleaned
+    user intent from the conversations (ties by intent)."""
+    intents = clean_intents(spark, sf_dir).select(tx.label_text("intent").alias("intent"))
+    items = _query_side(spark, sf_dir)
+    return fx.nearest_label(items, "item_id", "qtext", intents, "intent").select("item_id", "intent", "score")
+
+
 QUERIES = {
     "page_titles": page_titles,
     "page_meta": page_meta,
@@ -326,6 +346,8 @@ QUERIES = {
     "report_rows": report_rows,
     "report_summary": report_summary,
     "report_formatted": report_formatted,
+    "dense_fit": dense_fit,
+    "query_intents": query_intents,
 }
 
 FLAGSHIP = "title_fit_full"
