@@ -313,6 +313,79 @@ def query_intents(spark, sf_dir):
     return fx.nearest_label(items, "item_id", "qtext", intents, "intent").select("item_id", "intent", "score")
 
 
+# --- rewrite rules, one query per rule (English test pack) -------------------
+
+EN = rl.ENGLISH_TEST
+
+
+def title_case(spark, sf_dir):
+    """R1 on every benchmark text."""
+    b = _benchmark(spark, sf_dir)
+    return b.select("item_id", rl.title_case(F.col("text"), EN).alias("title"))
+
+
+def finalize_text(spark, sf_dir):
+    """R2 on every page section, with its own section as the tag."""
+    s = sx.page_sections(_pages(spark, sf_dir)).drop("url")
+    return s.select("page_id", "section", "ordinal", rl.finalize(F.col("text"), F.col("section"), EN).alias("final"))
+
+
+def length_budget(spark, sf_dir):
+    """The page title cut to the word budget of each section."""
+    arr = sx.page_arrays(_pages(spark, sf_dir))
+    items = F.concat(*[sx._kind_items(k) for k in sx.SECTION_KINDS])
+    s = (arr.select("page_id", "title", F.explode(items).alias("s"))
+            .select("page_id", "title", "s.section", F.col("s.ordinal").cast("int").alias("ordinal"), "s.text"))
+    return s.select("page_id", "section", "ordinal",
+                    rl.enforce_budget(F.col("text"), F.col("title"), F.col("section"), EN).alias("budgeted"))
+
+
+def scrub_phrases(spark, sf_dir):
+    """R4 over whole documents."""
+    d = _documents(spark, sf_dir)
+    return d.select("doc_id", rl.scrub_phrases(F.col("text"), EN).alias("text"))
+
+
+def micro_edit(spark, sf_dir):
+    """R5 over whole documents."""
+    d = _documents(spark, sf_dir)
+    return d.select("doc_id", rl.micro_edit(F.col("text"), EN).alias("text"))
+
+
+def query_flags(spark, sf_dir):
+    """R6 and the R8 tests on every benchmark text."""
+    b = _benchmark(spark, sf_dir)
+    L = rl.qnorm(F.col("text"))
+    return b.select("item_id", rl.implies_how(F.col("text"), EN).alias("implies_how"),
+                    L.rlike(EN.guide_re).alias("is_guide"),
+                    L.rlike(rl.bounded(rl.quote_re(EN.how_word))).alias("has_how_word"))
+
+
+def heading_candidate(spark, sf_dir):
+    """R7/R8 on every benchmark text."""
+    b = _benchmark(spark, sf_dir)
+    return b.select("item_id", rl.heading_from_query(F.col("text"), EN).alias("heading"))
+
+
+def summary_candidate(spark, sf_dir):
+    """Summary of every benchmark text, the text being its own query."""
+    b = _benchmark(spark, sf_dir)
+    return b.select("item_id", rl.summary_from_old(F.col("text"), F.col("text"), EN).alias("summary"))
+
+
+def li_candidate(spark, sf_dir):
+    """R10 on every benchmark text (as query and original)."""
+    b = _benchmark(spark, sf_dir)
+    return b.select("item_id", rl.li_from_query(F.col("text"), F.col("text"), EN).alias("li"))
+
+
+def short_answer(spark, sf_dir):
+    """Every page section's text as the query, its section as the tag."""
+    s = sx.page_sections(_pages(spark, sf_dir)).drop("url")
+    return s.select("page_id", "section", "ordinal",
+                    rl.short_answer(F.col("text"), F.col("section"), EN).alias("answer"))
+
+
 QUERIES = {
     "page_titles": page_titles,
     "page_meta": page_meta,
@@ -348,6 +421,16 @@ QUERIES = {
     "report_formatted": report_formatted,
     "dense_fit": dense_fit,
     "query_intents": query_intents,
+    "title_case": title_case,
+    "finalize_text": finalize_text,
+    "length_budget": length_budget,
+    "scrub_phrases": scrub_phrases,
+    "micro_edit": micro_edit,
+    "query_flags": query_flags,
+    "heading_candidate": heading_candidate,
+    "summary_candidate": summary_candidate,
+    "li_candidate": li_candidate,
+    "short_answer": short_answer,
 }
 
 FLAGSHIP = "title_fit_full"
