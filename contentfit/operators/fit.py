@@ -73,15 +73,26 @@ def all_pairs(left: DataFrame, right: DataFrame, right_keys: Sequence[str],
 def lexical_all_pairs(left: DataFrame, left_text: str, right: DataFrame, right_text: str,
                       right_keys: Sequence[str], cut: float = config.VERDICT_CUT,
                       labels=config.VERDICT_LABELS, digits: int = 6,
-                      max_rows: int = config.BROADCAST_MAX_ROWS) -> DataFrame:
+                      max_rows: int = config.BROADCAST_MAX_ROWS,
+                      left_keys: Sequence[str] | None = None) -> DataFrame:
     """All pairs with the guarded lexical cosine and a verdict.
-    Adds ``score`` (rounded) and ``verdict`` (from the unrounded score)."""
-    lv = with_lexical_vector(left, left_text, "_lv")
-    rv = with_lexical_vector(right, right_text, "_rv")
-    pairs = all_pairs(lv, rv, right_keys, lambda: lexical_cosine(F.col("_lv"), F.col("_rv")), max_rows)
-    return (pairs.withColumn("verdict", verdict(F.col("score"), cut, labels))
-                 .withColumn("score", F.round("score", digits))
-                 .drop("_lv", "_rv"))
+    Adds ``score`` (rounded) and ``verdict`` (from the unrounded score).
+
+    Pairs that share a term are scored by the token join of
+    :func:`lexical_scores` (codegen'd hash join + partial aggregate); the
+    full grid is the left rows x the bounded right keys (broadcast, chunked
+    when needed), left-joined to those scores with 0.0 for the rest.
+    ``left_keys`` must identify left rows (default: all non-text columns).
+    """
+    lk = list(left_keys) if left_keys else [c for c in left.columns if c != left_text]
+    rk = list(right_keys)
+    nz = lexical_scores(left.select(*lk, left_text), lk, left_text,
+                        right.select(*rk, right_text), rk, right_text, max_rows)
+    grid = all_pairs(left, right, rk, lambda: F.lit(0.0), max_rows).drop("score")
+    out = grid.join(nz.select(*lk, *rk, "raw_score"), lk + rk, "left")
+    raw = F.coalesce(F.col("raw_score"), F.lit(0.0))
+    return (out.withColumn("verdict", verdict(raw, cut, labels))
+               .withColumn("score", F.round(raw, digits)).drop("raw_score", "dot"))
 
 
 def _exploded_entries(df: DataFrame, keys: Sequence[str], text: str, prefix: str) -> DataFrame:

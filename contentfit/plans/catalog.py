@@ -275,9 +275,13 @@ def pct_change(spark, sf_dir):
 
 
 def _report_rows(spark, sf_dir):
-    intent = rp.report_rows(first_improving_attempt(spark, sf_dir), "intent", "intent")
-    query = rp.report_rows(improve_by_rules(spark, sf_dir), "query", "query")
-    return intent.unionByName(query)
+    # The improvement tables are persisted: the report's delta filter then
+    # runs on the stored rows instead of being pushed into (and re-running)
+    # the row-level rule expressions.  Lost partitions recompute from lineage.
+    from pyspark import StorageLevel
+    fi = first_improving_attempt(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    qi = improve_by_rules(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    return rp.report_rows(fi, "intent", "intent").unionByName(rp.report_rows(qi, "query", "query"))
 
 
 def report_rows(spark, sf_dir):
