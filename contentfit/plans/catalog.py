@@ -70,6 +70,13 @@ def section_counts(spark, sf_dir):
     return sx.section_counts(_pages(spark, sf_dir))
 
 
+def page_sections_tree(spark, sf_dir):
+    """H3-H8 through the tree extractor (nested markup); on flat pages it
+    must equal the native path, so it shares the oracle."""
+    from contentfit.operators.html_tree import page_sections_tree as tree
+    return tree(_pages(spark, sf_dir)).where(F.col("section").isin(*sx.SECTION_KINDS))
+
+
 def page_record(spark, sf_dir):
     return sx.page_record(_pages(spark, sf_dir))
 
@@ -401,6 +408,7 @@ QUERIES = {
     "page_sections": page_sections,
     "section_counts": section_counts,
     "page_record": page_record,
+    "page_sections_tree": page_sections_tree,
     "title_fit_full": title_fit_full,
     "top_clicks": top_clicks,
     "top_impressions": top_impressions,
