@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -135,7 +136,6 @@ def embedder_udf(encode: Callable[[list[str]], list[list[float]]], batch_size: i
     """V1 with a user model: an iterator pandas UDF so the model is loaded
     once per task and fed Arrow batches.  ``encode`` maps a list of texts to
     a list of vectors (normalised or not; cosine normalises)."""
-    import pandas as pd
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def _embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
