@@ -397,6 +397,20 @@ def short_answer(spark, sf_dir):
                     rl.short_answer(F.col("text"), F.col("section"), EN).alias("answer"))
 
 
+def prompt_column(spark, sf_dir):
+    """Request texts for the document-fit rows the query job would
+    send out: the intent-label request for the query and the short-edit
+    request for (query, document, section p, score)."""
+    from contentfit.functions import prompts as pr
+    fit = _doc_fit(spark, sf_dir, fx.config.VERDICT_CUT)
+    rows = fit.join(_documents(spark, sf_dir), "doc_id").join(F.broadcast(_query_side(spark, sf_dir)), "item_id")
+    return rows.select(
+        "doc_id", "item_id",
+        pr.render(pr.INTENT_LABEL_TEMPLATE, {"sorgu": "qtext"}).alias("intent_prompt"),
+        pr.render(pr.SHORT_EDIT_TEMPLATE, {"kullanici_sorgusu": "qtext", "eski_metin": "text",
+                                          "html_bolumu": F.lit("p"), "eski_skor": "score"}).alias("edit_prompt"))
+
+
 QUERIES = {
     "page_titles": page_titles,
     "page_meta": page_meta,
@@ -443,6 +457,7 @@ QUERIES = {
     "summary_candidate": summary_candidate,
     "li_candidate": li_candidate,
     "short_answer": short_answer,
+    "prompt_column": prompt_column,
 }
 
 FLAGSHIP = "title_fit_full"
