@@ -7,6 +7,7 @@ the oracle SQL in :mod:`contentfit.plans.oracle`.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,7 +88,9 @@ def title_fit_full(spark, sf_dir):
     """{title, meta} of every page x every benchmark text, all
     pairs (zero scores kept), guarded cosine, verdict."""
     arr = sx.page_arrays(_pages(spark, sf_dir))
-    fields = arr.select("page_id", F.expr("stack(2, 'title', title, 'meta', meta_description) AS (field, text)"))
+    # Read by the sparse scores and by the pair grid: parse pages once.
+    fields = (arr.select("page_id", F.expr("stack(2, 'title', title, 'meta', meta_description) AS (field, text)"))
+                 .persist(StorageLevel.MEMORY_AND_DISK))
     q = _benchmark(spark, sf_dir).select("item_id", F.col("text").alias("qtext"))
     pairs = fx.lexical_all_pairs(fields, "text", q, "qtext", ["item_id"], cut=LOW_CUT)
     return pairs.select("page_id", "field", "item_id", "score", "verdict")
@@ -192,7 +195,7 @@ def _intents_from_benchmark(spark, sf_dir):
 
 def section_intent_fit(spark, sf_dir):
     """Every h1 section x every distinct cleaned intent, all pairs."""
-    h1 = sx.page_sections(_pages(spark, sf_dir), kinds=("h1",)).drop("url")
+    h1 = sx.page_sections(_pages(spark, sf_dir), kinds=("h1",)).drop("url").persist(StorageLevel.MEMORY_AND_DISK)
     pairs = fx.lexical_all_pairs(h1, "text", _intents_from_benchmark(spark, sf_dir), "intent",
                                  ["intent"], cut=LOW_CUT)
     return pairs.select("page_id", "section", "ordinal", "text", "intent", "score", "verdict")
@@ -207,7 +210,7 @@ def title_heading_selffit(spark, sf_dir):
 
 def best_section_per_query(spark, sf_dir):
     """Per page and benchmark text, the best section."""
-    secs = sx.page_sections(_pages(spark, sf_dir)).drop("url")
+    secs = sx.page_sections(_pages(spark, sf_dir)).drop("url").persist(StorageLevel.MEMORY_AND_DISK)
     return fx.best_section_per_query(secs, _query_side(spark, sf_dir), "item_id", "qtext", cut=LOW_CUT)
 
 
@@ -222,9 +225,12 @@ def _improve_work(spark, sf_dir):
     [low cut, 0.85] (F5), with the texts joined back."""
     pages = _pages(spark, sf_dir)
     arr = sx.page_arrays(pages)
+    # Sections feed both the match and the text join-back: persisted, so the
+    # pages are scanned and parsed once.
     secs = (sx.page_sections(pages, kinds=IMPROVE_KINDS).drop("url")
               .unionByName(arr.select("page_id", F.lit("title").alias("section"),
-                                      F.lit(1).cast("int").alias("ordinal"), F.col("title").alias("text"))))
+                                      F.lit(1).cast("int").alias("ordinal"), F.col("title").alias("text")))
+              .persist(StorageLevel.MEMORY_AND_DISK))
     keys = ["page_id", "section", "ordinal"]
     qs = _query_side(spark, sf_dir)
     m = fx.lexical_match(secs, keys, "text", qs, ["item_id"], "qtext", LOW_CUT)
@@ -285,7 +291,6 @@ def _report_rows(spark, sf_dir):
     # The improvement tables are persisted: the report's delta filter then
     # runs on the stored rows instead of being pushed into (and re-running)
     # the row-level rule expressions.  Lost partitions recompute from lineage.
-    from pyspark import StorageLevel
     fi = first_improving_attempt(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
     qi = improve_by_rules(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
     return rp.report_rows(fi, "intent", "intent").unionByName(rp.report_rows(qi, "query", "query"))
