@@ -51,7 +51,7 @@ def row_defaults(df: DataFrame, text_col: str = "text", section_col: str = "sect
     return out
 
 
-def improve_by_rules(work: DataFrame, pack, keys=(), query_col: str = "query", text_col: str = "text",
+def improve_by_rules_rowwise(work: DataFrame, pack, keys=(), query_col: str = "query", text_col: str = "text",
                      section_col: str = "section", score_col: str = "score", rollback: bool = False,
                      digits: int = 6, eps: float = config.PCT_EPS) -> DataFrame:
     """I4: per row, candidate 1 from the rule dispatched by section (finished,
@@ -103,6 +103,121 @@ def improve_by_rules(work: DataFrame, pack, keys=(), query_col: str = "query", t
                      tx.pct_change(F.col("_old"), best, eps).alias("pct_change"))
 
 
+def _summary_constants(spark, pack) -> dict:
+    """R9 sentences are one of six texts fixed by the pack; finish each once
+    (micro edit, finish as div, then finish for a p/div section)."""
+    from contentfit.functions import rules as R
+    variants = {}
+    for fam in ("a", "b", "d"):
+        for cpc in (False, True):
+            for search in (False, True):
+                if fam == "a":
+                    first = pack.summary_cpc if cpc else pack.summary_basic
+                    sent = ", ".join([first] + ([pack.summary_search] if search else [])) + "."
+                elif fam == "b":
+                    sent = pack.summary_b
+                else:
+                    sent = pack.summary_default
+                variants[(fam, cpc, search)] = sent
+    texts = sorted(set(variants.values()))
+    cols = [R.finalize(R.finalize(R.micro_edit(F.lit(t), pack), F.lit("div"), pack), F.lit("p"), pack)
+            .alias(f"c{i}") for i, t in enumerate(texts)]
+    row = spark.range(1).select(*cols).first()
+    done = {t: row[f"c{i}"] for i, t in enumerate(texts)}
+    return {k: done[v] for k, v in variants.items()}
+
+
+def improve_by_rules(work: DataFrame, pack, keys=(), query_col: str = "query", text_col: str = "text",
+                     section_col: str = "section", score_col: str = "score", rollback: bool = False,
+                     digits: int = 6, eps: float = config.PCT_EPS, section_keys=None, query_keys=None) -> DataFrame:
+    """I4 (same result as :func:`improve_by_rules_rowwise`), with each rule
+    evaluated at the grain it depends on: query-only rules once per distinct
+    query, section-only rules once per distinct section, and only the budget
+    cut, the vectors and the choice per (section, query) row.
+
+    ``section_keys`` / ``query_keys`` name columns that identify a section /
+    a query in ``work`` (default: the texts themselves).
+    """
+    from contentfit.functions import rules as R
+    from contentfit.operators.vectors import let, lexical_cosine, lexical_vector
+
+    sk_in, qk_in = list(section_keys or []), list(query_keys or [])
+    df = work.select(*keys, *[c for c in sk_in + qk_in if c not in keys],
+                     F.coalesce(F.col(query_col), F.lit("")).alias("_q"),
+                     F.coalesce(F.col(text_col), F.lit("")).alias("_cur"),
+                     F.lower(F.coalesce(F.col(section_col), F.lit(""))).alias("_tag"),
+                     F.coalesce(F.col(score_col).cast("double"), F.lit(0.0)).alias("_old"))
+    sk = sk_in + ["_tag"] if sk_in else ["_cur", "_tag"]
+    qk = qk_in or ["_q"]
+    tag, cur = F.col("_tag"), F.col("_cur")
+    heads, summ, lis = pack.dispatch_heading, pack.dispatch_summary, pack.dispatch_li
+    other = ~tag.isin(*heads, *summ, *lis)
+
+    # Per section: word count, R9 flags, and the whole candidate where it
+    # depends on the section alone (other tags; li without a matching stem).
+    secs = df.select(*sk, *([] if "_cur" in sk else ["_cur"])).dropDuplicates(sk)
+    curn = F.col("_curn")
+    secs = (secs.withColumn("_curn", R.normalize_ws(cur))
+                .withColumn("_n", R._n_words(curn))
+                .withColumn("_search", curn.rlike("(?iu)" + pack.flag_search))
+                .withColumn("_cpc", curn.rlike("(?iu)(?:" + pack.flag_cpc + ")") | curn.rlike("(?iu)" + pack.flag_platform))
+                .withColumn("_det_other", F.when(other, R.enforce_budget(
+                    cur, R.finalize(R.micro_edit(cur, pack), tag, pack), tag, pack)))
+                .withColumn("_li_fb", F.when(tag.isin(*lis) & (curn != ""), R.enforce_budget(
+                    cur, R.finalize(R.finalize(F.concat(curn, F.lit(pack.li_suffix)), F.lit("li"), pack),
+                                    F.lit("li"), pack), tag, pack)))
+                .drop("_curn"))
+
+    # Per query: normalised query, its vector, heading, short answers, li
+    # sentence, R9 family.
+    qs = df.select(*qk, *([] if "_q" in qk else ["_q"])).dropDuplicates(qk)
+    L = F.col("_L")
+    li_stem = F.lit(None).cast("string")
+    for stem, sent in reversed(pack.li_rules):
+        li_stem = F.when(L.contains(stem), F.lit(sent)).otherwise(li_stem)
+    fin_li = lambda x: R.finalize(R.finalize(x, F.lit("li"), pack), F.lit("li"), pack)
+    qs = (qs.withColumn("_L", R.qnorm(F.col("_q")))
+            .withColumn("_vq", lexical_vector(F.col("_q")))
+            .withColumn("_head", R.finalize(R.heading_from_query(F.col("_q"), pack), F.lit("h1"), pack))
+            .withColumn("_sa_head", R.short_answer(F.col("_q"), F.lit("h1"), pack))
+            .withColumn("_sa_other", R.short_answer(F.col("_q"), F.lit("p"), pack))
+            .withColumn("_li_stem", F.when(li_stem.isNotNull(), fin_li(li_stem)))
+            .withColumn("_li_title", fin_li(F.concat(R.title_case(L, pack), F.lit(pack.li_suffix))))
+            .withColumn("_fam", F.when(R._any_contains(L, pack.summary_stems_a), F.lit("a"))
+                        .when(R._any_contains(L, pack.summary_stems_b), F.lit("b")).otherwise(F.lit("d")))
+            .drop("_L", *([] if "_q" in qk else ["_q"])))
+
+    pairs = df.join(secs.drop(*[c for c in ["_cur"] if c not in sk]), sk).join(qs, qk)
+    consts = _summary_constants(df.sparkSession, pack)
+    summary = F.lit(None).cast("string")
+    for (fam, cpc, search), text in consts.items():
+        summary = F.when((F.col("_fam") == fam) & (F.col("_cpc") == cpc) & (F.col("_search") == search),
+                         F.lit(text)).otherwise(summary)
+    n = F.col("_n")
+    det = (F.when(tag.isin(*heads), R.enforce_budget_n(n, F.col("_head"), tag, pack))
+            .when(tag.isin(*summ), R.enforce_budget_n(n, summary, tag, pack))
+            .when(tag.isin(*lis), F.when(F.col("_li_stem").isNotNull(), R.enforce_budget_n(n, F.col("_li_stem"), tag, pack))
+                  .when(n == 0, F.col("_li_title")).otherwise(F.col("_li_fb")))
+            .otherwise(F.col("_det_other")))
+    qans = R.enforce_budget_n(n, F.when(tag.isin(*heads), F.col("_sa_head")).otherwise(F.col("_sa_other")), tag, pack)
+
+    def pick(t):
+        return let(F.struct(lexical_cosine(F.col("_vq"), lexical_vector(t["det"])).alias("s1"),
+                            lexical_cosine(F.col("_vq"), lexical_vector(t["qans"])).alias("s2")),
+                   lambda sc: F.struct(F.when(sc["s1"] >= sc["s2"], t["det"]).otherwise(t["qans"]).alias("text"),
+                                       F.greatest(sc["s1"], sc["s2"]).alias("score")))
+    pairs = pairs.withColumn("_res", let(F.struct(det.alias("det"), qans.alias("qans")), pick))
+    best_text, best = F.col("_res.text"), F.col("_res.score")
+    if rollback:
+        keep_old = best <= F.col("_old")
+        best_text = F.when(keep_old, cur).otherwise(best_text)
+        best = F.when(keep_old, F.col("_old")).otherwise(best)
+    return pairs.select(*keys, tag.alias("section"), F.col("_q").alias("query"), cur.alias("old_text"),
+                        best_text.alias("new_text"), F.round("_old", digits).alias("old_score"),
+                        F.round(best, digits).alias("new_score"),
+                        tx.pct_change(F.col("_old"), best, eps).alias("pct_change"))
+
+
 def first_k_in_order(df: DataFrame, key: str, order_col: str, k: int) -> DataFrame:
     """The k smallest ``order_col`` values per key as columns ``o1..ok``
     (null when the key has fewer).  Each step is a partial aggregate

@@ -243,7 +243,8 @@ def improve_by_rules(spark, sf_dir):
     """I4/I5/A8/P3/C7 with the English test pack."""
     work = _improve_work(spark, sf_dir)
     return im.improve_by_rules(work, rl.ENGLISH_TEST, keys=["page_id", "ordinal", "item_id"],
-                               query_col="qtext", score_col="raw_score")
+                               query_col="qtext", score_col="raw_score",
+                               section_keys=["page_id", "section", "ordinal"], query_keys=["item_id"])
 
 
 def _intent_job_inputs(spark, sf_dir):

@@ -72,3 +72,19 @@ def test_report_goldens_intent_table(spark):
     assert s["query"].n_rows == 0 and s["query"].avg_new_score == 0.0
     f = {r.mode: r for r in rp.summary_formatted(rp.report_summary(rep)).collect()}
     assert f["intent"].avg_new_score_txt == "0.751" and f["intent"].avg_delta_txt == "8.13%"
+
+
+def test_grain_aware_improver_equals_rowwise(spark):
+    from contentfit.functions import rules as R
+    work = spark.createDataFrame([
+        (1, "h1", "Old heading", "the cat how", 0.7), (2, "p", "arama sonuçlar text", "with that", 0.66),
+        (3, "li", "", "nothing", 0.7), (4, "li", "an item", "with", 0.7), (5, "li", "an item", "zzz", 0.7),
+        (6, "title", "The the title", "the in", 0.7), (7, "div", "x", "that", 0.8), (8, "h2", "a b c", "ofs guide", 0.7),
+    ], "k long, section string, text string, query string, score double")
+    args = dict(keys=["k"], query_col="query", text_col="text", section_col="section", score_col="score")
+    for pack in (R.ENGLISH_TEST, R.TURKISH_ADS):
+        a = sorted(tuple(r) for r in im.improve_by_rules_rowwise(work, pack, **args).collect())
+        b = sorted(tuple(r) for r in im.improve_by_rules(work, pack, **args).collect())
+        c = sorted(tuple(r) for r in im.improve_by_rules(work, pack, section_keys=["k"], query_keys=["k"],
+                                                           **args).collect())
+        assert a == b == c
