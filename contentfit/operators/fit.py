@@ -236,3 +236,27 @@ def assign_labels(items: DataFrame, item_key: str, item_text: str, supplied: Dat
     return (near.join(sup, item_text, "left")
                 .select(*items.columns, F.coalesce("_sup", label_col).alias(label_col),
                         F.when(F.col("_sup").isNotNull(), F.lit(1.0)).otherwise(F.col("score")).alias("score")))
+
+
+def lsh_match(left: DataFrame, left_key: str, left_vec: str, right: DataFrame, right_key: str, right_vec: str,
+              min_score: float, bucket_length: float = 1.0, num_tables: int = 4, seed: int = 42) -> DataFrame:
+    """J7 on dense vectors, approximate: ``BucketedRandomProjectionLSH``
+    candidate pairs (vectors L2-normalised, so Euclidean distance d maps to
+    cosine 1 - d^2/2), kept when the cosine is >= ``min_score``.  Pairs
+    that share no bucket are missed; the exact form is :func:`dense_all_pairs`."""
+    import math
+
+    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
+    from pyspark.ml.functions import array_to_vector
+
+    def prep(df, key, vec):
+        v = df.select(F.col(key).alias("id"), array_to_vector(F.col(vec).cast("array<double>")).alias("raw"))
+        return Normalizer(inputCol="raw", outputCol="features", p=2.0).transform(v).select("id", "features")
+
+    a, b = prep(left, left_key, left_vec), prep(right, right_key, right_vec)
+    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length,
+                                      numHashTables=num_tables, seed=seed).fit(b)
+    max_dist = math.sqrt(max(0.0, 2.0 - 2.0 * min_score))
+    pairs = lsh.approxSimilarityJoin(a, b, max_dist, distCol="dist")
+    return pairs.select(F.col("datasetA.id").alias(left_key), F.col("datasetB.id").alias(right_key),
+                        F.round(1.0 - F.col("dist") * F.col("dist") / 2.0, 6).alias("score"))

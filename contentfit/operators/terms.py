@@ -9,19 +9,29 @@ a hot key never lands whole in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contentfit import config
 
 
+def _ranked(df: DataFrame, order_key, out_name: str) -> DataFrame:
+    """Number the rows of a frame known to hold at most 2k rows by
+    ``order_key`` (a struct): sort them inside one bounded array, then
+    ``posexplode``.  Used only after a ``limit``."""
+    rows = F.struct(*[F.col(c) for c in df.columns])
+    arr = df.agg(F.array_sort(F.collect_list(F.struct(order_key.alias("_k"), rows.alias("_r")))).alias("_a"))
+    out = arr.select(F.posexplode("_a").alias("_pos", "_e"))
+    return out.select("_e._r.*", (F.col("_pos") + 1).cast("int").alias(out_name))
+
+
 def top_k(perf: DataFrame, metric: str, k: int = config.TOP_K) -> DataFrame:
     """The k rows with the largest ``metric`` (nulls last, ties by
     query, D1), with their 1-based ``rank``.  F1 drops null queries."""
     order = [F.col(metric).desc_nulls_last(), F.col("query").asc()]
     top = perf.where(F.col("query").isNotNull()).orderBy(*order).limit(k)
-    # At most k rows: the rank window runs on the already-limited set.
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    key = F.struct(F.col(metric).isNull().alias("_null"), (-F.col(metric)).alias("_neg"), F.col("query"))
+    return _ranked(top, key, "rank")
 
 
 def priority_terms(perf: DataFrame, k: int = config.TOP_K) -> DataFrame:
@@ -35,8 +45,7 @@ def priority_terms(perf: DataFrame, k: int = config.TOP_K) -> DataFrame:
                     .agg(F.min_by(F.struct("source", "rank", "clicks", "impressions", "src_ord"),
                                   F.struct("src_ord", "rank")).alias("f"))
                     .select("query", "f.*"))
-    pos = F.row_number().over(Window.orderBy("src_ord", "rank"))
-    return first.withColumn("position", pos).drop("src_ord")
+    return _ranked(first, F.struct("src_ord", "rank"), "position").drop("src_ord")
 
 
 def distinct_first_seen(df: DataFrame, value: str, order_cols: list[str]) -> DataFrame:

@@ -305,6 +305,11 @@ def report_summary(spark, sf_dir):
     return rp.report_summary(_report_rows(spark, sf_dir))
 
 
+def report_summary_text(spark, sf_dir):
+    """C11: the four summary figures as display text."""
+    return rp.summary_formatted(rp.report_summary(_report_rows(spark, sf_dir)))
+
+
 def report_formatted(spark, sf_dir):
     return rp.report_formatted(_report_rows(spark, sf_dir)).select(
         "mode", "html", "context", "old_score_txt", "new_score_txt", "delta_txt")
@@ -322,6 +327,14 @@ def dense_fit(spark, sf_dir):
     return pairs.select("vec_id", "centroid_label", "score", "verdict")
 
 
+def lsh_fit(spark, sf_dir):
+    """J7 approximate: embeddings x label centroids through LSH buckets,
+    cosine >= the low cut (rows only; the exact form is dense_fit)."""
+    emb = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"])
+    cents = fx.centroids(emb, "label", "embedding").withColumnRenamed("label", "centroid_label")
+    return fx.lsh_match(emb, "vec_id", "embedding", cents, "centroid_label", "centroid", LOW_CUT)
+
+
 def query_intents(spark, sf_dir):
     """Each benchmark text labelled with the nearest cleaned
     user intent from the conversations (ties by intent)."""
@@ -451,7 +464,9 @@ QUERIES = {
     "report_rows": report_rows,
     "report_summary": report_summary,
     "report_formatted": report_formatted,
+    "report_summary_text": report_summary_text,
     "dense_fit": dense_fit,
+    "lsh_fit": lsh_fit,
     "query_intents": query_intents,
     "title_case": title_case,
     "finalize_text": finalize_text,

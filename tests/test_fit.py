@@ -102,3 +102,12 @@ def test_nearest_label(spark):
     labs = spark.createDataFrame([("shoes shopping",), ("travel",), ("a label",)], "intent string")
     out = {r.item_id: r.intent for r in fx.nearest_label(items, "item_id", "qtext", labs, "intent").collect()}
     assert out == {1: "shoes shopping", 2: "a label"}
+
+
+def test_lsh_pairs_are_exact_pairs(spark):
+    from contentfit.plans import catalog as C
+    sf = "/root/testdata/sf0.001"
+    exact = {(r.vec_id, r.centroid_label): r.score for r in C.dense_fit(spark, sf).collect() if r.score >= 0.3}
+    approx = {(r.vec_id, r.centroid_label): r.score for r in C.lsh_fit(spark, sf).collect()}
+    assert set(approx) <= set(exact)
+    assert all(abs(approx[k] - exact[k]) < 1e-5 for k in approx)
