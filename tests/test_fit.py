@@ -111,3 +111,13 @@ def test_lsh_pairs_are_exact_pairs(spark):
     approx = {(r.vec_id, r.centroid_label): r.score for r in C.lsh_fit(spark, sf).collect()}
     assert set(approx) <= set(exact)
     assert all(abs(approx[k] - exact[k]) < 1e-5 for k in approx)
+
+
+def test_assign_labels_supplied_first(spark):
+    items = spark.createDataFrame([(1, "buy shoes"), (2, "cheap travel deals")], "item_id long, qtext string")
+    supplied = spark.createDataFrame([("buy shoes", "shopping intent")], "query string, intent string")
+    labs = spark.createDataFrame([("travel deals",), ("shoes",)], "intent string")
+    out = {r.item_id: (r.intent, r.score) for r in
+           fx.assign_labels(items, "item_id", "qtext", supplied, labs, "intent").collect()}
+    assert out[1] == ("shopping intent", 1.0)
+    assert out[2][0] == "travel deals"

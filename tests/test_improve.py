@@ -88,3 +88,13 @@ def test_grain_aware_improver_equals_rowwise(spark):
         c = sorted(tuple(r) for r in im.improve_by_rules(work, pack, section_keys=["k"], query_keys=["k"],
                                                            **args).collect())
         assert a == b == c
+
+
+def test_report_parses_text_numbers(spark):
+    # An improvement table read from CSV holds numbers as text.
+    df = spark.createDataFrame([("li", "q", "a", "b", "0.714652", " 0.816071 ", "14,19%"),
+                                ("p", "q", "a", "b", "0.5", "0.5", "abc")],
+                               "section string, query string, old_text string, new_text string, "
+                               "old_score string, new_score string, pct_change string")
+    rows = rp.report_rows(df, "query", "query").collect()
+    assert len(rows) == 1 and rows[0].delta == 14.19 and rows[0].new_score == 0.816071

@@ -46,3 +46,11 @@ def test_missing_input(spark, tmp_path):
     from pyspark.errors import AnalysisException
     with pytest.raises(AnalysisException):
         tb.read_table(spark, str(tmp_path), "nope").collect()
+
+
+def test_read_search_performance_csv(spark, tmp_path):
+    df = spark.createDataFrame([("q a", 3, 10), (None, 9, 9)], "query string, clicks long, impressions long")
+    path = str(tmp_path / "perf")
+    tb.write_table(df, path, fmt="csv")
+    perf = tb.read_search_performance(spark, path)
+    assert [r.query for r in tm.top_k(perf, "clicks", 5).collect()] == ["q a"]
