@@ -97,7 +97,11 @@ def lexical_all_pairs(left: DataFrame, left_text: str, right: DataFrame, right_t
 
 def _exploded_entries(df: DataFrame, keys: Sequence[str], text: str, prefix: str) -> DataFrame:
     v = with_lexical_vector(df.select(*keys, text), text, "_v")
-    return (v.select(*keys, F.col("_v.norm").alias(f"{prefix}norm"), F.explode("_v.entries").alias("_e"))
+    # explode_outer + a filter on the generated column: a plain explode makes
+    # Catalyst infer size(entries) > 0 and push it below the projections,
+    # re-evaluating the whole vector expression inside that filter.
+    return (v.select(*keys, F.col("_v.norm").alias(f"{prefix}norm"), F.explode_outer("_v.entries").alias("_e"))
+             .where(F.col("_e").isNotNull())
              .select(*keys, f"{prefix}norm", F.col("_e.term").alias("term"), F.col("_e.tf").alias(f"{prefix}tf")))
 
 

@@ -148,7 +148,9 @@ def page_sections(pages: DataFrame, kinds=SECTION_KINDS, url: str | None = None)
         pages = pages.where(F.col("url") == url.strip())
     arr = page_arrays(pages)
     items = F.concat(*[_kind_items(k) for k in kinds])
-    return (arr.select("page_id", "url", F.explode(items).alias("s"))
+    # explode_outer + filter: see fit._exploded_entries (no inferred filter
+    # that would re-run the page parsing).
+    return (arr.select("page_id", "url", F.explode_outer(items).alias("s")).where(F.col("s").isNotNull())
                .select("page_id", "url", F.col("s.section").alias("section"),
                        F.col("s.ordinal").cast("int").alias("ordinal"),
                        F.col("s.text").alias("text")))
@@ -168,7 +170,7 @@ def page_links(pages: DataFrame) -> DataFrame:
     """One row per link with an href, classed internal/external by
     substring test of the page's network location."""
     arr = page_arrays(pages)
-    return (arr.select("page_id", F.posexplode("links").alias("pos", "l"))
+    return (arr.select("page_id", F.posexplode_outer("links").alias("pos", "l")).where(F.col("l").isNotNull())
                .select("page_id", (F.col("pos") + 1).cast("int").alias("ordinal"),
                        F.when(F.col("l.internal"), F.lit("internal")).otherwise(F.lit("external")).alias("link_class"),
                        F.col("l.text").alias("text"), F.col("l.url").alias("url")))
@@ -212,5 +214,5 @@ def record_to_sections(record: DataFrame) -> DataFrame:
         F.col("headings.h3").alias("h3"), F.col("paragraphs").alias("p"),
         F.col("div_texts").alias("div"), F.col("lists").alias("li"))
     items = F.concat(*[_kind_items(k) for k in SECTION_KINDS])
-    return (flat.select("page_id", "url", F.explode(items).alias("s"))
+    return (flat.select("page_id", "url", F.explode_outer(items).alias("s")).where(F.col("s").isNotNull())
                 .select("page_id", "url", "s.section", F.col("s.ordinal").cast("int").alias("ordinal"), "s.text"))

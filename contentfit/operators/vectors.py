@@ -38,39 +38,47 @@ def tokens(text) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(_c(text), F.lit(""))), F.lit(TOKEN_RE), F.lit(0))
 
 
+def let(x: Column, body) -> Column:
+    """Evaluate ``x`` once and hand it to ``body`` as a lambda variable."""
+    return F.transform(F.array(x), body).getItem(0)
+
+
 def entries_from_sorted(srt) -> Column:
     """Run-length encode a sorted token array into term-sorted
     ``array<struct<term string, tf bigint>>``.
 
-    Lambdas only see the elements zipped into them; nothing inside a lambda
-    refers back to a computed array (Spark would re-evaluate it per element).
+    Each intermediate array is evaluated once: run marks feed the run starts
+    only, the starts are bound once, and the distinct terms of a sorted array
+    are its runs in order.  Nothing inside a lambda re-evaluates a computed
+    array.  ``srt`` should be a column or a lambda variable.
     """
     s = _c(srt)
     n = F.size(s)
     prev = F.concat(F.array(F.lit(None).cast("string")), s)
     marks = F.zip_with(s, prev, lambda x, p: x.isNotNull() & (p.isNull() | (x != p)))
-    terms = F.filter(F.zip_with(s, marks, lambda x, m: F.when(m, x)), lambda x: x.isNotNull())
     starts = F.filter(F.transform(marks, lambda m, i: F.when(m, i).otherwise(F.lit(-1))), lambda v: v >= 0)
-    ends = F.concat(F.slice(starts, 2, F.greatest(n, F.lit(1))), F.array(n))
-    counts = F.zip_with(starts, ends, lambda st, en: (en - st).cast("long"))
-    # zip_with pads the shorter side with nulls (empty text): drop those.
-    return F.filter(F.zip_with(terms, counts, lambda t, c: F.struct(t.alias("term"), c.alias("tf"))),
-                    lambda e: e["term"].isNotNull())
+
+    def from_starts(st):
+        ends = F.concat(F.slice(st, 2, F.greatest(n, F.lit(1))), F.array(n))
+        counts = F.zip_with(st, ends, lambda a, b: (b - a).cast("long"))
+        return F.zip_with(F.array_distinct(s), counts, lambda t, c: F.struct(t.alias("term"), c.alias("tf")))
+    return F.when(n == 0, F.array().cast(ENTRY_TYPE)).otherwise(let(starts, from_starts))
 
 
 def term_entries(text) -> Column:
     """Sparse term-frequency vector of a text (row-local, O(n log n))."""
-    return entries_from_sorted(F.array_sort(tokens(text)))
+    return let(F.array_sort(tokens(text)), entries_from_sorted)
 
 
 def with_lexical_vector(df, text: str, out: str):
-    """Add ``out`` = ``struct<entries, norm>`` for ``text``.  The sorted
-    tokens are materialised in their own projection first, so the encoding
-    reads a column instead of re-running the tokenizer."""
-    tmp = f"_{out}_srt"
-    df = df.withColumn(tmp, F.array_sort(tokens(F.col(text))))
-    e = entries_from_sorted(F.col(tmp))
-    return df.withColumn(out, F.struct(e.alias("entries"), entries_norm(e).alias("norm"))).drop(tmp)
+    """Add ``out`` = ``struct<entries, norm>`` for ``text``.  Sorted tokens
+    and entries are materialised in their own projections, so each is
+    computed once and read as a column."""
+    srt, ent = f"_{out}_srt", f"_{out}_ent"
+    df = df.withColumn(srt, F.array_sort(tokens(F.col(text))))
+    df = df.withColumn(ent, entries_from_sorted(F.col(srt)))
+    return (df.withColumn(out, F.struct(F.col(ent).alias("entries"), entries_norm(F.col(ent)).alias("norm")))
+              .drop(srt, ent))
 
 
 def entries_norm(entries) -> Column:
@@ -79,11 +87,6 @@ def entries_norm(entries) -> Column:
     return F.sqrt(ss.cast("double"))
 
 
-def let(x: Column, body) -> Column:
-    """Evaluate ``x`` once and hand it to ``body`` as a lambda variable."""
-    return F.transform(F.array(x), body).getItem(0)
-
-
 def lexical_vector(text) -> Column:
     """``struct<entries, norm>`` for a text column, each step evaluated once
     (usable inside other lambdas, where no extra projection is possible)."""
@@ -154,5 +157,5 @@ def hashed_vector(text, num_features: int = 1 << 18) -> Column:
     (like ``ml.feature.HashingTF``) in the same sorted-entries shape, so the
     cosine code is shared.  Collisions merge terms."""
     hashed = F.transform(tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(num_features)).cast("string"))
-    e = entries_from_sorted(F.array_sort(hashed))
-    return F.struct(e.alias("entries"), entries_norm(e).alias("norm"))
+    return let(F.array_sort(hashed), lambda s: let(
+        entries_from_sorted(s), lambda e: F.struct(e.alias("entries"), entries_norm(e).alias("norm"))))
