@@ -186,7 +186,7 @@ def section_counts(pages: DataFrame) -> DataFrame:
                           F.size(F.filter("links", lambda l: l["internal"])).cast("long").alias("n")))
     sizes.append(F.struct(F.lit("link_external").alias("section"),
                           F.size(F.filter("links", lambda l: ~l["internal"])).cast("long").alias("n")))
-    return (arr.select("page_id", F.explode(F.array(*sizes)).alias("c"))
+    return (arr.select("page_id", F.explode_outer(F.array(*sizes)).alias("c")).where(F.col("c").isNotNull())
                .select("page_id", F.col("c.section").alias("section"), F.col("c.n").alias("n")))
 
 

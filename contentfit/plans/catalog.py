@@ -364,7 +364,7 @@ def length_budget(spark, sf_dir):
     """The page title cut to the word budget of each section."""
     arr = sx.page_arrays(_pages(spark, sf_dir))
     items = F.concat(*[sx._kind_items(k) for k in sx.SECTION_KINDS])
-    s = (arr.select("page_id", "title", F.explode(items).alias("s"))
+    s = (arr.select("page_id", "title", F.explode_outer(items).alias("s")).where(F.col("s").isNotNull())
             .select("page_id", "title", "s.section", F.col("s.ordinal").cast("int").alias("ordinal"), "s.text"))
     return s.select("page_id", "section", "ordinal",
                     rl.enforce_budget(F.col("text"), F.col("title"), F.col("section"), EN).alias("budgeted"))
