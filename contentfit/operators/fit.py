@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contentfit import config
-from contentfit.operators.vectors import cosine_from, lexical_cosine, lexical_vector, with_lexical_vector
+from contentfit.operators.vectors import cosine_from, lexical_cosine, with_lexical_vector
 
 
 def verdict(score, cut: float = config.VERDICT_CUT, labels=config.VERDICT_LABELS) -> Column:

@@ -1,6 +1,5 @@
 """Improvement jobs and the report."""
 
-from pyspark.sql import functions as F
 
 from contentfit.operators import improve as im
 from contentfit.operators import report as rp
@@ -11,13 +10,6 @@ def _rows(spark, old_score=0.66):
                                  "row_key long, intent string, old_text string, section string, old_score double")
 
 
-def _with_scores(spark, scores):
-    """Candidates whose lexical score against 'cat mat' equals the given
-    values are hard to write by hand, so test the choice on a score column."""
-    return spark.createDataFrame([(1, i + 1, s) for i, s in enumerate(scores)],
-                                 "row_key long, attempt int, score double")
-
-
 def test_first_improving_attempt_choice(spark):
     rows = _rows(spark, 0.5)
     cands = spark.createDataFrame([(1, 1, "dog dog"), (1, 2, "cat"), (1, 3, "cat mat")],
