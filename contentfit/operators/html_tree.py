@@ -139,8 +139,17 @@ def tree_sections(page_id: int, url: str, html: str) -> list[tuple]:
 
 
 def page_sections_tree(pages: DataFrame) -> DataFrame:
-    """Long-form sections from a per-task parse of each page."""
+    """Long-form sections from a per-task parse of each page.
+
+    The parser is shipped by value with the task, so executors need not have
+    this package installed (cluster jobs may also ship it with --py-files).
+    """
+    import sys
+
     import pandas as pd
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
     cols = [f.name for f in SECTIONS_SCHEMA.fields]
 
