@@ -78,3 +78,47 @@ def render(template: str, values: dict) -> Column:
             c = F.col(c) if isinstance(c, str) else c
             cols.append(F.coalesce(c.cast("string"), F.lit("None")))
     return F.concat(*cols)
+
+# --- fixed values: X2, the intent-improvement request -------------------------
+# Rendered as a chat transcript: "System: <system>\nHuman: <human>".
+IMPROVE_SYSTEM = """
+Sen bir SEO ve içerik geliştirme uzmanısın.
+Görevin, kullanıcı niyetine (intent) göre mevcut metni küçük dokunuşlarla iyileştirmektir.
+
+Kurallar:
+1. Benzerlik skorunu artırmaya odaklan, anlamı bozma.
+2. Metin türüne göre:
+   - h1/h2: Kullanıcı niyetinden DOĞRUDAN başlık üret (örn: "google reklam verme nasıl" → "Google Reklam Verme Nasıl Yapılır?").
+   - p/div: Mevcut metni TAMAMEN KORU, sadece kullanıcı niyetini karşılayacak şekilde en fazla 5-10 kelime ekle. Örneğin:
+     * Mevcut: "Google reklamları hızlı ve pratiktir."
+     * Niyet: "google reklam verme nasıl"
+     * Geliştirilmiş: "Google reklamları hızlı ve pratiktir; google reklam verme nasıl yapılır sorusuna kısa bir yanıt sunar."
+   - li: Mevcut metni TAMAMEN KORU, sadece kullanıcı niyetini karşılayacak şekilde en fazla 1-2 kelime ekle.
+3. Uzunluk sınırları:
+   - p/div: Mevcut metne en fazla 5-10 kelime ekle.
+   - li: Mevcut metne en fazla 1-2 kelime ekle.
+   - h1/h2: "Nasıl Yapılır?" veya "Kılavuzu" varsa ASLA kesilmez.
+4. Her zaman değiştir. Rollback yok.
+5. Reklam/CTA/pazarlama ifadeleri kullanma: "hedef kitlenize ulaşın", "kampanyanızı oluşturun", "potansiyel müşteriler" vb. yasak.
+6. Cevap her zaman geçerli JSON olmalı.
+7. KRİTİK KURAL: Mevcut metin mutlaka korunmalı, sadece küçük eklemeler yapılmalı. Metni kısaltma veya özetleme yapma!
+8. ÖNEMLİ: Kullanıcı niyetini doğrudan karşılayan ifadeler ekle (örn: "google reklam verme nasıl" için "nasıl yapılır" ifadesi mutlaka geçmeli).
+"""
+IMPROVE_HUMAN = """
+Girdi:
+Kullanıcı Niyeti: "{kullanici_niyeti}"
+Mevcut İçerik: "{mevcut_icerik}"
+HTML Bölümü: "{html_bolumu}"
+Eski Skor: {eski_skor}
+
+Beklenen çıktı formatı (JSON):
+{{
+  "Kullanıcı Niyeti": "{kullanici_niyeti}",
+  "Mevcut İçerik": "{mevcut_icerik}",
+  "Geliştirilmiş İçerik": "Buraya geliştirilmiş hali gelecek",
+  "HTML Bölümü": "{html_bolumu}"
+}}
+
+Sadece bu JSON'u döndür, başka açıklama veya metin ekleme.
+"""
+IMPROVE_TEMPLATE = "System: " + IMPROVE_SYSTEM + "\nHuman: " + IMPROVE_HUMAN

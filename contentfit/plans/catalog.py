@@ -417,9 +417,9 @@ def short_answer(spark, sf_dir):
 
 
 def prompt_column(spark, sf_dir):
-    """Request texts for the document-fit rows the query job would
-    send out: the intent-label request for the query and the short-edit
-    request for (query, document, section p, score)."""
+    """Request texts for the document-fit rows: the intent-label
+    request for the query, and the short-edit and improvement requests for
+    (query or intent, document, section p, score)."""
     from contentfit.functions import prompts as pr
     fit = _doc_fit(spark, sf_dir, fx.config.VERDICT_CUT)
     rows = fit.join(_documents(spark, sf_dir), "doc_id").join(F.broadcast(_query_side(spark, sf_dir)), "item_id")
@@ -427,7 +427,9 @@ def prompt_column(spark, sf_dir):
         "doc_id", "item_id",
         pr.render(pr.INTENT_LABEL_TEMPLATE, {"sorgu": "qtext"}).alias("intent_prompt"),
         pr.render(pr.SHORT_EDIT_TEMPLATE, {"kullanici_sorgusu": "qtext", "eski_metin": "text",
-                                          "html_bolumu": F.lit("p"), "eski_skor": "score"}).alias("edit_prompt"))
+                                          "html_bolumu": F.lit("p"), "eski_skor": "score"}).alias("edit_prompt"),
+        pr.render(pr.IMPROVE_TEMPLATE, {"kullanici_niyeti": "qtext", "mevcut_icerik": "text",
+                                        "html_bolumu": F.lit("p"), "eski_skor": "score"}).alias("improve_prompt"))
 
 
 QUERIES = {
