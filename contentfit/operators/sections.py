@@ -71,7 +71,7 @@ def netloc(url) -> Column:
 
 def resolve_href(page_url: Column, href: Column) -> Column:
     """Resolve an href against the page URL (absolute, //, /, #, ?, and
-    relative forms; dot segments are resolved only by the tree extractor)."""
+    relative forms).  Dot segments (``./``, ``../``) are kept as written."""
     scheme = F.regexp_extract(page_url, SCHEME_RE, 1)
     origin = F.concat(scheme, F.lit("://"), netloc(page_url))
     path = F.regexp_extract(page_url, PATH_RE, 1)

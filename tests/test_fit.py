@@ -121,3 +121,10 @@ def test_assign_labels_supplied_first(spark):
            fx.assign_labels(items, "item_id", "qtext", supplied, labs, "intent").collect()}
     assert out[1] == ("shopping intent", 1.0)
     assert out[2][0] == "travel deals"
+
+
+def test_hashed_vector_matches_lexical_without_collisions(spark, one):
+    a, b = F.lit("the cat sat on the mat"), F.lit("cat mat dog")
+    lex = one(V.lexical_cosine(V.lexical_vector(a), V.lexical_vector(b)))
+    hashed = one(V.lexical_cosine(V.hashed_vector(a, 1 << 20), V.hashed_vector(b, 1 << 20)))
+    assert abs(lex - hashed) < 1e-12

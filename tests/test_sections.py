@@ -67,3 +67,10 @@ def test_driver_pages_smoke(spark):
     n_pages = pages.count()
     h1 = sx.page_sections(pages, kinds=("h1",)).count()
     assert h1 == n_pages
+
+
+def test_single_page_filter(spark):
+    pages = spark.createDataFrame([(1, URL, HTML), (2, "https://other.org/", "<h1>x</h1>")],
+                                  "page_id long, url string, html string")
+    ids = {r.page_id for r in sx.page_sections(pages, url="  " + URL + " ").collect()}
+    assert ids == {1}
