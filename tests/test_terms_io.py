@@ -54,3 +54,18 @@ def test_read_search_performance_csv(spark, tmp_path):
     tb.write_table(df, path, fmt="csv")
     perf = tb.read_search_performance(spark, path)
     assert [r.query for r in tm.top_k(perf, "clicks", 5).collect()] == ["q a"]
+
+
+def test_reference_layout_round_trip(spark, tmp_path):
+    from contentfit.sources import compat
+    df = spark.createDataFrame([("h2", "google reklam verme", "Google Ads Nedir?", 0.671517, "fit")],
+                               "section string, query string, text string, score double, verdict string")
+    out = compat.to_reference(df, "section_query_fit")
+    assert out.columns == ["HTML Bölümü", "İçerik", "Kullanıcı Sorgusu", "Benzerlik Skoru", "Uyum Durumu"]
+    assert out.first()["Uyum Durumu"] == "Uyumlu"
+    path = str(tmp_path / "fit")
+    tb.write_table(out, path, fmt="csv")
+    back = compat.from_reference(tb.read_csv(spark, path, need=["HTML Bölümü", "Benzerlik Skoru"]))
+    r = back.first()
+    assert (r.section, r.query, r.text, float(r.score), r.verdict) == \
+        ("h2", "google reklam verme", "Google Ads Nedir?", 0.671517, "fit")
