@@ -69,9 +69,34 @@ def netloc(url) -> Column:
     return F.regexp_extract(u, NETLOC_RE, 1)
 
 
+DOT_SEGMENT_RE = r"(^|/)\.\.?(/|$)"
+
+
+def fold_dot_segments(url: Column) -> Column:
+    """Remove ``.`` and ``..`` path segments of an http(s) URL, as a browser
+    does when it resolves an href (RFC 3986 remove_dot_segments).  Paths hold
+    a handful of segments, so the per-URL fold is cheap."""
+    path = F.regexp_extract(url, PATH_RE, 1)
+    prefix = F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
+    rest = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*[^?#]*(.*)$", 1)
+    segs = F.slice(F.split(path, "/"), 2, F.greatest(F.size(F.split(path, "/")), F.lit(1)))
+    stack = F.aggregate(segs, F.array().cast("array<string>"), lambda acc, x: (
+        F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
+         .when(x == ".", acc).otherwise(F.concat(acc, F.array(x)))))
+    last = F.element_at(segs, -1)
+    folded = F.concat(prefix, F.lit("/"), F.array_join(stack, "/"),
+                      F.when(last.isin(".", "..") & (F.size(stack) > 0), F.lit("/")).otherwise(F.lit("")), rest)
+    special = F.lower(F.regexp_extract(url, SCHEME_RE, 1)).isin("http", "https")
+    return F.when(special & path.rlike(DOT_SEGMENT_RE), folded).otherwise(url)
+
+
 def resolve_href(page_url: Column, href: Column) -> Column:
     """Resolve an href against the page URL (absolute, //, /, #, ?, and
-    relative forms).  Dot segments (``./``, ``../``) are kept as written."""
+    relative forms), then fold dot segments of http(s) paths."""
+    return fold_dot_segments(_join_href(page_url, href))
+
+
+def _join_href(page_url: Column, href: Column) -> Column:
     scheme = F.regexp_extract(page_url, SCHEME_RE, 1)
     origin = F.concat(scheme, F.lit("://"), netloc(page_url))
     path = F.regexp_extract(page_url, PATH_RE, 1)

@@ -59,7 +59,25 @@ def netloc(x: str) -> str:
     return f"regexp_extract({x}, {lit(sx.NETLOC_RE)}, 1)"
 
 
+def fold_dot_segments(u: str) -> str:
+    path = f"regexp_extract({u}, {lit(sx.PATH_RE)}, 1)"
+    prefix = f"regexp_extract({u}, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1)"
+    rest = f"regexp_extract({u}, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*[^?#]*(.*)$', 1)"
+    segs = f"string_split({path}, '/')[2:]"
+    stack = (f"list_reduce({segs}, lambda acc, x: CASE WHEN x = '..' THEN acc[1:len(acc) - 1] "
+             f"WHEN x = '.' THEN acc ELSE list_append(acc, x) END, []::VARCHAR[])")
+    last = f"({segs})[-1]"
+    folded = (f"{prefix} || '/' || array_to_string({stack}, '/') || "
+              f"CASE WHEN {last} IN ('.', '..') AND len({stack}) > 0 THEN '/' ELSE '' END || {rest}")
+    special = f"lower(regexp_extract({u}, {lit(sx.SCHEME_RE)}, 1)) IN ('http', 'https')"
+    return f"CASE WHEN {special} AND regexp_matches({path}, {lit(sx.DOT_SEGMENT_RE)}) THEN {folded} ELSE {u} END"
+
+
 def resolve_href(url: str, h: str) -> str:
+    return fold_dot_segments(_join_href(url, h))
+
+
+def _join_href(url: str, h: str) -> str:
     scheme = f"regexp_extract({url}, {lit(sx.SCHEME_RE)}, 1)"
     origin = f"({scheme} || '://' || {netloc(url)})"
     path = f"regexp_extract({url}, {lit(sx.PATH_RE)}, 1)"

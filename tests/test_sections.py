@@ -74,3 +74,15 @@ def test_single_page_filter(spark):
                                   "page_id long, url string, html string")
     ids = {r.page_id for r in sx.page_sections(pages, url="  " + URL + " ").collect()}
     assert ids == {1}
+
+
+def test_dot_segments_folded(spark):
+    from pyspark.sql import functions as F
+    base = "https://m.x.org/a/b/c"
+    cases = {"../d": "https://m.x.org/a/d", "./x": "https://m.x.org/a/b/x", "../../..": "https://m.x.org/",
+             "a/./b/": "https://m.x.org/a/b/a/b/", "/p/../q?z=1#f": "https://m.x.org/q?z=1#f",
+             "x/..": "https://m.x.org/a/b/", "..": "https://m.x.org/a/", ".": "https://m.x.org/a/b/",
+             "mailto:a/../b": "mailto:a/../b", "https://o.org/k/./l": "https://o.org/k/l"}
+    df = spark.createDataFrame([(h,) for h in cases], "h string")
+    got = {r.h: r.u for r in df.select("h", sx.resolve_href(F.lit(base), F.col("h")).alias("u")).collect()}
+    assert got == cases
