@@ -61,3 +61,38 @@ def run(spark: SparkSession, perf: DataFrame, pages: DataFrame, out_dir: str,
     return {"queries": queries, "sections": sections, "fit": fit, "improved": improved,
             "report_rows": rows, "report_summary": summary,
             "report_text": rp.summary_formatted(summary)}
+
+
+def main(argv=None) -> None:
+    """``python -m contentfit.plans.pipeline --pages P --perf Q --out O``.
+
+    ``--pages``: parquet with (page_id, url, html); ``--perf``: CSV or parquet
+    with (query, clicks, impressions), or the reference's headers.
+    """
+    import argparse
+
+    from contentfit.session import get_spark
+    from contentfit.sources.compat import from_reference
+    from contentfit.sources.tables import read_csv, require_columns
+
+    ap = argparse.ArgumentParser(description=main.__doc__)
+    ap.add_argument("--pages", required=True)
+    ap.add_argument("--perf", required=True)
+    ap.add_argument("--out", required=True)
+    ap.add_argument("--url", default=None, help="score one page only")
+    ap.add_argument("--top-k", type=int, default=config.TOP_K)
+    ap.add_argument("--pack", choices=("turkish", "english-test"), default="turkish")
+    ap.add_argument("--master", default=None)
+    a = ap.parse_args(argv)
+    spark = get_spark("contentfit-pipeline", master=a.master)
+    perf = read_csv(spark, a.perf) if a.perf.endswith(".csv") else spark.read.parquet(a.perf)
+    perf = require_columns(from_reference(perf), ["query", "clicks", "impressions"]).select(
+        "query", F.col("clicks").cast("long"), F.col("impressions").cast("long"))
+    pages = require_columns(spark.read.parquet(a.pages), ["page_id", "url", "html"])
+    pack = rl.TURKISH_ADS if a.pack == "turkish" else rl.ENGLISH_TEST
+    out = run(spark, perf, pages, a.out, PipelineConfig(top_k=a.top_k, pack=pack), url=a.url)
+    out["report_text"].show(truncate=False)
+
+
+if __name__ == "__main__":
+    main()
