@@ -128,3 +128,12 @@ def test_hashed_vector_matches_lexical_without_collisions(spark, one):
     lex = one(V.lexical_cosine(V.lexical_vector(a), V.lexical_vector(b)))
     hashed = one(V.lexical_cosine(V.hashed_vector(a, 1 << 20), V.hashed_vector(b, 1 << 20)))
     assert abs(lex - hashed) < 1e-12
+
+
+def test_broadcast_chunks_respect_bound_and_cover_all(spark):
+    df = spark.range(0, 500).withColumnRenamed("id", "k")
+    chunks = fx.broadcast_chunks(df, ["k"], max_rows=100)
+    sizes = [c.count() for c in chunks]
+    assert len(chunks) > 1 and max(sizes) <= 100
+    ids = sorted(r.k for c in chunks for r in c.collect())
+    assert ids == list(range(500))
