@@ -20,4 +20,48 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(low.m,
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN low USING (doc_id)
 """
 
-ORACLE = {"op5_near_dedup": NEAR_DEDUP}
+DECONTAMINATION = r"""
+WITH t AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+w AS (SELECT kind, id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'),
+  lambda x: x <> '') AS ws FROM t),
+sh AS (SELECT DISTINCT kind, id, unnest(CASE WHEN len(ws) = 0 THEN []
+    WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS s FROM w),
+n AS (SELECT id, count(*) AS n FROM sh WHERE kind = 'i' GROUP BY id),
+shared AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS c FROM sh d JOIN sh i ON d.s = i.s
+  WHERE d.kind = 'd' AND i.kind = 'i' GROUP BY d.id, i.id)
+SELECT doc_id, item_id, n AS n_item_shingles, c AS n_shared, c / n AS containment
+FROM shared JOIN n ON n.id = item_id WHERE 100 * c >= 80 * n
+"""
+
+QUALITY_RULES = r"""
+WITH base AS (
+  SELECT doc_id, source, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+raw_lines AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM base),
+lines AS (
+  SELECT doc_id, source, text, line, regexp_extract_all(
+    translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS lw
+  FROM raw_lines),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE len(lw) > 0 GROUP BY doc_id),
+norm AS (SELECT doc_id, source, text, array_to_string(lw, ' ') AS line, sum(len(lw)) AS words FROM lines
+  WHERE len(lw) > 0 GROUP BY doc_id, source, text, array_to_string(lw, ' ')),
+common AS (SELECT source, line FROM norm GROUP BY source, line HAVING count(DISTINCT text) > 20),
+gone AS (SELECT doc_id, sum(words) AS n FROM norm JOIN common USING (source, line) GROUP BY doc_id),
+win AS (SELECT doc_id, unnest(range(1, len(ws) - 3)) AS i, ws FROM base WHERE len(ws) >= 5),
+wins AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[i:i + 4], ' ')) AS n FROM win),
+rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM wins, (SELECT unnest(range(5)) AS j) WHERE n > 1 GROUP BY doc_id),
+c AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+    length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(gone.n, 0)::BIGINT AS n_removed_words
+  FROM base LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id)),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c)
+SELECT *, NOT base_failed AND 100 * (n_words - n_removed_words) >= 30 * n_words AS kept FROM f
+"""
+
+ORACLE = {
+    "op5_near_dedup": NEAR_DEDUP,
+    "op7_decontamination": DECONTAMINATION,
+    "op8_quality_rules": QUALITY_RULES,
+}

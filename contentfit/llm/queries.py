@@ -3,8 +3,12 @@ parameters, to the whole of its table."""
 
 from __future__ import annotations
 
+from contentfit.llm.chunk_dedup import repeated_spans
 from contentfit.llm.common import table
+from contentfit.llm.decontaminate import contained_items
+from contentfit.llm.line_quality import quality_rules
 from contentfit.llm.near_dup import near_duplicates
+from contentfit.llm.packing import pack
 
 
 def op5_near_dedup(spark, sf_dir):
@@ -12,6 +16,30 @@ def op5_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents")).drop("n_links")
 
 
+def op6_substring_dedup(spark, sf_dir):
+    """Passages of ``documents`` that an earlier document has, one row per document that loses words."""
+    return repeated_spans(table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark, sf_dir):
+    """Benchmark items contained in ``documents``."""
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_quality_rules(spark, sf_dir):
+    """Base counts and line-frequency verdict of ``documents``, with ``source`` as host."""
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op10_packing(spark, sf_dir):
+    """``documents`` packed into sequences of 2048 tokens."""
+    return pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op5_near_dedup": op5_near_dedup,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op7_decontamination": op7_decontamination,
+    "op8_quality_rules": op8_quality_rules,
+    "op10_packing": op10_packing,
 }
