@@ -6,9 +6,37 @@ from __future__ import annotations
 from contentfit.llm.chunk_dedup import repeated_spans
 from contentfit.llm.common import table
 from contentfit.llm.decontaminate import contained_items
+from contentfit.llm.edit_counts import apply_edits, index_tokens, redactions
+from contentfit.llm.language import identify
 from contentfit.llm.line_quality import quality_rules
 from contentfit.llm.near_dup import near_duplicates
 from contentfit.llm.packing import pack
+from contentfit.llm.rule_quality import quality
+from contentfit.llm.toxicity import toxicity
+from contentfit.llm.warc import round_trip
+
+
+def op1_toxicity(spark, sf_dir):
+    """Toxicity scores of ``documents``, learned from ``labels.toxic``."""
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_token_counts(spark, sf_dir):
+    """Token counts of ``documents`` before and after masking e-mail addresses and long numbers."""
+    indexed = index_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return apply_edits(indexed, redactions("text")).select(
+        "doc_id", "n_edits", "tokens_before", "tokens_after", "reencoded_chars")
+
+
+def op3_warc(spark, sf_dir):
+    """``pages`` written to Zstandard WARC archives and read back."""
+    return round_trip(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_quality(spark, sf_dir):
+    """Quality scores of ``documents``, learned from ``labels.quality``."""
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op5_near_dedup(spark, sf_dir):
@@ -31,15 +59,25 @@ def op8_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark, sf_dir):
+    """Languages of ``documents``."""
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark, sf_dir):
     """``documents`` packed into sequences of 2048 tokens."""
     return pack(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_token_counts": op2_token_counts,
+    "op3_warc": op3_warc,
+    "op4_quality": op4_quality,
     "op5_near_dedup": op5_near_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_quality_rules": op8_quality_rules,
+    "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
 }

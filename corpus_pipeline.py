@@ -2,13 +2,23 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is
 written as Parquet and read again as the next stage's ``docs``.  All but the
-last keep the columns of ``documents``.
+last keep the columns of ``documents``; ``n_chars`` stays what it was in the
+source.  Rows with a null id pass the filters that need an id.
 """
 
 from __future__ import annotations
 
+from contentfit.llm.chunk_dedup import remove_repeats
 from contentfit.llm.common import table, write_stage
+from contentfit.llm.decontaminate import drop_contaminated
 from contentfit.llm.near_dup import drop_near_duplicates
+from contentfit.llm.packing import pack
+from contentfit.llm.rule_quality import drop_low_quality
+
+
+def quality(spark, docs, sf_dir):
+    """Documents that the quality classifier rejects go."""
+    return drop_low_quality(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark, docs, sf_dir):
@@ -16,11 +26,30 @@ def near_dedup(spark, docs, sf_dir):
     return drop_near_duplicates(docs)
 
 
+def substring_dedup(spark, docs, sf_dir):
+    """Passages that an earlier document has are cut from the text."""
+    return remove_repeats(docs)
+
+
+def decontamination(spark, docs, sf_dir):
+    """Documents that contain a benchmark item go."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark, docs, sf_dir):
+    """What is left, packed into sequences of 2048 tokens."""
+    return pack(docs)
+
+
 STAGES = [
+    ("quality", quality),
     ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("decontamination", decontamination),
+    ("packing", packing),
 ]
 
-ORACLE_SQL = None
+ORACLE_SQL = None  # a trained classifier and a tokenizer are part of it
 
 
 def run(spark, sf_dir):
