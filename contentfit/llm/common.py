@@ -132,14 +132,20 @@ def list_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, type=kind))
 
 
-def write_stage(df: DataFrame, name: str) -> DataFrame:
+ROWS_PER_FILE = 100_000
+
+
+def write_stage(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts lineage: a lost executor costs no more than the stage it was in, and
     what is read twice is computed once.  The folder is the session's
-    ``spark.checkpoint.dir``.
+    ``spark.checkpoint.dir``.  ``rows``, if the caller knows about how many
+    rows there are, keeps a small table from becoming many tiny files.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

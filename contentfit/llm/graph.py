@@ -28,17 +28,17 @@ def components(edges: DataFrame) -> DataFrame:
     edges = write_stage(edges.select("u", "v").dropna().where("u <> v").distinct(), "edges")
     before = None
     while (state := _fingerprint(edges)) != before:
-        before = state
+        before, n = state, state[0]
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = write_stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
+        low = write_stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low", 2 * n)
         large = (both.join(low, "u").where("v > u")
                  .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        large = write_stage(large, "large")
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = write_stage(down.groupBy("u").agg(F.min("v").alias("m")), "low")
-        small = (down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = write_stage(large, "large", n)
+        low = write_stage(large.groupBy("u").agg(F.min("v").alias("m")), "low", n)
+        small = (large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(low.select("u", F.col("m").alias("v")))
                  .where("u <> v").distinct())
-        edges = write_stage(small, "edges")
-    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")).unionByName(
-        edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+        edges = write_stage(small, "edges", 2 * n)
+    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
+    return write_stage(edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")).unionByName(roots),
+                       "components", 2 * n)

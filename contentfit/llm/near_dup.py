@@ -16,7 +16,8 @@ What passes is confirmed on the full sets.  A band's bucket isn't expanded
 into pairs.  Three rounds each verify pairs and contract components: every
 member against the bucket's smallest class; against a member picked by hash,
 where components still differ; then what is left, the pairs of different
-components in a bucket, so no link between components is lost.
+components in a bucket, but for those that their private shingles rule out
+(see ``_linkable``), so no link between components is lost.
 
 Defined cases: an empty or null text has no shingles and links with nothing; a
 text of fewer than ``k`` words is one shingle; a row with a null id is linked
@@ -146,6 +147,26 @@ def _confirm(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, most_bits:
     return likely.join(a, "u").join(b, "v").where(100 * both >= pct * (size - both)).select("u", "v")
 
 
+def _linkable(left: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    """Members ``(key, digest, label)`` that can still be linked in their
+    bucket, with set size ``n`` and ``most``, the largest set they can link to.
+
+    Shingles that no other open class has can't be shared.  With ``own`` such
+    shingles a set of ``n`` shares at most ``n - own``, so a partner has at most
+    ``(100 + pct)(n - own)/pct - n`` shingles.  That is exact, is counted
+    without pairs, and settles most near copies that fall short of the threshold.
+    """
+    opened = left.select("digest").distinct().join(sets, "digest")
+    own = (opened.select("digest", F.explode("shingles").alias("s")).groupBy("s")
+           .agg(F.count("*").alias("c"), F.min("digest").alias("digest")).where("c = 1")
+           .groupBy("digest").agg(F.count("*").alias("own")))
+    sizes = opened.select("digest", F.size("shingles").alias("n")).join(own, "digest", "left").select(
+        "digest", "n", (F.floor((100 + pct) * (F.col("n") - F.coalesce("own", F.lit(0))) / pct) - F.col("n")).alias("most"))
+    left = write_stage(left.join(write_stage(sizes, "sizes"), "digest"), "open")
+    least = write_stage(left.groupBy("key").agg(F.min("n").alias("least")), "least")
+    return left.join(least, "key").where("most >= least").drop("least")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS,
                     pct: int = THRESHOLD_PCT, bands: int = BANDS, rows: int = ROWS,
                     bits: int = SKETCH_BITS) -> DataFrame:
@@ -183,7 +204,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return write_stage(_confirm(pairs.distinct(), sketches, sets, most, words, pct), "links")
 
     links = confirmed(members.where("hub <> digest").select(*ordered("hub", "digest")))
-    stars = write_stage(components(links), "labels")
+    stars = components(links)
 
     def labelled(frame):
         return frame.join(stars.withColumnRenamed("node", "digest"), "digest", "left").withColumn(
@@ -195,7 +216,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if new.isEmpty():
             return links, stars
         merged = stars.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(new)
-        return write_stage(links.unionByName(new).distinct(), "links"), write_stage(components(merged), "labels")
+        return write_stage(links.unionByName(new).distinct(), "links"), components(merged)
 
     # Only buckets of three or more classes can hold a pair that round one hasn't seen.
     large = members.where("n > 2")
@@ -208,13 +229,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = write_stage(now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
                         .where("lo <> hi").select("key"), "mixed")
     left = write_stage(now.join(mixed, "key").where("digest <> hub and digest <> pick")
-                       .join(sketches.select("digest", "odd"), "digest")
-                       .select("key", "digest", "label", "odd"), "open")
-    right = left.select("key", F.col("digest").alias("other"), F.col("label").alias("other_label"),
-                        F.col("odd").alias("other_odd"))
-    new_pair = (F.col("digest") < F.col("other")) & (F.col("label") != F.col("other_label"))
-    links, stars = linked(left.join(right, "key").where(new_pair & (_flips("odd", "other_odd", words) <= most))
-                          .select(F.col("digest").alias("u"), F.col("other").alias("v")))
+                       .select("key", "digest", "label"), "open")
+    left = _linkable(left, sets, pct).join(sketches.select("digest", "odd"), "digest")
+    left = write_stage(left, "linkable")
+    right = left.select("key", *(F.col(c).alias(f"other_{c}") for c in ("digest", "label", "n", "most", "odd")))
+    pairs = left.join(right, "key").where(
+        (F.col("digest") < F.col("other_digest")) & (F.col("label") != F.col("other_label"))
+        & (F.col("other_n") <= F.col("most")) & (F.col("n") <= F.col("other_most"))
+        & (_flips("odd", "other_odd", words) <= most))
+    links, stars = linked(pairs.select(F.col("digest").alias("u"), F.col("other_digest").alias("v")))
 
     ends = links.select(F.col("u").alias("digest")).unionByName(links.select(F.col("v").alias("digest")))
     degree = write_stage(ends.groupBy("digest").agg(F.count("*").alias("n_links")), "degree")
