@@ -128,7 +128,8 @@ def text_bytes(column: pa.Array) -> Iterator[np.ndarray | None]:
 def list_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     """A list column from one numpy array per row."""
     ends = np.cumsum([0] + [len(p) for p in parts]).astype(np.int32)
-    flat = np.concatenate(parts) if parts else np.empty(0)
+    full = [p for p in parts if len(p)]  # an empty array's own type must not decide that of the values
+    flat = np.concatenate(full) if full else np.empty(0)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, type=kind))
 
 
