@@ -16,8 +16,9 @@ What passes is confirmed on the full sets.  A band's bucket isn't expanded
 into pairs.  Three rounds each verify pairs and contract components: every
 member against the bucket's smallest class; against a member picked by hash,
 where components still differ; then what is left, the pairs of different
-components in a bucket, but for those that their private shingles rule out
-(see ``_linkable``), so no link between components is lost.
+components in a bucket, but for those that their private shingles (see
+``_linkable``) or larger odd sketches rule out, so no link between components
+is lost.
 
 Defined cases: an empty or null text has no shingles and links with nothing; a
 text of fewer than ``k`` words is one shingle; a row with a null id is linked
@@ -41,6 +42,8 @@ SHINGLE_WORDS = 4
 THRESHOLD_PCT = 80
 BANDS, ROWS = 32, 4
 SKETCH_BITS = 256
+#: Odd sketches of classes that are still open after two rounds, many of whose similarities are just short of the threshold.
+FINE_SAMPLES, FINE_BITS = 1024, 4096
 
 _SAMPLES_SCHEMA = "id long, n_shingles long, digest binary, bands array<long>, odd array<long>"
 _SLICE = 2048
@@ -83,14 +86,26 @@ def set_digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
+def fine_sketches(sets: DataFrame, samples: int = FINE_SAMPLES, bits: int = FINE_BITS) -> DataFrame:
+    """``(digest, fine)``: odd sketches of full sets ``(digest, shingles)``."""
+    def run(batches):
+        for batch in batches:
+            flat = batch.column(1)
+            fine = [odd_sketch(minhash_samples(row.values.to_numpy().view(np.uint64), samples), bits) for row in flat]
+            yield pa.RecordBatch.from_arrays([batch.column(0), list_array(fine, pa.int64())], names=["digest", "fine"])
+    return sets.select("digest", "shingles").mapInArrow(run, "digest binary, fine array<long>")
+
+
 def reject_bits(samples: int, bits: int, threshold: float) -> int:
-    """Population count that a pair at the threshold passes with odds of about
-    one in 10^9: the expected count of the differing samples' six-sigma bound,
-    plus six sigma of the folding."""
-    differ = samples * (1 - threshold)
-    most = min(samples, differ + 6 * (samples * threshold * (1 - threshold)) ** 0.5)
-    share = (1 - (1 - 2 / bits) ** (2 * most)) / 2
-    return int(bits * share + 6 * (bits * share * (1 - share)) ** 0.5)
+    """Population count that a pair at the threshold exceeds with odds of about
+    one in 10^9: six standard deviations above the mean.  The deviation is that
+    of the number of differing samples, each of which flips two bits, and that
+    of folding them into the bitmap."""
+    flipped = 2 * samples * (1 - threshold)
+    clear, clear_pair = (1 - 2 / bits) ** flipped, (1 - 4 / bits) ** flipped
+    sampling = 4 * samples * threshold * (1 - threshold) * clear ** 2
+    folding = bits / 4 * (1 - clear_pair) + bits ** 2 / 4 * (clear_pair - clear ** 2)
+    return int(bits * (1 - clear) / 2 + 6 * (sampling + folding) ** 0.5)
 
 
 def class_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS,
@@ -230,13 +245,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         .where("lo <> hi").select("key"), "mixed")
     left = write_stage(now.join(mixed, "key").where("digest <> hub and digest <> pick")
                        .select("key", "digest", "label"), "open")
-    left = _linkable(left, sets, pct).join(sketches.select("digest", "odd"), "digest")
-    left = write_stage(left, "linkable")
-    right = left.select("key", *(F.col(c).alias(f"other_{c}") for c in ("digest", "label", "n", "most", "odd")))
+    left = write_stage(_linkable(left, sets, pct), "linkable")
+    fine = write_stage(fine_sketches(sets.join(left.select("digest").distinct(), "digest")), "fine")
+    left = left.join(fine, "digest").join(sketches.select("digest", "odd"), "digest")
+    right = left.select("key", *(F.col(c).alias(f"other_{c}") for c in ("digest", "label", "n", "most", "odd", "fine")))
     pairs = left.join(right, "key").where(
         (F.col("digest") < F.col("other_digest")) & (F.col("label") != F.col("other_label"))
         & (F.col("other_n") <= F.col("most")) & (F.col("n") <= F.col("other_most"))
-        & (_flips("odd", "other_odd", words) <= most))
+        & (_flips("odd", "other_odd", words) <= most)
+        & (_flips("fine", "other_fine", FINE_BITS // 64) <= reject_bits(FINE_SAMPLES, FINE_BITS, pct / 100)))
     links, stars = linked(pairs.select(F.col("digest").alias("u"), F.col("other_digest").alias("v")))
 
     ends = links.select(F.col("u").alias("digest")).unionByName(links.select(F.col("v").alias("digest")))
