@@ -34,7 +34,7 @@ EDITS = "array<struct<start: int, end: int, text: string>>"
 _EDIT_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())]))
 
 # What ``redactions`` masks: e-mail addresses, and runs of digits as in phone, card and account numbers.
-_MASKED = (("<EMAIL>", r"[\w.+-]{1,64}@[\w-]{1,64}(?:\.[\w-]{1,64}){1,8}"), ("<NUMBER>", r"\+?\d(?:[ ()./-]?\d){6,24}"))
+_MASKED = (("<EMAIL>", r"[\w.+-]{1,64}@[\w-]{1,64}(?:\.[\w-]{1,64}){1,8}"), ("<NUMBER>", r"\+?\d(?:[ ()./-]{0,2}\d){6,24}"))
 _MASKS = re.compile("|".join(f"({p})" for _, p in _MASKED))
 _NUMBERS = re.compile("()" + f"({_MASKED[1][1]})")  # for texts without an @
 

@@ -51,7 +51,8 @@ def codewords(n: int) -> np.ndarray:
         return np.where((splits[None, :] >> np.arange(n)[:, None]) & 1, 1.0, -1.0)
     bits = max(24, 8 * int(np.ceil(np.log2(n))))
     at = np.arange(n * bits, dtype=np.uint64) + np.uint64(0x632BE59BD9B4E019)
-    return np.where(mix64(at) >> np.uint64(63), 1.0, -1.0).reshape(n, bits)
+    code = np.where(mix64(at) >> np.uint64(63), 1.0, -1.0).reshape(n, bits)
+    return code[:, np.abs(code.sum(axis=0)) < n]  # a bit that is the same for all tells nothing
 
 
 def grams(raw: np.ndarray, bits: int = BITS) -> np.ndarray:

@@ -35,6 +35,7 @@ from contentfit.session import ensure_checkpoint_dir
 MIN_REVISIT_BYTES = 100
 DICTIONARY_BYTES = 64 * 1024
 DICTIONARY_ROWS = 1_000
+SAMPLE_BYTES = 16 * 1024
 LEVEL = 3
 DATE = "2024-01-01T00:00:00Z"
 # --- fixed values of the formats ---
@@ -52,10 +53,14 @@ _RECORDS = ("page_id long, payload_bytes long, payload_digest string, record_typ
 def train_dictionary(pages: DataFrame, html_col: str = "html", rows: int = DICTIONARY_ROWS,
                      size: int = DICTIONARY_BYTES) -> bytes:
     """A dictionary from at most ``rows`` payloads, picked by hash, of at most
-    64 KB each; empty if there is too little to train on."""
-    html = F.encode(F.col(html_col), "UTF-8")
-    picked = (pages.where(F.length(html_col) > 0).select(F.xxhash64(html_col).alias("h"), F.substring(html, 1, 65536).alias("b"))
-              .orderBy("h").limit(rows).collect())
+    ``SAMPLE_BYTES`` each; empty if there is too little to train on."""
+    h = F.xxhash64(html_col)
+    full = pages.where(F.length(html_col) > 0)
+    # Hashes are picked first, so that tasks send the driver numbers, not pages.
+    picked = full.select(h.alias("h")).distinct().orderBy("h").limit(rows)
+    body = F.substring(F.encode(F.col(html_col), "UTF-8"), 1, SAMPLE_BYTES)
+    picked = (full.select(h.alias("h"), body.alias("b")).join(F.broadcast(picked), "h")
+              .groupBy("h").agg(F.min("b").alias("b")).orderBy("h").collect())
     try:
         return zstandard.train_dictionary(size, [bytes(r["b"]) for r in picked]).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too few or too small samples
