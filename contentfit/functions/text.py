@@ -30,20 +30,6 @@ INLINE_TAGS = (
     "font", "i", "kbd", "mark", "q", "s", "samp", "small", "span", "strong",
     "sub", "sup", "time", "tt", "u", "var",
 )
-# Character references decoded in static text, in this order (&amp; last so
-# "&amp;lt;" stays "&lt;").
-ENTITIES = (
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
-    ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"),
-    ("&middot;", "·"), ("&amp;", "&"),
-)
-
-INLINE_TAG_RE = r"(?i)</?(?:" + "|".join(INLINE_TAGS) + r")(?:[\t\n\f\r /][^>]*)?>"
-ANY_TAG_RE = r"</?[a-zA-Z][^>]*>"
-COMMENT_RE = r"(?s)<!--.*?-->"
-SCRIPT_RE = r"(?is)<script(?:[\t\n\f\r /][^>]*)?>.*?</script[\t\n\f\r ]*>"
-STYLE_RE = r"(?is)<style(?:[\t\n\f\r /][^>]*)?>.*?</style[\t\n\f\r ]*>"
-
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -121,34 +107,6 @@ def fmt_pct(x, digits: int = 2) -> Column:
     return F.when(c.isNull(), F.lit("")).otherwise(body)
 
 
-def decode_entities(x) -> Column:
-    c = _c(x)
-    for ent, ch in ENTITIES:
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    return c
-
-
-def strip_scripts(html) -> Column:
-    """Remove comments, script and style bodies (never visible text)."""
-    c = F.regexp_replace(_c(html), COMMENT_RE, "")
-    c = F.regexp_replace(c, SCRIPT_RE, "")
-    return F.regexp_replace(c, STYLE_RE, "")
-
-
-def html_text(fragment) -> Column:
-    """Static text of an HTML fragment: inline tags join, other tags break,
-    entities decoded, whitespace collapsed and trimmed (decision D5)."""
-    c = F.regexp_replace(_c(fragment), INLINE_TAG_RE, "")
-    c = F.regexp_replace(c, ANY_TAG_RE, " ")
-    return normalize_ws(decode_entities(c))
-
-
-def raw_text(fragment) -> Column:
-    """Text of a raw-text element (title): entities decoded, whitespace
-    collapsed; tags are not tags there."""
-    return normalize_ws(decode_entities(_c(fragment)))
-
-
 def first_json(x) -> Column:
     """First ``{...}`` (non-greedy) parsed as map<string,string>; null
     when absent or not valid strict JSON (single quotes rejected)."""

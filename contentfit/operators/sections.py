@@ -1,10 +1,8 @@
-"""Section extraction from crawled pages, native path.
+"""Section extraction from crawled pages.
 
-One map-only projection per page computes every tag's text array from the
-HTML with JVM regex functions; sections, links, counts and the nested page
-record are projections of that single pass, so ``pages`` is scanned once and
-nothing is shuffled.  The regexes handle flat markup (one level of div, li,
-table); nested markup goes through :mod:`contentfit.operators.html_tree`.
+:mod:`contentfit.operators.html_tree` parses each page once, inside the task;
+sections, links, counts and the nested page record are projections of that
+one row per page, so ``pages`` is scanned once and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -13,31 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contentfit.functions.text import (
-    decode_entities, html_text, raw_text, strip_scripts, strip_ws,
-)
-
-HS = r"[\t\n\f\r ]"  # HTML whitespace inside tags
-
-# --- fixed values: tag patterns ---------------------------------------------
-TITLE_RE = r"(?is)<title(?:" + HS + r"[^>]*)?>(.*?)</title" + HS + r"*>"
-META_DESC_RE = (r"(?is)<meta" + HS + r"(?:[^>]*" + HS + r")?name" + HS + r"*=" + HS
-                + r"*[\"']?description[\"']?(?:" + HS + r"[^>]*)?/?>")
-CONTENT_DQ_RE = r"(?is)" + HS + r"content" + HS + r"*=" + HS + r"*\"([^\"]*)\""
-CONTENT_SQ_RE = r"(?is)" + HS + r"content" + HS + r"*=" + HS + r"*'([^']*)'"
-P_OPEN_RE = r"(?i)<p(?:" + HS + r"[^>]*)?>"
-# Tags that end an open paragraph (HTML5 implied end tags).
-P_END_RE = (r"(?is)</?(?:address|article|aside|blockquote|body|dd|div|dl|dt|fieldset|"
-            r"figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|"
-            r"section|table|td|th|tr|ul)[\t\n\f\r />].*$")
-LINK_RE = (r"(?is)<a" + HS + r"(?:[^>]*?" + HS + r")?href" + HS + r"*=" + HS
-           + r"*\"([^\"]*)\"[^>]*>(.*?)</a" + HS + r"*>")
-IMG_ALT_RE = r"(?is)<img" + HS + r"(?:[^>]*?" + HS + r")?alt" + HS + r"*=" + HS + r"*\"([^\"]*)\""
+from contentfit.operators.html_tree import TEXT_TAGS, parse_pages
+
+# --- fixed values: URL patterns ----------------------------------------------
 SCHEME_RE = r"^([a-zA-Z][a-zA-Z0-9+.-]*):"
 NETLOC_RE = r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)"
 PATH_RE = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)"
 
 SECTION_KINDS = ("h1", "h2", "h3", "p", "div", "li")
+TEXT_KINDS = TEXT_TAGS
 COUNT_KINDS = ("h1", "h2", "h3", "p", "div", "li", "strong", "em", "table", "img_alt",
                "link_internal", "link_external")
 
@@ -50,19 +32,6 @@ SECTIONS_SCHEMA = T.StructType([
 ])
 
 
-def element_re(tag: str) -> str:
-    return r"(?is)<" + tag + r"(?:" + HS + r"[^>]*)?>(.*?)</" + tag + HS + r"*>"
-
-
-def _texts(arr: Column) -> Column:
-    """Element text of each fragment, empties dropped."""
-    return F.filter(F.transform(arr, lambda x: html_text(x)), lambda x: x != "")
-
-
-def _extract_all(body: Column, pattern: str, group: int = 1) -> Column:
-    return F.regexp_extract_all(body, F.lit(pattern), F.lit(group))
-
-
 def netloc(url) -> Column:
     """Network location (keeps user info and port, like urlparse)."""
     u = F.col(url) if isinstance(url, str) else url
@@ -115,48 +84,18 @@ def page_arrays(pages: DataFrame) -> DataFrame:
 
     Columns: page_id, url, netloc, title, meta_description, h1, h2, h3, p,
     div, li, strong, em, table, img_alt (arrays of string) and links
-    (array<struct<text,url,internal>>).
+    (array<struct<text,url,internal>>).  A link of a page without a URL keeps
+    its href and is external.
     """
-    src = pages.select("page_id", "url", strip_scripts(F.col("html")).alias("body"))
-    body = F.col("body")
-    meta_tag = F.regexp_extract(body, META_DESC_RE, 0)
-    meta = F.concat(F.regexp_extract(meta_tag, CONTENT_DQ_RE, 1), F.regexp_extract(meta_tag, CONTENT_SQ_RE, 1))
-    p_pieces = F.split(body, P_OPEN_RE)
-    p_frag = F.transform(F.slice(p_pieces, 2, F.greatest(F.size(p_pieces), F.lit(1))),
-                         lambda x: F.regexp_replace(x, P_END_RE, ""))
-    ul_items = F.flatten(F.transform(_extract_all(body, element_re("ul")),
-                                     lambda b: _extract_all(b, element_re("li"))))
-    ol_items = F.flatten(F.transform(_extract_all(body, element_re("ol")),
-                                     lambda b: _extract_all(b, element_re("li"))))
-    alts = F.filter(_extract_all(body, IMG_ALT_RE), lambda a: a != "")
-    links_raw = F.arrays_zip(_extract_all(body, LINK_RE, 1).alias("href"),
-                             _extract_all(body, LINK_RE, 2).alias("inner"))
-    return (src.select(
-        "page_id", "url",
-        netloc(F.col("url")).alias("netloc"),
-        raw_text(F.regexp_extract(body, TITLE_RE, 1)).alias("title"),
-        decode_entities(meta).alias("meta_description"),
-        _texts(_extract_all(body, element_re("h1"))).alias("h1"),
-        _texts(_extract_all(body, element_re("h2"))).alias("h2"),
-        _texts(_extract_all(body, element_re("h3"))).alias("h3"),
-        _texts(p_frag).alias("p"),
-        _texts(_extract_all(body, element_re("div"))).alias("div"),
-        _texts(F.concat(ul_items, ol_items)).alias("li"),
-        _texts(_extract_all(body, element_re("strong"))).alias("strong"),
-        _texts(_extract_all(body, element_re("em"))).alias("em"),
-        _texts(_extract_all(body, element_re("table"))).alias("table"),
-        F.transform(alts, lambda a: strip_ws(decode_entities(a))).alias("img_alt"),
-        links_raw.alias("links_raw"))
-        .withColumn("links", F.transform(
-            F.col("links_raw"),
-            lambda l: F.struct(
-                html_text(l["inner"]).alias("text"),
-                resolve_href(F.col("url"), decode_entities(l["href"])).alias("url"))))
-        .withColumn("links", F.transform(
-            F.col("links"),
-            lambda l: F.struct(l["text"].alias("text"), l["url"].alias("url"),
-                               netloc(l["url"]).contains(F.col("netloc")).alias("internal"))))
-        .drop("links_raw"))
+    arr = parse_pages(pages).withColumn("netloc", netloc(F.col("url")))
+    url = F.col("url")
+    links = F.transform("links_raw", lambda l: F.struct(
+        l["text"].alias("text"), F.coalesce(resolve_href(url, l["href"]), l["href"]).alias("url")))
+    return (arr.withColumn("links", links)
+            .withColumn("links", F.transform("links", lambda l: F.struct(
+                l["text"].alias("text"), l["url"].alias("url"),
+                F.coalesce(netloc(l["url"]).contains(F.col("netloc")), F.lit(False)).alias("internal"))))
+            .drop("links_raw"))
 
 
 def _kind_items(kind: str) -> Column:
@@ -231,6 +170,27 @@ def page_record(pages: DataFrame) -> DataFrame:
         F.struct(link(True).alias("internal"), link(False).alias("external")).alias("links"))
 
 
+def page_record_rows(pages: DataFrame) -> DataFrame:
+    """H14 in long form: ``(page_id, field, ordinal, text, url)`` for every
+    value of the record; ``url`` is set for links."""
+    rec = page_record(pages)
+    none = F.lit(None).cast("string")
+
+    def items(field: str, arr: Column, is_link: bool = False) -> Column:
+        return F.transform(arr, lambda x, i: F.struct(
+            F.lit(field).alias("field"), (i + 1).cast("int").alias("ordinal"),
+            (x["text"] if is_link else x).alias("text"), (x["url"] if is_link else none).alias("url")))
+
+    fields = [("title", F.array("title")), ("meta_description", F.array("meta_description")),
+              ("h1", F.col("headings.h1")), ("h2", F.col("headings.h2")), ("h3", F.col("headings.h3")),
+              ("paragraphs", F.col("paragraphs")), ("div_texts", F.col("div_texts")), ("lists", F.col("lists")),
+              ("tables", F.col("tables")), ("strong", F.col("emphasis.strong")), ("em", F.col("emphasis.em")),
+              ("images_alt", F.col("images_alt"))]
+    values = [items(name, arr) for name, arr in fields]
+    values += [items(f"links_{kind}", F.col(f"links.{kind}"), True) for kind in ("internal", "external")]
+    return rec.select("page_id", F.explode(F.concat(*values)).alias("v")).select("page_id", "v.*")
+
+
 def record_to_sections(record: DataFrame) -> DataFrame:
     """Inverse of :func:`page_record` for the scored tags (explode)."""
     flat = record.select(

@@ -72,16 +72,38 @@ def section_counts(spark, sf_dir):
 
 
 def page_sections_tree(spark, sf_dir):
-    """H3-H8 through the tree extractor (nested markup); on flat pages it
-    must equal the native path, so it shares the oracle."""
-    from contentfit.operators.html_tree import page_sections_tree as tree
-    return tree(_pages(spark, sf_dir)).where(F.col("section").isin(*sx.SECTION_KINDS))
+    """H3-H8 with emphasis and tables: every text that is read of a page."""
+    return sx.page_sections(_pages(spark, sf_dir), kinds=sx.TEXT_KINDS)
 
 
 def page_record(spark, sf_dir):
     return sx.page_record(_pages(spark, sf_dir))
 
 
+def page_record_rows(spark, sf_dir):
+    """Every value of the page record."""
+    return sx.page_record_rows(_pages(spark, sf_dir))
+
+
+def built_page_rows(spark, sf_dir):
+    """H1-H14 on markup the driver pages lack: one page per benchmark text,
+    with nested and unclosed elements, every attribute quoting and character
+    references.  What must come out is known from the parts."""
+    x = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")),
+                  F.lit(">"), F.lit("&gt;"))
+    b = _benchmark(spark, sf_dir)
+    parts = ["<html><head><title>T&uuml;r ", x, "</title><meta content='d &#38; ", F.replace(x, F.lit("'"), F.lit("&apos;")),
+             "' name=description></head><body><div>o ", x, "<div>i</div>tail</div><ul><li>a<li>", x,
+             "<ul><li>deep</ul></ul><ol><li>n1<li>n2</ol><h2 class=c>", x, "</h2><h3>k&#351;</h3><p>one <b>", x,
+             "</b><p>two<table><tr><td>c1<td>", x, "</table><strong>s</strong><em>", x,
+             "</em><img alt=bare><img src=x alt='two words'><a href='/s?q=1&amp;r=2'>in ", x,
+             "</a><a href=https://other.example/u>out</a><a name=n>none</a><script>var p = '<p>no</p>'</script></body></html>"]
+    html = F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    pages = b.select(F.col("item_id").alias("page_id"),
+                     F.concat(F.lit("https://built.example/d/"), F.col("item_id").cast("string")).alias("url"), html.alias("html"))
+    return sx.page_record_rows(pages).withColumnRenamed("page_id", "item_id")
+
+
 # --- scoring -----------------------------------------------------------------
 
 def title_fit_full(spark, sf_dir):
@@ -443,6 +465,8 @@ QUERIES = {
     "page_sections": page_sections,
     "section_counts": section_counts,
     "page_record": page_record,
+    "page_record_rows": page_record_rows,
+    "built_page_rows": built_page_rows,
     "page_sections_tree": page_sections_tree,
     "title_fit_full": title_fit_full,
     "top_clicks": top_clicks,

@@ -1,14 +1,40 @@
-"""DuckDB SQL twins of the Column functions, used to write the oracle SQL.
+"""SQL building blocks of the oracle queries.
 
-Each helper returns SQL expression text computing the same value as its
-Spark counterpart, with the same regex text (RE2 and Java agree on it).
+Written apart from the implementation: patterns and character references are
+spelled out here, and pages are read with regular expressions, which do for
+the flat markup of the driver pages, where the implementation walks elements.
 """
 
 from __future__ import annotations
 
-from contentfit.functions import text as tx
-from contentfit.operators import sections as sx
-from contentfit.operators.vectors import TOKEN_RE
+# --- fixed values: patterns of flat HTML, URLs and words -----------------------
+WS_CLASS = r"[\t\n\x0B\f\r\x1C-\x1F\x85 \p{Z}]"
+GAP = r"[\t\n\f\r ]"
+TITLE_RE = rf"(?is)<title(?:{GAP}[^>]*)?>(.*?)</title{GAP}*>"
+META_RE = rf"(?is)<meta{GAP}(?:[^>]*{GAP})?name{GAP}*={GAP}*[\"']?description[\"']?(?:{GAP}[^>]*)?/?>"
+CONTENT_RE = rf"(?is){GAP}content{GAP}*={GAP}*\"([^\"]*)\""
+P_RE = rf"(?i)<p(?:{GAP}[^>]*)?>"
+P_END_RE = (r"(?is)</?(?:address|article|aside|blockquote|body|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|"
+            r"h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)[\t\n\f\r />].*$")
+LINK_RE = rf"(?is)<a{GAP}(?:[^>]*?{GAP})?href{GAP}*={GAP}*\"([^\"]*)\"[^>]*>(.*?)</a{GAP}*>"
+ALT_RE = rf"(?is)<img{GAP}(?:[^>]*?{GAP})?alt{GAP}*={GAP}*\"([^\"]*)\""
+HIDDEN_RES = (r"(?s)<!--.*?-->", rf"(?is)<script(?:{GAP}[^>]*)?>.*?</script{GAP}*>", rf"(?is)<style(?:{GAP}[^>]*)?>.*?</style{GAP}*>")
+JOINING_RE = (r"(?i)</?(?:a|abbr|b|bdi|bdo|cite|code|data|dfn|em|font|i|kbd|mark|q|s|samp|small|span|strong|sub|sup|time|"
+              r"tt|u|var)(?:[\t\n\f\r /][^>]*)?>")
+TAG_RE = r"</?[a-zA-Z][^>]*>"
+REFERENCES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
+              ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&"))
+SCHEME_RE = r"^([a-zA-Z][a-zA-Z0-9+.-]*):"
+HOST_RE = r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)"
+PATH_RE = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)"
+DOTS_RE = r"(^|/)\.\.?(/|$)"
+TOKEN_RE = r"[\p{L}\p{N}]+"
+SCORED_KINDS = ("h1", "h2", "h3", "p", "div", "li")
+ALL_KINDS = (*SCORED_KINDS, "strong", "em", "table")
+
+
+def element_re(tag: str) -> str:
+    return rf"(?is)<{tag}(?:{GAP}[^>]*)?>(.*?)</{tag}{GAP}*>"
 
 
 def lit(s: str) -> str:
@@ -20,22 +46,22 @@ def rx_replace(x: str, pattern: str, repl: str = "") -> str:
 
 
 def normalize_ws(x: str) -> str:
-    return f"trim({rx_replace(x, tx.WS_CLASS + '+', ' ')})"
+    return f"trim({rx_replace(x, WS_CLASS + '+', ' ')})"
 
 
 def strip_ws(x: str) -> str:
-    return rx_replace(x, "^" + tx.WS_CLASS + "+|" + tx.WS_CLASS + "+$", "")
+    return rx_replace(x, "^" + WS_CLASS + "+|" + WS_CLASS + "+$", "")
 
 
 def decode_entities(x: str) -> str:
-    for ent, ch in tx.ENTITIES:
+    for ent, ch in REFERENCES:
         x = f"replace({x}, {lit(ent)}, {lit(ch)})"
     return x
 
 
 def html_text(x: str) -> str:
-    c = rx_replace(x, tx.INLINE_TAG_RE, "")
-    c = rx_replace(c, tx.ANY_TAG_RE, " ")
+    c = rx_replace(x, JOINING_RE, "")
+    c = rx_replace(c, TAG_RE, " ")
     return normalize_ws(decode_entities(c))
 
 
@@ -44,7 +70,9 @@ def raw_text(x: str) -> str:
 
 
 def strip_scripts(x: str) -> str:
-    return rx_replace(rx_replace(rx_replace(x, tx.COMMENT_RE), tx.SCRIPT_RE), tx.STYLE_RE)
+    for pattern in HIDDEN_RES:
+        x = rx_replace(x, pattern)
+    return x
 
 
 def texts(arr: str) -> str:
@@ -56,11 +84,11 @@ def extract_all(x: str, pattern: str, group: int = 1) -> str:
 
 
 def netloc(x: str) -> str:
-    return f"regexp_extract({x}, {lit(sx.NETLOC_RE)}, 1)"
+    return f"regexp_extract({x}, {lit(HOST_RE)}, 1)"
 
 
 def fold_dot_segments(u: str) -> str:
-    path = f"regexp_extract({u}, {lit(sx.PATH_RE)}, 1)"
+    path = f"regexp_extract({u}, {lit(PATH_RE)}, 1)"
     prefix = f"regexp_extract({u}, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1)"
     rest = f"regexp_extract({u}, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*[^?#]*(.*)$', 1)"
     segs = f"string_split({path}, '/')[2:]"
@@ -69,8 +97,8 @@ def fold_dot_segments(u: str) -> str:
     last = f"({segs})[-1]"
     folded = (f"{prefix} || '/' || array_to_string({stack}, '/') || "
               f"CASE WHEN {last} IN ('.', '..') AND len({stack}) > 0 THEN '/' ELSE '' END || {rest}")
-    special = f"lower(regexp_extract({u}, {lit(sx.SCHEME_RE)}, 1)) IN ('http', 'https')"
-    return f"CASE WHEN {special} AND regexp_matches({path}, {lit(sx.DOT_SEGMENT_RE)}) THEN {folded} ELSE {u} END"
+    special = f"lower(regexp_extract({u}, {lit(SCHEME_RE)}, 1)) IN ('http', 'https')"
+    return f"CASE WHEN {special} AND regexp_matches({path}, {lit(DOTS_RE)}) THEN {folded} ELSE {u} END"
 
 
 def resolve_href(url: str, h: str) -> str:
@@ -78,11 +106,11 @@ def resolve_href(url: str, h: str) -> str:
 
 
 def _join_href(url: str, h: str) -> str:
-    scheme = f"regexp_extract({url}, {lit(sx.SCHEME_RE)}, 1)"
+    scheme = f"regexp_extract({url}, {lit(SCHEME_RE)}, 1)"
     origin = f"({scheme} || '://' || {netloc(url)})"
-    path = f"regexp_extract({url}, {lit(sx.PATH_RE)}, 1)"
+    path = f"regexp_extract({url}, {lit(PATH_RE)}, 1)"
     base_dir = f"({origin} || CASE WHEN {path} = '' THEN '/' ELSE regexp_extract({path}, '^(.*/)', 1) END)"
-    return (f"CASE WHEN regexp_matches({h}, {lit(sx.SCHEME_RE)}) THEN {h} "
+    return (f"CASE WHEN regexp_matches({h}, {lit(SCHEME_RE)}) THEN {h} "
             f"WHEN starts_with({h}, '//') THEN {scheme} || ':' || {h} "
             f"WHEN starts_with({h}, '/') THEN {origin} || {h} "
             f"WHEN starts_with({h}, '#') THEN regexp_replace({url}, '#.*$', '') || {h} "
@@ -95,37 +123,36 @@ def page_arrays_cte(source: str = "pages") -> str:
     """CTE ``pa``: per page, the same arrays as ``sections.page_arrays``
     (links as parallel ``hrefs`` / ``inners`` lists)."""
     body = "body"
-    meta_tag = f"regexp_extract({body}, {lit(sx.META_DESC_RE)}, 0)"
-    meta = (f"regexp_extract({meta_tag}, {lit(sx.CONTENT_DQ_RE)}, 1) || "
-            f"regexp_extract({meta_tag}, {lit(sx.CONTENT_SQ_RE)}, 1)")
-    p_frag = (f"list_transform(regexp_split_to_array({body}, {lit(sx.P_OPEN_RE)})[2:], "
-              f"lambda x: {rx_replace('x', sx.P_END_RE, '')})")
-    li_of = lambda tag: (f"flatten(list_transform({extract_all(body, sx.element_re(tag))}, "
-                         f"lambda b: {extract_all('b', sx.element_re('li'))}))")
-    alts = f"list_filter({extract_all(body, sx.IMG_ALT_RE)}, lambda a: a <> '')"
+    meta_tag = f"regexp_extract({body}, {lit(META_RE)}, 0)"
+    meta = f"regexp_extract({meta_tag}, {lit(CONTENT_RE)}, 1)"
+    p_frag = (f"list_transform(regexp_split_to_array({body}, {lit(P_RE)})[2:], "
+              f"lambda x: {rx_replace('x', P_END_RE, '')})")
+    li_of = lambda tag: (f"flatten(list_transform({extract_all(body, element_re(tag))}, "
+                         f"lambda b: {extract_all('b', element_re('li'))}))")
+    alts = f"list_filter({extract_all(body, ALT_RE)}, lambda a: a <> '')"
     return f"""pa_src AS (
   SELECT page_id, url, {strip_scripts('html')} AS body FROM {source}
 ), pa AS (
   SELECT page_id, url, {netloc('url')} AS netloc,
-    {raw_text(f"regexp_extract({body}, {lit(sx.TITLE_RE)}, 1)")} AS title,
+    {raw_text(f"regexp_extract({body}, {lit(TITLE_RE)}, 1)")} AS title,
     {decode_entities(meta)} AS meta_description,
-    {texts(extract_all(body, sx.element_re('h1')))} AS h1,
-    {texts(extract_all(body, sx.element_re('h2')))} AS h2,
-    {texts(extract_all(body, sx.element_re('h3')))} AS h3,
+    {texts(extract_all(body, element_re('h1')))} AS h1,
+    {texts(extract_all(body, element_re('h2')))} AS h2,
+    {texts(extract_all(body, element_re('h3')))} AS h3,
     {texts(p_frag)} AS p,
-    {texts(extract_all(body, sx.element_re('div')))} AS div,
+    {texts(extract_all(body, element_re('div')))} AS div,
     {texts(f"list_concat({li_of('ul')}, {li_of('ol')})")} AS li,
-    {texts(extract_all(body, sx.element_re('strong')))} AS strong,
-    {texts(extract_all(body, sx.element_re('em')))} AS em,
-    {texts(extract_all(body, sx.element_re('table')))} AS "table",
+    {texts(extract_all(body, element_re('strong')))} AS strong,
+    {texts(extract_all(body, element_re('em')))} AS em,
+    {texts(extract_all(body, element_re('table')))} AS "table",
     list_transform({alts}, lambda a: {strip_ws(decode_entities('a'))}) AS img_alt,
-    {extract_all(body, sx.LINK_RE, 1)} AS hrefs,
-    {extract_all(body, sx.LINK_RE, 2)} AS inners
+    {extract_all(body, LINK_RE, 1)} AS hrefs,
+    {extract_all(body, LINK_RE, 2)} AS inners
   FROM pa_src
 )"""
 
 
-def sections_cte(kinds=sx.SECTION_KINDS, name: str = "sec") -> str:
+def sections_cte(kinds=SCORED_KINDS, name: str = "sec") -> str:
     """CTE ``sec`` (after ``pa``): long-form sections."""
     items = ", ".join(
         f"list_transform({k if k != 'table' else chr(34) + 'table' + chr(34)}, "

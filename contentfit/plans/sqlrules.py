@@ -9,8 +9,8 @@ from __future__ import annotations
 import itertools
 
 from contentfit.functions import rules as R
-from contentfit.functions.text import WS_CLASS
 from contentfit.plans import sqlfn as q
+from contentfit.plans.sqlfn import WS_CLASS
 
 _ids = itertools.count()
 

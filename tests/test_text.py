@@ -63,8 +63,3 @@ def test_first_json(one):
     assert one(tx.first_json(L("{'a':'1'}"))) is None
     assert one(tx.has_key(j, "a")) is True
     assert one(tx.has_key(tx.first_json(L("none")), "a")) is False
-
-
-def test_html_text(one):
-    assert one(tx.html_text(L("<b>bold</b>er <br>x&amp;y&nbsp;z"))) == "bolder x&y z"
-    assert one(tx.html_text(L("<div>o<div>i</div></div>"))) == "o i"
