@@ -19,19 +19,21 @@ from __future__ import annotations
 
 import re
 import zlib
-from itertools import chain
+from array import array
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from contentfit.llm.common import text_bytes, write_stage
+from contentfit.llm.common import text_bytes, word_hashes, word_spans, write_stage
 
 CAPACITY = 2048
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 CACHED_WORDS = 600_000
+HASHED_BYTES = 64
 SLICE_BYTES = 2_000_000
 GROUP_ROWS = 20_000
 
@@ -53,6 +55,11 @@ class WordEncoder:
     ASCII and Latin-1 letters is split into pre-tokens here and only new
     pre-tokens go through the merges; any other word goes through the whole
     tokenizer.  The caches start anew when they are full.
+
+    Words are told apart by 64-bit hashes, found and compared for a whole slice
+    of texts at once; words of more than ``HASHED_BYTES`` bytes are encoded each
+    time.  Against a full cache a new word's hash is taken for another's with
+    odds of 3 in 10^14.
     """
 
     def __init__(self, vocabulary: str = VOCABULARY, cached_words: int = CACHED_WORDS):
@@ -65,51 +72,66 @@ class WordEncoder:
         self._clear()
 
     def _clear(self):
-        self.index: dict[bytes, int] = {}
-        self.parts: dict[str, list[int]] = {}
+        self.index: dict[int, int] = {}
+        self.codes = 0
+        self.parts: dict[str, bytes] = {}
         self.flat = np.empty(1 << 16, dtype=np.uint32)
         self.at = np.zeros(1 << 14, dtype=np.int64)
 
-    def _part(self, part: str) -> list[int]:
+    def _part(self, part: str) -> bytes:
+        """A pre-token's ids as little-endian 32-bit numbers."""
         ids = self.parts.get(part)
         if ids is None:
             letters = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_LETTERS)
-            ids = self.parts[part] = [t.id for t in self.merge(letters)]
+            ids = self.parts[part] = array("I", [t.id for t in self.merge(letters)]).tobytes()
         return ids
 
-    def _word(self, word: str) -> list[int]:
+    def _word(self, word: str) -> bytes:
         if not _LATIN.fullmatch(word) or "<|" in word:
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
+            return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
         word = word.lower()
-        return self._part(word) if word.isalpha() else list(chain.from_iterable(map(self._part, _PARTS.findall(word))))
-
-    def _learn(self, new: list[bytes]):
-        ids = [self._word(w.decode("utf-8", "replace")) for w in new]
-        k, used = len(self.index), int(self.at[len(self.index)])
-        ends = used + np.cumsum([len(x) for x in ids], dtype=np.int64)
-        while len(self.at) <= k + len(new):
+        return self._part(word) if word.isalpha() else b"".join(map(self._part, _PARTS.findall(word)))
+
+    def _add(self, words: list[bytes]) -> range:
+        """Encode words; the codes under which their ids are kept."""
+        ids = [self._word(w.decode("utf-8", "replace")) for w in words]
+        k, used = self.codes, int(self.at[self.codes])
+        joined = np.frombuffer(b"".join(ids), dtype=np.uint32)
+        while len(self.at) <= k + len(words):
             self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-        while len(self.flat) < used + sum(map(len, ids)):
+        while len(self.flat) < used + len(joined):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        if new:
-            self.flat[used:ends[-1]] = np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(ends[-1]) - used)
-        self.at[k + 1:k + 1 + len(new)] = ends
-        self.index.update(zip(new, range(k, k + len(new))))
+        self.flat[used:used + len(joined)] = joined
+        self.at[k + 1:k + 1 + len(words)] = used + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) // 4
+        self.codes += len(words)
+        return range(k, self.codes)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text (UTF-8)."""
-        if len(self.index) > self.cached_words:
+        if self.codes > self.cached_words:
             self._clear()
-        split = [t.split() for t in texts]
-        known = self.index
-        self._learn(list({w for words in split for w in words if w not in known}))
-        out = []
-        for words in split:
-            codes = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
-            first, size = self.at[codes], self.at[codes + 1] - self.at[codes]
-            before = np.cumsum(size) - size
-            out.append(self.flat[np.repeat(first - before, size) + np.arange(int(size.sum()))])
-        return out
+        data = b" ".join(texts)
+        buf = np.frombuffer(data, dtype=np.uint8)
+        starts, ends = word_spans(buf)
+        hashes = word_hashes(buf, starts, ends)
+        long = np.flatnonzero(ends - starts > HASHED_BYTES)
+        hashes[long] = hashes[long[0]] if len(long) else 0  # any value: their codes are set below
+        distinct, at, which = np.unique(hashes, return_index=True, return_inverse=True)
+        codes = np.fromiter(map(self.index.get, distinct.tolist(), repeat(-1)), dtype=np.int64, count=len(distinct))
+        new = np.flatnonzero(codes < 0)
+        new = new[(ends - starts)[at[new]] <= HASHED_BYTES]
+        codes[new] = self._add([data[starts[i]:ends[i]] for i in at[new]])
+        self.index.update(zip(distinct[new].tolist(), codes[new].tolist()))
+        codes = codes[which]
+        codes[long] = self._add([data[starts[i]:ends[i]] for i in long])
+
+        first, size = self.at[codes], self.at[codes + 1] - self.at[codes]
+        before = np.cumsum(size) - size
+        ids = self.flat[np.repeat(first - before, size) + np.arange(int(size.sum()))]
+        stops = np.cumsum([len(t) + 1 for t in texts])  # where the next text's words begin
+        last = np.searchsorted(starts, stops)
+        total = np.append(before, len(ids))
+        return np.split(ids, total[last][:-1]) if texts else []
 
 
 _encoders: dict[str, WordEncoder] = {}
