@@ -20,8 +20,9 @@ VERDICT_LABELS_ORIGINAL = ("Uyumlu", "Düşük Uyum")
 PCT_EPS = 1e-8
 
 # --- engineering bounds (ours) ---------------------------------------------
-# Largest side, in rows, that is ever broadcast.  Above it the jobs switch to
+# Largest side, in rows and in bytes, that is ever broadcast.  Above it the jobs switch to
 # bounded broadcast chunks or a salted shuffle join.
 BROADCAST_MAX_ROWS = 200_000
+BROADCAST_MAX_BYTES = 64 << 20
 # Salt buckets for shuffle joins on skewed keys (tokens).
 SALT_BUCKETS = 32

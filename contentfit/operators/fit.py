@@ -1,17 +1,20 @@
 """Scoring joins (J1-J7) and verdicts (V4).
 
-Two physical shapes, chosen by the semantics:
-
-* **All pairs** (J1-J3 keep zero scores): the small side (queries or
-  intents) is broadcast, in chunks whose row count is checked, and every
-  left row is scored against it inside its own task.  No shuffle.
-* **Thresholded match** (J7, score >= a positive cut): zero pairs are not
-  needed, so the left side's term entries are exploded and equi-joined on the
-  term with the right side's entries.  The join is a broadcast hash join when
-  the right side's entry count is within the bound, else a salted shuffle
-  join (hot terms are spread over salt buckets).  Partial products are summed
-  by a partial aggregate before the single shuffle, so the shuffle carries one
-  row per scored pair.
+Two shapes, chosen by the semantics:
+
+* **Thresholded match** (J7, score >= a positive cut): the left side's term
+  entries are exploded and equi-joined on the term with the right side's.  The
+  join is a broadcast hash join when the right side's entries are within the
+  bound, else a salted shuffle join (hot terms are spread over salt buckets).
+  Partial products are summed by a partial aggregate before the single
+  shuffle, so the shuffle carries one row per scored pair.
+* **All pairs** (J1-J3 keep zero scores): the non-zero scores of the match are
+  gathered per left row and joined to it; the zeros are filled in from the
+  right side's broadcast keys inside the task, so the grid itself is never
+  shuffled.
+
+A pair is a pair of *rows*: rows repeating a key are scored each by their own
+text, repeated rows each give their rows, and null keys are keys like any.
 """
 
 from __future__ import annotations
@@ -32,29 +35,39 @@ def verdict(score, cut: float = config.VERDICT_CUT, labels=config.VERDICT_LABELS
     return F.when(s >= F.lit(cut), F.lit(labels[0])).otherwise(F.lit(labels[1]))
 
 
-def checked_row_count(df: DataFrame, max_rows: int) -> tuple[int, bool]:
-    """Row count of a side meant for broadcast and whether it is within the
-    bound.  The count stops early: it scans at most ``max_rows + 1`` rows."""
-    n = df.limit(max_rows + 1).count()
-    return n, n <= max_rows
+def _row_bytes(df: DataFrame) -> Column:
+    """About the size of a row: strings and arrays by length, the rest 8."""
+    size = F.lit(0).cast("long")
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        part = F.octet_length(c) if kind == "string" else 8 * F.size(c) if kind.startswith("array") else F.lit(8)
+        size = size + F.greatest(F.coalesce(part, F.lit(0)), F.lit(0))
+    return size
 
 
-def broadcast_chunks(df: DataFrame, key_cols: Sequence[str],
-                     max_rows: int = config.BROADCAST_MAX_ROWS) -> list[DataFrame]:
-    """Split ``df`` into hash chunks that each hold at most ``max_rows`` rows
-    (checked, not assumed) and mark each for broadcast."""
-    n, ok = checked_row_count(df, max_rows)
-    if ok:
+def fits_broadcast(df: DataFrame, max_rows: int, max_bytes: int = config.BROADCAST_MAX_BYTES) -> bool:
+    """Whether a side is within the broadcast bounds, in rows and in bytes:
+    one partial aggregate, of which the driver gets one row."""
+    n, size = df.agg(F.count(F.lit(1)), F.sum(_row_bytes(df))).first()
+    return n <= max_rows and (size or 0) <= max_bytes
+
+
+def broadcast_chunks(df: DataFrame, key_cols: Sequence[str], max_rows: int = config.BROADCAST_MAX_ROWS,
+                     max_bytes: int = config.BROADCAST_MAX_BYTES) -> list[DataFrame]:
+    """Split ``df`` into hash chunks within the bounds (checked, not assumed)
+    and mark each for broadcast.  Rows equal in ``key_cols`` stay together, so
+    a chunk may exceed the bounds where one key alone does."""
+    if fits_broadcast(df, max_rows, max_bytes):
         return [F.broadcast(df)]
-    total = df.count()
-    chunks = max(2, math.ceil(total / max_rows) * 2)
-    keyed = df.withColumn("_chunk", F.pmod(F.xxhash64(*key_cols), F.lit(chunks)))
+    total, size = df.agg(F.count(F.lit(1)), F.sum(_row_bytes(df))).first()
+    chunks = max(2, 2 * math.ceil(max(total / max_rows, size / max_bytes)))
     while True:
-        biggest = keyed.groupBy("_chunk").count().agg(F.max("count")).first()[0]
-        if biggest <= max_rows:
+        keyed = df.withColumn("_chunk", F.pmod(F.xxhash64(*key_cols), F.lit(chunks)))
+        most = (keyed.groupBy("_chunk").agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(df)).alias("size"))
+                .agg(F.max("n"), F.max("size")).first())
+        if most[0] <= max_rows and most[1] <= max_bytes or chunks >= total:
             break
         chunks *= 2
-        keyed = df.withColumn("_chunk", F.pmod(F.xxhash64(*key_cols), F.lit(chunks)))
     return [F.broadcast(keyed.where(F.col("_chunk") == i).drop("_chunk")) for i in range(chunks)]
 
 
@@ -70,29 +83,48 @@ def all_pairs(left: DataFrame, right: DataFrame, right_keys: Sequence[str],
     return out
 
 
+def _same(left: Sequence[str], right: Sequence[str]) -> Column:
+    cond = F.lit(True)
+    for a, b in zip(left, right):
+        cond = cond & F.col(a).eqNullSafe(F.col(b))
+    return cond
+
+
 def lexical_all_pairs(left: DataFrame, left_text: str, right: DataFrame, right_text: str,
                       right_keys: Sequence[str], cut: float = config.VERDICT_CUT,
                       labels=config.VERDICT_LABELS, digits: int = 6,
                       max_rows: int = config.BROADCAST_MAX_ROWS,
                       left_keys: Sequence[str] | None = None) -> DataFrame:
-    """All pairs with the guarded lexical cosine and a verdict.
-    Adds ``score`` (rounded) and ``verdict`` (from the unrounded score).
-
-    Pairs that share a term are scored by the token join of
-    :func:`lexical_scores` (codegen'd hash join + partial aggregate); the
-    full grid is the left rows x the bounded right keys (broadcast, chunked
-    when needed), left-joined to those scores with 0.0 for the rest.
-    ``left_keys`` must identify left rows (default: all non-text columns).
+    """All pairs of left rows and right keys with the guarded lexical
+    cosine and a verdict; the left columns, the right keys, ``score``
+    (rounded) and ``verdict`` (from the unrounded score).
+
+    Pairs that share a term are scored by :func:`lexical_scores`, gathered
+    per left row, and joined to the left side; the keys that a row has no score
+    for are added from the broadcast right side, with 0.0.  ``left_keys``
+    (default: all non-text columns) with the text identify left rows.
     """
     lk = list(left_keys) if left_keys else [c for c in left.columns if c != left_text]
     rk = list(right_keys)
-    nz = lexical_scores(left.select(*lk, left_text), lk, left_text,
-                        right.select(*rk, right_text), rk, right_text, max_rows)
-    grid = all_pairs(left, right, rk, lambda: F.lit(0.0), max_rows).drop("score")
-    out = grid.join(nz.select(*lk, *rk, "raw_score"), lk + rk, "left")
-    raw = F.coalesce(F.col("raw_score"), F.lit(0.0))
-    return (out.withColumn("verdict", verdict(raw, cut, labels))
-               .withColumn("score", F.round(raw, digits)).drop("raw_score", "dot"))
+    keyed = left.withColumn("_th", F.xxhash64(left_text))
+    out = None
+    for chunk in broadcast_chunks(right.select(*rk, right_text).distinct(), rk, max_rows):
+        scores = lexical_scores(left.select(*lk, left_text), lk, left_text, chunk, rk, right_text, max_rows)
+        # Repeated left rows have equal scores, so a set holds each once.
+        found = scores.groupBy(*lk, "_th").agg(
+            F.collect_set(F.struct(F.struct(*rk).alias("k"), F.col("raw_score").alias("s"))).alias("_found"))
+        found = found.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(lk)), F.col("_th").alias("_fth"), "_found")
+        every = chunk.agg(F.collect_set(F.struct(*rk)).alias("_every"))
+        rows = keyed.join(found, _same([*lk, "_th"], [*(f"_{i}" for i in range(len(lk))), "_fth"]), "left")
+        rest = F.array_except("_every", F.coalesce(F.transform("_found", lambda x: x["k"]), F.array().cast(
+            every.schema["_every"].dataType)))
+        items = F.concat(F.coalesce("_found", F.array().cast(found.schema["_found"].dataType)),
+                         F.transform(rest, lambda k: F.struct(k.alias("k"), F.lit(0.0).alias("s"))))
+        part = (rows.crossJoin(F.broadcast(every)).select(*left.columns, F.explode(items).alias("_p"))
+                .select(*left.columns, *(F.col(f"_p.k.{c}").alias(c) for c in rk), F.col("_p.s").alias("_raw")))
+        out = part if out is None else out.unionByName(part)
+    return (out.withColumn("verdict", verdict(F.col("_raw"), cut, labels))
+               .withColumn("score", F.round("_raw", digits)).drop("_raw"))
 
 
 def _exploded_entries(df: DataFrame, keys: Sequence[str], text: str, prefix: str) -> DataFrame:
@@ -109,25 +141,27 @@ def lexical_scores(left: DataFrame, left_keys: Sequence[str], left_text: str,
                    right: DataFrame, right_keys: Sequence[str], right_text: str,
                    max_rows: int = config.BROADCAST_MAX_ROWS,
                    salt_buckets: int = config.SALT_BUCKETS) -> DataFrame:
-    """Every pair that shares at least one term, with ``dot`` and the
-    unrounded cosine ``raw_score`` (pairs sharing nothing score 0 and are not
-    emitted)."""
-    le = _exploded_entries(left, left_keys, left_text, "l")
-    re_ = _exploded_entries(right, right_keys, right_text, "r")
-    _, small = checked_row_count(re_, max_rows)
-    if small:
+    """Every pair of rows that shares at least one term, with ``dot``, the
+    unrounded cosine ``raw_score`` and ``_th``, the left text's hash (pairs
+    sharing nothing score 0 and are not emitted)."""
+    # A number for each row keeps rows that repeat a key, or are equal, apart in the sums.
+    left = left.withColumn("_l", F.monotonically_increasing_id()).withColumn("_th", F.xxhash64(left_text))
+    right = right.withColumn("_r", F.monotonically_increasing_id())
+    le = _exploded_entries(left, ["_l", "_th", *left_keys], left_text, "l")
+    re_ = _exploded_entries(right, ["_r", *right_keys], right_text, "r")
+    if fits_broadcast(re_, max_rows):
         j = le.join(F.broadcast(re_), "term")
     else:
         # Salted shuffle join: the left side's rows for a hot term spread
         # over ``salt_buckets`` tasks; the right side is replicated per salt.
-        salt = F.pmod(F.xxhash64(*left_keys), F.lit(salt_buckets)).cast("int")
+        salt = F.pmod(F.xxhash64("_l"), F.lit(salt_buckets)).cast("int")
         le_s = le.withColumn("_salt", salt)
         re_s = re_.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
         j = le_s.join(re_s, ["term", "_salt"]).drop("_salt")
-    dots = (j.groupBy(*left_keys, "lnorm", *right_keys, "rnorm")
+    dots = (j.groupBy("_l", "_th", *left_keys, "lnorm", "_r", *right_keys, "rnorm")
               .agg(F.sum(F.col("ltf") * F.col("rtf")).alias("dot")))
     return (dots.withColumn("raw_score", cosine_from(F.col("dot"), F.col("lnorm"), F.col("rnorm")))
-                .drop("lnorm", "rnorm"))
+                .drop("lnorm", "rnorm", "_l", "_r"))
 
 
 def lexical_match(left: DataFrame, left_keys: Sequence[str], left_text: str,
@@ -160,9 +194,10 @@ def best_section_per_query(sections: DataFrame, queries: DataFrame, query_key: s
     first = (sections.groupBy("page_id")
                      .agg(F.min(F.struct("section", "ordinal")).alias("_f"))
                      .select("page_id", F.col("_f.section").alias("f_section"), F.col("_f.ordinal").alias("f_ordinal")))
-    q_ids = queries.select(query_key)
+    q_ids = queries.select(query_key).distinct()
     grid = all_pairs(first, q_ids, [query_key], lambda: F.lit(0.0), max_rows).drop("score")
-    out = grid.join(best, ["page_id", query_key], "left")
+    best = best.withColumnRenamed("page_id", "_page").withColumnRenamed(query_key, "_query")
+    out = grid.join(best, _same(["page_id", query_key], ["_page", "_query"]), "left")
     raw = F.coalesce(F.col("raw_score"), F.lit(0.0))
     return out.select(
         "page_id", query_key,
@@ -207,9 +242,13 @@ def dense_all_pairs(left: DataFrame, left_vec: str, right: DataFrame, right_vec:
                     labels=config.VERDICT_LABELS, digits: int = 6,
                     max_rows: int = config.BROADCAST_MAX_ROWS) -> DataFrame:
     """V2 over supplied vectors: every left row x every (bounded) right row,
-    cosine and verdict, computed inside the task."""
-    from contentfit.operators.vectors import dense_cosine
-    pairs = all_pairs(left, right, right_keys, lambda: dense_cosine(F.col(left_vec), F.col(right_vec)), max_rows)
+    cosine and verdict, computed inside the task.  Norms are computed once
+    per row; a zero vector scores 0.0."""
+    from contentfit.operators.vectors import dense_dot, dense_norm
+    lefts = left.withColumn("_nl", dense_norm(F.col(left_vec)))
+    rights = right.withColumn("_nr", dense_norm(F.col(right_vec)))
+    pairs = all_pairs(lefts, rights, right_keys, lambda: cosine_from(
+        dense_dot(F.col(left_vec), F.col(right_vec)), F.col("_nl"), F.col("_nr")), max_rows).drop("_nl", "_nr")
     return (pairs.withColumn("verdict", verdict(F.col("score"), cut, labels))
                  .withColumn("score", F.round("score", digits)))
 
@@ -225,7 +264,8 @@ def nearest_label(items: DataFrame, item_key: str, item_text: str, labelled: Dat
                         max_rows)
     best = best_by(nz, [item_key], "raw_score", ["_label"], ["_label", "raw_score"])
     smallest = lab.agg(F.min("_label").alias("_min_label"))
-    out = items.join(best, item_key, "left").crossJoin(F.broadcast(smallest))
+    best = best.withColumnRenamed(item_key, "_item")
+    out = items.join(best, _same([item_key], ["_item"]), "left").crossJoin(F.broadcast(smallest))
     raw = F.coalesce(F.col("raw_score"), F.lit(0.0))
     return out.select(*items.columns, F.coalesce(F.col("_label"), F.col("_min_label")).alias(label_col),
                       F.round(raw, digits).alias("score"))
@@ -234,8 +274,9 @@ def nearest_label(items: DataFrame, item_key: str, item_text: str, labelled: Dat
 def assign_labels(items: DataFrame, item_key: str, item_text: str, supplied: DataFrame, labelled: DataFrame,
                   label_col: str = "intent", max_rows: int = config.BROADCAST_MAX_ROWS) -> DataFrame:
     """Label from a supplied (text -> label) table where the item's
-    text is in it; otherwise the nearest labelled text's label."""
-    sup = supplied.select(F.col("query").alias(item_text), F.col(label_col).alias("_sup")).dropDuplicates([item_text])
+    text is in it (of several, the first in order); otherwise the nearest
+    labelled text's label."""
+    sup = supplied.groupBy(F.col("query").alias(item_text)).agg(F.min(label_col).alias("_sup"))
     near = nearest_label(items, item_key, item_text, labelled, label_col, max_rows)
     return (near.join(sup, item_text, "left")
                 .select(*items.columns, F.coalesce("_sup", label_col).alias(label_col),

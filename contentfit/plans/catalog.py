@@ -189,11 +189,11 @@ def _doc_fit(spark, sf_dir, min_score):
     at the default cut."""
     m = fx.lexical_match(_documents(spark, sf_dir), ["doc_id"], "text",
                          _query_side(spark, sf_dir), ["item_id"], "qtext", min_score)
-    return m.select("doc_id", "item_id", "score", fx.verdict(F.col("raw_score")).alias("verdict"))
+    return m.select("doc_id", "item_id", "score", "raw_score", fx.verdict(F.col("raw_score")).alias("verdict"))
 
 
 def lexical_fit(spark, sf_dir):
-    return _doc_fit(spark, sf_dir, fx.config.VERDICT_CUT)
+    return _doc_fit(spark, sf_dir, fx.config.VERDICT_CUT).drop("raw_score")
 
 
 def verdict_counts(spark, sf_dir):
@@ -203,12 +203,12 @@ def verdict_counts(spark, sf_dir):
 
 def improvable_strict(spark, sf_dir):
     """Verdict fit AND score in the band (query job)."""
-    return im.improvable(_doc_fit(spark, sf_dir, LOW_CUT), "strict")
+    return im.improvable(_doc_fit(spark, sf_dir, LOW_CUT), "strict", score_col="raw_score").drop("raw_score")
 
 
 def improvable_any(spark, sf_dir):
     """Verdict fit OR score in the band (intent job)."""
-    return im.improvable(_doc_fit(spark, sf_dir, LOW_CUT), "any")
+    return im.improvable(_doc_fit(spark, sf_dir, LOW_CUT), "any", score_col="raw_score").drop("raw_score")
 
 
 def _intents_from_benchmark(spark, sf_dir):

@@ -137,3 +137,44 @@ def test_broadcast_chunks_respect_bound_and_cover_all(spark):
     assert len(chunks) > 1 and max(sizes) <= 100
     ids = sorted(r.k for c in chunks for r in c.collect())
     assert ids == list(range(500))
+
+
+def test_rows_repeating_a_key_are_scored_by_their_own_text(spark):
+    left = spark.createDataFrame([(1, "cat mat"), (1, "cat mat"), (1, "dog dog"), (None, "cat mat")], "lid long, ltext string")
+    right = spark.createDataFrame(RIGHT[:2], "rid long, rtext string")
+    got = sorted((r.lid or 0, r.rid, r.score) for r in
+                 fx.lexical_match(left, ["lid"], "ltext", right, ["rid"], "rtext", 0.1).collect())
+    assert got == [(0, 10, 1.0), (1, 10, 1.0), (1, 10, 1.0), (1, 11, 1.0)]
+    full = fx.lexical_all_pairs(left, "ltext", right, "rtext", ["rid"]).collect()
+    assert sorted((r.lid or 0, r.ltext, r.rid, r.score) for r in full) == sorted(
+        [(0, "cat mat", 10, 1.0), (0, "cat mat", 11, 0.0), (1, "cat mat", 10, 1.0), (1, "cat mat", 11, 0.0),
+         (1, "cat mat", 10, 1.0), (1, "cat mat", 11, 0.0), (1, "dog dog", 10, 0.0), (1, "dog dog", 11, 1.0)])
+
+
+def test_zero_vectors_score_zero(spark):
+    left = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0])], "id long, v array<double>")
+    right = spark.createDataFrame([(7, [0.0, 0.0]), (8, [2.0, 0.0])], "rid long, w array<double>")
+    got = {(r.id, r.rid): r.score for r in fx.dense_all_pairs(left, "v", right, "w", ["rid"]).collect()}
+    assert got == {(1, 7): 0.0, (1, 8): 0.0, (2, 7): 0.0, (2, 8): 1.0}
+
+
+def test_supplied_labels_have_a_total_order(spark):
+    items = spark.createDataFrame([(1, "buy shoes")], "item_id long, qtext string")
+    supplied = spark.createDataFrame([("buy shoes", "z"), ("buy shoes", "a"), ("buy shoes", None)], "query string, intent string")
+    labs = spark.createDataFrame([("shoes",)], "intent string")
+    assert [r.intent for r in fx.assign_labels(items, "item_id", "qtext", supplied, labs, "intent").collect()] == ["a"]
+
+
+def test_chunks_end_on_a_key_larger_than_the_bound(spark):
+    df = spark.createDataFrame([(1, f"t{i}") for i in range(20)], "k long, t string")
+    chunks = fx.broadcast_chunks(df, ["k"], max_rows=5)
+    assert sum(c.count() for c in chunks) == 20
+    wide = spark.createDataFrame([(i, "x" * 1_000) for i in range(50)], "k long, t string")
+    assert len(fx.broadcast_chunks(wide, ["k"], max_bytes=10_000)) > 1
+
+
+def test_the_grid_of_all_pairs_is_not_shuffled(spark):
+    left, right = _frames(spark)
+    p = fx.lexical_all_pairs(left, "ltext", right, "rtext", ["rid"])._jdf.queryExecution().executedPlan().toString()
+    above = p[:p.index("BroadcastNestedLoopJoin") if "BroadcastNestedLoopJoin" in p else p.index("CartesianProduct")]
+    assert "Exchange" not in above
