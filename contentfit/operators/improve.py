@@ -11,7 +11,7 @@ aggregates (no per-row Python, no loop).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contentfit import config
@@ -129,25 +129,33 @@ def _summary_constants(spark, pack) -> dict:
 
 def improve_by_rules(work: DataFrame, pack, keys=(), query_col: str = "query", text_col: str = "text",
                      section_col: str = "section", score_col: str = "score", rollback: bool = False,
-                     digits: int = 6, eps: float = config.PCT_EPS, section_keys=None, query_keys=None) -> DataFrame:
+                     digits: int = 6, eps: float = config.PCT_EPS, section_keys=None, query_keys=None,
+                     sections: DataFrame | None = None, queries: DataFrame | None = None) -> DataFrame:
     """I4 (same result as :func:`improve_by_rules_rowwise`), with each rule
     evaluated at the grain it depends on: query-only rules once per distinct
     query, section-only rules once per distinct section, and only the budget
     cut, the vectors and the choice per (section, query) row.
 
     ``section_keys`` / ``query_keys`` name columns that identify a section /
-    a query in ``work`` (default: the texts themselves).
+    a query in ``work`` (default: the texts themselves).  With ``sections``
+    and ``queries`` (one row for each of those keys, with the section's text
+    and tag and the query's text), ``work`` needs keys and scores only: the
+    section and query rules then run on those tables, before they meet the
+    pairs, and the plan behind ``work`` runs once.
     """
     from contentfit.functions import rules as R
     from contentfit.operators.vectors import let, lexical_cosine, lexical_vector
 
     sk_in, qk_in = list(section_keys or []), list(query_keys or [])
-    df = work.select(*keys, *[c for c in sk_in + qk_in if c not in keys],
-                     F.coalesce(F.col(query_col), F.lit("")).alias("_q"),
-                     F.coalesce(F.col(text_col), F.lit("")).alias("_cur"),
-                     F.lower(F.coalesce(F.col(section_col), F.lit(""))).alias("_tag"),
+    query = F.coalesce(F.col(query_col), F.lit("")).alias("_q")
+    current = F.coalesce(F.col(text_col), F.lit("")).alias("_cur")
+    section = F.lower(F.coalesce(F.col(section_col), F.lit(""))).alias("_tag")
+    apart = sections is not None and queries is not None
+    if apart and not (sk_in and qk_in):
+        raise ValueError("sections and queries need section_keys and query_keys")
+    df = work.select(*keys, *[c for c in sk_in + qk_in if c not in keys], *([] if apart else [query, current, section]),
                      F.coalesce(F.col(score_col).cast("double"), F.lit(0.0)).alias("_old"))
-    sk = sk_in + ["_tag"] if sk_in else ["_cur", "_tag"]
+    sk = sk_in if apart else sk_in + ["_tag"] if sk_in else ["_cur", "_tag"]
     qk = qk_in or ["_q"]
     tag, cur = F.col("_tag"), F.col("_cur")
     heads, summ, lis = pack.dispatch_heading, pack.dispatch_summary, pack.dispatch_li
@@ -155,7 +163,10 @@ def improve_by_rules(work: DataFrame, pack, keys=(), query_col: str = "query", t
 
     # Per section: word count, R9 flags, and the whole candidate where it
     # depends on the section alone (other tags; li without a matching stem).
-    secs = df.select(*sk, *([] if "_cur" in sk else ["_cur"])).dropDuplicates(sk)
+    if apart:
+        secs = sections.select(*sk, current, section)
+    else:
+        secs = df.select(*sk, *([] if "_cur" in sk else ["_cur"])).dropDuplicates(sk)
     curn = F.col("_curn")
     secs = (secs.withColumn("_curn", R.normalize_ws(cur))
                 .withColumn("_n", R._n_words(curn))
@@ -170,7 +181,7 @@ def improve_by_rules(work: DataFrame, pack, keys=(), query_col: str = "query", t
 
     # Per query: normalised query, its vector, heading, short answers, li
     # sentence, R9 family.
-    qs = df.select(*qk, *([] if "_q" in qk else ["_q"])).dropDuplicates(qk)
+    qs = queries.select(*qk, query) if apart else df.select(*qk, *([] if "_q" in qk else ["_q"])).dropDuplicates(qk)
     L = F.col("_L")
     li_stem = F.lit(None).cast("string")
     for stem, sent in reversed(pack.li_rules):
@@ -185,9 +196,9 @@ def improve_by_rules(work: DataFrame, pack, keys=(), query_col: str = "query", t
             .withColumn("_li_title", fin_li(F.concat(R.title_case(L, pack), F.lit(pack.li_suffix))))
             .withColumn("_fam", F.when(R._any_contains(L, pack.summary_stems_a), F.lit("a"))
                         .when(R._any_contains(L, pack.summary_stems_b), F.lit("b")).otherwise(F.lit("d")))
-            .drop("_L", *([] if "_q" in qk else ["_q"])))
+            .drop("_L", *([] if apart or "_q" in qk else ["_q"])))
 
-    pairs = df.join(secs.drop(*[c for c in ["_cur"] if c not in sk]), sk).join(qs, qk)
+    pairs = df.join(secs if apart else secs.drop(*[c for c in ["_cur"] if c not in sk]), sk).join(qs, qk)
     consts = _summary_constants(df.sparkSession, pack)
     summary = F.lit(None).cast("string")
     for (fam, cpc, search), text in consts.items():
@@ -218,18 +229,13 @@ def improve_by_rules(work: DataFrame, pack, keys=(), query_col: str = "query", t
                         tx.pct_change(F.col("_old"), best, eps).alias("pct_change"))
 
 
-def first_k_in_order(df: DataFrame, key: str, order_col: str, k: int) -> DataFrame:
-    """The k smallest ``order_col`` values per key as columns ``o1..ok``
-    (null when the key has fewer).  Each step is a partial aggregate
-    (``min``) over the rows above the previous value, so no key is ever
-    gathered whole into one task, unlike a window partitioned by the key."""
-    firsts = df.groupBy(key).agg(F.min(order_col).alias("o1"))
-    for i in range(2, k + 1):
-        prev = firsts.select(key, F.col(f"o{i - 1}").alias("_prev"))
-        nxt = (df.join(prev, key).where(F.col(order_col) > F.col("_prev"))
-                 .groupBy(key).agg(F.min(order_col).alias(f"o{i}")))
-        firsts = firsts.join(nxt, key, "left")
-    return firsts
+def first_k_in_order(df: DataFrame, key: str, order_cols: list[str], k: int) -> DataFrame:
+    """The first ``k`` rows of each key in order, numbered from 1 in ``nth``.
+    Spark keeps ``k`` rows of a key in each task before the shuffle, so a
+    key that holds a third of all rows isn't gathered whole into one task.
+    ``order_cols`` should leave no ties but equal rows."""
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(*order_cols))
+    return df.withColumn("nth", nth).where(F.col("nth") <= k)
 
 
 def attempt_texts(raw: DataFrame, rows: DataFrame, row_key: str = "row_key", required_key: str = "text",

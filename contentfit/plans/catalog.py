@@ -110,9 +110,7 @@ def title_fit_full(spark, sf_dir):
     """{title, meta} of every page x every benchmark text, all
     pairs (zero scores kept), guarded cosine, verdict."""
     arr = sx.page_arrays(_pages(spark, sf_dir))
-    # Read by the sparse scores and by the pair grid: parse pages once.
-    fields = (arr.select("page_id", F.expr("stack(2, 'title', title, 'meta', meta_description) AS (field, text)"))
-                 .persist(StorageLevel.MEMORY_AND_DISK))
+    fields = arr.select("page_id", F.expr("stack(2, 'title', title, 'meta', meta_description) AS (field, text)"))
     q = _benchmark(spark, sf_dir).select("item_id", F.col("text").alias("qtext"))
     pairs = fx.lexical_all_pairs(fields, "text", q, "qtext", ["item_id"], cut=LOW_CUT)
     return pairs.select("page_id", "field", "item_id", "score", "verdict")
@@ -149,6 +147,12 @@ def distinct_intents(spark, sf_dir):
     return tm.distinct_first_seen(clean_intents(spark, sf_dir), "intent", ["conv_id", "turn"])
 
 
+def distinct_intent_heads(spark, sf_dir):
+    """A5 where values repeat: the distinct first words of the intents."""
+    heads = clean_intents(spark, sf_dir).withColumn("intent", F.substring_index("intent", " ", 1))
+    return tm.distinct_first_seen(heads, "intent", ["conv_id", "turn"])
+
+
 def normalize_ws(spark, sf_dir):
     """C3 over whole conversation texts."""
     c = _conversations(spark, sf_dir)
@@ -201,14 +205,32 @@ def verdict_counts(spark, sf_dir):
     return _doc_fit(spark, sf_dir, LOW_CUT).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
+# The filters' own cut and band, so that the driver tables have rows of every
+# kind: below the cut in the band, in both, above the band, and neither.
+FILTER_MIN, FILTER_CUT, FILTER_BAND = 0.25, 0.4, (0.3, 0.5)
+
+
+def _filter_input(spark, sf_dir):
+    """Fit rows with verdicts as a hand-made table has them: every other one
+    in capitals and padded (F2 normalises)."""
+    fit = _doc_fit(spark, sf_dir, FILTER_MIN).withColumn("verdict", fx.verdict("raw_score", FILTER_CUT))
+    padded = F.concat(F.lit("  "), F.upper(F.replace("verdict", F.lit("_"), F.lit("  "))), F.lit(" "))
+    return fit.withColumn("verdict", F.when(F.col("doc_id") % 2 == 0, F.col("verdict")).otherwise(padded))
+
+
+def _improvable(spark, sf_dir, mode):
+    lo, hi = FILTER_BAND
+    return im.improvable(_filter_input(spark, sf_dir), mode, score_col="raw_score", lo=lo, hi=hi).drop("raw_score")
+
+
 def improvable_strict(spark, sf_dir):
     """Verdict fit AND score in the band (query job)."""
-    return im.improvable(_doc_fit(spark, sf_dir, LOW_CUT), "strict", score_col="raw_score").drop("raw_score")
+    return _improvable(spark, sf_dir, "strict")
 
 
 def improvable_any(spark, sf_dir):
-    """Verdict fit OR score in the band (intent job)."""
-    return im.improvable(_doc_fit(spark, sf_dir, LOW_CUT), "any", score_col="raw_score").drop("raw_score")
+    """verdict fit OR score in the band (intent job)."""
+    return _improvable(spark, sf_dir, "any")
 
 
 def _intents_from_benchmark(spark, sf_dir):
@@ -217,12 +239,26 @@ def _intents_from_benchmark(spark, sf_dir):
 
 def section_intent_fit(spark, sf_dir):
     """Every h1 section x every distinct cleaned intent, all pairs."""
-    h1 = sx.page_sections(_pages(spark, sf_dir), kinds=("h1",)).drop("url").persist(StorageLevel.MEMORY_AND_DISK)
+    h1 = sx.page_sections(_pages(spark, sf_dir), kinds=("h1",)).drop("url")
     pairs = fx.lexical_all_pairs(h1, "text", _intents_from_benchmark(spark, sf_dir), "intent",
                                  ["intent"], cut=LOW_CUT)
     return pairs.select("page_id", "section", "ordinal", "text", "intent", "score", "verdict")
 
 
+def section_intent_fit_all(spark, sf_dir):
+    """J1 over every kind of section, all pairs."""
+    secs = sx.page_sections(_pages(spark, sf_dir)).drop("url")
+    pairs = fx.lexical_all_pairs(secs, "text", _intents_from_benchmark(spark, sf_dir), "intent", ["intent"], cut=LOW_CUT)
+    return pairs.select("page_id", "section", "ordinal", "intent", "score", "verdict")
+
+
+def section_query_fit(spark, sf_dir):
+    """Every section x every benchmark text, all pairs."""
+    secs = sx.page_sections(_pages(spark, sf_dir)).drop("url")
+    pairs = fx.lexical_all_pairs(secs, "text", _query_side(spark, sf_dir), "qtext", ["item_id"], cut=LOW_CUT)
+    return pairs.select("page_id", "section", "ordinal", "item_id", "score", "verdict")
+
+
 def title_heading_selffit(spark, sf_dir):
     """Title against the first paragraph of the same page."""
     arr = sx.page_arrays(_pages(spark, sf_dir))
@@ -232,7 +268,7 @@ def title_heading_selffit(spark, sf_dir):
 
 def best_section_per_query(spark, sf_dir):
     """Per page and benchmark text, the best section."""
-    secs = sx.page_sections(_pages(spark, sf_dir)).drop("url").persist(StorageLevel.MEMORY_AND_DISK)
+    secs = sx.page_sections(_pages(spark, sf_dir)).drop("url")
     return fx.best_section_per_query(secs, _query_side(spark, sf_dir), "item_id", "qtext", cut=LOW_CUT)
 
 
@@ -247,26 +283,23 @@ def _improve_work(spark, sf_dir):
     [low cut, 0.85] (F5), with the texts joined back."""
     pages = _pages(spark, sf_dir)
     arr = sx.page_arrays(pages)
-    # Sections feed both the match and the text join-back: persisted, so the
-    # pages are scanned and parsed once.
     secs = (sx.page_sections(pages, kinds=IMPROVE_KINDS).drop("url")
               .unionByName(arr.select("page_id", F.lit("title").alias("section"),
-                                      F.lit(1).cast("int").alias("ordinal"), F.col("title").alias("text")))
-              .persist(StorageLevel.MEMORY_AND_DISK))
+                                      F.lit(1).cast("int").alias("ordinal"), F.col("title").alias("text"))))
     keys = ["page_id", "section", "ordinal"]
     qs = _query_side(spark, sf_dir)
     m = fx.lexical_match(secs, keys, "text", qs, ["item_id"], "qtext", LOW_CUT)
     fit = m.withColumn("verdict", fx.verdict(F.col("raw_score"), LOW_CUT))
-    work = im.improvable(fit, "strict", score_col="raw_score", lo=LOW_CUT)
-    return work.join(secs, keys).join(F.broadcast(qs), "item_id")
+    return im.improvable(fit, "strict", score_col="raw_score", lo=LOW_CUT), secs, qs
 
 
 def improve_by_rules(spark, sf_dir):
     """I4/I5/A8/P3/C7 with the English test pack."""
-    work = _improve_work(spark, sf_dir)
+    work, secs, qs = _improve_work(spark, sf_dir)
     return im.improve_by_rules(work, rl.ENGLISH_TEST, keys=["page_id", "ordinal", "item_id"],
                                query_col="qtext", score_col="raw_score",
-                               section_keys=["page_id", "section", "ordinal"], query_keys=["item_id"])
+                               section_keys=["page_id", "section", "ordinal"], query_keys=["item_id"],
+                               sections=secs, queries=qs)
 
 
 def _intent_job_inputs(spark, sf_dir):
@@ -280,18 +313,14 @@ def _intent_job_inputs(spark, sf_dir):
     users = (conv.where(F.col("role") == "user").groupBy("conv_id")
                  .agg(F.min_by("text", "turn").alias("user_text")))
     asst = conv.where(F.col("role") == "assistant").select("conv_id", "turn", "text")
-    ks = im.first_k_in_order(asst, "conv_id", "turn", 1 + MAX_ATTEMPTS)
-    a = asst.join(ks, "conv_id")
-    old = a.where(F.col("turn") == F.col("o1")).select("conv_id", F.col("text").alias("old_text"))
+    a = im.first_k_in_order(asst, "conv_id", ["turn", "text"], 1 + MAX_ATTEMPTS)
+    old = a.where("nth = 1").select("conv_id", F.col("text").alias("old_text"))
     rows = (users.join(old, "conv_id")
                  .select(F.col("conv_id").alias("row_key"), tx.clean_intent("user_text").alias("intent"),
                          "old_text", F.lit(None).cast("string").alias("section")))
     rows = with_lexical_vector(with_lexical_vector(rows, "intent", "_vi"), "old_text", "_vo")
     rows = rows.withColumn("old_score", lexical_cosine(F.col("_vi"), F.col("_vo"))).drop("_vi", "_vo")
-    attempt = (F.when(F.col("turn") == F.col("o2"), 1).when(F.col("turn") == F.col("o3"), 2)
-                .when(F.col("turn") == F.col("o4"), 3))
-    cands = (a.withColumn("attempt", attempt).where(F.col("attempt").isNotNull())
-              .select(F.col("conv_id").alias("row_key"), "attempt", "text"))
+    cands = a.where("nth > 1").select(F.col("conv_id").alias("row_key"), (F.col("nth") - 1).alias("attempt"), "text")
     return rows, cands
 
 
@@ -444,7 +473,7 @@ def prompt_column(spark, sf_dir):
     (query or intent, document, section p, score)."""
     from contentfit.functions import prompts as pr
     fit = _doc_fit(spark, sf_dir, fx.config.VERDICT_CUT)
-    rows = fit.join(_documents(spark, sf_dir), "doc_id").join(F.broadcast(_query_side(spark, sf_dir)), "item_id")
+    rows = fit.join(_documents(spark, sf_dir), "doc_id").join(_query_side(spark, sf_dir), "item_id")
     return rows.select(
         "doc_id", "item_id",
         pr.render(pr.INTENT_LABEL_TEMPLATE, {"sorgu": "qtext"}).alias("intent_prompt"),
@@ -474,6 +503,7 @@ QUERIES = {
     "priority_terms": priority_terms,
     "clean_intents": clean_intents,
     "distinct_intents": distinct_intents,
+    "distinct_intent_heads": distinct_intent_heads,
     "normalize_ws": normalize_ws,
     "parse_number": parse_number,
     "first_json": first_json,
@@ -482,6 +512,8 @@ QUERIES = {
     "improvable_strict": improvable_strict,
     "improvable_any": improvable_any,
     "section_intent_fit": section_intent_fit,
+    "section_intent_fit_all": section_intent_fit_all,
+    "section_query_fit": section_query_fit,
     "title_heading_selffit": title_heading_selffit,
     "best_section_per_query": best_section_per_query,
     "improve_by_rules": improve_by_rules,

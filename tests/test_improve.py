@@ -43,9 +43,11 @@ def test_improvable_filters(spark):
 
 
 def test_first_k_in_order(spark):
-    df = spark.createDataFrame([(1, 5), (1, 2), (1, 9), (2, 7)], "k long, t long")
-    out = {r.k: (r.o1, r.o2, r.o3) for r in im.first_k_in_order(df, "k", "t", 3).collect()}
-    assert out == {1: (2, 5, 9), 2: (7, None, None)}
+    df = spark.createDataFrame([(1, 5), (1, 2), (1, 9), (1, 4), (2, 7)], "k long, t long")
+    first = im.first_k_in_order(df, "k", ["t"], 3)
+    assert sorted((r.k, r.nth, r.t) for r in first.collect()) == [(1, 1, 2), (1, 2, 4), (1, 3, 5), (2, 1, 7)]
+    p = first._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in p and p.count("Exchange") == 1
 
 
 def test_report_goldens_intent_table(spark):
@@ -79,7 +81,11 @@ def test_grain_aware_improver_equals_rowwise(spark):
         b = sorted(tuple(r) for r in im.improve_by_rules(work, pack, **args).collect())
         c = sorted(tuple(r) for r in im.improve_by_rules(work, pack, section_keys=["k"], query_keys=["k"],
                                                            **args).collect())
-        assert a == b == c
+        sections, queries = work.select("k", "section", "text"), work.select("k", "query")
+        d = sorted(tuple(r) for r in im.improve_by_rules(
+            work.select("k", "score"), pack, section_keys=["k"], query_keys=["k"], sections=sections, queries=queries,
+            **args).collect())
+        assert a == b == c == d
 
 
 def test_report_parses_text_numbers(spark):
