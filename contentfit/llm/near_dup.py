@@ -163,7 +163,7 @@ def _confirm(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, most_bits:
 
 
 def _linkable(left: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
-    """Members ``(key, digest, label)`` that can still be linked in their
+    """Members ``(key, band, digest, label)`` that can still be linked in their
     bucket, with set size ``n`` and ``most``, the largest set they can link to.
 
     Shingles that no other open class has can't be shared.  With ``own`` such
@@ -197,7 +197,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = write_stage(
         samples.where("digest is not null and id is not null").groupBy("digest")
         .agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("odd").alias("odd")), "classes")
-    keyed = classes.select("digest", F.explode("bands").alias("key"))
+    keyed = classes.select("digest", F.posexplode("bands").alias("band", "key"))
     hubs = write_stage(
         keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("digest").alias("hub"),
                                  F.min(F.struct(F.xxhash64("digest", "key"), "digest")).alias("pick"))
@@ -244,16 +244,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = write_stage(now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
                         .where("lo <> hi").select("key"), "mixed")
     left = write_stage(now.join(mixed, "key").where("digest <> hub and digest <> pick")
-                       .select("key", "digest", "label"), "open")
+                       .select("key", "band", "digest", "label"), "open")
     left = write_stage(_linkable(left, sets, pct), "linkable")
     fine = write_stage(fine_sketches(sets.join(left.select("digest").distinct(), "digest")), "fine")
-    left = left.join(fine, "digest").join(sketches.select("digest", "odd"), "digest")
-    right = left.select("key", *(F.col(c).alias(f"other_{c}") for c in ("digest", "label", "n", "most", "odd", "fine")))
+    left = left.join(fine, "digest").join(sketches.select("digest", "odd", "bands"), "digest")
+    right = left.select("key", *(F.col(c).alias(f"other_{c}") for c in ("digest", "label", "n", "most", "odd", "fine", "bands")))
+    first_shared = F.array_position(F.zip_with("bands", "other_bands", lambda a, b: a == b), F.lit(True))
     pairs = left.join(right, "key").where(
         (F.col("digest") < F.col("other_digest")) & (F.col("label") != F.col("other_label"))
         & (F.col("other_n") <= F.col("most")) & (F.col("n") <= F.col("other_most"))
         & (_flips("odd", "other_odd", words) <= most)
-        & (_flips("fine", "other_fine", FINE_BITS // 64) <= reject_bits(FINE_SAMPLES, FINE_BITS, pct / 100)))
+        & (_flips("fine", "other_fine", FINE_BITS // 64) <= reject_bits(FINE_SAMPLES, FINE_BITS, pct / 100))
+        & (first_shared == F.col("band") + 1))  # a pair of several common buckets comes from one
     links, stars = linked(pairs.select(F.col("digest").alias("u"), F.col("other_digest").alias("v")))
 
     ends = links.select(F.col("u").alias("digest")).unionByName(links.select(F.col("v").alias("digest")))
