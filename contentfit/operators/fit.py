@@ -94,10 +94,11 @@ def lexical_all_pairs(left: DataFrame, left_text: str, right: DataFrame, right_t
                       right_keys: Sequence[str], cut: float = config.VERDICT_CUT,
                       labels=config.VERDICT_LABELS, digits: int = 6,
                       max_rows: int = config.BROADCAST_MAX_ROWS,
-                      left_keys: Sequence[str] | None = None) -> DataFrame:
+                      left_keys: Sequence[str] | None = None, raw_col: str | None = None) -> DataFrame:
     """All pairs of left rows and right keys with the guarded lexical
     cosine and a verdict; the left columns, the right keys, ``score``
-    (rounded) and ``verdict`` (from the unrounded score).
+    (rounded) and ``verdict`` (from the unrounded score, which ``raw_col``
+    names to keep it).
 
     Pairs that share a term are scored by :func:`lexical_scores`, gathered
     per left row, and joined to the left side; the keys that a row has no score
@@ -123,8 +124,8 @@ def lexical_all_pairs(left: DataFrame, left_text: str, right: DataFrame, right_t
         part = (rows.crossJoin(F.broadcast(every)).select(*left.columns, F.explode(items).alias("_p"))
                 .select(*left.columns, *(F.col(f"_p.k.{c}").alias(c) for c in rk), F.col("_p.s").alias("_raw")))
         out = part if out is None else out.unionByName(part)
-    return (out.withColumn("verdict", verdict(F.col("_raw"), cut, labels))
-               .withColumn("score", F.round("_raw", digits)).drop("_raw"))
+    out = out.withColumn("verdict", verdict(F.col("_raw"), cut, labels)).withColumn("score", F.round("_raw", digits))
+    return out.withColumnRenamed("_raw", raw_col) if raw_col else out.drop("_raw")
 
 
 def _exploded_entries(df: DataFrame, keys: Sequence[str], text: str, prefix: str) -> DataFrame:

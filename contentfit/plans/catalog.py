@@ -331,6 +331,21 @@ def first_improving_attempt(spark, sf_dir):
     return out.withColumnRenamed("row_key", "conv_id")
 
 
+def attempt_choice(spark, sf_dir):
+    """Rows that the intent filter keeps, and generated tries as a
+    table: the first try of an attempt is never JSON, the second is for two
+    attempts in three; an attempt without valid JSON is the old text."""
+    rows, cands = _intent_job_inputs(spark, sf_dir)
+    rows = im.improvable(rows.withColumn("verdict", fx.verdict("old_score", LOW_CUT)), "any", score_col="old_score",
+                         lo=0.05, hi=0.15)
+    plain = F.regexp_replace("text", r"[^\p{L}\p{N} ]", "")
+    body = F.when((F.col("row_key") + F.col("attempt") + 1) % 3 == 0, F.concat(F.lit("sorry, "), plain)).otherwise(
+        F.concat(F.lit('Here: {"text": "'), plain, F.lit('"} done')))
+    tries = F.array(F.struct(F.lit(1).alias("try"), plain.alias("raw")), F.struct(F.lit(2).alias("try"), body.alias("raw")))
+    raw = cands.select("row_key", "attempt", F.inline(tries))
+    return im.first_improving_attempt(rows, im.attempt_texts(raw, rows)).withColumnRenamed("row_key", "conv_id")
+
+
 def pct_change(spark, sf_dir):
     """Stored change next to the change recomputed from the rounded
     scores (the committed rows of the reference agree on all 40)."""
@@ -394,6 +409,17 @@ def query_intents(spark, sf_dir):
     return fx.nearest_label(items, "item_id", "qtext", intents, "intent").select("item_id", "intent", "score")
 
 
+def supplied_intents(spark, sf_dir):
+    """J6 with a supplied table: labels for every other text, given twice over
+    with different labels; the rest take the nearest cleaned user intent."""
+    items = _query_side(spark, sf_dir)
+    label = F.concat(F.lit("label "), F.col("item_id").cast("string"))
+    supplied = items.where("item_id % 2 = 0").select(
+        F.col("qtext").alias("query"), F.explode(F.array(label, F.concat(label, F.lit(" more")))).alias("intent"))
+    intents = clean_intents(spark, sf_dir).select(tx.label_text("intent").alias("intent"))
+    return fx.assign_labels(items, "item_id", "qtext", supplied, intents).select("item_id", "intent", "score")
+
+
 # --- rewrite rules, one query per rule (English test pack) -------------------
 
 EN = rl.ENGLISH_TEST
@@ -526,6 +552,8 @@ QUERIES = {
     "dense_fit": dense_fit,
     "lsh_fit": lsh_fit,
     "query_intents": query_intents,
+    "supplied_intents": supplied_intents,
+    "attempt_choice": attempt_choice,
     "title_case": title_case,
     "finalize_text": finalize_text,
     "length_budget": length_budget,

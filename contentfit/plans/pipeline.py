@@ -1,20 +1,24 @@
 """End-to-end batch job: pages and search data in, report out.
 
 Stages are coupled by written tables, as the reference couples its scripts by
-files: each stage writes parquet under ``out_dir`` and the next stage reads
-it back, which cuts lineage (a lost executor recomputes from the last written
-stage, not from the raw pages) and lets a failed run restart at a stage.
+files: each stage writes parquet under ``out_dir`` and the next one reads it
+back, which cuts lineage: a lost executor recomputes from the last written
+stage, not from the raw pages.  With ``resume`` a table that an earlier run
+completed is read instead of made again.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contentfit import config
 from contentfit.functions import rules as rl
+from contentfit.functions import text as tx
 from contentfit.operators import fit as fx
 from contentfit.operators import improve as im
 from contentfit.operators import report as rp
@@ -22,52 +26,109 @@ from contentfit.operators import sections as sx
 from contentfit.operators import terms as tm
 from contentfit.sources.tables import write_table
 
+SECTION_KEYS = ["page_id", "section", "ordinal"]
+
 
 @dataclass(frozen=True)
 class PipelineConfig:
     top_k: int = config.TOP_K
     cut: float = config.VERDICT_CUT
     band: tuple = (config.BAND_LOW, config.BAND_HIGH)
+    delta: float = config.DELTA_MIN
+    attempts: int = config.MAX_ATTEMPTS
+    tries: int = config.MAX_TRIES
+    rollback: bool = False
     pack: rl.RulePack = rl.TURKISH_ADS
 
 
-def _stage(spark: SparkSession, df: DataFrame, out_dir: str, name: str, partition_by=None) -> DataFrame:
-    path = f"{out_dir.rstrip('/')}/{name}"
-    write_table(df, path, partition_by=partition_by)
-    return spark.read.parquet(path)
+def intent_row_key() -> list:
+    """Columns that name a row of the intent job, joined by ``|``."""
+    return [F.col(c).cast("string") for c in SECTION_KEYS] + [F.col("intent")]
+
+
+def _intents(queries: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Each query's intent: the supplied label, else that of the
+    nearest labelled text, else (without labels) the cleaned query."""
+    if labels is None:
+        return queries.select("query", "query_id", tx.clean_intent("query").alias("intent"))
+    texts = labels.select(tx.label_text("intent").alias("intent")).where("intent <> ''")
+    got = fx.assign_labels(queries.select("query_id", "query"), "query_id", "query", labels, texts, "intent")
+    return got.select("query", "query_id", tx.clean_intent("intent").alias("intent"))
 
 
 def run(spark: SparkSession, perf: DataFrame, pages: DataFrame, out_dir: str,
-        cfg: PipelineConfig = PipelineConfig(), url: str | None = None) -> dict:
+        cfg: PipelineConfig = PipelineConfig(), url: str | None = None, labels: DataFrame | None = None,
+        attempts: DataFrame | None = None, resume: bool = False) -> dict[str, DataFrame]:
     """Run every stage; returns the written tables re-read as DataFrames.
 
-    ``perf``: (query, clicks, impressions); ``pages``: (page_id, url, html).
+    ``perf``: (query, clicks, impressions); ``pages``: (page_id, url, html);
+    ``labels``: (query, intent), may cover some of the queries; ``attempts``:
+    generated texts (row_key, attempt, try, raw) for the intent job, whose
+    rows are named as in the ``intent_work`` table.  Without it the intent job
+    leaves every text as it is.
     """
-    queries = _stage(spark, tm.priority_terms(perf, cfg.top_k)
-                     .select("query", "position").withColumn("query_id", F.col("position").cast("long")),
-                     out_dir, "queries")
-    sections = _stage(spark, sx.page_sections(pages, url=url), out_dir, "sections", ["section"])
-    keys = ["page_id", "section", "ordinal"]
-    fit = fx.lexical_match(sections, keys, "text", queries, ["query_id"], "query", min(cfg.cut, cfg.band[0]))
-    fit = (fit.withColumn("verdict", fx.verdict(F.col("raw_score"), cfg.cut))
-              .join(sections.select(*keys, "text"), keys)
-              .join(F.broadcast(queries.select("query_id", "query")), "query_id"))
-    fit = _stage(spark, fit, out_dir, "section_query_fit")
+    out: dict[str, DataFrame] = {}
+
+    def stage(name: str, make: Callable[[], DataFrame], partition_by=None) -> DataFrame:
+        path = f"{out_dir.rstrip('/')}/{name}"
+        done = None
+        if resume:
+            try:
+                done = spark.read.parquet(path)
+            except AnalysisException:  # not written yet
+                pass
+        if done is None:
+            write_table(make(), path, partition_by=partition_by)
+            done = spark.read.parquet(path)
+        out[name] = done
+        return done
+
+    queries = stage("queries", lambda: tm.priority_terms(perf, cfg.top_k).select("query", "position").withColumn(
+        "query_id", F.col("position").cast("long")))
+    intents = stage("query_intents", lambda: _intents(queries, labels))
+    if url is not None:
+        pages = pages.where(F.col("url") == url.strip())
+    arrays = sx.page_arrays(pages)
+    sections = stage("sections", lambda: sx.page_sections(pages), ["section"])
+    fields = stage("fields", lambda: arrays.select("page_id", "title", "meta_description"))
+
+    # Every section x every intent and query, zeros kept; J3 and J4 for titles and descriptions.
+    texts = sections.select(*SECTION_KEYS, "text")
+    intent_fit = stage("section_intent_fit", lambda: fx.lexical_all_pairs(
+        texts, "text", intents.select("intent").where("intent <> ''").distinct(), "intent", ["intent"], cut=cfg.cut,
+        raw_col="raw_score"))
+    fit = stage("section_query_fit", lambda: fx.lexical_all_pairs(
+        texts, "text", queries.select("query_id", "query"), "query", ["query_id"], cut=cfg.cut, raw_col="raw_score")
+        .join(queries.select("query_id", "query"), "query_id"))
+    stage("field_query_fit", lambda: fx.lexical_all_pairs(
+        fields.select("page_id", F.expr("stack(2, 'title', title, 'meta', meta_description) AS (field, text)")), "text",
+        queries.select("query_id", "query"), "query", ["query_id"], cut=cfg.cut))
+    stage("field_self_fit", lambda: fx.self_fit(fields, "title", "meta_description", cut=cfg.cut))
+
     work = im.improvable(fit, "strict", score_col="raw_score", lo=cfg.band[0], hi=cfg.band[1])
-    improved = _stage(spark, im.improve_by_rules(work, cfg.pack, keys=["page_id", "ordinal", "query_id"],
-                                                 score_col="raw_score"), out_dir, "query_improvement")
-    rows = rp.report_rows(improved, "query", "query")
-    summary = _stage(spark, rp.report_summary(rows), out_dir, "report_summary")
-    return {"queries": queries, "sections": sections, "fit": fit, "improved": improved,
-            "report_rows": rows, "report_summary": summary,
-            "report_text": rp.summary_formatted(summary)}
+    improved = stage("query_improvement", lambda: im.improve_by_rules(
+        work, cfg.pack, keys=["page_id", "ordinal", "query_id"], score_col="raw_score", rollback=cfg.rollback))
+    rows = stage("intent_work", lambda: im.improvable(intent_fit, "any", score_col="raw_score", lo=cfg.band[0], hi=cfg.band[1]).select(
+        F.concat_ws("|", *intent_row_key()).alias("row_key"), "intent", F.col("text").alias("old_text"), "section",
+        F.col("raw_score").alias("old_score")))
+    if attempts is None:
+        attempts = spark.createDataFrame([], "row_key string, attempt int, try int, raw string")
+    chosen = im.attempt_texts(attempts, rows, max_tries=cfg.tries)
+    by_intent = stage("intent_improvement", lambda: im.first_improving_attempt(rows, chosen, max_attempts=cfg.attempts))
+
+    report = stage("report_rows", lambda: rp.report_rows(by_intent, "intent", "intent", delta_min=cfg.delta).unionByName(
+        rp.report_rows(improved, "query", "query", delta_min=cfg.delta)))
+    summary = stage("report_summary", lambda: rp.report_summary(report))
+    return out | {"fit": fit, "improved": improved, "report_text": rp.summary_formatted(summary)}
 
 
 def main(argv=None) -> None:
     """``python -m contentfit.plans.pipeline --pages P --perf Q --out O``.
 
     ``--pages``: parquet with (page_id, url, html); ``--perf``: CSV or parquet
-    with (query, clicks, impressions), or the reference's headers.
+    with (query, clicks, impressions), or the reference's headers; ``--labels``:
+    the same for (query, intent); ``--attempts``: parquet with (row_key,
+    attempt, try, raw).
     """
     import argparse
 
@@ -81,6 +142,15 @@ def main(argv=None) -> None:
     ap.add_argument("--out", required=True)
     ap.add_argument("--url", default=None, help="score one page only")
     ap.add_argument("--top-k", type=int, default=config.TOP_K)
+    ap.add_argument("--cut", type=float, default=config.VERDICT_CUT)
+    ap.add_argument("--band", type=float, nargs=2, default=(config.BAND_LOW, config.BAND_HIGH))
+    ap.add_argument("--delta", type=float, default=config.DELTA_MIN)
+    ap.add_argument("--max-attempts", type=int, default=config.MAX_ATTEMPTS)
+    ap.add_argument("--max-tries", type=int, default=config.MAX_TRIES)
+    ap.add_argument("--rollback", action="store_true", help="keep a text that its candidates don't improve")
+    ap.add_argument("--labels", default=None)
+    ap.add_argument("--attempts", default=None)
+    ap.add_argument("--resume", action="store_true", help="keep the tables of an earlier run")
     ap.add_argument("--pack", choices=("turkish", "english-test"), default="turkish")
     ap.add_argument("--master", default=None)
     a = ap.parse_args(argv)
@@ -90,7 +160,14 @@ def main(argv=None) -> None:
         "query", F.col("clicks").cast("long"), F.col("impressions").cast("long"))
     pages = require_columns(spark.read.parquet(a.pages), ["page_id", "url", "html"])
     pack = rl.TURKISH_ADS if a.pack == "turkish" else rl.ENGLISH_TEST
-    out = run(spark, perf, pages, a.out, PipelineConfig(top_k=a.top_k, pack=pack), url=a.url)
+    labels = None
+    if a.labels:
+        labels = read_csv(spark, a.labels) if a.labels.endswith(".csv") else spark.read.parquet(a.labels)
+        labels = require_columns(from_reference(labels), ["query", "intent"])
+    attempts = require_columns(spark.read.parquet(a.attempts), ["row_key", "attempt", "try", "raw"]) if a.attempts else None
+    cfg = PipelineConfig(top_k=a.top_k, cut=a.cut, band=tuple(a.band), delta=a.delta, attempts=a.max_attempts,
+                         tries=a.max_tries, rollback=a.rollback, pack=pack)
+    out = run(spark, perf, pages, a.out, cfg, url=a.url, labels=labels, attempts=attempts, resume=a.resume)
     out["report_text"].show(truncate=False)
 
 

@@ -38,7 +38,7 @@ def test_csv_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("q1", "multi\nline, \"quoted\"")], "query string, intent string")
     path = str(tmp_path / "qi")
     tb.write_table(df, path, fmt="csv")
-    back = tb.read_csv(spark, path, tb.QUERY_INTENT_SCHEMA, need=["query", "intent"])
+    back = tb.read_csv(spark, path, tb.QUERY_INTENT_SCHEMA, need=["query", "intent"], multi_line=True)
     assert back.collect() == df.collect()
 
 
