@@ -1,13 +1,13 @@
 """Query catalogue: one DataFrame builder per operator family.
 
 Every builder takes ``(spark, sf_dir)``, reads whole driver tables (or data
-Spark derives from them) and returns a lazy DataFrame.  Column names match
+Spark derives from them) and returns a DataFrame.  Building one may run small
+jobs (the size check of a broadcast) and, for the report, the improvement jobs.  Column names match
 the oracle SQL in :mod:`contentfit.plans.oracle`.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +18,7 @@ from contentfit.operators import improve as im
 from contentfit.operators import report as rp
 from contentfit.operators import sections as sx
 from contentfit.operators import terms as tm
-from contentfit.sources.tables import read_table, search_performance
+from contentfit.sources.tables import read_table, search_performance, stage_table
 
 # Cut used where the driver tables never reach the default 0.65.
 LOW_CUT = 0.3
@@ -355,11 +355,11 @@ def pct_change(spark, sf_dir):
 
 
 def _report_rows(spark, sf_dir):
-    # The improvement tables are persisted: the report's delta filter then
-    # runs on the stored rows instead of being pushed into (and re-running)
-    # the row-level rule expressions.  Lost partitions recompute from lineage.
-    fi = first_improving_attempt(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
-    qi = improve_by_rules(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    # The improvement tables are written and read back, as the job writes them:
+    # the report's delta filter then runs on stored rows instead of being
+    # pushed into (and re-running) the row-level rule expressions.
+    fi = stage_table(first_improving_attempt(spark, sf_dir), "intent-improvement")
+    qi = stage_table(improve_by_rules(spark, sf_dir), "query-improvement")
     return rp.report_rows(fi, "intent", "intent").unionByName(rp.report_rows(qi, "query", "query"))
 
 

@@ -6,12 +6,15 @@ pruning and filter pushdown reach the scan.  Nothing is collected.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from contentfit.session import ensure_checkpoint_dir
+
 DRIVER_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -108,3 +111,11 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet",
         w.json(path)
     else:
         w.parquet(path)
+
+
+def stage_table(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table to the shared folder that the session names
+    in ``spark.checkpoint.dir`` and read it back."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    write_table(df, path)
+    return df.sparkSession.read.parquet(path)
