@@ -63,12 +63,16 @@ def grams(raw: np.ndarray, bits: int = BITS) -> np.ndarray:
     return np.concatenate([two, three]) >> np.uint32(32 - bits)
 
 
+def _blocks(raw: np.ndarray, bits: int):
+    """Grams of a text block by block; blocks overlap by two bytes."""
+    for i in range(0, max(1, len(raw)), _BLOCK):
+        yield grams(raw[max(0, i - 2):i + _BLOCK], bits)
+
+
 def margins(raw: np.ndarray, weights: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """Each bit's margin: the intercept and the mean weight of the text's
-    grams, block by block; blocks overlap by two bytes."""
+    """Each bit's margin: the intercept and the mean weight of the text's grams."""
     total, n = np.zeros(weights.shape[1]), 0
-    for i in range(0, max(1, len(raw)), _BLOCK):
-        at = grams(raw[max(0, i - 2):i + _BLOCK], bits)
+    for at in _blocks(raw, bits):
         total += weights[at].sum(axis=0, dtype=np.float64)
         n += len(at)
     return total / max(1, n) + weights[-1]
@@ -94,10 +98,11 @@ def _learn(rows: list[tuple[np.ndarray, int]], code: np.ndarray, bits: int) -> n
     size = 1 << bits
     w, seen = np.zeros((size + 1, code.shape[1])), np.full((size + 1, code.shape[1]), 1e-8)
     for raw, language in rows:
-        at, times = np.unique(grams(raw, bits), return_counts=True)
+        times = sum(np.bincount(block, minlength=size) for block in _blocks(raw, bits))
+        at = np.flatnonzero(times)
         if not len(at):
             continue
-        x = np.append(times / times.sum(), 1.0)[:, None]
+        x = np.append(times[at] / times.sum(), 1.0)[:, None]
         at = np.append(at, size)
         y = code[language]
         g = x * (-y / (1 + np.exp(np.clip(y * (w[at] * x).sum(axis=0), -30, 30))))

@@ -135,6 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     share = rows.agg(F.count("*").alias("n"), F.sum("label").alias("ones")).first()
     n, ones = share["n"], share["ones"] or 0.0
     if ones in (0.0, float(n)):
+        rows.unpersist()
         odds = (ones + 1) / (n + 2)
         return RuleModel(float(np.log(odds / (1 - odds))), [])
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, subsamplingRate=0.7, seed=11).fit(
