@@ -209,36 +209,20 @@ def _n_words(s: Column) -> Column:
     return F.when(s == "", F.lit(0)).otherwise(F.size(F.split(s, " ")))
 
 
-def enforce_budget(original, cand, tag, pack: RulePack) -> Column:
-    """Cut the candidate to a word budget set by the original's length.
-    Headings: max(n+4, floor(1.8n)) unless they end in a kept suffix; li:
-    n+1; other: floor(1.1n) when n >= 10 else n+1.  Either side empty ->
-    the candidate unchanged."""
-    o = normalize_ws(F.coalesce(_lit(original), F.lit("")))
-    tg = F.lower(_lit(tag))
+def word_count(x) -> Column:
+    """Words of the whitespace-normalised text (0 for empty)."""
+    return _n_words(normalize_ws(F.coalesce(_lit(x), F.lit(""))))
 
-    def with_c(c_raw):
-        c = normalize_ws(F.coalesce(c_raw, F.lit("")))
 
-        def body(n, c):
-            cw = F.split(c, " ")
-            keep = F.lit(False)
-            for suf in pack.keep_suffixes:
-                keep = keep | c.endswith(suf)
-            head_budget = F.greatest(n + 4, F.floor(n * 18 / 10).cast("int"))
-            other_budget = F.when(n >= 10, F.floor(n * 11 / 10).cast("int")).otherwise(n + 1)
-            cut = lambda b: F.array_join(F.slice(cw, 1, b), " ")
-            res = (F.when(tg.isin(*pack.dispatch_heading), F.when(keep, c).otherwise(cut(head_budget)))
-                    .when(tg == "li", cut(n + 1))
-                    .otherwise(cut(other_budget)))
-            return F.when((n == 0) | (c == ""), c_raw).otherwise(res)
-        return let(F.struct(_n_words(o).alias("n"), c.alias("c")), lambda s: body(s["n"], s["c"]))
-    return let(_lit(cand), with_c)
+def enforce_budget(original, cand, tag, pack: RulePack) -> Column:
+    """Cut the candidate to a word budget set by the original's length."""
+    return let(word_count(original), lambda n: enforce_budget_n(n, cand, tag, pack))
 
 
 def enforce_budget_n(n, cand, tag, pack: RulePack) -> Column:
-    """R3 with the original's word count ``n`` already known (same rules as
-    :func:`enforce_budget`)."""
+    """R3 by the original's word count ``n``.  Headings: max(n+4, floor(1.8n))
+    unless they end in a kept suffix; li: n+1; other: floor(1.1n) when n >= 10
+    else n+1.  Either side empty -> the candidate unchanged."""
     tg = F.lower(_lit(tag))
 
     def with_c(c_raw):
@@ -258,11 +242,6 @@ def enforce_budget_n(n, cand, tag, pack: RulePack) -> Column:
     return let(_lit(cand), with_c)
 
 
-def word_count(x) -> Column:
-    """Words of the whitespace-normalised text (0 for empty)."""
-    return _n_words(normalize_ws(F.coalesce(_lit(x), F.lit(""))))
-
-
 def scrub_phrases(x, pack: RulePack) -> Column:
     """Remove banned phrases case-insensitively, trim after each, then
     collapse double whitespace."""
