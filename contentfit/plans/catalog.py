@@ -201,8 +201,16 @@ def lexical_fit(spark, sf_dir):
 
 
 def verdict_counts(spark, sf_dir):
-    """V4: verdict distribution of the document fit table (pairs >= 0.3)."""
-    return _doc_fit(spark, sf_dir, LOW_CUT).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
+    """V4: verdict distribution over ALL document x text pairs.  Pairs at the
+    cut or above are matched and counted; the rest of the grid is low_fit
+    without being made."""
+    docs, items = _documents(spark, sf_dir), _query_side(spark, sf_dir)
+    fit = _doc_fit(spark, sf_dir, fx.config.VERDICT_CUT).agg(F.count(F.lit(1)).alias("fit"))
+    sizes = docs.agg(F.count(F.lit(1)).alias("docs")).crossJoin(F.broadcast(items.agg(F.count(F.lit(1)).alias("items"))))
+    yes, no = fx.config.VERDICT_LABELS
+    both = F.array(F.struct(F.lit(yes).alias("verdict"), F.col("fit").alias("n")),
+                   F.struct(F.lit(no).alias("verdict"), (F.col("docs") * F.col("items") - F.col("fit")).alias("n")))
+    return sizes.crossJoin(F.broadcast(fit)).select(F.inline(both)).where("n > 0")
 
 
 # The filters' own cut and band, so that the driver tables have rows of every
