@@ -130,8 +130,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
         max_fit_rows: int = MAX_FIT_ROWS) -> RuleModel:
     """Rules from a forest, weights from a lasso."""
     sample = labelled_sample(docs, labels, label_col, max_fit_rows, id_col, text_col)
-    rows = write_stage(sample.select(F.col("label").cast("double").alias("label"), "order",
-                                     statistics_column("text").alias("stats")).orderBy("order"), "statistics").cache()
+    rows = write_stage(sample.select(F.col("label").cast("double").alias("label"),
+                                     statistics_column("text").alias("stats")), "statistics").cache()
     share = rows.agg(F.count("*").alias("n"), F.sum("label").alias("ones")).first()
     n, ones = share["n"], share["ones"] or 0.0
     if ones in (0.0, float(n)):
