@@ -29,6 +29,7 @@ from contentfit.llm.common import LOWER, SPACE, list_array, text_bytes, window_h
 from contentfit.llm.labels import held_out, labelled_sample
 
 MAX_FIT_ROWS = 20_000
+FIT_PARTITIONS = 8  # of the sample, which is small however many files the documents have
 TREES, DEPTH = 24, 3
 LASSO = 0.002
 THRESHOLD = 0.3
@@ -131,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     """Rules from a forest, weights from a lasso."""
     sample = labelled_sample(docs, labels, label_col, max_fit_rows, id_col, text_col)
     rows = write_stage(sample.select(F.col("label").cast("double").alias("label"),
-                                     statistics_column("text").alias("stats")), "statistics").cache()
+                                     statistics_column("text").alias("stats")).repartition(FIT_PARTITIONS), "statistics").cache()
     share = rows.agg(F.count("*").alias("n"), F.sum("label").alias("ones")).first()
     n, ones = share["n"], share["ones"] or 0.0
     if ones in (0.0, float(n)):
