@@ -147,19 +147,20 @@ def _flips(a: str, b: str, words: int) -> Column:
     return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(words)), F.lit(0))
 
 
-def _confirm(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, most_bits: int, words: int,
-             pct: int) -> DataFrame:
-    """Pairs ``(u, v)`` whose odd sketches allow the threshold and whose full
-    sets reach it."""
+def _likely(pairs: DataFrame, sketches: DataFrame, most_bits: int, words: int) -> DataFrame:
+    """Pairs ``(u, v)`` whose odd sketches allow the threshold."""
     left = sketches.select(F.col("digest").alias("u"), F.col("odd").alias("odd_u"))
     right = sketches.select(F.col("digest").alias("v"), F.col("odd").alias("odd_v"))
-    likely = (pairs.join(left, "u").join(right, "v")
-              .where(_flips("odd_u", "odd_v", words) <= most_bits).select("u", "v"))
+    return pairs.join(left, "u").join(right, "v").where(_flips("odd_u", "odd_v", words) <= most_bits).select("u", "v")
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    """Pairs ``(u, v)`` whose full sets reach the threshold."""
     a = sets.select(F.col("digest").alias("u"), F.col("shingles").alias("set_u"))
     b = sets.select(F.col("digest").alias("v"), F.col("shingles").alias("set_v"))
     both = F.size(F.array_intersect("set_u", "set_v"))
     size = F.size("set_u") + F.size("set_v")
-    return likely.join(a, "u").join(b, "v").where(100 * both >= pct * (size - both)).select("u", "v")
+    return pairs.join(a, "u").join(b, "v").where(100 * both >= pct * (size - both)).select("u", "v")
 
 
 def _linkable(left: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
@@ -215,10 +216,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def ordered(a, b):
         return F.least(a, b).alias("u"), F.greatest(a, b).alias("v")
 
+    def likely(pairs):
+        return _likely(pairs.distinct(), sketches, most, words)
+
     def confirmed(pairs):
-        return write_stage(_confirm(pairs.distinct(), sketches, sets, most, words, pct), "links")
+        return write_stage(_confirm(pairs, sets, pct), "links")
 
-    links = confirmed(members.where("hub <> digest").select(*ordered("hub", "digest")))
+    links = confirmed(likely(members.where("hub <> digest").select(*ordered("hub", "digest"))))
     stars = components(links)
 
     def labelled(frame):
@@ -237,8 +241,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     large = members.where("n > 2")
     now = write_stage(labelled(large), "round2")
     picked = now.select(F.col("key"), F.col("digest").alias("pick"), F.col("label").alias("pick_label"))
-    links, stars = linked(now.join(picked, ["key", "pick"]).where("label <> pick_label")
-                          .select(*ordered("pick", "digest")))
+    links, stars = linked(likely(now.join(picked, ["key", "pick"]).where("label <> pick_label")
+                                 .select(*ordered("pick", "digest"))))
 
     now = write_stage(labelled(large), "round3")
     mixed = write_stage(now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
