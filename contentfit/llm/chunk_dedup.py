@@ -2,11 +2,16 @@
 
 The gear hash rolls over words: ``g[i] = h(w[i]) + 2 g[i-1]``, of which the low
 bits depend on the last few words alone.  Where its low bits are zero is a
-*boundary* (about one word in four).  A chunk starts at every boundary and
-ends at the first boundary ``min_words`` or more later, at most ``max_words``
-long.  Boundaries depend on the text near them only, so an insertion
-elsewhere moves no chunk, and a passage repeated at any place in two documents
-has the same chunks in both but for its edges.  Chunks may overlap; what is
+*boundary* (about one word in four).  Text of few distinct words may have none
+for long, so every window of ``max_words - 1`` words without a boundary gets a
+*forced start*: the places where a hash of the next few words is the window's
+smallest.  A chunk starts at every boundary and forced start and ends at the
+first boundary ``min_words`` or more later, at most ``max_words`` long.  Both
+kinds of start depend on the text near them only, so an insertion elsewhere
+moves no chunk, and a passage repeated at any place in two documents has the
+same chunks in both but for its edges.  Starts are less than ``max_words``
+apart: a passage of ``2 max_words - 1`` words holds a whole chunk, and no word
+between its first and last chunk is left out.  Chunks may overlap; what is
 removed is their union.
 
 Chunks are deduplicated by digest: of each digest the smallest id keeps its
@@ -26,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contentfit.llm.common import LOWER, list_array, mix64, text_bytes, word_hashes, word_spans, write_stage
+from contentfit.llm.common import LOWER, list_array, mix64, text_bytes, window_hashes, word_hashes, word_spans, write_stage
 
 MIN_WORDS = 20
 MAX_WORDS = 26
 BOUNDARY_BITS = 2
+#: Words that the hash of a forced start covers.
+FORCED_WORDS = 8
 
 
 def gear_boundaries(words: np.ndarray, bits: int = BOUNDARY_BITS) -> np.ndarray:
@@ -43,15 +50,32 @@ def gear_boundaries(words: np.ndarray, bits: int = BOUNDARY_BITS) -> np.ndarray:
     return at[at >= bits - 1]
 
 
+def forced_starts(words: np.ndarray, boundaries: np.ndarray, window: int, bits: int = BOUNDARY_BITS) -> np.ndarray:
+    """Positions with the smallest hash of ``FORCED_WORDS`` words, ties included,
+    in some window of ``window`` positions without a boundary."""
+    edges = np.concatenate(([bits - 2], boundaries, [len(words)]))
+    found = []
+    for gap in np.flatnonzero(np.diff(edges) > window):
+        lo, hi = int(edges[gap]) + 1, int(edges[gap + 1])
+        h = np.full(hi - lo, np.iinfo(np.uint64).max)  # the last words of the text have no hash
+        known = window_hashes(words[lo:hi + FORCED_WORDS - 1], FORCED_WORDS)
+        h[:len(known)] = known
+        least = np.lib.stride_tricks.sliding_window_view(h, window).min(axis=1)
+        around = np.pad(least, window - 1)  # of the windows that a position is in, the largest minimum
+        found.append(lo + np.flatnonzero(np.lib.stride_tricks.sliding_window_view(around, window).max(axis=1) == h))
+    return np.concatenate(found) if found else np.empty(0, dtype=np.int64)
+
+
 def chunks(words: np.ndarray, min_words: int = MIN_WORDS, max_words: int = MAX_WORDS,
            bits: int = BOUNDARY_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(start, size, digest)`` of the chunks of a sequence of word hashes.  A
     chunk that the text's end cuts off before ``min_words`` doesn't count."""
-    at = gear_boundaries(words, bits)
+    boundaries = gear_boundaries(words, bits)
+    at = np.union1d(boundaries, forced_starts(words, boundaries, max_words - 1, bits))
     at = at[at + min_words <= len(words)]
     if not len(at):
         return at, at, np.empty(0, dtype=np.int64)
-    ends = np.append(gear_boundaries(words, bits), len(words))
+    ends = np.append(boundaries, len(words))
     end = np.minimum(ends[np.searchsorted(ends, at + min_words)], np.minimum(at + max_words, len(words)))
     step, inverse = np.uint64(0xA0761D6478BD642F), np.uint64(pow(0xA0761D6478BD642F, -1, 1 << 64))
     power = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(len(words) - 1, step))))

@@ -1,6 +1,6 @@
 import numpy as np
 
-from contentfit.llm.chunk_dedup import chunks, cut_words, remove_repeats, repeated_spans
+from contentfit.llm.chunk_dedup import chunks, cut_words, gear_boundaries, remove_repeats, repeated_spans
 from contentfit.llm.common import word_hashes, word_spans
 
 
@@ -35,6 +35,36 @@ def test_passages_are_cut_from_the_later_documents(spark, prose_of):
     assert all(texts[5000 + i] == prose_of(3000 + i, 80) for i in range(30))
 
 
+def without_boundaries(period, words):
+    """A text of ``period`` distinct words over and over that has no gear boundary."""
+    for seed in range(1000):
+        text = " ".join(f"w{seed}x{i % period}" for i in range(words))
+        if not len(gear_boundaries(hashes(text))):
+            return text
+    raise AssertionError("every text has a boundary")
+
+
+def test_starts_are_close_in_any_text(prose_of):
+    texts = [without_boundaries(p, 300) for p in (1, 2, 3, 5, 8)]
+    for text in [*texts, prose_of(1, 3000), f"{prose_of(2, 40)} {' '.join(texts)} {prose_of(3, 40)}"]:
+        start, size, _ = chunks(hashes(text))
+        assert start[0] <= 25 and np.diff(start).max() <= 25 and start[-1] >= len(text.split()) - 51
+        assert size.min() >= 20 and size.max() <= 26
+
+
+def test_passages_without_boundaries_are_cut(spark, prose_of):
+    rows, passages = [], {p: without_boundaries(p, 60) for p in (1, 2, 3, 5, 8)}
+    for p, passage in passages.items():
+        rows += [(10 * p, f"{prose_of(p, 40)} {passage} {prose_of(p + 50, 30)}"),
+                 (10 * p + 1, f"{prose_of(p + 100, 33)} {passage} {prose_of(p + 150, 27)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = {r["doc_id"]: r["text"] for r in remove_repeats(docs).collect()}
+    for p, passage in passages.items():
+        left = texts[10 * p + 1]
+        assert texts[10 * p] == dict(rows)[10 * p] and prose_of(p + 100, 33) in left and prose_of(p + 150, 27) in left
+        assert len(left.split()) <= 60 + 34  # a chunk of 26 words or more went
+
+
 def test_a_document_repeating_itself_is_left_alone(spark, prose_of):
     text = "\n".join([prose_of(1, 60)] * 3)
     assert repeated_spans(spark.createDataFrame([(1, text), (2, "z " * 400)], "doc_id long, text string")).count() == 0
