@@ -7,6 +7,7 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline
 from contentfit.llm.common import write_stage
+from contentfit.llm.near_dup import drop_near_duplicates
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("documents", "pages", "benchmark", "labels")
@@ -53,6 +54,16 @@ def test_stages_catch_planted_cases_and_keep_clean_documents(spark, tables):
     assert sum(r["start"] == 0 for r in packed) == len(left)
 
 
+def test_near_dedup_links_on_five_words(spark):
+    """One changed word in 44: 37 of 45 shingles of four words are shared, 35 of 45 of five; in 60 words, 51 of 61."""
+    def pair(i, n):
+        words = [f"w{i}x{j}" for j in range(n)]
+        return [(i, " ".join(words)), (i + 1, " ".join([*words[:n // 2], "changed", *words[n // 2 + 1:]]))]
+    docs = spark.createDataFrame(pair(10, 44) + pair(20, 60), "doc_id long, text string")
+    assert {r["doc_id"] for r in drop_near_duplicates(docs).collect()} == {10, 20}
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, None).collect()} == {10, 11, 20}
+
+
 def test_run_gives_the_last_stage(spark, tables):
     out = corpus_pipeline.run(spark, tables[0])
     assert {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} <= set(out.columns)
