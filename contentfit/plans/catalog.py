@@ -282,6 +282,7 @@ def best_section_per_query(spark, sf_dir):
 
 # --- improvement -------------------------------------------------------------
 
+#: The kinds in the SQL twin, all that the driver pages have; the job itself reads every section.
 IMPROVE_KINDS = ("h1", "p", "li", "div")
 
 
@@ -291,7 +292,7 @@ def _improve_work(spark, sf_dir):
     [low cut, 0.85] (F5), with the texts joined back."""
     pages = _pages(spark, sf_dir)
     arr = sx.page_arrays(pages)
-    secs = (sx.page_sections(pages, kinds=IMPROVE_KINDS).drop("url")
+    secs = (sx.page_sections(pages, kinds=sx.SECTION_KINDS).drop("url")
               .unionByName(arr.select("page_id", F.lit("title").alias("section"),
                                       F.lit(1).cast("int").alias("ordinal"), F.col("title").alias("text"))))
     keys = ["page_id", "section", "ordinal"]

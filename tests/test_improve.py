@@ -96,3 +96,21 @@ def test_report_parses_text_numbers(spark):
                                "old_score string, new_score string, pct_change string")
     rows = rp.report_rows(df, "query", "query").collect()
     assert len(rows) == 1 and rows[0].delta == 14.19 and rows[0].new_score == 0.816071
+
+
+def test_query_job_improves_subheadings(spark, tmp_path):
+    from contentfit.plans import catalog as C
+    x = "pick running shoes for summer days today"
+    html = f"<html><head><title>t</title></head><body><h1>{x}</h1><h2>{x}</h2><h3>{x}</h3><p>other</p></body></html>"
+    only = f"<html><head><title>t</title></head><body><h3>{x}</h3><h2>{x}</h2></body></html>"
+    spark.createDataFrame([(1, "https://a.example/", html), (2, "https://b.example/", only)],
+                          "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(7, "how to pick running shoes for winter rain", "en")],
+                          "item_id long, text string, lang string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = {(r["page_id"], r["section"]): r for r in C.improve_by_rules(spark, str(tmp_path)).collect()}
+    assert set(rows) == {(1, "h1"), (1, "h2"), (1, "h3"), (2, "h2"), (2, "h3")}
+    assert all(r["old_text"] == x and r["old_score"] == rows[1, "h1"]["old_score"] for r in rows.values())
+    for page in (1, 2):  # h2 takes the heading branch, h3 that of other tags
+        assert rows[page, "h2"]["new_text"] == rows[1, "h1"]["new_text"]
+        assert rows[page, "h3"]["new_text"] == rows[1, "h3"]["new_text"] != rows[1, "h1"]["new_text"]
+    assert {r["page_id"] for r in C.pct_change(spark, str(tmp_path)).collect()} == {1, 2}
