@@ -183,16 +183,20 @@ def _linkable(left: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     return left.join(least, "key").where("most >= least").drop("least")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS,
-                    pct: int = THRESHOLD_PCT, bands: int = BANDS, rows: int = ROWS,
-                    bits: int = SKETCH_BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept, n_links``.
 
     ``component_id`` is the smallest id reachable over links of Jaccard
     similarity ``pct``/100 or more; ``n_links`` counts the class's confirmed
     links to other classes (at least one in each component of several
-    classes, not all pairs).
+    classes, not all pairs).  ``params`` are those of ``_verdicts``.
     """
+    return _verdicts(docs, id_col, text_col, **params).drop("digest")
+
+
+def _verdicts(docs: DataFrame, id_col: str, text_col: str, k: int = SHINGLE_WORDS, pct: int = THRESHOLD_PCT,
+              bands: int = BANDS, rows: int = ROWS, bits: int = SKETCH_BITS) -> DataFrame:
+    """The rows of ``near_duplicates`` with their set digest."""
     samples = write_stage(class_samples(docs, id_col, text_col, k, bands, rows, bits), "samples")
     most, words = reject_bits(bands * rows, bits, pct / 100), bits // 64
     classes = write_stage(
@@ -273,11 +277,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"),
                       F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
-                      F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+                      F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "digest")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS,
+                         **params) -> DataFrame:
     """``docs`` without the rows that ``near_duplicates`` drops; same columns."""
-    verdict = near_duplicates(docs, id_col, text_col, **params)
-    gone = write_stage(verdict.where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "dropped")
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    verdict = write_stage(_verdicts(docs, id_col, text_col, k, **params).where("doc_id is not null")
+                          .groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__set"))
+                          .agg(F.min("kept").alias("kept")), "verdicts")
+    gone = write_stage(verdict.groupBy("__id").agg(F.min("kept").alias("all"), F.max("kept").alias("some"))
+                       .where("not all").select("__id", "some"), "dropped")
+    out = docs.join(gone, F.col(id_col) == F.col("__id"), "left_anti")
+    mixed = gone.where("some").select("__id")
+    if mixed.isEmpty():
+        return out
+
+    # An id with texts that go and texts that stay: its rows are told apart by their sets.
+    @F.arrow_udf("binary")
+    def digest(text: pa.Array) -> pa.Array:
+        sets = [shingle_set(raw, k) if raw is not None and len(raw) else () for raw in text_bytes(text)]
+        return pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary())
+
+    rows = docs.join(mixed, F.col(id_col) == F.col("__id"), "left_semi").withColumn("__digest", digest(F.col(text_col)))
+    left = rows.join(verdict.where("not kept"), (F.col(id_col) == F.col("__id")) & (F.col("__digest") == F.col("__set")),
+                     "left_anti")
+    return out.unionByName(left.drop("__digest"))

@@ -103,3 +103,13 @@ def test_shingles_ignore_block_cuts(monkeypatch, prose_of):
     whole = shingle_set(raw, 4)
     monkeypatch.setattr(common, "_BLOCK", 64)
     assert np.array_equal(whole, shingle_set(raw, 4))
+
+
+def test_rows_of_one_id_go_by_their_own_text(spark, prose_of):
+    rows = [(1, prose_of(1, 80), "a"), (5, prose_of(1, 80), "b"), (5, prose_of(2, 80), "c"), (5, None, "d"), (5, "", "e"),
+            (6, prose_of(1, 80) + " more", "f"), (7, prose_of(3, 80), "g"), (None, prose_of(1, 80), "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest string")
+    for k in (4, 5):
+        left = drop_near_duplicates(docs, k=k)
+        assert left.columns == docs.columns
+        assert sorted(r["digest"] for r in left.collect()) == list("acdegh")
