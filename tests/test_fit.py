@@ -113,6 +113,15 @@ def test_lsh_pairs_are_exact_pairs(spark):
     assert all(abs(approx[k] - exact[k]) < 1e-5 for k in approx)
 
 
+def test_lsh_recall(spark):
+    from contentfit.plans import catalog as C
+    sf = "/root/testdata/sf0.01"
+    exact = {(r.vec_id, r.centroid_label) for r in C.dense_fit(spark, sf).collect() if r.score >= 0.3}
+    approx = {(r.vec_id, r.centroid_label) for r in C.lsh_fit(spark, sf).collect()}
+    print(f"lsh_fit finds {len(approx & exact)} of {len(exact)} pairs")
+    assert exact and len(approx & exact) >= 0.9 * len(exact)
+
+
 def test_assign_labels_supplied_first(spark):
     items = spark.createDataFrame([(1, "buy shoes"), (2, "cheap travel deals")], "item_id long, qtext string")
     supplied = spark.createDataFrame([("buy shoes", "shopping intent")], "query string, intent string")
