@@ -159,3 +159,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fold_of(key: Column, folds: int) -> Column:
     """crc32 of the key as text, modulo ``folds``; null for a null key."""
     return F.crc32(key.cast("string").cast("binary")) % folds
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores added while a column of ``taken`` has it (in any case)."""
+    taken = {c.lower() for c in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name

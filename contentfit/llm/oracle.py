@@ -68,9 +68,26 @@ SELECT page_id, n AS payload_bytes, sha256(html) AS payload_digest,
   CASE WHEN first <> page_id THEN first END AS refers_to FROM f
 """
 
+SHARDING = """
+WITH RECURSIVE steps AS (
+  SELECT i AS b, i::BIGINT AS v, 0 AS k FROM range(256) t(i) UNION ALL
+  SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM steps WHERE k < 8),
+crc AS (SELECT list(v ORDER BY b) AS t FROM steps WHERE k = 8),
+d AS (SELECT doc_id, strlen(coalesce(text, '')) + 16 AS size, list_transform(
+    regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda p: ('0x' || p)::BIGINT) AS bytes FROM documents),
+c AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, bytes),
+    lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS text_crc32 FROM d, crc),
+s AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32 ROWS UNBOUNDED PRECEDING) - size AS start,
+    row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) AS nth, sum(size) OVER () AS total FROM c),
+p AS (SELECT *, (((2 * start + size) * 40) // (2 * total))::INTEGER AS shard FROM s)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard,
+  (row_number() OVER (PARTITION BY shard ORDER BY nth) - 1)::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM p
+"""
+
 ORACLE = {
     "op3_warc": WARC,
     "op5_near_dedup": NEAR_DEDUP,
     "op7_decontamination": DECONTAMINATION,
     "op8_quality_rules": QUALITY_RULES,
+    "op11_sharding": SHARDING,
 }

@@ -3,6 +3,8 @@ parameters, to the whole of its table."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from contentfit.llm.chunk_dedup import repeated_spans
 from contentfit.llm.common import table
 from contentfit.llm.decontaminate import contained_items
@@ -12,6 +14,7 @@ from contentfit.llm.line_quality import quality_rules
 from contentfit.llm.near_dup import near_duplicates
 from contentfit.llm.packing import pack
 from contentfit.llm.rule_quality import quality
+from contentfit.llm.sharding import assign_shards
 from contentfit.llm.toxicity import toxicity
 from contentfit.llm.warc import round_trip
 
@@ -69,6 +72,13 @@ def op10_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op11_sharding(spark, sf_dir):
+    """``documents`` in 40 contiguous shards of near equal bytes."""
+    return assign_shards(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
@@ -80,4 +90,5 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
+    "op11_sharding": op11_sharding,
 }
