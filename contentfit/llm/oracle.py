@@ -84,10 +84,60 @@ SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard,
   (row_number() OVER (PARTITION BY shard ORDER BY nth) - 1)::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM p
 """
 
+
+def _vector_codes() -> str:
+    """Four rounds of assigning and averaging, each a few common table expressions."""
+    away = "list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    rounds = []
+    for i in range(5):
+        rounds.append(f"""
+a{i} AS MATERIALIZED (SELECT vec_id, part, x, (w).e AS entry, (w).d AS d FROM (
+  SELECT p.vec_id, p.part, p.x, min({{'d': {away}, 'e': b.entry}}) AS w FROM parts p JOIN b{i} b USING (part)
+  GROUP BY p.vec_id, p.part, p.x))""")
+        if i < 4:
+            rounds.append(f"""
+m{i} AS (SELECT part, entry, pos, floor(sum(x[pos])::DOUBLE / count(*))::BIGINT AS v
+  FROM a{i}, (SELECT unnest(range(1, 17)) AS pos) GROUP BY part, entry, pos),
+b{i + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(n.x, b.x) AS x FROM b{i} b LEFT JOIN (
+  SELECT part, entry, list(v ORDER BY pos) AS x FROM m{i} GROUP BY part, entry) n USING (part, entry))""")
+    return f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT vec_id, part, v[16 * part + 1:16 * part + 16] AS x FROM kept, range(4) t(part)),
+b0 AS (SELECT part, (row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1) AS entry, x FROM parts
+  QUALIFY entry < 256),{",".join(rounds)},
+codes AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error
+  FROM a4 GROUP BY vec_id),
+book AS (SELECT sha256(string_agg(x[pos]::VARCHAR, ',' ORDER BY part, entry, pos)) AS h
+  FROM b4, (SELECT unnest(range(1, 17)) AS pos))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256
+FROM codes JOIN kept USING (vec_id), book
+"""
+
+
+HARD_NEGATIVES = """
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x)::BIGINT) AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS MATERIALIZED (SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS same,
+    list_sum(list_transform(list_zip(a.v, r.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM kept a JOIN kept r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0),
+pos AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id))::INTEGER AS rank,
+  id AS negative_id, positive_score, score AS negative_score
+FROM pos JOIN scored USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5
+"""
+
 ORACLE = {
     "op3_warc": WARC,
     "op5_near_dedup": NEAR_DEDUP,
     "op7_decontamination": DECONTAMINATION,
     "op8_quality_rules": QUALITY_RULES,
     "op11_sharding": SHARDING,
+    "op12_vector_codes": _vector_codes(),
+    "op13_hard_negatives": HARD_NEGATIVES,
 }

@@ -9,6 +9,7 @@ from contentfit.llm.chunk_dedup import repeated_spans
 from contentfit.llm.common import table
 from contentfit.llm.decontaminate import contained_items
 from contentfit.llm.edit_counts import apply_edits, index_tokens, redactions
+from contentfit.llm.hard_negatives import hard_negatives
 from contentfit.llm.language import identify
 from contentfit.llm.line_quality import quality_rules
 from contentfit.llm.near_dup import near_duplicates
@@ -16,6 +17,7 @@ from contentfit.llm.packing import pack
 from contentfit.llm.rule_quality import quality
 from contentfit.llm.sharding import assign_shards
 from contentfit.llm.toxicity import toxicity
+from contentfit.llm.vector_codes import compress_vectors
 from contentfit.llm.warc import round_trip
 
 
@@ -79,6 +81,17 @@ def op11_sharding(spark, sf_dir):
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op12_vector_codes(spark, sf_dir):
+    """``embeddings`` as codes of four codebooks of 256 entries."""
+    return compress_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark, sf_dir):
+    """Hard negatives of every hundredth row of ``embeddings``, some labels moved on."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=label)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
@@ -91,4 +104,6 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
     "op11_sharding": op11_sharding,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_hard_negatives": op13_hard_negatives,
 }
