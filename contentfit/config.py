@@ -26,3 +26,5 @@ BROADCAST_MAX_ROWS = 200_000
 BROADCAST_MAX_BYTES = 64 << 20
 # Salt buckets for shuffle joins on skewed keys (tokens).
 SALT_BUCKETS = 32
+# A table of fewer bytes a core is dealt over all cores before per-row work.
+SPREAD_BYTES = 16 << 20

@@ -18,7 +18,7 @@ from contentfit.operators import improve as im
 from contentfit.operators import report as rp
 from contentfit.operators import sections as sx
 from contentfit.operators import terms as tm
-from contentfit.sources.tables import read_table, search_performance, stage_table
+from contentfit.sources.tables import read_table, search_performance, spread, stage_table
 
 # Cut used where the driver tables never reach the default 0.65.
 LOW_CUT = 0.3
@@ -28,7 +28,7 @@ PRIORITY_K = 40
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "pages", ["page_id", "url", "html"])
+    return spread(read_table(spark, sf_dir, "pages", ["page_id", "url", "html"]))
 
 
 def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +133,7 @@ def priority_terms(spark, sf_dir):
 # --- text functions ----------------------------------------------------------
 
 def _conversations(spark, sf_dir):
-    return read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
+    return spread(read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"]))
 
 
 def clean_intents(spark, sf_dir):
@@ -181,7 +181,7 @@ def first_json(spark, sf_dir):
 # --- scoring joins -----------------------------------------------------------
 
 def _documents(spark, sf_dir):
-    return read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return spread(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
 
 
 def _query_side(spark, sf_dir):

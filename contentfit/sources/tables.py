@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from contentfit import config
 from contentfit.session import ensure_checkpoint_dir
 
 DRIVER_TABLES = (
@@ -63,6 +64,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str,
     return df
 
 
+def spread(df: DataFrame, bytes_per_task: int = config.SPREAD_BYTES) -> DataFrame:
+    """Deal a table's rows over all cores where its files are too few for that.
+
+    A Parquet row group is read by one task, so a table of a few row groups
+    keeps a few cores busy with whatever is computed per row.  Tables of more
+    than ``bytes_per_task`` a core have enough splits and are returned as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * bytes_per_task else df
+
+
 def search_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S1 on driver data: one row per user as a search term, clicks = click
     events, impressions = view events.  Partial aggregation runs map-side,
