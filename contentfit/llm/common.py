@@ -24,11 +24,11 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 _U = np.uint64
-_P = 0x9E3779B97F4A7C15 | 1
-_P_INV = pow(_P, -1, 1 << 64)
 _SHINGLE_STEP = _U(0xD6E8FEB86659FD93)
-_BLOCK = 1 << 21
-_powers: dict[str, np.ndarray] = {}
+_PLACE = _U(0x9E3779B97F4A7C15)
+#: 8-byte pieces hashed at once, which bounds memory whatever a word's or line's length.
+_PIECES = 1 << 18
+_LOW = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -41,17 +41,6 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P^i and P^-i modulo 2^64 for i < n, grown on demand up to one block."""
-    if len(_powers.get("p", ())) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        for key, base in (("p", _P), ("inv", _P_INV)):
-            steps = np.full(size, _U(base))
-            steps[0] = 1
-            _powers[key] = np.multiply.accumulate(steps)
-    return _powers["p"], _powers["inv"]
-
-
 def word_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end byte positions of the words of ``buf`` (uint8)."""
     edge = np.diff(np.concatenate(([0], (~SPACE[buf]).view(np.int8), [0])).astype(np.int8))
@@ -59,26 +48,32 @@ def word_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word.
+    """64-bit hash of each span of bytes (a word, a line, a whole text).
 
-    Differences of one prefix sum give every word's polynomial at once.  Long
-    texts go block by block, cut between words, which bounds memory and
-    leaves the hashes unchanged.
+    A span's 8-byte pieces are each mixed with their place in it; the sum,
+    mixed with the length, is its hash.  Pieces of many spans go through numpy
+    at once, some hundred thousand at a time.
     """
-    if len(starts) == 0:
-        return np.empty(0, dtype=np.uint64)
-    out = np.empty(len(starts), dtype=np.uint64)
-    i = 0
-    while i < len(starts):
-        lo = int(starts[i])
-        j = max(i + 1, int(np.searchsorted(ends, lo + _BLOCK, side="right")))
-        hi = int(ends[j - 1])
-        p, inv = _power_tables(hi - lo)
-        total = np.zeros(hi - lo + 1, dtype=np.uint64)
-        np.cumsum((buf[lo:hi].astype(np.uint64) + _U(1)) * p[:hi - lo], out=total[1:])
-        out[i:j] = (total[ends[i:j] - lo] - total[starts[i:j] - lo]) * inv[starts[i:j] - lo]
-        i = j
-    return mix64(out)
+    size = ends - starts
+    total = np.zeros(len(starts), dtype=np.uint64)
+    padded = np.concatenate((buf, np.zeros(8, dtype=np.uint8)))
+    at = np.ndarray((len(buf) + 1,), dtype="<u8", buffer=padded, strides=(1,))  # the 8 bytes from each position on
+    pieces = -(-size // 8)
+    upto = np.cumsum(pieces)
+    for lo in range(0, int(upto[-1]) if len(upto) else 0, _PIECES):
+        hi = min(lo + _PIECES, int(upto[-1]))
+        first, last = np.searchsorted(upto, (lo, hi - 1), side="right")
+        begin = upto[first:last + 1] - pieces[first:last + 1]
+        here = np.minimum(upto[first:last + 1], hi) - np.maximum(begin, lo)
+        of = np.repeat(np.arange(first, last + 1), here)
+        nth = np.arange(lo, hi) - np.repeat(begin, here)
+        h = at[starts[of] + 8 * nth] & _LOW[np.minimum(size[of] - 8 * nth, 8)]
+        h += (nth.astype(np.uint64) + _U(1)) * _PLACE
+        mix64(h)
+        some = np.flatnonzero(here)
+        total[first + some] += np.add.reduceat(h, (np.cumsum(here) - here)[some])
+    total += size.astype(np.uint64) * _SHINGLE_STEP
+    return mix64(total)
 
 
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -95,7 +90,18 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
 
 def sequence_hash(words: np.ndarray) -> int:
     """Hash of a whole word sequence, with its length."""
-    return int(window_hashes(words, len(words))[0]) ^ (len(words) * 0x2545F4914F6CDD1D & (1 << 64) - 1)
+    return int(run_hashes(words, np.array([0]), np.array([len(words)]))[0])
+
+
+def run_hashes(words: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """64-bit hash of each run ``words[first:last]``; runs aren't empty and lie
+    side by side.  Every word is mixed with its place in its run."""
+    if not len(first):
+        return np.empty(0, dtype=np.uint64)
+    size = last - first
+    nth = np.arange(int(first[0]), int(last[-1])) - np.repeat(first, size)
+    h = mix64(words[first[0]:last[-1]] + (nth.astype(np.uint64) + _U(1)) * _PLACE)
+    return mix64(np.add.reduceat(h, first - first[0]) + size.astype(np.uint64) * _SHINGLE_STEP)
 
 
 def shingle_set(buf: np.ndarray, k: int) -> np.ndarray:
@@ -133,6 +139,16 @@ def list_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, type=kind))
 
 
+def slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows of about ``most`` bytes, one row at least."""
+    n = batch.num_rows
+    if not n:
+        return
+    step = max(1, n * most // max(1, batch.get_total_buffer_size()))
+    for lo in range(0, n, step):
+        yield batch.slice(lo, step)
+
+
 ROWS_PER_FILE = 100_000
 
 

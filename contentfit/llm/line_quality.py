@@ -2,15 +2,18 @@
 
 Per document: counts of words, characters, symbols, repeated lines and
 repeated 5-word windows.  Per host: every line is normalised (A-Z lower-cased,
-words joined by one space) and hashed, and the *distinct texts* holding it are
-counted; copies of one text count once, so a copied document doesn't turn its
-own lines into boilerplate.  Lines of more than ``max_docs`` texts of a host
-are removed, and a document that keeps less than ``min_left_pct`` percent of
-its words is depleted and rejected, as is one that fails the base rules.
+words joined by one space) and hashed, and the distinct documents (ids) holding
+it are counted; copies of a text under several ids are several documents.
+Lines of more than ``max_docs`` documents of a host are removed, and a document
+that keeps less than ``min_left_pct`` percent of its words is depleted and
+rejected, as is one that fails the base rules.
 
 Defined cases: a null or empty text has no words and fails the base rules;
-rows of a null host share one host; repeated rows are counted once and get the
-same verdict; null ids are rows like any other.
+rows of a null host share one host; repeated rows, and rows of one id, are one
+document in the counts and each get a verdict for their own text; a row with a
+null id is no document that could be counted, but gets its verdict; a line in
+exactly ``max_docs`` documents stays; a text of any length is hashed in pieces of
+bounded memory; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contentfit.llm.common import (LOWER, SPACE, list_array, mix64, text_bytes, window_hashes, word_hashes, word_spans,
-                                   write_stage)
+from contentfit.llm.common import (LOWER, SPACE, list_array, run_hashes, slices, text_bytes, window_hashes, word_hashes,
+                                   word_spans, write_stage)
 
 WINDOW_WORDS = 5
 MIN_WORDS = 10
@@ -36,15 +39,6 @@ _SCHEMA = ("doc_id long, host string, text_hash long, " + ", ".join(f"{c} long"
            + ", line array<long>, line_words array<int>")
 
 
-def _line_sums(words: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Hash of each line's word sequence ``words[first:last]``."""
-    step, inverse = np.uint64(0xD6E8FEB86659FD93), np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
-    power = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(len(words), step)))[:len(words)])
-    back = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(len(words), inverse)))[:len(words)])
-    total = np.concatenate(([np.uint64(0)], np.cumsum(words * power, dtype=np.uint64)))
-    return mix64((total[last] - total[first]) * back[first] + (last - first).astype(np.uint64))
-
-
 def text_counts(raw: np.ndarray) -> tuple[tuple[int, ...], np.ndarray, np.ndarray]:
     """``(counts, line hashes, words per line)``; lines are distinct, their
     words summed over repeats."""
@@ -78,7 +72,7 @@ def text_counts(raw: np.ndarray) -> tuple[tuple[int, ...], np.ndarray, np.ndarra
     dup = len(exact) - len(np.unique(exact))
 
     lowered = LOWER[raw]
-    lines = _line_sums(word_hashes(lowered, starts, ends), first, last)
+    lines = run_hashes(word_hashes(lowered, starts, ends), first, last)
     distinct, which = np.unique(lines, return_inverse=True)
     per_line = np.bincount(which, weights=last - first).astype(np.int64)
     return (n, chars, symbols, dup, repeated), distinct.view(np.int64), per_line
@@ -88,7 +82,7 @@ def document_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    host_col: str = "source") -> DataFrame:
     """Counts, text hash and distinct line hashes of every row."""
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             rows, lines, sizes, hashes = [], [], [], []
             for raw in text_bytes(batch.column(2)):
                 raw = raw if raw is not None else np.empty(0, dtype=np.uint8)
@@ -115,9 +109,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = write_stage(document_lines(docs, id_col, text_col, host_col), "lines")
     lines = rows.select("doc_id", "host", "text_hash", F.explode(F.arrays_zip("line", "line_words")).alias("l")).select(
         "doc_id", "host", "text_hash", F.col("l.line").alias("line"), F.col("l.line_words").alias("words"))
-    # Two steps: distinct texts of a line meet by text first, so a line of a third of all rows is counted in parts.
-    texts = lines.select("host", "line", "text_hash").distinct()
-    common = write_stage(texts.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > max_docs)
+    # Two steps: documents of a line meet by id first, so a line of a third of all rows is counted in parts.
+    holders = lines.where("doc_id is not null").select("host", "line", "doc_id").distinct()
+    common = write_stage(holders.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > max_docs)
                          .select("host", "line"), "common-lines")
     removed = (lines.join(common, ["host", "line"]).select("doc_id", "host", "text_hash", "line", "words").distinct()
                .groupBy("doc_id", "host", "text_hash").agg(F.sum("words").alias("n_removed_words")))

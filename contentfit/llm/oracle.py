@@ -47,7 +47,7 @@ lines AS (
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE len(lw) > 0 GROUP BY doc_id),
 norm AS (SELECT doc_id, source, text, array_to_string(lw, ' ') AS line, sum(len(lw)) AS words FROM lines
   WHERE len(lw) > 0 GROUP BY doc_id, source, text, array_to_string(lw, ' ')),
-common AS (SELECT source, line FROM norm GROUP BY source, line HAVING count(DISTINCT text) > 20),
+common AS (SELECT source, line FROM norm GROUP BY source, line HAVING count(DISTINCT doc_id) > 20),
 gone AS (SELECT doc_id, sum(words) AS n FROM norm JOIN common USING (source, line) GROUP BY doc_id),
 win AS (SELECT doc_id, unnest(range(1, len(ws) - 3)) AS i, ws FROM base WHERE len(ws) >= 5),
 wins AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[i:i + 4], ' ')) AS n FROM win),

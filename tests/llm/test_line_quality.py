@@ -23,11 +23,16 @@ def test_frequent_lines_deplete(spark, prose_of):
     rows += [(100 + i, f"{line.upper()}\n{prose_of(100 + i, 60)}", "h") for i in range(3)]
     rows += [(200, f"{line}\n{prose_of(200, 3)}", "elsewhere")]
     rows += [(300 + i, prose_of(7, 50), "copies") for i in range(40)]
+    rows += [(400 + i, prose_of(8, 50), "few") for i in range(20)] + [(500, prose_of(9, 50), "rows")] * 30
+    rows += [(None, prose_of(10, 50), "none")] * 30
     got = {r["doc_id"]: r for r in quality_rules(
         spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert not any(got[i]["kept"] or got[i]["base_failed"] for i in range(25))
     assert all(got[100 + i]["kept"] and got[100 + i]["n_removed_words"] == len(line.split()) for i in range(3))
-    assert got[200]["kept"] and all(got[300 + i]["kept"] for i in range(40))
+    assert got[200]["kept"]
+    # Copies are documents: 40 of them lose the line, 20 are at the limit, 30 rows of one id are one document.
+    assert all(got[300 + i]["n_removed_words"] == 50 and not got[300 + i]["kept"] for i in range(40))
+    assert all(got[400 + i]["kept"] for i in range(20)) and got[500]["kept"] and got[None]["kept"]
 
 
 def test_odd_rows(odd_docs, no_docs):

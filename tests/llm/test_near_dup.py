@@ -101,7 +101,7 @@ def test_shingles_ignore_block_cuts(monkeypatch, prose_of):
     from contentfit.llm import common
     raw = np.frombuffer(prose_of(9, 3000).encode(), dtype=np.uint8)
     whole = shingle_set(raw, 4)
-    monkeypatch.setattr(common, "_BLOCK", 64)
+    monkeypatch.setattr(common, "_PIECES", 3)
     assert np.array_equal(whole, shingle_set(raw, 4))
 
 
