@@ -9,27 +9,36 @@ new pre-token boundaries need to meet the old ones.  From there on the old
 counts hold, as a pre-token depends on nothing before it; the changed runs'
 sums are updated up to the root, which has the text's count.
 
+``count_edited`` does both in one pass for a whole table, a worker at a time.
+
 Edits are ``(start, end, text)`` in characters of the text as it was; where
 they overlap, the one that starts first holds, and of those the longest.
 
 Defined cases: null and empty texts have no tokens; a null edit list is an
 empty one; positions beyond the text are clipped, negative and reversed ones
-are ignored; repeated rows and null ids are counted like any.
+are ignored; edits that tie in start and end count once, the first; repeated
+rows and null ids are counted like any; an edit of a very long text copies
+only what is near it; an empty table gives no rows; columns of ``docs`` named like a result (``leaf_chars``,
+``leaf_tokens``, ``tokens_before``, ``tokens_after``, ``n_edits``, ``reencoded_chars``) are replaced by it.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contentfit.llm.common import free_name, slices, text_bytes
+
 VOCABULARY = "byte_bpe_50k.tiktoken"
 LEAF = 64
-CACHED = 500_000
+CACHED = 200_000  # pre-tokens
+CACHED_CHARS = 64  # longer pre-tokens are encoded each time
 EDITS = "array<struct<start: int, end: int, text: string>>"
 _EDIT_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())]))
 
@@ -56,14 +65,12 @@ class TokenCounter:
 
     def count(self, parts: list[str]) -> list[int]:
         known = self.known
-        new = [p for p in parts if p not in known]
-        if new:
-            if len(known) > CACHED:
-                known.clear()
-                new = parts
-            for p in new:
+        if len(known) > CACHED:
+            known.clear()
+        for p in parts:
+            if p not in known and len(p) <= CACHED_CHARS:
                 known[p] = len(self.encode(p))
-        return [known[p] for p in parts]
+        return [known[p] if len(p) <= CACHED_CHARS else len(self.encode(p)) for p in parts]
 
     def split(self, text: str) -> list[str]:
         return self.pattern.findall(text)
@@ -147,6 +154,29 @@ def edit_text(text: str, edits: list[tuple[int, int, str]]) -> str:
     return "".join([*parts, text[done:]])
 
 
+class Tail:
+    """The text behind an edit as pieces, the nearest last, so that no edit
+    copies what follows it."""
+
+    def __init__(self):
+        self.pieces: list[tuple[str, int, int]] = []
+
+    def put(self, text: str, lo: int, hi: int):
+        """Put ``text[lo:hi]`` before what is there."""
+        if lo < hi:
+            self.pieces.append((text, lo, hi))
+
+    def first(self, n: int) -> str:
+        """The first ``n`` characters, or all if there are fewer."""
+        out = []
+        for text, lo, hi in reversed(self.pieces):
+            if n <= 0:
+                break
+            out.append(text[lo:min(hi, lo + n)])
+            n -= hi - lo
+        return "".join(out)
+
+
 def recount(counter: TokenCounter, text: str, chars, tokens, edits: list[tuple[int, int, str]]
             ) -> tuple[list[int], list[int], int]:
     """``(chars, tokens, re-encoded characters)``: the leaf sums after the
@@ -157,7 +187,7 @@ def recount(counter: TokenCounter, text: str, chars, tokens, edits: list[tuple[i
         c, t = leaves(counter, new)
         return c.tolist(), t.tolist(), len(new)
     tree, n, touched = SegmentTree(chars, tokens), len(chars), 0
-    now = text
+    tail, done = Tail(), len(text)
     for start, end, new in reversed(edits):
         leaf = min(tree.locate(start)[0], n - 1)
         at = sum_before(tree, leaf)
@@ -165,7 +195,9 @@ def recount(counter: TokenCounter, text: str, chars, tokens, edits: list[tuple[i
         while leaf and start - at < 4:
             leaf -= 1
             at = sum_before(tree, leaf)
-        now = now[:start] + new + now[end:]
+        tail.put(text, end, done)
+        tail.put(new, 0, len(new))
+        done = start
         shift, last, stop = len(new) - (end - start), leaf, at + int(tree.sums[leaf + tree.size, 0])
         while True:
             # Old runs up to ``last`` end at old character ``stop``; is it a boundary of the new text as well?
@@ -173,7 +205,8 @@ def recount(counter: TokenCounter, text: str, chars, tokens, edits: list[tuple[i
                 last += 1
                 stop += int(tree.sums[last + tree.size, 0])
             # A pre-token's end may depend on the two characters behind it: a few more make its end certain.
-            region = now[at:(stop + shift + 4 if last < n - 1 else len(now))]
+            size = (stop + 4 if last < n - 1 else tree.total[0]) + shift - at
+            region = (text[at:start] + tail.first(size - (start - at)))[:size]
             parts = counter.split(region)
             goal, size, taken = stop + shift - at, 0, 0
             if last == n - 1:
@@ -207,15 +240,44 @@ def sum_before(tree: SegmentTree, leaf: int) -> int:
     return total
 
 
-def redactions(text_col: str) -> Column:
+def masks(text: str) -> list[dict]:
     """Edits that mask e-mail addresses and long digit runs."""
+    return [{"start": m.start(), "end": m.end(), "text": _MASKED[m.lastindex - 1][0]}
+            for m in (_MASKS if "@" in text else _NUMBERS).finditer(text)]
+
+
+def redactions(text_col: str) -> Column:
+    """``masks`` as a column of edits."""
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else [
-            {"start": m.start(), "end": m.end(), "text": _MASKED[m.lastindex - 1][0]} for m in (_MASKS if "@" in t else _NUMBERS).finditer(t)]
-            for t in texts.to_pylist()], _EDIT_TYPE)
+        return pa.array([None if t is None else masks(t) for t in texts.to_pylist()], _EDIT_TYPE)
     return F.arrow_udf(run, EDITS)(F.col(text_col))
 
 
+def count_edited(docs: DataFrame, edits_of: Callable[[str], list[dict]] = masks, id_col: str = "doc_id",
+                 text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+    """``doc_id, n_edits, tokens_before, tokens_after, reencoded_chars`` of every
+    row: indexed, edited and recounted in one pass, one text at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = _counter(vocabulary)
+        for batch in (part for whole in batches for part in slices(whole)):
+            out = []
+            for raw in text_bytes(batch.column(1)):
+                text = raw.tobytes().decode("utf-8", "replace") if raw is not None else ""
+                chars, tokens = leaves(counter, text)
+                before = after = int(tokens.sum())
+                edits, touched = valid_edits(edits_of(text), len(text)) if text else [], 0
+                if edits:
+                    _, new, touched = recount(counter, text, chars, tokens, edits)
+                    after = sum(new)
+                out.append((len(edits), before, after, touched))
+            columns = np.array(out, dtype=np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(columns[:, 0].astype(np.int32)), *(pa.array(columns[:, i]) for i in (1, 2, 3))],
+                names=["doc_id", "n_edits", "tokens_before", "tokens_after", "reencoded_chars"])
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(
+        run, "doc_id long, n_edits int, tokens_before long, tokens_after long, reencoded_chars long")
+
+
 def index_tokens(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """``docs`` with ``leaf_chars`` and ``leaf_tokens``, its segment table."""
     def run(texts: pa.Array) -> pa.Array:
@@ -224,9 +286,9 @@ def index_tokens(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCA
         return pa.array([{"chars": c, "tokens": t} for c, t in pairs], pa.struct(
             [("chars", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64()))]))
     index = F.arrow_udf(run, "struct<chars: array<long>, tokens: array<long>>").asNondeterministic()
-    return (docs.withColumn("__leaves", index(F.col(text_col)))
-            .withColumn("leaf_chars", F.col("__leaves.chars")).withColumn("leaf_tokens", F.col("__leaves.tokens"))
-            .drop("__leaves"))
+    own = free_name("leaves", docs.columns)
+    return (docs.withColumn(own, index(F.col(text_col)))
+            .withColumn("leaf_chars", F.col(f"{own}.chars")).withColumn("leaf_tokens", F.col(f"{own}.tokens")).drop(own))
 
 
 def apply_edits(indexed: DataFrame, edits: Column, text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -247,9 +309,10 @@ def apply_edits(indexed: DataFrame, edits: Column, text_col: str = "text", vocab
 
     udf = F.arrow_udf(run, "struct<text: string, chars: array<long>, tokens: array<long>, n_edits: int, reencoded: long>")
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    own = free_name("done", indexed.columns)
     done = (indexed.withColumn("tokens_before", total("leaf_tokens"))
-            .withColumn("__done", udf.asNondeterministic()(F.col(text_col), "leaf_chars", "leaf_tokens", edits)))
-    return (done.withColumn(text_col, F.col("__done.text")).withColumn("leaf_chars", F.col("__done.chars"))
-            .withColumn("leaf_tokens", F.col("__done.tokens")).withColumn("n_edits", F.col("__done.n_edits"))
-            .withColumn("reencoded_chars", F.col("__done.reencoded")).drop("__done")
+            .withColumn(own, udf.asNondeterministic()(F.col(text_col), "leaf_chars", "leaf_tokens", edits)))
+    return (done.withColumn(text_col, F.col(f"{own}.text")).withColumn("leaf_chars", F.col(f"{own}.chars"))
+            .withColumn("leaf_tokens", F.col(f"{own}.tokens")).withColumn("n_edits", F.col(f"{own}.n_edits"))
+            .withColumn("reencoded_chars", F.col(f"{own}.reencoded")).drop(own)
             .withColumn("tokens_after", total("leaf_tokens")))

@@ -65,7 +65,7 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')
 f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY html) END AS first FROM p)
 SELECT page_id, n AS payload_bytes, sha256(html) AS payload_digest,
   CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN first <> page_id THEN first END AS refers_to FROM f
+  CASE WHEN first <> page_id THEN first END AS refers_to, NULL::VARCHAR AS error FROM f
 """
 
 SHARDING = """

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from contentfit.llm.chunk_dedup import repeated_spans
 from contentfit.llm.common import table
 from contentfit.llm.decontaminate import contained_items
-from contentfit.llm.edit_counts import apply_edits, index_tokens, redactions
+from contentfit.llm.edit_counts import count_edited
 from contentfit.llm.hard_negatives import hard_negatives
 from contentfit.llm.language import identify
 from contentfit.llm.line_quality import quality_rules
@@ -28,15 +28,13 @@ def op1_toxicity(spark, sf_dir):
 
 def op2_token_counts(spark, sf_dir):
     """Token counts of ``documents`` before and after masking e-mail addresses and long numbers."""
-    indexed = index_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return apply_edits(indexed, redactions("text")).select(
-        "doc_id", "n_edits", "tokens_before", "tokens_after", "reencoded_chars")
+    return count_edited(table(spark, sf_dir, "documents"))
 
 
 def op3_warc(spark, sf_dir):
     """``pages`` written to Zstandard WARC archives and read back."""
     return round_trip(table(spark, sf_dir, "pages")).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
 
 
 def op4_quality(spark, sf_dir):

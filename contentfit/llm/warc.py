@@ -2,20 +2,27 @@
 
 An archive is a ``.zst`` file as the WARC-Zstandard convention has it: a
 leading skippable frame (type 0x184D2A5D) holds the compression dictionary,
-then every record is a frame of its own.  The writer deals pages over tasks,
-each of which makes one archive; the reader loads whole archives with Spark's
-``binaryFile`` source, takes the dictionary from the leading frame, decodes
-frame by frame, and validates headers, lengths and digests record by record.
-
-Archives are written by Spark's text writer with one frame per row, so they
-reach any file system that Spark does, through the commit protocol that
+then every record is a frame of its own.  Which pages are copies is found from their
+ids and digests alone.  Copies become revisit records, which have no payload;
+responses are written from the scan of the pages, from which the copies are
+taken out by id and digest (a broadcast within ``BROADCAST_ROWS``, else a
+shuffle that spreads by id, so that a page of many copies is no hot key).  The
+reader loads archives with Spark's ``binaryFile`` source, takes the dictionary
+from the leading frame, decodes frame by frame, and validates headers, lengths
+and digests record by record.
+
+Archives are written by Spark's text writer with a block of frames per row, so
+they reach any file system that Spark does, through the commit protocol that
 survives lost tasks.  The line separator is an empty skippable frame, which
-decoders pass over.
-
-Defined cases: null html is an empty payload; a null page id is kept as such;
-repeated rows give a record each, all of the smallest page id of their payload
-being responses; an empty table gives no archive; a damaged record is
-returned with its ``error`` and the rest of its archive is read on.
+decoders pass over.  An archive is closed after ``ARCHIVE_BLOCKS`` blocks of
+about ``BLOCK_BYTES``, so that a reader's memory doesn't follow the corpus.
+
+Defined cases: null html is an empty payload; a null page id is kept as such
+and its record is a response; repeated rows give a record each, all of the
+smallest page id of their payload being responses; payloads that differ in a
+byte are no copies; a very long payload is a block of its own; an empty table
+gives no archive; a damaged record is returned with its ``error`` and the rest
+of its archive is read on.
 """
 
 from __future__ import annotations
@@ -30,6 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contentfit.llm.common import slices, write_stage
 from contentfit.session import ensure_checkpoint_dir
 
 MIN_REVISIT_BYTES = 100
@@ -37,6 +45,9 @@ DICTIONARY_BYTES = 64 * 1024
 DICTIONARY_ROWS = 1_000
 SAMPLE_BYTES = 16 * 1024
 LEVEL = 3
+BLOCK_BYTES = 1 << 20
+ARCHIVE_BLOCKS = 32
+BROADCAST_ROWS = 200_000
 DATE = "2024-01-01T00:00:00Z"
 # --- fixed values of the formats ---
 DICTIONARY_FRAME = 0x184D2A5D
@@ -71,10 +82,11 @@ def _http_header(length: int) -> bytes:
     return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
 
 
-def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None,
+                 length: int | None = None) -> bytes:
     """One WARC/1.1 record; with ``refers_to`` a revisit, whose block has the
-    HTTP header alone."""
-    block = _http_header(len(payload)) + (payload if refers_to is None else b"")
+    HTTP header of a payload of ``length`` bytes alone."""
+    block = _http_header(len(payload) if length is None else length) + (payload if refers_to is None else b"")
     lines = ["WARC/1.1", f"WARC-Type: {TYPES[refers_to is not None]}", f"WARC-Record-ID: <urn:page:{page_id}>",
              f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha256:{digest}",
              f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}"]
@@ -96,34 +108,51 @@ def write_archives(pages: DataFrame, path: str, dictionary: bytes, id_col: str =
     payload = F.coalesce(F.encode(F.col(html_col), "UTF-8"), F.lit(b""))
     keyed = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"),
                          payload.alias("payload"))
-    keyed = keyed.withColumn("digest", F.sha2("payload", 256))
-    copied = (keyed.where(F.length("payload") >= min_revisit_bytes).groupBy("digest")
-              .agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("id").alias("n"))
-              .where("n > 1 and first < last").select("digest", "first"))
-    # Copies are a small part of the pages; where they aren't, adaptive execution splits the digests that are frequent.
-    rows = keyed.join(copied, "digest", "left").select(
-        "id", "url", "payload", "digest", F.when(F.col("id") != F.col("first"), F.col("first")).alias("refers_to"))
+    keyed = keyed.withColumn("digest", F.sha2("payload", 256)).withColumn("length", F.octet_length("payload"))
+    # Ids, addresses and digests, without payloads.
+    narrow = write_stage(keyed.where(F.col("id").isNotNull() & (F.col("length") >= min_revisit_bytes))
+                         .select("id", "url", "digest", "length"), "page-digests")
+    first = write_stage(narrow.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+                        .where("first < last").select("digest", "first"), "first-pages")
+    revisits = write_stage(narrow.join(first, "digest").where("id > first"), "revisits")
+    copies = revisits.select(F.col("id").alias("copy"), F.col("digest").alias("copied")).distinct()
+    if revisits.count() <= BROADCAST_ROWS:
+        copies = F.broadcast(copies)
+    responses = keyed.join(copies, (F.col("id") == F.col("copy")) & (F.col("digest") == F.col("copied")), "left_anti")
+    rows = responses.select("id", "url", "payload", "digest", "length", F.lit(None).cast("long").alias("refers_to")).unionByName(
+        revisits.select("id", "url", F.lit(b"").alias("payload"), "digest", "length", F.col("first").alias("refers_to")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_checksum=True)
         lead = struct.pack("<II", DICTIONARY_FRAME, len(dictionary)) + dictionary
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            frames, size = [lead] if lead else [], 0
-            lead = b""
-            for i, u, p, d, r in zip(*(batch.column(c).to_pylist() for c in range(5))):
-                frames.append(packer.compress(record_bytes(i, u, p, d, r)))
+        frames, size, written = [], 0, 0
+
+        def blocks() -> Iterator[bytes]:
+            """The block so far, behind the leading frame where an archive begins."""
+            nonlocal frames, size, written
+            if dictionary and written % ARCHIVE_BLOCKS == 0:
+                written += 1
+                yield lead
+            written += 1
+            yield b"".join(frames)
+            frames, size = [], 0
+
+        def made(out: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+            for block in out:
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.binary())], names=["frame"])
+
+        for batch in (part for whole in batches for part in slices(whole)):
+            for i, u, p, d, n, r in zip(*(batch.column(c).to_pylist() for c in range(6))):
+                frames.append(packer.compress(record_bytes(i, u, p, d, r, n)))
                 size += len(frames[-1])
-                if size > 1 << 23:
-                    yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["frame"])
-                    frames, size = [], 0
-            if frames:
-                yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["frame"])
+                if size >= BLOCK_BYTES:
+                    yield from made(blocks())
+        if frames:
+            yield from made(blocks())
 
     frames = rows.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value"))
-    frames.write.option("lineSep", EMPTY_FRAME).text(path)
+    frames.write.option("lineSep", EMPTY_FRAME).option("maxRecordsPerFile", ARCHIVE_BLOCKS).text(path)
 
 
 def _frames(data: memoryview) -> Iterator[tuple[int, memoryview]]:
@@ -209,7 +238,7 @@ def parse_record(record: bytes) -> dict:
     return out
 
 
-def archive_records(data: bytes) -> Iterator[dict]:
+def archive_records(data: bytes | pa.Buffer) -> Iterator[dict]:
     """The records of one archive.  A frame that can't be decoded gives a row
     with an error; damage to the framing ends the archive with such a row."""
     unpacker = zstandard.ZstdDecompressor()
@@ -242,7 +271,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
         for batch in batches:
             for k in range(batch.num_rows):
                 some, size = [], 0
-                for record in archive_records(batch.column(0)[k].as_buffer().to_pybytes()):
+                for record in archive_records(batch.column(0)[k].as_buffer()):
                     if not payloads:
                         record["payload"] = None
                     some.append(record)

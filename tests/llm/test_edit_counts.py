@@ -64,6 +64,38 @@ def test_masks(spark, counter):
     assert rows[3]["tokens_before"] == rows[3]["tokens_after"] == rows[3]["n_edits"] == 0
 
 
+def test_one_pass_equals_table_and_edits(spark, odd_docs, no_docs, counter, prose_of):
+    rows = [(1, "a@b.example.org and " + prose_of(1, 300) + " +49 30 1234 5678"), (2, prose_of(2, 50)), (3, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for frame in (docs, odd_docs):
+        want = ec.apply_edits(ec.index_tokens(frame), ec.redactions("text"))
+        names = ["doc_id", "n_edits", "tokens_before", "tokens_after", "reencoded_chars"]
+        assert sorted(map(str, ec.count_edited(frame).select(names).collect())) == sorted(map(str, want.select(names).collect()))
+    assert ec.count_edited(no_docs).count() == 0
+
+
+def test_many_edits_of_a_long_text_are_not_quadratic(counter):
+    """Each edit reads the text near it, not all that follows."""
+    text = "word 123 " * 40_000
+    chars, tokens = ec.leaves(counter, text)
+    edits = [(9 * i + 5, 9 * i + 8, "<N>") for i in range(0, 40_000, 10)]
+    read = []
+    first, ec.Tail.first = ec.Tail.first, lambda self, n: read.append(out := first_(self, n)) or out
+    first_ = first
+    try:
+        _, new, _ = ec.recount(counter, text, chars, tokens, edits)
+    finally:
+        ec.Tail.first = first
+    assert sum(new) == len(counter.encode(ec.edit_text(text, edits)))
+    assert sum(map(len, read)) < 10 * len(text)
+
+
+def test_clashing_columns(spark, counter):
+    docs = spark.createDataFrame([(1, "a 12345678 b", 5, 6, 7)], "doc_id long, text string, leaves int, done int, tokens_before int")
+    row = ec.apply_edits(ec.index_tokens(docs), ec.redactions("text")).first()
+    assert (row["leaves"], row["done"], row["tokens_before"]) == (5, 6, len(counter.encode("a 12345678 b")))
+
+
 def test_odd_rows(odd_docs, no_docs, counter):
     edits = F.when(F.col("doc_id") % 2 == 1, F.array(F.struct(F.lit(3).alias("start"), F.lit(8).alias("end"), F.lit("Q q").alias("text"))))
     out = ec.apply_edits(ec.index_tokens(odd_docs), edits.cast(ec.EDITS)).collect()

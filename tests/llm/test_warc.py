@@ -47,6 +47,22 @@ def test_files_are_archives_of_the_convention(spark, rows, tmp_path):
     assert {bytes(r["payload"]) for r in got if r["record_type"] == "response"} == {(h or "").encode() for _, _, h in rows}
 
 
+@pytest.mark.parametrize("broadcast", [0, 1000])
+def test_many_small_archives(spark, rows, tmp_path, monkeypatch, broadcast):
+    """Every archive begins with the dictionary, however many a task writes."""
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", broadcast)
+    pages = pages_frame(spark, rows).repartition(2)
+    dictionary = warc.train_dictionary(pages, size=2048)
+    monkeypatch.setattr(warc, "BLOCK_BYTES", 400)
+    monkeypatch.setattr(warc, "ARCHIVE_BLOCKS", 4)
+    warc.write_archives(pages, str(tmp_path / "a"), dictionary)
+    files = [p for p in (tmp_path / "a").iterdir() if p.name.startswith("part-") and p.stat().st_size]
+    assert len(files) > 5 and all(struct.unpack_from("<I", p.read_bytes())[0] == warc.DICTIONARY_FRAME for p in files)
+    got = warc.read_archives(spark, str(tmp_path / "a")).collect()
+    assert all(r["error"] is None for r in got) and len(got) == len(rows)
+    assert sorted(r["page_id"] or 0 for r in got if r["record_type"] == "revisit") == [100, 101, 102, 103, 104]
+
+
 def archive(records, dictionary=b""):
     shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
     pack = zstandard.ZstdCompressor(dict_data=shared)
