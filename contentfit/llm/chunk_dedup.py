@@ -21,17 +21,22 @@ no other document stay, also where one document repeats itself.
 
 Defined cases: null and empty texts and texts shorter than ``min_words`` have
 no chunks; rows with a null id are left alone; rows of one id count as one
-document and lose the same word positions.
+document and lose the same word positions; of equal chunks the smallest id's
+stay; a very long text is chunked by itself, in memory that follows its own
+length; an empty table gives no rows; extra columns of any name are kept.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contentfit.llm.common import LOWER, list_array, mix64, text_bytes, window_hashes, word_hashes, word_spans, write_stage
+from contentfit.llm.common import (LOWER, free_name, list_array, mix64, slices, text_bytes, window_hashes, with_computed,
+                                   word_hashes, word_spans, write_stage)
 
 MIN_WORDS = 20
 MAX_WORDS = 26
@@ -94,7 +99,7 @@ def document_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     max_words: int = MAX_WORDS) -> DataFrame:
     """One row per chunk: ``id, start, size, digest`` (positions in words)."""
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             found = [chunks(_words(raw), min_words, max_words) if raw is not None else chunks(np.empty(0, np.uint64))
                      for raw in text_bytes(batch.column(1))]
             start, size, digest = zip(*found) if found else ((), (), ())
@@ -120,16 +125,23 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     merged = hits.groupBy("id").agg(
         F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("end")))).alias("spans"),
         F.sort_array(F.collect_set("first")).alias("first_doc_ids"))
-    # Sorted spans grow the last union or begin a new one.
-    union = F.expr("""aggregate(spans, array(struct(-1 as s, -1 as e)), (acc, x) ->
-        if(x.start <= acc[0].e,
-           array_prepend(slice(acc, 2, size(acc)), struct(acc[0].s as s, greatest(acc[0].e, x.end) as e)),
-           array_prepend(acc, struct(x.start as s, x.end as e))))""")
-    merged = merged.select(F.col("id").alias("doc_id"), F.reverse(F.filter(union, lambda x: x["s"] >= 0)).alias("u"),
-                           "first_doc_ids")
-    return merged.select(
-        "doc_id", F.expr("aggregate(u, 0L, (n, x) -> n + x.e - x.s)").alias("n_removed_words"),
-        F.col("u.s").alias("starts"), F.col("u.e").alias("ends"), "first_doc_ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole)):
+            found = [merge_spans(*(row.values.field(i).to_numpy() for i in (0, 1))) for row in batch.column(1)]
+            sizes = [int((e - s).sum()) for s, e in found]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int64()), list_array([s for s, _ in found], pa.int32()),
+                 list_array([e for _, e in found], pa.int32()), batch.column(2)],
+                names=["doc_id", "n_removed_words", "starts", "ends", "first_doc_ids"])
+    return merged.mapInArrow(run, "doc_id long, n_removed_words long, starts array<int>, ends array<int>, first_doc_ids array<long>")
+
+
+def merge_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unions of overlapping or touching spans, which come sorted."""
+    reach = np.maximum.accumulate(ends)
+    new = np.append(True, starts[1:] > reach[:-1])
+    return starts[new], reach[np.append(new[1:], True)]
 
 
 def cut_words(raw: bytes, starts: list[int], ends: list[int]) -> bytes:
@@ -147,14 +159,23 @@ def cut_words(raw: bytes, starts: list[int], ends: list[int]) -> bytes:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """``docs`` with repeated passages cut from the text; same columns and rows."""
+    names = [*docs.columns]
+    own = {}
+    for name in ("span_id", "starts", "ends", "cut"):
+        own[name] = free_name(name, [*names, *own.values()])
     spans = write_stage(repeated_spans(docs, id_col, text_col, **params).select(
-        F.col("doc_id").alias("__id"), F.col("starts").alias("__starts"), F.col("ends").alias("__ends")), "spans")
-
-    @F.arrow_udf("string")
-    def cut(text: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
-        return pa.array([t if s is None or t is None else cut_words(t.encode(), s, e).decode("utf-8", "replace")
-                         for t, s, e in zip(text.to_pylist(), starts.to_pylist(), ends.to_pylist())], pa.string())
-
-    joined = docs.join(spans, F.col(id_col) == F.col("__id"), "left")
-    touched = F.when(F.col("__id").isNotNull(), cut(F.col(text_col), "__starts", "__ends")).otherwise(F.col(text_col))
-    return joined.select(*(touched.alias(c) if c == text_col else F.col(c) for c in docs.columns))
+        F.col("doc_id").alias(own["span_id"]), F.col("starts").alias(own["starts"]), F.col("ends").alias(own["ends"])), "spans")
+    joined = docs.join(spans, F.col(id_col) == F.col(own["span_id"]), "left").drop(own["span_id"])
+    text_at, starts_at, ends_at = (joined.columns.index(c) for c in (text_col, own["starts"], own["ends"]))
+
+    def cut(batch: pa.RecordBatch) -> pa.Array:
+        out = []
+        for i, raw in enumerate(text_bytes(batch.column(text_at))):
+            if raw is None:
+                out.append(None)
+                continue
+            starts = batch.column(starts_at)[i].as_py()
+            out.append(raw.tobytes() if starts is None else cut_words(raw.tobytes(), starts, batch.column(ends_at)[i].as_py()))
+        return pa.array(out, pa.binary()).cast(pa.string())
+    touched = with_computed(joined, own["cut"], "string", cut)
+    return touched.select(*(F.col(own["cut"]).alias(c) if c == text_col else F.col(f"`{c}`") for c in names))

@@ -9,12 +9,13 @@ UTF-8 bytes, so no Python object is made per word.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from contentfit.session import ensure_checkpoint_dir
 
@@ -149,6 +150,19 @@ def slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatc
         yield batch.slice(lo, step)
 
 
+def with_computed(df: DataFrame, name: str, kind: str, compute: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
+    """``df`` with a column ``name`` of SQL type ``kind`` that ``compute`` makes
+    from a batch of rows.
+
+    Rows go through the worker whole, some megabytes at a time; a Python
+    function of some columns would keep the others queued in the executor.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (part for whole in batches for part in slices(whole)):
+            yield pa.RecordBatch.from_arrays([*part.columns, compute(part)], names=[*part.schema.names, name])
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, DataType.fromDDL(kind))]))
+
+
 ROWS_PER_FILE = 100_000
 
 

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contentfit.llm.common import write_stage
+from contentfit.llm.common import free_name, write_stage
 
 SHINGLE_WORDS = 5
 CONTAINMENT_PCT = 80
@@ -86,5 +86,6 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **params) -> DataFrame:
     """``docs`` without the documents that contain an item; same columns."""
     found = contained_items(docs, items, id_col, **params)
-    gone = write_stage(found.select(F.col("doc_id").alias("__gone")).distinct(), "contaminated")
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    own = free_name("gone", docs.columns)
+    gone = write_stage(found.select(F.col("doc_id").alias(own)).distinct(), "contaminated")
+    return docs.join(gone, F.col(id_col) == F.col(own), "left_anti")

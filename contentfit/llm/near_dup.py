@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contentfit.llm.common import list_array, mix64, shingle_set, text_bytes, write_stage
+from contentfit.llm.common import free_name, list_array, mix64, shingle_set, slices, text_bytes, write_stage
 from contentfit.llm.graph import components
 
 SHINGLE_WORDS = 4
@@ -89,7 +89,7 @@ def set_digest(shingles: np.ndarray) -> bytes:
 def fine_sketches(sets: DataFrame, samples: int = FINE_SAMPLES, bits: int = FINE_BITS) -> DataFrame:
     """``(digest, fine)``: odd sketches of full sets ``(digest, shingles)``."""
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             flat = batch.column(1)
             fine = [odd_sketch(minhash_samples(row.values.to_numpy().view(np.uint64), samples), bits) for row in flat]
             yield pa.RecordBatch.from_arrays([batch.column(0), list_array(fine, pa.int64())], names=["digest", "fine"])
@@ -113,7 +113,7 @@ def class_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Per row: id, set size, set digest, band keys and odd sketch (null
     digest, keys and sketch without shingles)."""
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             out = []
             for raw in text_bytes(batch.column(1)):
                 s = shingle_set(raw, k) if raw is not None and len(raw) else ()
@@ -133,7 +133,7 @@ def class_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def full_sets(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """``(digest, shingles)`` of rows' full sets."""
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             sets = [shingle_set(raw, k) for raw in text_bytes(batch.column(0)) if raw is not None]
             sets = [s for s in sets if len(s)]
             yield pa.RecordBatch.from_arrays(

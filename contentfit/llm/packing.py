@@ -33,6 +33,7 @@ CAPACITY = 2048
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 CACHED_WORDS = 600_000
+CACHED_IDS = 8_000_000
 HASHED_BYTES = 64
 SLICE_BYTES = 2_000_000
 GROUP_ROWS = 20_000
@@ -108,7 +109,7 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text (UTF-8)."""
-        if self.codes > self.cached_words:
+        if self.codes > self.cached_words or self.at[self.codes] > CACHED_IDS:
             self._clear()
         data = b" ".join(texts)
         buf = np.frombuffer(data, dtype=np.uint8)
@@ -122,12 +123,13 @@ class WordEncoder:
         new = new[(ends - starts)[at[new]] <= HASHED_BYTES]
         codes[new] = self._add([data[starts[i]:ends[i]] for i in at[new]])
         self.index.update(zip(distinct[new].tolist(), codes[new].tolist()))
-        codes = codes[which]
+        codes, known = codes[which], self.codes
         codes[long] = self._add([data[starts[i]:ends[i]] for i in long])
 
         first, size = self.at[codes], self.at[codes + 1] - self.at[codes]
         before = np.cumsum(size) - size
         ids = self.flat[np.repeat(first - before, size) + np.arange(int(size.sum()))]
+        self.codes = known  # the ids of long words aren't kept
         stops = np.cumsum([len(t) + 1 for t in texts])  # where the next text's words begin
         last = np.searchsorted(starts, stops)
         total = np.append(before, len(ids))

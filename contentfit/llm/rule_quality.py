@@ -11,7 +11,9 @@ Statistics are computed for whole texts.  Fitting reads at most
 
 Defined cases: null and empty texts have all statistics 0 and a score from
 them; with one class only, every score is that class's smoothed share;
-without labels it is 0.5; repeated rows and null ids are scored like any.
+without labels it is 0.5; repeated rows and null ids are scored like any; equal
+texts score the same, and a score of exactly the threshold is predicted 1; a
+very long text is read whole and by itself; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contentfit.llm.common import LOWER, SPACE, list_array, text_bytes, window_hashes, word_hashes, word_spans, write_stage
+from contentfit.llm.common import (LOWER, SPACE, free_name, list_array, text_bytes, window_hashes, with_computed, word_hashes,
+                                   word_spans, write_stage)
 from contentfit.llm.labels import held_out, labelled_sample
 
 MAX_FIT_ROWS = 20_000
@@ -77,13 +80,13 @@ def statistics(raw: np.ndarray) -> np.ndarray:
     return out
 
 
-def statistics_column(text_col: str) -> Column:
-    """The statistics as an array column.  Marked nondeterministic, so that the
-    optimiser neither moves nor repeats it and it is computed once per row."""
-    def run(text: pa.Array) -> pa.Array:
-        empty = np.empty(0, dtype=np.uint8)
-        return list_array([statistics(raw if raw is not None else empty) for raw in text_bytes(text)], pa.float64())
-    return F.arrow_udf(run, "array<double>").asNondeterministic()(F.col(text_col))
+def with_statistics(df: DataFrame, text_col: str, name: str) -> DataFrame:
+    """``df`` with the statistics of a text as an array column, computed once per row."""
+    at, empty = df.columns.index(text_col), np.empty(0, dtype=np.uint8)
+
+    def compute(batch: pa.RecordBatch) -> pa.Array:
+        return list_array([statistics(raw if raw is not None else empty) for raw in text_bytes(batch.column(at))], pa.float64())
+    return with_computed(df, name, "array<double>", compute)
 
 
 def tree_paths(debug: str) -> set[tuple[tuple[int, str, float], ...]]:
@@ -131,8 +134,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
         max_fit_rows: int = MAX_FIT_ROWS) -> RuleModel:
     """Rules from a forest, weights from a lasso."""
     sample = labelled_sample(docs, labels, label_col, max_fit_rows, id_col, text_col)
-    rows = write_stage(sample.select(F.col("label").cast("double").alias("label"),
-                                     statistics_column("text").alias("stats")).repartition(FIT_PARTITIONS), "statistics").cache()
+    sample = with_statistics(sample.select(F.col("label").cast("double").alias("label"), "text"), "text", "stats")
+    rows = write_stage(sample.select("label", "stats").repartition(FIT_PARTITIONS), "statistics").cache()
     share = rows.agg(F.count("*").alias("n"), F.sum("label").alias("ones")).first()
     n, ones = share["n"], share["ones"] or 0.0
     if ones in (0.0, float(n)):
@@ -153,7 +156,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
             threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row."""
     model = fit(docs, labels, id_col=id_col, text_col=text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), statistics_column(text_col).alias("stats"))
+    rows = with_statistics(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", "stats")
     return rows.withColumn("score", model.score("stats")).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -163,5 +166,5 @@ def drop_low_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                      threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows that score below the threshold; same columns."""
     model = fit(docs, labels, id_col=id_col, text_col=text_col)
-    kept = docs.withColumn("__stats", statistics_column(text_col)).where(model.score("__stats") >= threshold)
-    return kept.drop("__stats")
+    stats = free_name("stats", docs.columns)
+    return with_statistics(docs, text_col, stats).where(model.score(stats) >= threshold).drop(stats)
