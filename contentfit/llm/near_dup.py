@@ -12,13 +12,16 @@ Each class has ``bands * rows`` MinHash samples, used twice:
   when few do.  Candidates whose count can't come from a similarity at the
   threshold (``reject_bits``) are dropped before their sets are read.
 
-What passes is confirmed on the full sets.  A band's bucket isn't expanded
-into pairs.  Three rounds each verify pairs and contract components: every
-member against the bucket's smallest class; against a member picked by hash,
-where components still differ; then what is left, the pairs of different
-components in a bucket, but for those that their private shingles (see
-``_linkable``) or larger odd sketches rule out, so no link between components
-is lost.
+What passes is confirmed on the full sets.  A band's bucket isn't expanded into
+pairs.  Its smallest class is its *hub*.  Every class is verified against its
+smallest hub, then, where components still differ, against its other hubs.
+What is left are classes of different components in a bucket.  For these each
+class has a bitmap of the hub's shingles that it has and a hashed bitmap of its
+other shingles, and the number of those that no other open class has (its
+*private* ones, see ``_linkable``): two of them share as many of the hub's
+shingles as the bitmaps have common bits, and no more others than the hashed
+bitmaps and the fewer of the not private ones allow.  That bound is close, so
+most pairs that pass it are links, and it never fails, so none is lost.
 
 Defined cases: an empty or null text has no shingles and links with nothing; a
 text of fewer than ``k`` words is one shingle; a row with a null id is linked
@@ -35,15 +38,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contentfit.llm.common import free_name, list_array, mix64, shingle_set, slices, text_bytes, write_stage
+from contentfit.llm.common import free_name, list_array, mix64, shingle_set, slices, text_bytes, with_computed, write_stage
 from contentfit.llm.graph import components
 
 SHINGLE_WORDS = 4
 THRESHOLD_PCT = 80
 BANDS, ROWS = 32, 4
 SKETCH_BITS = 256
-#: Odd sketches of classes that are still open after two rounds, many of whose similarities are just short of the threshold.
-FINE_SAMPLES, FINE_BITS = 1024, 4096
 
 _SAMPLES_SCHEMA = "id long, n_shingles long, digest binary, bands array<long>, odd array<long>"
 _SLICE = 2048
@@ -86,16 +87,6 @@ def set_digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def fine_sketches(sets: DataFrame, samples: int = FINE_SAMPLES, bits: int = FINE_BITS) -> DataFrame:
-    """``(digest, fine)``: odd sketches of full sets ``(digest, shingles)``."""
-    def run(batches):
-        for batch in (part for whole in batches for part in slices(whole)):
-            flat = batch.column(1)
-            fine = [odd_sketch(minhash_samples(row.values.to_numpy().view(np.uint64), samples), bits) for row in flat]
-            yield pa.RecordBatch.from_arrays([batch.column(0), list_array(fine, pa.int64())], names=["digest", "fine"])
-    return sets.select("digest", "shingles").mapInArrow(run, "digest binary, fine array<long>")
-
-
 def reject_bits(samples: int, bits: int, threshold: float) -> int:
     """Population count that a pair at the threshold exceeds with odds of about
     one in 10^9: six standard deviations above the mean.  The deviation is that
@@ -147,37 +138,68 @@ def _flips(a: str, b: str, words: int) -> Column:
     return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(words)), F.lit(0))
 
 
-def _likely(pairs: DataFrame, sketches: DataFrame, most_bits: int, words: int) -> DataFrame:
-    """Pairs ``(u, v)`` whose odd sketches allow the threshold."""
-    left = sketches.select(F.col("digest").alias("u"), F.col("odd").alias("odd_u"))
-    right = sketches.select(F.col("digest").alias("v"), F.col("odd").alias("odd_v"))
-    return pairs.join(left, "u").join(right, "v").where(_flips("odd_u", "odd_v", words) <= most_bits).select("u", "v")
-
-
-def _confirm(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
-    """Pairs ``(u, v)`` whose full sets reach the threshold."""
-    a = sets.select(F.col("digest").alias("u"), F.col("shingles").alias("set_u"))
-    b = sets.select(F.col("digest").alias("v"), F.col("shingles").alias("set_v"))
+def _confirm(pairs: DataFrame, sets: DataFrame, pct: int, most_bits: int, words: int) -> DataFrame:
+    """Pairs ``(u, v)`` whose odd sketches allow the threshold and whose full
+    sets reach it."""
+    a = sets.select(F.col("digest").alias("u"), F.col("odd").alias("odd_u"), F.col("shingles").alias("set_u"))
+    b = sets.select(F.col("digest").alias("v"), F.col("odd").alias("odd_v"), F.col("shingles").alias("set_v"))
     both = F.size(F.array_intersect("set_u", "set_v"))
     size = F.size("set_u") + F.size("set_v")
-    return pairs.join(a, "u").join(b, "v").where(100 * both >= pct * (size - both)).select("u", "v")
+    likely = pairs.join(a, "u").join(b, "v").where(_flips("odd_u", "odd_v", words) <= most_bits)
+    return likely.where(100 * both >= pct * (size - both)).select("u", "v")
 
 
-def _linkable(left: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
-    """Members ``(key, band, digest, label)`` that can still be linked in their
-    bucket, with set size ``n`` and ``most``, the largest set they can link to.
+def _bitmap(bits: np.ndarray) -> np.ndarray:
+    """Flags as 64-bit words."""
+    return np.packbits(np.concatenate((bits, np.zeros(-len(bits) % 64, dtype=bool))), bitorder="little").view(np.int64)
 
-    Shingles that no other open class has can't be shared.  With ``own`` such
-    shingles a set of ``n`` shares at most ``n - own``, so a partner has at most
-    ``(100 + pct)(n - own)/pct - n`` shingles.  That is exact, is counted
-    without pairs, and settles most near copies that fall short of the threshold.
+
+def hub_bitmaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Per pair ``(hub, digest)``: ``bits``, which of the hub's shingles, in its
+    set's order, the other class has, and ``common``, how many; ``others``, its
+    other shingles hashed into four times as many bits, and ``lost``, how many
+    of those fell on a bit that was set."""
+    def run(batches):
+        for batch in (part for whole in batches for part in slices(whole)):
+            columns = [], [], [], []
+            for hub, mine in zip(batch.column(2), batch.column(3)):
+                hub, mine = hub.values.to_numpy(), mine.values.to_numpy()
+                other = mine[~np.isin(mine, hub, assume_unique=True)]
+                size = 256 * -(-len(hub) // 64)
+                at = np.unique(mix64(other.view(np.uint64).copy()) % np.uint64(size)).astype(np.int64)
+                hashed = np.zeros(size, dtype=bool)
+                hashed[at] = True
+                found = _bitmap(np.isin(hub, mine, assume_unique=True)), len(mine) - len(other), _bitmap(hashed), len(other) - len(at)
+                for column, value in zip(columns, found):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), list_array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()),
+                 list_array(columns[2], pa.int64()), pa.array(columns[3], pa.int32())],
+                names=["hub", "digest", "bits", "common", "others", "lost"])
+    a = sets.select(F.col("digest").alias("hub"), F.col("shingles").alias("hub_set"))
+    both = pairs.join(a, "hub").join(sets.select("digest", "shingles"), "digest").select("hub", "digest", "hub_set", "shingles")
+    return both.mapInArrow(run, "hub binary, digest binary, bits array<long>, common int, others array<long>, lost int")
+
+
+def _linkable(left: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    """Members ``(key, band, digest, label, hub)`` that can still be linked in
+    their bucket, with set size ``n``, ``own``, the number of private shingles,
+    and ``most``, the largest set they can link to.
+
+    A private shingle is one that no other open class and no hub of an open
+    bucket has, so it can't be shared.  A set of ``n`` shares at most ``n - own``, and a
+    partner has at most ``(100 + pct)(n - own)/pct - n`` shingles.  That is
+    exact, is counted without pairs, and settles most near copies that fall
+    short of the threshold.
     """
-    opened = left.select("digest").distinct().join(sets, "digest")
+    ends = left.select("digest").unionByName(left.select(F.col("hub").alias("digest"))).distinct()
+    opened = write_stage(ends.join(sets, "digest").select("digest", "shingles"), "opened")
     own = (opened.select("digest", F.explode("shingles").alias("s")).groupBy("s")
            .agg(F.count("*").alias("c"), F.min("digest").alias("digest")).where("c = 1")
            .groupBy("digest").agg(F.count("*").alias("own")))
     sizes = opened.select("digest", F.size("shingles").alias("n")).join(own, "digest", "left").select(
-        "digest", "n", (F.floor((100 + pct) * (F.col("n") - F.coalesce("own", F.lit(0))) / pct) - F.col("n")).alias("most"))
+        "digest", "n", F.coalesce("own", F.lit(0)).alias("own"))
+    sizes = sizes.withColumn("most", F.floor((100 + pct) * (F.col("n") - F.col("own")) / pct) - F.col("n"))
     left = write_stage(left.join(write_stage(sizes, "sizes"), "digest"), "open")
     least = write_stage(left.groupBy("key").agg(F.min("n").alias("least")), "least")
     return left.join(least, "key").where("most >= least").drop("least")
@@ -203,35 +225,26 @@ def _verdicts(docs: DataFrame, id_col: str, text_col: str, k: int = SHINGLE_WORD
         samples.where("digest is not null and id is not null").groupBy("digest")
         .agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("odd").alias("odd")), "classes")
     keyed = classes.select("digest", F.posexplode("bands").alias("band", "key"))
-    hubs = write_stage(
-        keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("digest").alias("hub"),
-                                 F.min(F.struct(F.xxhash64("digest", "key"), "digest")).alias("pick"))
-        .where("n > 1").select("key", "n", "hub", F.col("pick.digest").alias("pick")), "hubs")
-    members = write_stage(keyed.join(hubs, "key"), "members")
-
-    involved = members.select("digest").distinct()
-    sketches = write_stage(classes.join(involved, "digest"), "sketches")
+    hubs = write_stage(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("digest").alias("hub")).where("n > 1")
+                       .select("key", F.col("n").alias("in_bucket"), "hub"), "hubs")
+    members = write_stage(keyed.join(hubs, "key").where("hub <> digest"), "members")
+
+    ends = members.select("digest").unionByName(hubs.select(F.col("hub").alias("digest"))).distinct()
+    sketches = write_stage(classes.join(ends, "digest"), "sketches")
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), text_col).join(
         sketches.select("rep").distinct(), "rep", "left_semi")
-    sets = write_stage(
-        full_sets(texts, "rep", text_col, k).join(involved, "digest", "left_semi")
-        .groupBy("digest").agg(F.first("shingles").alias("shingles")), "sets")
-
-    def ordered(a, b):
-        return F.least(a, b).alias("u"), F.greatest(a, b).alias("v")
-
-    def likely(pairs):
-        return _likely(pairs.distinct(), sketches, most, words)
+    sets = write_stage(full_sets(texts, "rep", text_col, k).join(sketches.select("digest", "odd"), "digest")
+                       .groupBy("digest").agg(F.first("odd").alias("odd"), F.first("shingles").alias("shingles")), "sets")
 
     def confirmed(pairs):
-        return write_stage(_confirm(pairs, sets, pct), "links")
+        return write_stage(_confirm(pairs, sets, pct, most, words), "links")
 
-    links = confirmed(likely(members.where("hub <> digest").select(*ordered("hub", "digest"))))
-    stars = components(links)
+    def ordered(a, b):
+        return F.least(a, b).alias("u"), F.greatest(a, b).alias("v")
 
-    def labelled(frame):
-        return frame.join(stars.withColumnRenamed("node", "digest"), "digest", "left").withColumn(
-            "label", F.coalesce("label", "digest"))
+    def labelled(frame, end="digest", label="label"):
+        star = stars.select(F.col("node").alias(end), F.col("label").alias(label))
+        return frame.join(star, end, "left").withColumn(label, F.coalesce(label, end))
 
     def linked(pairs):
         """The links with those among ``pairs``, and the components so far."""
@@ -241,28 +254,35 @@ def _verdicts(docs: DataFrame, id_col: str, text_col: str, k: int = SHINGLE_WORD
         merged = stars.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(new)
         return write_stage(links.unionByName(new).distinct(), "links"), components(merged)
 
-    # Only buckets of three or more classes can hold a pair that round one hasn't seen.
-    large = members.where("n > 2")
-    now = write_stage(labelled(large), "round2")
-    picked = now.select(F.col("key"), F.col("digest").alias("pick"), F.col("label").alias("pick_label"))
-    links, stars = linked(likely(now.join(picked, ["key", "pick"]).where("label <> pick_label")
-                                 .select(*ordered("pick", "digest"))))
+    first = write_stage(members.groupBy("digest").agg(F.min("hub").alias("first")), "first-hubs")
+    links = confirmed(first.select(*ordered("first", "digest")))
+    stars = components(links)
+
+    others = members.join(first, "digest").where("hub <> first").select("digest", "hub").distinct()
+    now = labelled(labelled(others), "hub", "hub_label").where("label <> hub_label")
+    links, stars = linked(now.select(*ordered("hub", "digest")).distinct())
 
-    now = write_stage(labelled(large), "round3")
+    # Only buckets of three or more classes hold a pair without their hub.
+    now = write_stage(labelled(members.where("in_bucket > 2")), "open")
     mixed = write_stage(now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
                         .where("lo <> hi").select("key"), "mixed")
-    left = write_stage(now.join(mixed, "key").where("digest <> hub and digest <> pick")
-                       .select("key", "band", "digest", "label"), "open")
+    left = write_stage(now.join(mixed, "key").select("key", "band", "digest", "label", "hub"), "open")
     left = write_stage(_linkable(left, sets, pct), "linkable")
-    fine = write_stage(fine_sketches(sets.join(left.select("digest").distinct(), "digest")), "fine")
-    left = left.join(fine, "digest").join(sketches.select("digest", "odd", "bands"), "digest")
-    right = left.select("key", *(F.col(c).alias(f"other_{c}") for c in ("digest", "label", "n", "most", "odd", "fine", "bands")))
+    bitmaps = write_stage(hub_bitmaps(left.select("hub", "digest").distinct(), sets), "bitmaps")
+    left = left.join(bitmaps, ["hub", "digest"]).join(sketches.select("digest", "odd", "bands"), "digest")
+    left = write_stage(left.withColumn("rest", F.col("n") - F.col("common") - F.col("own")).drop("hub", "common", "own"), "open")
+    right = left.select("key", *(F.col(c).alias(f"other_{c}") for c in ("digest", "label", "n", "most", "odd", "bands", "bits", "rest", "others", "lost")))
     first_shared = F.array_position(F.zip_with("bands", "other_bands", lambda a, b: a == b), F.lit(True))
+
+    def common_bits(c):
+        return F.aggregate(F.zip_with(c, f"other_{c}", lambda a, b: F.bit_count(a.bitwiseAND(b))), F.lit(0), lambda n, m: n + m)
+
+    shared = common_bits("bits") + F.least("rest", "other_rest", common_bits("others") + F.least("lost", "other_lost"))
     pairs = left.join(right, "key").where(
         (F.col("digest") < F.col("other_digest")) & (F.col("label") != F.col("other_label"))
         & (F.col("other_n") <= F.col("most")) & (F.col("n") <= F.col("other_most"))
         & (_flips("odd", "other_odd", words) <= most)
-        & (_flips("fine", "other_fine", FINE_BITS // 64) <= reject_bits(FINE_SAMPLES, FINE_BITS, pct / 100))
+        & ((100 + pct) * shared >= pct * (F.col("n") + F.col("other_n")))
         & (first_shared == F.col("band") + 1))  # a pair of several common buckets comes from one
     links, stars = linked(pairs.select(F.col("digest").alias("u"), F.col("other_digest").alias("v")))
 
@@ -283,23 +303,26 @@ def _verdicts(docs: DataFrame, id_col: str, text_col: str, k: int = SHINGLE_WORD
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS,
                          **params) -> DataFrame:
     """``docs`` without the rows that ``near_duplicates`` drops; same columns."""
+    own = free_name("near_id", docs.columns)
+    of_set, mine = free_name("near_set", docs.columns), free_name("near_digest", docs.columns)
     verdict = write_stage(_verdicts(docs, id_col, text_col, k, **params).where("doc_id is not null")
-                          .groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__set"))
+                          .groupBy(F.col("doc_id").alias(own), F.col("digest").alias(of_set))
                           .agg(F.min("kept").alias("kept")), "verdicts")
-    gone = write_stage(verdict.groupBy("__id").agg(F.min("kept").alias("all"), F.max("kept").alias("some"))
-                       .where("not all").select("__id", "some"), "dropped")
-    out = docs.join(gone, F.col(id_col) == F.col("__id"), "left_anti")
-    mixed = gone.where("some").select("__id")
+    gone = write_stage(verdict.groupBy(own).agg(F.min("kept").alias("all"), F.max("kept").alias("some"))
+                       .where("not all").select(own, "some"), "dropped")
+    out = docs.join(gone, F.col(id_col) == F.col(own), "left_anti")
+    mixed = gone.where("some").select(own)
     if mixed.isEmpty():
         return out
 
     # An id with texts that go and texts that stay: its rows are told apart by their sets.
-    @F.arrow_udf("binary")
-    def digest(text: pa.Array) -> pa.Array:
-        sets = [shingle_set(raw, k) if raw is not None and len(raw) else () for raw in text_bytes(text)]
+    at = docs.columns.index(text_col)
+
+    def digest(batch: pa.RecordBatch) -> pa.Array:
+        sets = [shingle_set(raw, k) if raw is not None and len(raw) else () for raw in text_bytes(batch.column(at))]
         return pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary())
 
-    rows = docs.join(mixed, F.col(id_col) == F.col("__id"), "left_semi").withColumn("__digest", digest(F.col(text_col)))
-    left = rows.join(verdict.where("not kept"), (F.col(id_col) == F.col("__id")) & (F.col("__digest") == F.col("__set")),
+    rows = with_computed(docs.join(mixed, F.col(id_col) == F.col(own), "left_semi"), mine, "binary", digest)
+    left = rows.join(verdict.where("not kept").select(own, of_set), (F.col(id_col) == F.col(own)) & (F.col(mine) == F.col(of_set)),
                      "left_anti")
-    return out.unionByName(left.drop("__digest"))
+    return out.unionByName(left.drop(mine))
