@@ -20,7 +20,6 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +33,7 @@ END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 CACHED_WORDS = 600_000
 CACHED_IDS = 8_000_000
+CACHED_PARTS = 100_000
 HASHED_BYTES = 64
 SLICE_BYTES = 2_000_000
 GROUP_ROWS = 20_000
@@ -73,7 +73,7 @@ class WordEncoder:
         self._clear()
 
     def _clear(self):
-        self.index: dict[int, int] = {}
+        self.hashes, self.code_of = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)  # known words, sorted
         self.codes = 0
         self.parts: dict[str, bytes] = {}
         self.flat = np.empty(1 << 16, dtype=np.uint32)
@@ -83,6 +83,8 @@ class WordEncoder:
         """A pre-token's ids as little-endian 32-bit numbers."""
         ids = self.parts.get(part)
         if ids is None:
+            if len(self.parts) > CACHED_PARTS:
+                self.parts.clear()
             letters = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_LETTERS)
             ids = self.parts[part] = array("I", [t.id for t in self.merge(letters)]).tobytes()
         return ids
@@ -118,11 +120,16 @@ class WordEncoder:
         long = np.flatnonzero(ends - starts > HASHED_BYTES)
         hashes[long] = hashes[long[0]] if len(long) else 0  # any value: their codes are set below
         distinct, at, which = np.unique(hashes, return_index=True, return_inverse=True)
-        codes = np.fromiter(map(self.index.get, distinct.tolist(), repeat(-1)), dtype=np.int64, count=len(distinct))
+        place = np.searchsorted(self.hashes, distinct)
+        codes = np.full(len(distinct), -1, dtype=np.int64)
+        hit = np.flatnonzero(place < len(self.hashes))
+        hit = hit[self.hashes[place[hit]] == distinct[hit]]
+        codes[hit] = self.code_of[place[hit]]
         new = np.flatnonzero(codes < 0)
         new = new[(ends - starts)[at[new]] <= HASHED_BYTES]
         codes[new] = self._add([data[starts[i]:ends[i]] for i in at[new]])
-        self.index.update(zip(distinct[new].tolist(), codes[new].tolist()))
+        self.hashes = np.insert(self.hashes, place[new], distinct[new])
+        self.code_of = np.insert(self.code_of, place[new], codes[new])
         codes, known = codes[which], self.codes
         codes[long] = self._add([data[starts[i]:ends[i]] for i in long])
 
