@@ -5,16 +5,20 @@ Two shapes, chosen by the semantics:
 * **Thresholded match** (J7, score >= a positive cut): the left side's term
   entries are exploded and equi-joined on the term with the right side's.  The
   join is a broadcast hash join when the right side's entries are within the
-  bound, else a salted shuffle join (hot terms are spread over salt buckets).
-  Partial products are summed by a partial aggregate before the single
-  shuffle, so the shuffle carries one row per scored pair.
+  bound.  Partial products are summed by a partial aggregate before the single
+  shuffle, so the shuffle carries one row per scored pair.  Beyond the bound
+  the match is pruned (:mod:`contentfit.operators.match`); where every non-zero
+  score is wanted, hot terms are spread over salt buckets.
 * **All pairs** (J1-J3 keep zero scores): the non-zero scores of the match are
   gathered per left row and joined to it; the zeros are filled in from the
   right side's broadcast keys inside the task, so the grid itself is never
-  shuffled.
+  shuffled.  A right side beyond the bound is cut into blocks and the left side
+  into fragments, and each (fragment, block) cell is a join key of its own.
 
 A pair is a pair of *rows*: rows repeating a key are scored each by their own
 text, repeated rows each give their rows, and null keys are keys like any.
+Rows are told apart by keys and a hash of the text, which a task that is run
+again finds as before; how often a row is repeated is counted.
 """
 
 from __future__ import annotations
@@ -52,35 +56,37 @@ def fits_broadcast(df: DataFrame, max_rows: int, max_bytes: int = config.BROADCA
     return n <= max_rows and (size or 0) <= max_bytes
 
 
-def broadcast_chunks(df: DataFrame, key_cols: Sequence[str], max_rows: int = config.BROADCAST_MAX_ROWS,
-                     max_bytes: int = config.BROADCAST_MAX_BYTES) -> list[DataFrame]:
-    """Split ``df`` into hash chunks within the bounds (checked, not assumed)
-    and mark each for broadcast.  Rows equal in ``key_cols`` stay together, so
-    a chunk may exceed the bounds where one key alone does."""
-    if fits_broadcast(df, max_rows, max_bytes):
-        return [F.broadcast(df)]
-    total, size = df.agg(F.count(F.lit(1)), F.sum(_row_bytes(df))).first()
-    chunks = max(2, 2 * math.ceil(max(total / max_rows, size / max_bytes)))
-    while True:
-        keyed = df.withColumn("_chunk", F.pmod(F.xxhash64(*key_cols), F.lit(chunks)))
-        most = (keyed.groupBy("_chunk").agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(df)).alias("size"))
-                .agg(F.max("n"), F.max("size")).first())
-        if most[0] <= max_rows and most[1] <= max_bytes or chunks >= total:
-            break
-        chunks *= 2
-    return [F.broadcast(keyed.where(F.col("_chunk") == i).drop("_chunk")) for i in range(chunks)]
-
-
-def all_pairs(left: DataFrame, right: DataFrame, right_keys: Sequence[str],
-              score: Callable[[], Column], max_rows: int = config.BROADCAST_MAX_ROWS) -> DataFrame:
+def _blocks(df: DataFrame, max_rows: int, max_bytes: int = config.BROADCAST_MAX_BYTES) -> int:
+    """Into how many blocks within the bounds a side is cut."""
+    n, size = df.agg(F.count(F.lit(1)), F.sum(_row_bytes(df))).first()
+    return max(1, math.ceil(n / max_rows), math.ceil((size or 0) / max_bytes))
+
+
+def _fragments(df: DataFrame, blocks: int) -> int:
+    """Into how many fragments the other side is cut, so that the cells are
+    about as many as a shuffle has partitions."""
+    return max(1, math.ceil(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) / blocks))
+
+
+def all_pairs(left: DataFrame, right: DataFrame, score: Callable[[], Column],
+              max_rows: int = config.BROADCAST_MAX_ROWS) -> DataFrame:
     """Every left row x every right row with ``score()`` computed in the
-    task.  Column names of the two sides must not clash."""
-    parts = [left.crossJoin(chunk).withColumn("score", score())
-             for chunk in broadcast_chunks(right, right_keys, max_rows)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    task.  Column names of the two sides must not clash.
+
+    A right side beyond the broadcast bound makes a grid: rows of either side
+    go to a fragment or block by their hash and are copied along the other
+    side's, so each side is read once and a cell is one key of a shuffle join,
+    whose task may spill."""
+    blocks = _blocks(right, max_rows)
+    if blocks == 1:
+        return left.crossJoin(F.broadcast(right)).withColumn("score", score())
+    fragments = _fragments(left, blocks)
+
+    def dealt(df, own, n, other, m):
+        mine = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)), F.lit(n)).cast("int")
+        return df.withColumn(own, mine).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    cells = dealt(left, "_a", fragments, "_b", blocks).join(dealt(right, "_b", blocks, "_a", fragments), ["_a", "_b"])
+    return cells.drop("_a", "_b").withColumn("score", score())
 
 
 def _same(left: Sequence[str], right: Sequence[str]) -> Column:
@@ -101,29 +107,43 @@ def lexical_all_pairs(left: DataFrame, left_text: str, right: DataFrame, right_t
     names to keep it).
 
     Pairs that share a term are scored by :func:`lexical_scores`, gathered
-    per left row, and joined to the left side; the keys that a row has no score
-    for are added from the broadcast right side, with 0.0.  ``left_keys``
-    (default: all non-text columns) with the text identify left rows.
+    per left row, and joined to it; the keys that a row has no score for are
+    added from the broadcast right side, with 0.0.  ``left_keys`` (default: all
+    non-text columns) with the text identify left rows.  Beyond the bound,
+    rows and scores are gathered per block of the right side, whose keys
+    come by (fragment, block); the left side is still read once for the rows.
     """
     lk = list(left_keys) if left_keys else [c for c in left.columns if c != left_text]
     rk = list(right_keys)
-    keyed = left.withColumn("_th", F.xxhash64(left_text))
-    out = None
-    for chunk in broadcast_chunks(right.select(*rk, right_text).distinct(), rk, max_rows):
-        scores = lexical_scores(left.select(*lk, left_text), lk, left_text, chunk, rk, right_text, max_rows)
-        # Repeated left rows have equal scores, so a set holds each once.
-        found = scores.groupBy(*lk, "_th").agg(
-            F.collect_set(F.struct(F.struct(*rk).alias("k"), F.col("raw_score").alias("s"))).alias("_found"))
-        found = found.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(lk)), F.col("_th").alias("_fth"), "_found")
-        every = chunk.agg(F.collect_set(F.struct(*rk)).alias("_every"))
-        rows = keyed.join(found, _same([*lk, "_th"], [*(f"_{i}" for i in range(len(lk))), "_fth"]), "left")
-        rest = F.array_except("_every", F.coalesce(F.transform("_found", lambda x: x["k"]), F.array().cast(
-            every.schema["_every"].dataType)))
-        items = F.concat(F.coalesce("_found", F.array().cast(found.schema["_found"].dataType)),
-                         F.transform(rest, lambda k: F.struct(k.alias("k"), F.lit(0.0).alias("s"))))
-        part = (rows.crossJoin(F.broadcast(every)).select(*left.columns, F.explode(items).alias("_p"))
-                .select(*left.columns, *(F.col(f"_p.k.{c}").alias(c) for c in rk), F.col("_p.s").alias("_raw")))
-        out = part if out is None else out.unionByName(part)
+    sides = right.select(*rk, right_text).distinct()
+    blocks = _blocks(sides, max_rows)
+    block = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in rk)), F.lit(blocks)).cast("int")
+    scores = lexical_scores(left.select(*lk, left_text), lk, left_text, sides, rk, right_text, max_rows).withColumn("_b", block)
+    # Repeated left rows have equal scores, so a set holds each once.
+    found = scores.groupBy(*lk, "_th", "_b").agg(
+        F.collect_set(F.struct(F.struct(*rk).alias("k"), F.col("raw_score").alias("s"))).alias("_found"))
+    names = [f"_{i}" for i in range(len(lk))]
+    found = found.select(*(F.col(c).alias(n) for c, n in zip(lk, names)), F.col("_th").alias("_fth"), F.col("_b").alias("_fb"), "_found")
+    every = sides.withColumn("_b", block).groupBy("_b").agg(F.collect_set(F.struct(*rk)).alias("_every"))
+    rows = left.withColumn("_th", F.xxhash64(left_text))
+    if blocks == 1:
+        rows = rows.withColumn("_b", F.lit(0))
+    else:
+        rows = rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.join(found, _same([*lk, "_th", "_b"], [*names, "_fth", "_fb"]), "left")
+    if blocks == 1:
+        rows = rows.drop("_b").crossJoin(F.broadcast(every.drop("_b")))
+    else:
+        fragments = _fragments(left, blocks)
+        rows = rows.withColumn("_a", F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in lk), "_th"), F.lit(fragments)).cast("int"))
+        every = every.withColumn("_a", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))))
+        rows = rows.join(every, ["_a", "_b"])
+    rest = F.array_except("_every", F.coalesce(F.transform("_found", lambda x: x["k"]), F.array().cast(
+        every.schema["_every"].dataType)))
+    items = F.concat(F.coalesce("_found", F.array().cast(found.schema["_found"].dataType)),
+                     F.transform(rest, lambda k: F.struct(k.alias("k"), F.lit(0.0).alias("s"))))
+    out = (rows.select(*left.columns, F.explode(items).alias("_p"))
+           .select(*left.columns, *(F.col(f"_p.k.{c}").alias(c) for c in rk), F.col("_p.s").alias("_raw")))
     out = out.withColumn("verdict", verdict(F.col("_raw"), cut, labels)).withColumn("score", F.round("_raw", digits))
     return out.withColumnRenamed("_raw", raw_col) if raw_col else out.drop("_raw")
 
@@ -138,45 +158,70 @@ def _exploded_entries(df: DataFrame, keys: Sequence[str], text: str, prefix: str
              .select(*keys, f"{prefix}norm", F.col("_e.term").alias("term"), F.col("_e.tf").alias(f"{prefix}tf")))
 
 
+def _repeats(df: DataFrame, keys: Sequence[str], text_hash: str, count: str, prefix: str) -> DataFrame:
+    """Rows that occur more than once, by keys and text: hardly any, mostly."""
+    often = df.groupBy(*keys, text_hash).agg(F.count(F.lit(1)).alias(count)).where(F.col(count) > 1)
+    return often.select(*(F.col(c).alias(f"{prefix}{i}") for i, c in enumerate([*keys, text_hash])), count)
+
+
 def lexical_scores(left: DataFrame, left_keys: Sequence[str], left_text: str,
                    right: DataFrame, right_keys: Sequence[str], right_text: str,
                    max_rows: int = config.BROADCAST_MAX_ROWS,
-                   salt_buckets: int = config.SALT_BUCKETS) -> DataFrame:
+                   salt_buckets: int = config.SALT_BUCKETS, small: bool | None = None) -> DataFrame:
     """Every pair of rows that shares at least one term, with ``dot``, the
     unrounded cosine ``raw_score`` and ``_th``, the left text's hash (pairs
-    sharing nothing score 0 and are not emitted)."""
-    # A number for each row keeps rows that repeat a key, or are equal, apart in the sums.
-    left = left.withColumn("_l", F.monotonically_increasing_id()).withColumn("_th", F.xxhash64(left_text))
-    right = right.withColumn("_r", F.monotonically_increasing_id())
-    le = _exploded_entries(left, ["_l", "_th", *left_keys], left_text, "l")
-    re_ = _exploded_entries(right, ["_r", *right_keys], right_text, "r")
-    if fits_broadcast(re_, max_rows):
+    sharing nothing score 0 and are not emitted).  ``small`` says that the right
+    side's entries are known to be within the broadcast bound."""
+    lk, rk = [*left_keys, "_th"], [*right_keys, "_rh"]
+    left = left.withColumn("_th", F.xxhash64(left_text))
+    right = right.withColumn("_rh", F.xxhash64(right_text))
+    le = _exploded_entries(left, lk, left_text, "l")
+    re_ = _exploded_entries(right, rk, right_text, "r")
+    if small or small is None and fits_broadcast(re_, max_rows):
         j = le.join(F.broadcast(re_), "term")
     else:
         # Salted shuffle join: the left side's rows for a hot term spread
         # over ``salt_buckets`` tasks; the right side is replicated per salt.
-        salt = F.pmod(F.xxhash64("_l"), F.lit(salt_buckets)).cast("int")
+        salt = F.pmod(F.xxhash64(*lk), F.lit(salt_buckets)).cast("int")
         le_s = le.withColumn("_salt", salt)
         re_s = re_.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
         j = le_s.join(re_s, ["term", "_salt"]).drop("_salt")
-    dots = (j.groupBy("_l", "_th", *left_keys, "lnorm", "_r", *right_keys, "rnorm")
-              .agg(F.sum(F.col("ltf") * F.col("rtf")).alias("dot")))
+    dots = j.groupBy(*lk, "lnorm", *rk, "rnorm").agg(F.sum(F.col("ltf") * F.col("rtf")).alias("dot"))
+    # The sum of rows repeated m and n times is m * n times theirs; it is theirs, and they are m * n rows.
+    for df, keys, count, prefix in ((left, lk, "_lm", "_l"), (right, rk, "_rm", "_r")):
+        often = _repeats(df, keys[:-1], keys[-1], count, prefix)
+        dots = dots.join(often, _same(keys, [f"{prefix}{i}" for i in range(len(keys))]), "left").drop(
+            *(f"{prefix}{i}" for i in range(len(keys))))
+    times = F.coalesce("_lm", F.lit(1)) * F.coalesce("_rm", F.lit(1))
+    dots = repeated(dots.withColumn("_m", times).withColumn("dot", F.expr("dot div _m")), F.col("_m"))
     return (dots.withColumn("raw_score", cosine_from(F.col("dot"), F.col("lnorm"), F.col("rnorm")))
-                .drop("lnorm", "rnorm", "_l", "_r"))
+                .drop("lnorm", "rnorm", "_rh", "_lm", "_rm", "_m"))
+
+
+def repeated(df: DataFrame, times: Column, block: int = 10_000) -> DataFrame:
+    """Every row ``times`` over, in blocks, so that no array grows with the count."""
+    columns = df.columns
+    df = df.withColumn("_times", times.cast("long"))
+    df = df.withColumn("_block", F.explode(F.expr(f"sequence(0L, (_times - 1) div {block})")))
+    df = df.withColumn("_one", F.explode(F.expr(f"sequence(1L, least({block}L, _times - _block * {block}))")))
+    return df.select(*columns)
 
 
 def lexical_match(left: DataFrame, left_keys: Sequence[str], left_text: str,
                   right: DataFrame, right_keys: Sequence[str], right_text: str,
                   min_score: float, digits: int = 6,
-                  max_rows: int = config.BROADCAST_MAX_ROWS,
-                  salt_buckets: int = config.SALT_BUCKETS) -> DataFrame:
-    """Pairs whose lexical cosine is >= ``min_score`` (> 0).
+                  max_rows: int = config.BROADCAST_MAX_ROWS) -> DataFrame:
+    """Pairs whose lexical cosine is >= ``min_score`` (> 0).  Where the right
+    side's entries are beyond the broadcast bound, by a pruned join.
 
     Output: left keys, right keys, ``score`` (rounded), ``raw_score``.
     """
     if not min_score > 0:
         raise ValueError("lexical_match needs a positive threshold; use lexical_all_pairs for zero pairs")
-    sc = lexical_scores(left, left_keys, left_text, right, right_keys, right_text, max_rows, salt_buckets)
+    if not fits_broadcast(_exploded_entries(right, right_keys, right_text, "r"), max_rows):
+        from contentfit.operators.match import pruned_match
+        return pruned_match(left, left_keys, left_text, right, right_keys, right_text, min_score, digits, max_rows)
+    sc = lexical_scores(left, left_keys, left_text, right, right_keys, right_text, max_rows, small=True)
     return (sc.where(F.col("raw_score") >= F.lit(min_score))
               .select(*left_keys, *right_keys, F.round("raw_score", digits).alias("score"), "raw_score"))
 
@@ -196,7 +241,7 @@ def best_section_per_query(sections: DataFrame, queries: DataFrame, query_key: s
                      .agg(F.min(F.struct("section", "ordinal")).alias("_f"))
                      .select("page_id", F.col("_f.section").alias("f_section"), F.col("_f.ordinal").alias("f_ordinal")))
     q_ids = queries.select(query_key).distinct()
-    grid = all_pairs(first, q_ids, [query_key], lambda: F.lit(0.0), max_rows).drop("score")
+    grid = all_pairs(first, q_ids, lambda: F.lit(0.0), max_rows).drop("score")
     best = best.withColumnRenamed("page_id", "_page").withColumnRenamed(query_key, "_query")
     out = grid.join(best, _same(["page_id", query_key], ["_page", "_query"]), "left")
     raw = F.coalesce(F.col("raw_score"), F.lit(0.0))
@@ -238,17 +283,15 @@ def centroids(df: DataFrame, key: str, vec: str) -> DataFrame:
                    .select(key, F2.transform("_pm", lambda e: e["m"]).alias("centroid")))
 
 
-def dense_all_pairs(left: DataFrame, left_vec: str, right: DataFrame, right_vec: str,
-                    right_keys: Sequence[str], cut: float = config.VERDICT_CUT,
+def dense_all_pairs(left: DataFrame, left_vec: str, right: DataFrame, right_vec: str, cut: float = config.VERDICT_CUT,
                     labels=config.VERDICT_LABELS, digits: int = 6,
                     max_rows: int = config.BROADCAST_MAX_ROWS) -> DataFrame:
-    """V2 over supplied vectors: every left row x every (bounded) right row,
-    cosine and verdict, computed inside the task.  Norms are computed once
+    """V2 over supplied vectors: every left row x every right row, cosine and verdict, computed inside the task.  Norms are computed once
     per row; a zero vector scores 0.0."""
     from contentfit.operators.vectors import dense_dot, dense_norm
     lefts = left.withColumn("_nl", dense_norm(F.col(left_vec)))
     rights = right.withColumn("_nr", dense_norm(F.col(right_vec)))
-    pairs = all_pairs(lefts, rights, right_keys, lambda: cosine_from(
+    pairs = all_pairs(lefts, rights, lambda: cosine_from(
         dense_dot(F.col(left_vec), F.col(right_vec)), F.col("_nl"), F.col("_nr")), max_rows).drop("_nl", "_nr")
     return (pairs.withColumn("verdict", verdict(F.col("score"), cut, labels))
                  .withColumn("score", F.round("score", digits)))
@@ -259,10 +302,14 @@ def nearest_label(items: DataFrame, item_key: str, item_text: str, labelled: Dat
     """X6 default: each item takes the label whose text scores highest
     against it (ties by label ascending).  Only pairs sharing a term are
     scored; an item sharing no term with any label takes the smallest label
-    at score 0, exactly what the full cross table would give."""
+    at score 0, exactly what the full cross table would give.  Where the items'
+    entries are beyond the broadcast bound, by a join with bounds."""
     lab = labelled.select(F.col(label_col).alias("_label")).distinct()
+    if not fits_broadcast(_exploded_entries(items, [item_key], item_text, "r"), max_rows):
+        from contentfit.operators.match import best_match
+        return best_match(items, item_text, lab.withColumnRenamed("_label", label_col), label_col, digits, max_rows)
     nz = lexical_scores(lab, ["_label"], "_label", items.select(item_key, item_text), [item_key], item_text,
-                        max_rows)
+                        max_rows, small=True)
     best = best_by(nz, [item_key], "raw_score", ["_label"], ["_label", "raw_score"])
     smallest = lab.agg(F.min("_label").alias("_min_label"))
     best = best.withColumnRenamed(item_key, "_item")
@@ -277,11 +324,10 @@ def assign_labels(items: DataFrame, item_key: str, item_text: str, supplied: Dat
     """Label from a supplied (text -> label) table where the item's
     text is in it (of several, the first in order); otherwise the nearest
     labelled text's label."""
-    sup = supplied.groupBy(F.col("query").alias(item_text)).agg(F.min(label_col).alias("_sup"))
-    near = nearest_label(items, item_key, item_text, labelled, label_col, max_rows)
-    return (near.join(sup, item_text, "left")
-                .select(*items.columns, F.coalesce("_sup", label_col).alias(label_col),
-                        F.when(F.col("_sup").isNotNull(), F.lit(1.0)).otherwise(F.col("score")).alias("score")))
+    sup = supplied.groupBy(F.col("query").alias(item_text)).agg(F.min(label_col).alias("_sup")).where("_sup is not null")
+    given = items.join(sup, item_text).select(*items.columns, F.col("_sup").alias(label_col), F.lit(1.0).alias("score"))
+    near = nearest_label(items.join(sup, item_text, "left_anti"), item_key, item_text, labelled, label_col, max_rows)
+    return given.unionByName(near)
 
 
 def lsh_match(left: DataFrame, left_key: str, left_vec: str, right: DataFrame, right_key: str, right_vec: str,

@@ -67,7 +67,7 @@ def entries_from_sorted(srt) -> Column:
 
 def term_entries(text) -> Column:
     """Sparse term-frequency vector of a text (row-local, O(n log n))."""
-    return let(F.array_sort(tokens(text)), entries_from_sorted)
+    return let(F.sort_array(tokens(text)), entries_from_sorted)
 
 
 def with_lexical_vector(df, text: str, out: str):
@@ -75,7 +75,7 @@ def with_lexical_vector(df, text: str, out: str):
     and entries are materialised in their own projections, so each is
     computed once and read as a column."""
     srt, ent = f"_{out}_srt", f"_{out}_ent"
-    df = df.withColumn(srt, F.array_sort(tokens(F.col(text))))
+    df = df.withColumn(srt, F.sort_array(tokens(F.col(text))))
     df = df.withColumn(ent, entries_from_sorted(F.col(srt)))
     return (df.withColumn(out, F.struct(F.col(ent).alias("entries"), entries_norm(F.col(ent)).alias("norm")))
               .drop(srt, ent))
@@ -90,7 +90,7 @@ def entries_norm(entries) -> Column:
 def lexical_vector(text) -> Column:
     """``struct<entries, norm>`` for a text column, each step evaluated once
     (usable inside other lambdas, where no extra projection is possible)."""
-    return let(F.array_sort(tokens(text)), lambda s: let(
+    return let(F.sort_array(tokens(text)), lambda s: let(
         entries_from_sorted(s), lambda e: F.struct(e.alias("entries"), entries_norm(e).alias("norm"))))
 
 
@@ -98,7 +98,7 @@ def entries_dot(a, b) -> Column:
     """Dot product of two term vectors by merging them: after sorting the
     concatenation, a shared term sits in two adjacent slots (terms are
     distinct within each side)."""
-    m = F.array_sort(F.concat(_c(a), _c(b)))
+    m = F.sort_array(F.concat(_c(a), _c(b)))
     prods = F.zip_with(m, F.slice(m, 2, F.greatest(F.size(m), F.lit(1))),
                        lambda x, y: F.when(x["term"] == y["term"], x["tf"] * y["tf"]).otherwise(F.lit(0).cast("long")))
     return F.aggregate(prods, F.lit(0).cast("long"), lambda acc, p: acc + F.coalesce(p, F.lit(0).cast("long")))
@@ -157,5 +157,5 @@ def hashed_vector(text, num_features: int = 1 << 18) -> Column:
     (like ``ml.feature.HashingTF``) in the same sorted-entries shape, so the
     cosine code is shared.  Collisions merge terms."""
     hashed = F.transform(tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(num_features)).cast("string"))
-    return let(F.array_sort(hashed), lambda s: let(
+    return let(F.sort_array(hashed), lambda s: let(
         entries_from_sorted(s), lambda e: F.struct(e.alias("entries"), entries_norm(e).alias("norm"))))

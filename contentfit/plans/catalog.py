@@ -397,8 +397,7 @@ def dense_fit(spark, sf_dir):
     label's vectors), cosine and verdict at the low cut."""
     emb = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"])
     cents = fx.centroids(emb, "label", "embedding").withColumnRenamed("label", "centroid_label")
-    pairs = fx.dense_all_pairs(emb.select("vec_id", "embedding"), "embedding", cents, "centroid",
-                               ["centroid_label"], cut=LOW_CUT)
+    pairs = fx.dense_all_pairs(emb.select("vec_id", "embedding"), "embedding", cents, "centroid", cut=LOW_CUT)
     return pairs.select("vec_id", "centroid_label", "score", "verdict")
 
 

@@ -1,6 +1,7 @@
 """Scoring joins: properties and brute-force agreement."""
 
 import math
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -52,16 +53,18 @@ def test_match_equals_filtered_all_pairs(spark):
 
 
 def test_bounded_paths_give_same_result(spark):
-    """Force the chunked broadcast and the salted shuffle join."""
+    """Force the grid, the pruned join and the salted shuffle join."""
     left, right = _frames(spark)
     base = sorted(tuple(r) for r in fx.lexical_all_pairs(left, "ltext", right, "rtext", ["rid"]).collect())
     chunked = sorted(tuple(r) for r in
                      fx.lexical_all_pairs(left, "ltext", right, "rtext", ["rid"], max_rows=3).collect())
     assert base == chunked
     a = sorted(tuple(r) for r in fx.lexical_match(left, ["lid"], "ltext", right, ["rid"], "rtext", 0.1).collect())
-    b = sorted(tuple(r) for r in fx.lexical_match(left, ["lid"], "ltext", right, ["rid"], "rtext", 0.1,
-                                                    max_rows=1, salt_buckets=3).collect())
+    b = sorted(tuple(r) for r in fx.lexical_match(left, ["lid"], "ltext", right, ["rid"], "rtext", 0.1, max_rows=1).collect())
     assert a == b
+    c, d = (sorted(tuple(r) for r in fx.lexical_scores(left, ["lid"], "ltext", right, ["rid"], "rtext", **how).collect())
+            for how in ({}, {"max_rows": 1, "salt_buckets": 3}))
+    assert c == d and len(c) > len(a) // 2
 
 
 def test_partition_count_independent(spark):
@@ -139,13 +142,45 @@ def test_hashed_vector_matches_lexical_without_collisions(spark, one):
     assert abs(lex - hashed) < 1e-12
 
 
-def test_broadcast_chunks_respect_bound_and_cover_all(spark):
-    df = spark.range(0, 500).withColumnRenamed("id", "k")
-    chunks = fx.broadcast_chunks(df, ["k"], max_rows=100)
-    sizes = [c.count() for c in chunks]
-    assert len(chunks) > 1 and max(sizes) <= 100
-    ids = sorted(r.k for c in chunks for r in c.collect())
-    assert ids == list(range(500))
+def _scans(df, node):
+    return df._jdf.queryExecution().executedPlan().toString().count(node)
+
+
+def test_grid_of_two_large_sides(spark, tmp_path):
+    """Beyond the bound both sides are read once and no side is broadcast."""
+    spark.range(0, 300).selectExpr("id as a", "id % 7 as x").write.parquet(str(tmp_path / "l"))
+    left = spark.read.parquet(str(tmp_path / "l"))
+    right = spark.range(0, 120).selectExpr("id as b", "id % 5 as y").unionByName(spark.createDataFrame([(7, 2)] * 30, "b long, y long"))
+    grid = fx.all_pairs(left, right, lambda: (F.col("x") * F.col("y")).cast("double"), max_rows=25)
+    assert _scans(grid, "FileScan") == 1 and _scans(grid, "BroadcastNestedLoopJoin") == _scans(grid, "CartesianProduct") == 0
+    want = sorted((a, a % 7, b, b % 5, float(a % 7 * (b % 5))) for a in range(300) for b in [*range(120), *[7] * 30])
+    assert sorted(tuple(r) for r in grid.collect()) == want
+
+
+def test_lexical_grid_reads_the_left_side_twice_at_most(spark, tmp_path):
+    """Once for scores, once for the rows: not once for each block."""
+    rows = [(i, f"w{i % 9} w{i % 4} common") for i in range(60)] + [(3, "w3 w3 common")] * 2 + [(None, "w1")]
+    spark.createDataFrame(rows, "lid long, ltext string").write.parquet(str(tmp_path / "l"))
+    left = spark.read.parquet(str(tmp_path / "l"))
+    right = spark.createDataFrame([(i, f"w{i % 5} common") for i in range(40)] + [(99, "")], "rid long, rtext string")
+    small, grid = (fx.lexical_all_pairs(left, "ltext", right, "rtext", ["rid"], max_rows=n) for n in (1000, 8))
+    assert sorted(map(str, grid.collect())) == sorted(map(str, small.collect())) and grid.count() == len(rows) * 41
+    assert _scans(grid, "FileScan") == _scans(small, "FileScan")
+
+
+def test_row_identity_survives_another_numbering(spark):
+    """Rows are known by what they hold: shuffled input with repeats gives the same result, however it is dealt."""
+    rows = [(i % 4, f"w{i % 3} w{i % 5}") for i in range(60)] + [(None, "w1 w2")] * 3
+    right = spark.createDataFrame([(1, "w1 w2"), (1, "w1 w2"), (2, "w0 w4"), (None, "w3")], "rid long, rtext string")
+    got = []
+    for n in (1, 5):
+        left = spark.createDataFrame(rows, "lid long, ltext string").repartition(n)
+        plan = fx.lexical_scores(left, ["lid"], "ltext", right, ["rid"], "rtext")
+        assert "monotonically" not in plan._jdf.queryExecution().optimizedPlan().toString()
+        got.append(sorted((str(r.lid), str(r.rid), r.dot, round(r.raw_score, 9)) for r in plan.collect()))
+    want = sorted((str(a), str(b), sum(Counter(x.split())[w] * n for w, n in Counter(y.split()).items()), round(_brute(x, y), 9))
+                  for a, x in rows for b, y in [(1, "w1 w2"), (1, "w1 w2"), (2, "w0 w4"), (None, "w3")] if set(x.split()) & set(y.split()))
+    assert got[0] == got[1] == want
 
 
 def test_rows_repeating_a_key_are_scored_by_their_own_text(spark):
@@ -163,7 +198,7 @@ def test_rows_repeating_a_key_are_scored_by_their_own_text(spark):
 def test_zero_vectors_score_zero(spark):
     left = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0])], "id long, v array<double>")
     right = spark.createDataFrame([(7, [0.0, 0.0]), (8, [2.0, 0.0])], "rid long, w array<double>")
-    got = {(r.id, r.rid): r.score for r in fx.dense_all_pairs(left, "v", right, "w", ["rid"]).collect()}
+    got = {(r.id, r.rid): r.score for r in fx.dense_all_pairs(left, "v", right, "w").collect()}
     assert got == {(1, 7): 0.0, (1, 8): 0.0, (2, 7): 0.0, (2, 8): 1.0}
 
 
@@ -174,14 +209,6 @@ def test_supplied_labels_have_a_total_order(spark):
     assert [r.intent for r in fx.assign_labels(items, "item_id", "qtext", supplied, labs, "intent").collect()] == ["a"]
 
 
-def test_chunks_end_on_a_key_larger_than_the_bound(spark):
-    df = spark.createDataFrame([(1, f"t{i}") for i in range(20)], "k long, t string")
-    chunks = fx.broadcast_chunks(df, ["k"], max_rows=5)
-    assert sum(c.count() for c in chunks) == 20
-    wide = spark.createDataFrame([(i, "x" * 1_000) for i in range(50)], "k long, t string")
-    assert len(fx.broadcast_chunks(wide, ["k"], max_bytes=10_000)) > 1
-
-
 def test_the_grid_of_all_pairs_is_not_shuffled(spark):
     left, right = _frames(spark)
     p = fx.lexical_all_pairs(left, "ltext", right, "rtext", ["rid"])._jdf.queryExecution().executedPlan().toString()
