@@ -120,7 +120,7 @@ def scored(pairs: DataFrame, left: DataFrame, lk: Sequence[str], right: DataFram
         entries = entries.join(used, _same(row, [f"_of_{c}" for c in row]), "left_semi")
         sides.append((stage_table(_vectors(entries, keys, side), "vectors"), keys, side))
     return _with_sides(near, sides, max_rows).select(*lk, "lh", *rk, "rh", *also, "lm", "rm", cosine_from(
-        entries_dot("lv", "rv"), "lnorm", "rnorm").alias("raw_score"))
+        entries_dot("lv", "rv", dict(left.dtypes)["ltf"]), "lnorm", "rnorm").alias("raw_score"))
 
 
 def candidates(left: DataFrame, lk: Sequence[str], right: DataFrame, rk: Sequence[str], bound: Column,
@@ -136,10 +136,16 @@ def candidates(left: DataFrame, lk: Sequence[str], right: DataFrame, rk: Sequenc
 def pruned_match(left: DataFrame, left_keys: Sequence[str], left_text: str, right: DataFrame, right_keys: Sequence[str],
                  right_text: str, min_score: float, digits: int = 6, max_rows: int = config.BROADCAST_MAX_ROWS) -> DataFrame:
     """The rows of ``lexical_match``, by candidates and verification."""
+    lk, rk = list(left_keys), list(right_keys)
+    return match_postings(postings(left, lk, left_text, "l"), lk, postings(right, rk, right_text, "r"), rk, min_score, digits, max_rows)
+
+
+def match_postings(lp: DataFrame, lk: Sequence[str], rp: DataFrame, rk: Sequence[str], min_score: float, digits: int = 6,
+                   max_rows: int = config.BROADCAST_MAX_ROWS) -> DataFrame:
+    """The pruned match of two sides' postings, of counts or other weights that
+    aren't negative."""
     if not min_score > 0:
         raise ValueError("a pruned match needs a positive threshold")
-    lk, rk = list(left_keys), list(right_keys)
-    lp, rp = postings(left, lk, left_text, "l"), postings(right, rk, right_text, "r")
     ranks = term_ranks(lp, rp)
     lv, rv = ranked(lp, ranks, lk, "l"), ranked(rp, ranks, rk, "r")
     least = min_score * (1 - _SLACK)

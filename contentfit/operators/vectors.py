@@ -94,14 +94,15 @@ def lexical_vector(text) -> Column:
         entries_from_sorted(s), lambda e: F.struct(e.alias("entries"), entries_norm(e).alias("norm"))))
 
 
-def entries_dot(a, b) -> Column:
+def entries_dot(a, b, kind: str = "bigint") -> Column:
     """Dot product of two term vectors by merging them: after sorting the
     concatenation, a shared term sits in two adjacent slots (terms are
-    distinct within each side)."""
+    distinct within each side).  ``kind`` is the weights' type."""
+    zero = F.lit(0).cast(kind)
     m = F.sort_array(F.concat(_c(a), _c(b)))
     prods = F.zip_with(m, F.slice(m, 2, F.greatest(F.size(m), F.lit(1))),
-                       lambda x, y: F.when(x["term"] == y["term"], x["tf"] * y["tf"]).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(prods, F.lit(0).cast("long"), lambda acc, p: acc + F.coalesce(p, F.lit(0).cast("long")))
+                       lambda x, y: F.when(x["term"] == y["term"], x["tf"] * y["tf"]).otherwise(zero))
+    return F.aggregate(prods, zero, lambda acc, p: acc + F.coalesce(p, zero))
 
 
 def cosine_from(dot, norm_a, norm_b) -> Column:

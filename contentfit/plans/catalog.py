@@ -8,6 +8,8 @@ the oracle SQL in :mod:`contentfit.plans.oracle`.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +17,12 @@ from contentfit.functions import rules as rl
 from contentfit.functions import text as tx
 from contentfit.operators import fit as fx
 from contentfit.operators import improve as im
+from contentfit.operators import match as mt
 from contentfit.operators import report as rp
 from contentfit.operators import sections as sx
 from contentfit.operators import terms as tm
+from contentfit.operators import weighting as wt
+from contentfit.session import ensure_checkpoint_dir
 from contentfit.sources.tables import read_table, search_performance, spread, stage_table
 
 # Cut used where the driver tables never reach the default 0.65.
@@ -200,6 +205,24 @@ def lexical_fit(spark, sf_dir):
     return _doc_fit(spark, sf_dir, fx.config.VERDICT_CUT).drop("raw_score")
 
 
+def lexical_fit_pruned(spark, sf_dir):
+    """J7 by candidates and bounds, as for two large sides."""
+    m = mt.pruned_match(_documents(spark, sf_dir), ["doc_id"], "text", _query_side(spark, sf_dir), ["item_id"], "qtext",
+                        fx.config.VERDICT_CUT)
+    return m.select("doc_id", "item_id", "score", fx.verdict(F.col("raw_score")).alias("verdict"))
+
+
+def idf_fit(spark, sf_dir):
+    """Documents x benchmark texts on vectors weighted by the documents'
+    frequencies, a model that is saved and read back."""
+    docs = _documents(spark, sf_dir)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/idf-{uuid.uuid4().hex}"
+    version = wt.save_model(wt.fit_idf(docs, "text"), path)
+    m = wt.idf_match(docs, ["doc_id"], "text", _query_side(spark, sf_dir), ["item_id"], "qtext",
+                     wt.load_model(spark, path, version), LOW_CUT)
+    return m.select("doc_id", "item_id", "score", fx.verdict(F.col("raw_score")).alias("verdict"))
+
+
 def verdict_counts(spark, sf_dir):
     """V4: verdict distribution over ALL document x text pairs.  Pairs at the
     cut or above are matched and counted; the rest of the grid is low_fit
@@ -267,6 +290,21 @@ def section_query_fit(spark, sf_dir):
     return pairs.select("page_id", "section", "ordinal", "item_id", "score", "verdict")
 
 
+def incremental_fit(spark, sf_dir):
+    """The section x query fits of a first run, on pages of which each
+    hundredth was another and with other texts for some queries, brought up to
+    the pages and queries as they are."""
+    from contentfit.plans import incremental as inc
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/incremental-{uuid.uuid4().hex}"
+    pages, queries = _pages(spark, sf_dir), _query_side(spark, sf_dir).select(F.col("item_id").alias("query_id"), F.col("qtext").alias("query"))
+    old_pages = pages.withColumn("html", F.when(F.col("page_id") % 100 == 0, F.lit("<h1>an older page</h1>")).otherwise(F.col("html")))
+    old_queries = queries.withColumn("query", F.when(F.col("query_id") % 50 == 0, F.lit("an older query")).otherwise(F.col("query")))
+    inc.update_fits(spark, old_pages, old_queries, path, LOW_CUT)
+    inc.update_fits(spark, pages, queries, path, LOW_CUT)
+    fits = inc.Tables(spark, path).read("fits", inc.FITS)
+    return fits.select("page_id", "section", "ordinal", F.col("query_id").alias("item_id"), "score", "verdict")
+
+
 def title_heading_selffit(spark, sf_dir):
     """Title against the first paragraph of the same page."""
     arr = sx.page_arrays(_pages(spark, sf_dir))
@@ -417,6 +455,12 @@ def query_intents(spark, sf_dir):
     return fx.nearest_label(items, "item_id", "qtext", intents, "intent").select("item_id", "intent", "score")
 
 
+def query_intents_bounded(spark, sf_dir):
+    """J6/X6 by bounds, as for many labels and items."""
+    intents = clean_intents(spark, sf_dir).select(tx.label_text("intent").alias("intent"))
+    return mt.best_match(_query_side(spark, sf_dir), "qtext", intents, "intent").select("item_id", "intent", "score")
+
+
 def supplied_intents(spark, sf_dir):
     """J6 with a supplied table: labels for every other text, given twice over
     with different labels; the rest take the nearest cleaned user intent."""
@@ -542,12 +586,15 @@ QUERIES = {
     "parse_number": parse_number,
     "first_json": first_json,
     "lexical_fit": lexical_fit,
+    "lexical_fit_pruned": lexical_fit_pruned,
+    "idf_fit": idf_fit,
     "verdict_counts": verdict_counts,
     "improvable_strict": improvable_strict,
     "improvable_any": improvable_any,
     "section_intent_fit": section_intent_fit,
     "section_intent_fit_all": section_intent_fit_all,
     "section_query_fit": section_query_fit,
+    "incremental_fit": incremental_fit,
     "title_heading_selffit": title_heading_selffit,
     "best_section_per_query": best_section_per_query,
     "improve_by_rules": improve_by_rules,
@@ -560,6 +607,7 @@ QUERIES = {
     "dense_fit": dense_fit,
     "lsh_fit": lsh_fit,
     "query_intents": query_intents,
+    "query_intents_bounded": query_intents_bounded,
     "supplied_intents": supplied_intents,
     "attempt_choice": attempt_choice,
     "title_case": title_case,
