@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contentfit.llm.common import (LOWER, free_name, list_array, mix64, slices, text_bytes, window_hashes, with_computed,
+from contentfit.llm.common import (LOWER, free_name, list_array, mix64, slices, text_bytes, tidy, window_hashes, with_computed,
                                    word_hashes, word_spans, write_stage)
 
 MIN_WORDS = 20
@@ -107,7 +107,7 @@ def document_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 [batch.column(0), list_array(list(start), pa.int32()), list_array(list(size), pa.int32()),
                  list_array(list(digest), pa.int64())], names=["id", "start", "size", "digest"])
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_col).where("id is not null").mapInArrow(
-        run, "id long, start array<int>, size array<int>, digest array<long>")
+        tidy(run), "id long, start array<int>, size array<int>, digest array<long>")
     return rows.select("id", F.explode(F.arrays_zip("start", "size", "digest")).alias("c")).select(
         "id", "c.start", "c.size", "c.digest")
 
@@ -134,7 +134,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 [batch.column(0), pa.array(sizes, pa.int64()), list_array([s for s, _ in found], pa.int32()),
                  list_array([e for _, e in found], pa.int32()), batch.column(2)],
                 names=["doc_id", "n_removed_words", "starts", "ends", "first_doc_ids"])
-    return merged.mapInArrow(run, "doc_id long, n_removed_words long, starts array<int>, ends array<int>, first_doc_ids array<long>")
+    return merged.mapInArrow(tidy(run), "doc_id long, n_removed_words long, starts array<int>, ends array<int>, first_doc_ids array<long>")
 
 
 def merge_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -8,6 +8,7 @@ UTF-8 bytes, so no Python object is made per word.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -150,6 +151,18 @@ def slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatc
         yield batch.slice(lo, step)
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run``, and then give back to the system what the partition's work has
+    freed, as a worker lives on between tasks."""
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+    return tidied
+
+
 def with_computed(df: DataFrame, name: str, kind: str, compute: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
     """``df`` with a column ``name`` of SQL type ``kind`` that ``compute`` makes
     from a batch of rows.
@@ -160,7 +173,7 @@ def with_computed(df: DataFrame, name: str, kind: str, compute: Callable[[pa.Rec
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (part for whole in batches for part in slices(whole)):
             yield pa.RecordBatch.from_arrays([*part.columns, compute(part)], names=[*part.schema.names, name])
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, DataType.fromDDL(kind))]))
+    return df.mapInArrow(tidy(run), StructType([*df.schema.fields, StructField(name, DataType.fromDDL(kind))]))
 
 
 ROWS_PER_FILE = 100_000

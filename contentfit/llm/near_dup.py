@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contentfit.llm.common import free_name, list_array, mix64, shingle_set, slices, text_bytes, with_computed, write_stage
+from contentfit.llm.common import free_name, list_array, mix64, shingle_set, slices, text_bytes, tidy, with_computed, write_stage
 from contentfit.llm.graph import components
 
 SHINGLE_WORDS = 4
@@ -118,7 +118,7 @@ def class_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
                  list_array(list(keys), pa.int64()), list_array(list(odd), pa.int64())],
                 names=["id", "n_shingles", "digest", "bands", "odd"])
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, _SAMPLES_SCHEMA)
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(tidy(run), _SAMPLES_SCHEMA)
 
 
 def full_sets(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
@@ -130,7 +130,7 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([set_digest(s) for s in sets], pa.binary()),
                  list_array([s.view(np.int64) for s in sets], pa.int64())], names=["digest", "shingles"])
-    return docs.select(text_col).mapInArrow(run, "digest binary, shingles array<long>")
+    return docs.select(text_col).mapInArrow(tidy(run), "digest binary, shingles array<long>")
 
 
 def _flips(a: str, b: str, words: int) -> Column:
@@ -178,7 +178,7 @@ def hub_bitmaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 names=["hub", "digest", "bits", "common", "others", "lost"])
     a = sets.select(F.col("digest").alias("hub"), F.col("shingles").alias("hub_set"))
     both = pairs.join(a, "hub").join(sets.select("digest", "shingles"), "digest").select("hub", "digest", "hub_set", "shingles")
-    return both.mapInArrow(run, "hub binary, digest binary, bits array<long>, common int, others array<long>, lost int")
+    return both.mapInArrow(tidy(run), "hub binary, digest binary, bits array<long>, common int, others array<long>, lost int")
 
 
 def _linkable(left: DataFrame, sets: DataFrame, pct: int) -> DataFrame:

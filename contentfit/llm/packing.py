@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from contentfit.llm.common import text_bytes, word_hashes, word_spans, write_stage
+from contentfit.llm.common import text_bytes, tidy, word_hashes, word_spans, write_stage
 
 CAPACITY = 2048
 END_ID = 1
@@ -186,7 +186,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays(
                     [ids_of.take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))],
                     names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, _PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(tidy(run), _PIECES)
 
 
 def fill(counts: dict[int, int], room: int) -> dict[int, int]:
