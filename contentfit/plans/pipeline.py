@@ -125,8 +125,8 @@ def run(spark: SparkSession, perf: DataFrame, pages: DataFrame, out_dir: str,
 def main(argv=None) -> None:
     """``python -m contentfit.plans.pipeline --pages P --perf Q --out O``.
 
-    ``--pages``: parquet with (page_id, url, html); ``--perf``: CSV or parquet
-    with (query, clicks, impressions), or the reference's headers; ``--labels``:
+    ``--pages``: parquet with (page_id, url, html); ``--perf``: CSV, parquet or
+    xlsx with (query, clicks, impressions), or the reference's headers; ``--labels``:
     the same for (query, intent); ``--attempts``: parquet with (row_key,
     attempt, try, raw).
     """
@@ -134,7 +134,7 @@ def main(argv=None) -> None:
 
     from contentfit.session import get_spark
     from contentfit.sources.compat import from_reference
-    from contentfit.sources.tables import read_csv, require_columns
+    from contentfit.sources.tables import read_csv, read_search_performance, require_columns
 
     ap = argparse.ArgumentParser(description=main.__doc__)
     ap.add_argument("--pages", required=True)
@@ -155,7 +155,10 @@ def main(argv=None) -> None:
     ap.add_argument("--master", default=None)
     a = ap.parse_args(argv)
     spark = get_spark("contentfit-pipeline", master=a.master)
-    perf = read_csv(spark, a.perf) if a.perf.endswith(".csv") else spark.read.parquet(a.perf)
+    if a.perf.endswith(".xlsx"):
+        perf = read_search_performance(spark, a.perf, "xlsx")
+    else:
+        perf = read_csv(spark, a.perf) if a.perf.endswith(".csv") else spark.read.parquet(a.perf)
     perf = require_columns(from_reference(perf), ["query", "clicks", "impressions"]).select(
         "query", F.col("clicks").cast("long"), F.col("impressions").cast("long"))
     pages = require_columns(spark.read.parquet(a.pages), ["page_id", "url", "html"])

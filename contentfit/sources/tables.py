@@ -89,8 +89,12 @@ def search_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_search_performance(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """S1 for an exported search-performance file (CSV or parquet)."""
-    if fmt == "csv":
+    """S1 for an exported search-performance file (CSV, parquet or xlsx)."""
+    if fmt == "xlsx":
+        from contentfit.sources.compat import TO_OURS
+        from contentfit.sources.excel import read_excel
+        df = read_excel(spark, path, SEARCH_PERFORMANCE_SCHEMA, names_of=TO_OURS)
+    elif fmt == "csv":
         df = read_csv(spark, path, SEARCH_PERFORMANCE_SCHEMA)
     else:
         df = spark.read.parquet(path)
