@@ -110,7 +110,11 @@ def page_sections(pages: DataFrame, kinds=SECTION_KINDS, url: str | None = None)
     """
     if url is not None:
         pages = pages.where(F.col("url") == url.strip())
-    arr = page_arrays(pages)
+    return sections_of(page_arrays(pages), kinds)
+
+
+def sections_of(arr: DataFrame, kinds=SECTION_KINDS) -> DataFrame:
+    """The long form of parsed pages (``page_arrays``)."""
     items = F.concat(*[_kind_items(k) for k in kinds])
     # explode_outer + filter: see fit._exploded_entries (no inferred filter
     # that would re-run the page parsing).

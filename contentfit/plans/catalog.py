@@ -114,7 +114,7 @@ def built_page_rows(spark, sf_dir):
 def title_fit_full(spark, sf_dir):
     """{title, meta} of every page x every benchmark text, all
     pairs (zero scores kept), guarded cosine, verdict."""
-    arr = sx.page_arrays(_pages(spark, sf_dir))
+    arr = stage_table(sx.page_arrays(_pages(spark, sf_dir)).select("page_id", "title", "meta_description"), "fields")
     fields = arr.select("page_id", F.expr("stack(2, 'title', title, 'meta', meta_description) AS (field, text)"))
     q = _benchmark(spark, sf_dir).select("item_id", F.col("text").alias("qtext"))
     pairs = fx.lexical_all_pairs(fields, "text", q, "qtext", ["item_id"], cut=LOW_CUT)
@@ -268,9 +268,14 @@ def _intents_from_benchmark(spark, sf_dir):
     return _benchmark(spark, sf_dir).select(tx.clean_intent("text").alias("intent")).distinct()
 
 
+def _sections(spark, sf_dir, kinds=sx.SECTION_KINDS):
+    """Page sections, parsed once and written: scores and rows both read them."""
+    return stage_table(sx.page_sections(_pages(spark, sf_dir), kinds=kinds).drop("url"), "sections")
+
+
 def section_intent_fit(spark, sf_dir):
     """Every h1 section x every distinct cleaned intent, all pairs."""
-    h1 = sx.page_sections(_pages(spark, sf_dir), kinds=("h1",)).drop("url")
+    h1 = _sections(spark, sf_dir, ("h1",))
     pairs = fx.lexical_all_pairs(h1, "text", _intents_from_benchmark(spark, sf_dir), "intent",
                                  ["intent"], cut=LOW_CUT)
     return pairs.select("page_id", "section", "ordinal", "text", "intent", "score", "verdict")
@@ -278,14 +283,14 @@ def section_intent_fit(spark, sf_dir):
 
 def section_intent_fit_all(spark, sf_dir):
     """J1 over every kind of section, all pairs."""
-    secs = sx.page_sections(_pages(spark, sf_dir)).drop("url")
+    secs = _sections(spark, sf_dir)
     pairs = fx.lexical_all_pairs(secs, "text", _intents_from_benchmark(spark, sf_dir), "intent", ["intent"], cut=LOW_CUT)
     return pairs.select("page_id", "section", "ordinal", "intent", "score", "verdict")
 
 
 def section_query_fit(spark, sf_dir):
     """Every section x every benchmark text, all pairs."""
-    secs = sx.page_sections(_pages(spark, sf_dir)).drop("url")
+    secs = _sections(spark, sf_dir)
     pairs = fx.lexical_all_pairs(secs, "text", _query_side(spark, sf_dir), "qtext", ["item_id"], cut=LOW_CUT)
     return pairs.select("page_id", "section", "ordinal", "item_id", "score", "verdict")
 
@@ -314,7 +319,7 @@ def title_heading_selffit(spark, sf_dir):
 
 def best_section_per_query(spark, sf_dir):
     """Per page and benchmark text, the best section."""
-    secs = sx.page_sections(_pages(spark, sf_dir)).drop("url")
+    secs = _sections(spark, sf_dir)
     return fx.best_section_per_query(secs, _query_side(spark, sf_dir), "item_id", "qtext", cut=LOW_CUT)
 
 
@@ -328,9 +333,9 @@ def _improve_work(spark, sf_dir):
     """Fit rows the query job works on: page sections (title as a section of
     its own) x benchmark texts, verdict at the low cut AND score in the band
     [low cut, 0.85] (F5), with the texts joined back."""
-    pages = _pages(spark, sf_dir)
-    arr = sx.page_arrays(pages)
-    secs = (sx.page_sections(pages, kinds=sx.SECTION_KINDS).drop("url")
+    # One parse: the job's plans read the sections in several places.
+    arr = stage_table(sx.page_arrays(_pages(spark, sf_dir)).select("page_id", "url", "title", *sx.SECTION_KINDS), "page-texts")
+    secs = (sx.sections_of(arr).drop("url")
               .unionByName(arr.select("page_id", F.lit("title").alias("section"),
                                       F.lit(1).cast("int").alias("ordinal"), F.col("title").alias("text"))))
     keys = ["page_id", "section", "ordinal"]

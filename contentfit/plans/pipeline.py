@@ -17,11 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contentfit import config
+from contentfit.functions import prompts as pr
 from contentfit.functions import rules as rl
 from contentfit.functions import text as tx
 from contentfit.operators import fit as fx
 from contentfit.operators import improve as im
 from contentfit.operators import report as rp
+from contentfit.operators import requests as rq
 from contentfit.operators import sections as sx
 from contentfit.operators import terms as tm
 from contentfit.sources.tables import write_table
@@ -58,14 +60,16 @@ def _intents(queries: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def run(spark: SparkSession, perf: DataFrame, pages: DataFrame, out_dir: str,
         cfg: PipelineConfig = PipelineConfig(), url: str | None = None, labels: DataFrame | None = None,
-        attempts: DataFrame | None = None, resume: bool = False) -> dict[str, DataFrame]:
+        attempts: DataFrame | None = None, resume: bool = False, answers: DataFrame | None = None) -> dict[str, DataFrame]:
     """Run every stage; returns the written tables re-read as DataFrames.
 
     ``perf``: (query, clicks, impressions); ``pages``: (page_id, url, html);
     ``labels``: (query, intent), may cover some of the queries; ``attempts``:
     generated texts (row_key, attempt, try, raw) for the intent job, whose
-    rows are named as in the ``intent_work`` table.  Without it the intent job
-    leaves every text as it is.
+    rows are named as in the ``intent_work`` table.  Without it they come from
+    ``answers``, (digest, attempt, try, raw), to the requests that this and
+    earlier runs wrote (``requests``, see :mod:`contentfit.operators.requests`);
+    a row without an answer stays as it is.
     """
     out: dict[str, DataFrame] = {}
 
@@ -88,8 +92,9 @@ def run(spark: SparkSession, perf: DataFrame, pages: DataFrame, out_dir: str,
     intents = stage("query_intents", lambda: _intents(queries, labels))
     if url is not None:
         pages = pages.where(F.col("url") == url.strip())
-    arrays = sx.page_arrays(pages)
-    sections = stage("sections", lambda: sx.page_sections(pages), ["section"])
+    # Pages are parsed once: what the job reads of a page is written, sections and titles are projections of it.
+    arrays = stage("page_texts", lambda: sx.page_arrays(pages).select("page_id", "url", "title", "meta_description", *sx.SECTION_KINDS))
+    sections = stage("sections", lambda: sx.sections_of(arrays), ["section"])
     fields = stage("fields", lambda: arrays.select("page_id", "title", "meta_description"))
 
     # Every section x every intent and query, zeros kept; J3 and J4 for titles and descriptions.
@@ -107,12 +112,18 @@ def run(spark: SparkSession, perf: DataFrame, pages: DataFrame, out_dir: str,
 
     work = im.improvable(fit, "strict", score_col="raw_score", lo=cfg.band[0], hi=cfg.band[1])
     improved = stage("query_improvement", lambda: im.improve_by_rules(
-        work, cfg.pack, keys=["page_id", "ordinal", "query_id"], score_col="raw_score", rollback=cfg.rollback))
+        work, cfg.pack, keys=["page_id", "ordinal", "query_id"], score_col="raw_score", rollback=cfg.rollback,
+        section_keys=[*SECTION_KEYS, "text"], query_keys=["query_id"], sections=texts.distinct(), queries=queries.select("query_id", "query")))
     rows = stage("intent_work", lambda: im.improvable(intent_fit, "any", score_col="raw_score", lo=cfg.band[0], hi=cfg.band[1]).select(
         F.concat_ws("|", *intent_row_key()).alias("row_key"), "intent", F.col("text").alias("old_text"), "section",
         F.col("raw_score").alias("old_score")))
+    asking = rq.with_request(rows, pr.render(pr.IMPROVE_TEMPLATE, {
+        "kullanici_niyeti": "intent", "mevcut_icerik": "old_text", "html_bolumu": "section", "eski_skor": F.round("old_score", 6)}))
+    answers = spark.createDataFrame([], rq.ANSWER) if answers is None else answers
+    # What generation is asked next for; answers given by digest are dealt to the rows that share them.
+    out["requests"] = rq.make_requests(asking, answers, f"{out_dir.rstrip('/')}/requests", max_attempts=cfg.attempts, max_tries=cfg.tries)
     if attempts is None:
-        attempts = spark.createDataFrame([], "row_key string, attempt int, try int, raw string")
+        attempts = rq.fan_out(asking, answers)
     chosen = im.attempt_texts(attempts, rows, max_tries=cfg.tries)
     by_intent = stage("intent_improvement", lambda: im.first_improving_attempt(rows, chosen, max_attempts=cfg.attempts))
 
@@ -128,7 +139,7 @@ def main(argv=None) -> None:
     ``--pages``: parquet with (page_id, url, html); ``--perf``: CSV, parquet or
     xlsx with (query, clicks, impressions), or the reference's headers; ``--labels``:
     the same for (query, intent); ``--attempts``: parquet with (row_key,
-    attempt, try, raw).
+    attempt, try, raw); ``--answers``: parquet with (digest, attempt, try, raw).
     """
     import argparse
 
@@ -150,6 +161,7 @@ def main(argv=None) -> None:
     ap.add_argument("--rollback", action="store_true", help="keep a text that its candidates don't improve")
     ap.add_argument("--labels", default=None)
     ap.add_argument("--attempts", default=None)
+    ap.add_argument("--answers", default=None)
     ap.add_argument("--resume", action="store_true", help="keep the tables of an earlier run")
     ap.add_argument("--pack", choices=("turkish", "english-test"), default="turkish")
     ap.add_argument("--master", default=None)
@@ -168,9 +180,10 @@ def main(argv=None) -> None:
         labels = read_csv(spark, a.labels) if a.labels.endswith(".csv") else spark.read.parquet(a.labels)
         labels = require_columns(from_reference(labels), ["query", "intent"])
     attempts = require_columns(spark.read.parquet(a.attempts), ["row_key", "attempt", "try", "raw"]) if a.attempts else None
+    answers = require_columns(spark.read.parquet(a.answers), ["digest", "attempt", "try", "raw"]) if a.answers else None
     cfg = PipelineConfig(top_k=a.top_k, cut=a.cut, band=tuple(a.band), delta=a.delta, attempts=a.max_attempts,
                          tries=a.max_tries, rollback=a.rollback, pack=pack)
-    out = run(spark, perf, pages, a.out, cfg, url=a.url, labels=labels, attempts=attempts, resume=a.resume)
+    out = run(spark, perf, pages, a.out, cfg, url=a.url, labels=labels, attempts=attempts, resume=a.resume, answers=answers)
     out["report_text"].show(truncate=False)
 
 
