@@ -14,8 +14,10 @@ shingles in the document's full set.
 
 Defined cases: empty texts have no shingles and match nothing; a text of fewer
 than five words is one shingle; null ids match nothing; rows repeating an id
-give one row per pair, the highest containment; without items the result is
-empty.
+give one row per pair, the highest containment; a containment of exactly the
+threshold counts; a very long text is read whole, its shingles as one array of
+its row; without items or documents the result is empty; extra columns of any
+name are kept by ``drop_contaminated``.
 """
 
 from __future__ import annotations

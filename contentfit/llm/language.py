@@ -16,7 +16,9 @@ the held-out fold.
 Defined cases: a null text or one without a letter is ``und`` with score 0, as
 is every text when nothing was learned; one language alone is predicted for
 all other texts with score 1; rows of a null language aren't learned from;
-repeated rows and null ids are predicted like any.
+repeated rows and null ids are predicted like any; equally near codewords go
+to the first language in order; a very long text is read block by block; an
+empty table gives no rows.
 """
 
 from __future__ import annotations

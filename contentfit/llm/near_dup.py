@@ -26,7 +26,9 @@ most pairs that pass it are links, and it never fails, so none is lost.
 Defined cases: an empty or null text has no shingles and links with nothing; a
 text of fewer than ``k`` words is one shingle; a row with a null id is linked
 with nothing and stays; rows of one id stay or go by their own text, and a row
-repeated whole stays or goes as one.
+repeated whole stays or goes as one; of equal sets the smallest id stays; a
+very long text's set is made by itself, in memory that follows its own length;
+an empty table gives no rows; extra columns of any name are kept.
 """
 
 from __future__ import annotations

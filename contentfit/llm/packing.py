@@ -12,7 +12,10 @@ number of lengths, not of documents.  Pieces are ranked within their length
 one task) and the rank picks a place in the plan.
 
 Defined cases: null and empty texts have only the end id; every row is packed,
-a repeated row or a null id too; an empty table gives an empty result.
+a repeated row or a null id too; a very long text is encoded by itself and cut
+into full sequences and a rest; pieces of one length are told apart by id and
+place, rows equal in all take the places in any order; an empty table gives an
+empty result; other columns are not read.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@ Fitting reads at most ``max_fit_rows`` labelled rows outside the held-out fold
 hash order, ``epochs`` times; the shards' weights are averaged.
 
 Defined cases: null and empty texts score from the intercept alone; without
-labels every score is 0.5; repeated rows and null ids are scored like any.
+labels every score is 0.5; repeated rows and null ids are scored like any; an
+id labelled twice takes the larger label; a score of exactly 0.5 is predicted
+1; a very long text is read whole, by itself; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -87,22 +89,24 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
                                              names=["order", "label", "at"])
 
     def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = [(a, y) for f in frames for a, y in zip(f["at"], f["label"])]
-        if not rows:
-            return
-        model = Ftrl(bits)
-        for _ in range(epochs):
-            for at, label in rows:
-                model.learn(at, label)
-        w = model.weights(np.arange(len(model.z)))
-        some = np.append(np.flatnonzero(w[:-1]), len(w) - 1)
-        yield pd.DataFrame({"at": some, "w": w[some]})
+        rows: dict[int, list] = {}  # a task may have several shards, each learns by itself
+        for f in frames:
+            for shard, a, y in zip(f["shard"], f["at"], f["label"]):
+                rows.setdefault(shard, []).append((a, y))
+        for shard in sorted(rows):
+            model = Ftrl(bits)
+            for _ in range(epochs):
+                for at, label in rows[shard]:
+                    model.learn(at, label)
+            w = model.weights(np.arange(len(model.z)))
+            some = np.append(np.flatnonzero(w[:-1]), len(w) - 1)
+            yield pd.DataFrame({"at": some, "w": w[some]})
 
     sample = labelled_sample(docs, labels, label_col, max_fit_rows, id_col, text_col)
     shaped = sample.select("order", "label", "text").mapInArrow(shape, "order long, label int, at array<int>")
     per_shard = (shaped.withColumn("shard", F.pmod("order", F.lit(shards)))
                  .repartition(shards, "shard").sortWithinPartitions("shard", "order")
-                 .select("label", "at").mapInPandas(learn, "at long, w double"))
+                 .select("shard", "label", "at").mapInPandas(learn, "at long, w double"))
     rows = per_shard.groupBy("at").agg(F.sum("w").alias("w"), F.count("*").alias("n")).collect()
     if not rows:
         return None
