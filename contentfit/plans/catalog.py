@@ -354,6 +354,27 @@ def improve_by_rules(spark, sf_dir):
                                sections=secs, queries=qs)
 
 
+# Words of the default pack's own rules, put before the benchmark texts: as wishes they take every branch of the
+# query rules, as priors every flag, edit and removal of the text rules.
+PACK_WISHES = ("", "nasıl", "verme", "vermek", "oluşturma", "kurma", "açma", "rehberi", "kılavuzu")
+PACK_PRIORS = ("", "arama sonuçlar", "tıklama başına", "Google Ads", "Basit ya da", "yardımcı olur")
+PACK_SECTIONS = ("h1", "h2", "h3", "p", "li")
+
+
+def default_pack_rows(spark, sf_dir):
+    """I4 with the job's default pack: every benchmark text behind words that
+    the pack's rules look for, in a section of every kind of rule."""
+    def each(name, values):
+        return F.explode(F.array(*(F.struct(F.lit(i).alias(name), F.lit(x).alias(f"{name}_text")) for i, x in enumerate(values)))).alias(name)
+    b = spread(_benchmark(spark, sf_dir)).select("item_id", "text", each("w", PACK_WISHES)).select("*", each("p", PACK_PRIORS)).select(
+        "*", F.explode(F.array(*map(F.lit, PACK_SECTIONS))).alias("section"))
+    rows = b.select("item_id", F.col("w.w").alias("wish"), F.col("p.p").alias("prior"), "section",
+                    F.concat_ws(" ", "w.w_text", "text").alias("query"), F.concat_ws(" ", "p.p_text", "text").alias("text"))
+    rows = stage_table(fx.self_fit(rows, "query", "text", digits=12).drop("verdict"), "pack-rows")
+    out = im.improve_by_rules(rows, rl.TURKISH_ADS, keys=["item_id", "wish", "prior"])
+    return out.select("item_id", "wish", "prior", "section", "new_text", "old_score", "new_score", "pct_change")
+
+
 def _intent_job_inputs(spark, sf_dir):
     """Intent-job rows and candidates from conversations: the first user
     turn is the intent (cleaned, C1), the first assistant turn the current
@@ -603,6 +624,7 @@ QUERIES = {
     "title_heading_selffit": title_heading_selffit,
     "best_section_per_query": best_section_per_query,
     "improve_by_rules": improve_by_rules,
+    "default_pack_rows": default_pack_rows,
     "first_improving_attempt": first_improving_attempt,
     "pct_change": pct_change,
     "report_rows": report_rows,
