@@ -28,6 +28,7 @@ HEADLINE = (
     "lexical_fit",
     "best_section_per_query",
     "section_intent_fit",
+    "section_intent_fit_all",
     "priority_terms",
     "query_intents",
     "dense_fit",
