@@ -26,6 +26,7 @@ from contentfit.operators import report as rp
 from contentfit.operators import requests as rq
 from contentfit.operators import sections as sx
 from contentfit.operators import terms as tm
+from contentfit.sources.fit_tables import RANGE, read_fit, write_fit
 from contentfit.sources.tables import write_table
 
 SECTION_KEYS = ["page_id", "section", "ordinal"]
@@ -73,7 +74,7 @@ def run(spark: SparkSession, perf: DataFrame, pages: DataFrame, out_dir: str,
     """
     out: dict[str, DataFrame] = {}
 
-    def stage(name: str, make: Callable[[], DataFrame], partition_by=None) -> DataFrame:
+    def stage(name: str, make: Callable[[], DataFrame], partition_by=None, scores: str | None = None) -> DataFrame:
         path = f"{out_dir.rstrip('/')}/{name}"
         done = None
         if resume:
@@ -82,9 +83,12 @@ def run(spark: SparkSession, perf: DataFrame, pages: DataFrame, out_dir: str,
             except AnalysisException:  # not written yet
                 pass
         if done is None:
-            write_table(make(), path, partition_by=partition_by)
+            if scores:
+                write_fit(make(), path, scores)
+            else:
+                write_table(make(), path, partition_by=partition_by)
             done = spark.read.parquet(path)
-        out[name] = done
+        out[name] = done = done.drop(RANGE)
         return done
 
     queries = stage("queries", lambda: tm.priority_terms(perf, cfg.top_k).select("query", "position").withColumn(
@@ -104,13 +108,15 @@ def run(spark: SparkSession, perf: DataFrame, pages: DataFrame, out_dir: str,
         raw_col="raw_score"))
     fit = stage("section_query_fit", lambda: fx.lexical_all_pairs(
         texts, "text", queries.select("query_id", "query"), "query", ["query_id"], cut=cfg.cut, raw_col="raw_score")
-        .join(queries.select("query_id", "query"), "query_id"))
+        .join(queries.select("query_id", "query"), "query_id"), scores="raw_score")
     stage("field_query_fit", lambda: fx.lexical_all_pairs(
         fields.select("page_id", F.expr("stack(2, 'title', title, 'meta', meta_description) AS (field, text)")), "text",
         queries.select("query_id", "query"), "query", ["query_id"], cut=cfg.cut))
     stage("field_self_fit", lambda: fx.self_fit(fields, "title", "meta_description", cut=cfg.cut))
 
-    work = im.improvable(fit, "strict", score_col="raw_score", lo=cfg.band[0], hi=cfg.band[1])
+    # The strict filter keeps the band alone, whose files are read alone.
+    in_band = read_fit(spark, f"{out_dir.rstrip('/')}/section_query_fit", *cfg.band)
+    work = im.improvable(in_band, "strict", score_col="raw_score", lo=cfg.band[0], hi=cfg.band[1])
     improved = stage("query_improvement", lambda: im.improve_by_rules(
         work, cfg.pack, keys=["page_id", "ordinal", "query_id"], score_col="raw_score", rollback=cfg.rollback,
         section_keys=[*SECTION_KEYS, "text"], query_keys=["query_id"], sections=texts.distinct(), queries=queries.select("query_id", "query")))
