@@ -69,3 +69,12 @@ def test_reference_layout_round_trip(spark, tmp_path):
     r = back.first()
     assert (r.section, r.query, r.text, float(r.score), r.verdict) == \
         ("h2", "google reklam verme", "Google Ads Nedir?", 0.671517, "fit")
+
+
+def test_small_tables_are_dealt_over_all_cores(spark):
+    from contentfit.sources.tables import read_table, spread
+    pages = read_table(spark, "/root/testdata/sf0.001", "pages", ["page_id", "url"])
+    dealt = spread(pages)
+    assert dealt.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, pages.collect()))
+    assert "Exchange" not in spread(pages, bytes_per_task=1)._jdf.queryExecution().executedPlan().toString()
