@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contentfit.llm.common import (LOWER, free_name, list_array, mix64, slices, text_bytes, tidy, window_hashes, with_computed,
+from contentfit.llm.common import (LOWER, few, free_name, list_array, mix64, slices, text_bytes, tidy, window_hashes, with_computed,
                                    word_hashes, word_spans, write_stage)
 
 MIN_WORDS = 20
@@ -165,7 +165,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         own[name] = free_name(name, [*names, *own.values()])
     spans = write_stage(repeated_spans(docs, id_col, text_col, **params).select(
         F.col("doc_id").alias(own["span_id"]), F.col("starts").alias(own["starts"]), F.col("ends").alias(own["ends"])), "spans")
-    joined = docs.join(spans, F.col(id_col) == F.col(own["span_id"]), "left").drop(own["span_id"])
+    joined = docs.join(few(spans, F.size(own["starts"])), F.col(id_col) == F.col(own["span_id"]), "left").drop(own["span_id"])
     text_at, starts_at, ends_at = (joined.columns.index(c) for c in (text_col, own["starts"], own["ends"]))
 
     def cut(batch: pa.RecordBatch) -> pa.Array:

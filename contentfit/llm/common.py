@@ -195,6 +195,18 @@ def write_stage(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_ROWS, BROADCAST_ITEMS = 500_000, 2_000_000
+
+
+def few(df: DataFrame, items: Column | None = None) -> DataFrame:
+    """A written table, marked for broadcast if it has at most
+    ``BROADCAST_ROWS`` rows and ``items``, the size of a row's arrays, sum to at
+    most ``BROADCAST_ITEMS``; else as it is, for a shuffle.  Whole texts that
+    meet it then stay where they are."""
+    n, size = df.agg(F.count("*"), F.sum(items if items is not None else F.lit(0))).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_ITEMS else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contentfit.llm.common import free_name, list_array, mix64, shingle_set, slices, text_bytes, tidy, with_computed, write_stage
+from contentfit.llm.common import few, free_name, list_array, mix64, shingle_set, slices, text_bytes, tidy, with_computed, write_stage
 from contentfit.llm.graph import components
 
 SHINGLE_WORDS = 4
@@ -234,7 +234,7 @@ def _verdicts(docs: DataFrame, id_col: str, text_col: str, k: int = SHINGLE_WORD
     ends = members.select("digest").unionByName(hubs.select(F.col("hub").alias("digest"))).distinct()
     sketches = write_stage(classes.join(ends, "digest"), "sketches")
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), text_col).join(
-        sketches.select("rep").distinct(), "rep", "left_semi")
+        few(sketches.select("rep").distinct()), "rep", "left_semi")
     sets = write_stage(full_sets(texts, "rep", text_col, k).join(sketches.select("digest", "odd"), "digest")
                        .groupBy("digest").agg(F.first("odd").alias("odd"), F.first("shingles").alias("shingles")), "sets")
 
@@ -312,7 +312,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
                           .agg(F.min("kept").alias("kept")), "verdicts")
     gone = write_stage(verdict.groupBy(own).agg(F.min("kept").alias("all"), F.max("kept").alias("some"))
                        .where("not all").select(own, "some"), "dropped")
-    out = docs.join(gone, F.col(id_col) == F.col(own), "left_anti")
+    out = docs.join(few(gone.select(own)), F.col(id_col) == F.col(own), "left_anti")
     mixed = gone.where("some").select(own)
     if mixed.isEmpty():
         return out
