@@ -31,6 +31,22 @@ def test_rule_fixtures(one, col, expected):
     assert one(col()) == expected
 
 
+@pytest.mark.parametrize("head, tails, expected", [
+    ("x", " ve VEYA Ya" * 50_000, "x."), ("", "ve veya ki" + " ve" * 50_000, "."),
+    ("x", " ve" * 50_000 + " y", "x" + " ve" * 50_000 + " y."), ("xve", " İLE veyaki ve", "xve İLE veyaki."),
+    ("x ya da", "", "x ya da."), ("x", " and" * 3, "x and and and."),
+])
+def test_long_runs_of_conjunctions(one, head, tails, expected):
+    assert one(R.finalize(L(head + tails), L("p"), P)) == expected
+    if len(tails) < 1000:  # what the greedy pattern gives
+        t = R.normalize_ws(L(head + tails))
+        assert one(R._pop_tails(t, P)) == one(F.regexp_replace(t, R._tails_re(P), ""))
+
+
+def test_short_answer_of_a_long_run(one):
+    assert one(R.short_answer(L("x" + " ve" * 50_000), L("p"), P)) == "X."
+
+
 @pytest.mark.parametrize("word, guide", [("rehberlik", True), ("kılavuzluk", False), ("altkılavuz", True)])
 def test_guide_pattern(one, word, guide):
     assert one(L(word).rlike(P.guide_re)) is guide
