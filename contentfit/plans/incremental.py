@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from contentfit import config
 from contentfit.operators import fit as fx
 from contentfit.operators import sections as sx
+from contentfit.operators.row_match import cosines
 from contentfit.sources.tables import stage_table
 
 BUCKETS = 64
@@ -68,7 +69,9 @@ class Tables:
     def write(self, rows: dict[str, tuple[DataFrame, DataFrame]]) -> None:
         """Replace buckets: per table its new rows (with ``bucket``) and the
         buckets that they replace, also where no row is left."""
-        number, parts = self.run + 1, [self.list]
+        number, parts = self.run + 1, [self.list.where("name != ''")]
+        # A row without a table, so that a run that leaves every table empty is the last run too.
+        parts.append(self.spark.range(1).select(F.lit("").alias("name"), F.lit(-1).alias("bucket"), F.lit(number).alias("run")))
         for name, (df, touched) in rows.items():
             df.withColumn("run", F.lit(number)).repartition("bucket").write.mode("overwrite").option(
                 "partitionOverwriteMode", "dynamic").partitionBy("run", "bucket").parquet(f"{self.path}/{name}")
@@ -97,6 +100,11 @@ def _other(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def _fits(sections: DataFrame, queries: DataFrame, cut: float) -> DataFrame:
     keys = ["page_id", "section", "ordinal"]
+    distinct = queries.select("query_id", "query").distinct().withColumn("_text", F.col("query"))
+    if fx.fits_broadcast(fx._exploded_entries(distinct, ["query_id", "query"], "_text", "r"), config.BROADCAST_MAX_ROWS):
+        raw = F.col("raw_score")
+        return cosines(sections, keys, "text", distinct, ["query_id", "query"], "_text", 0.0).select(
+            *keys, "query_id", "query", raw, F.round(raw, 6).alias("score"), fx.verdict(raw, cut).alias("verdict"))
     numbered = queries.select(F.struct("query_id", "query").alias("q"), F.col("query").alias("_text"))
     pairs = fx.lexical_all_pairs(sections.select(*keys, "text"), "text", numbered, "_text", ["q"], cut=cut, raw_col="raw_score")
     return pairs.select(*keys, "q.query_id", "q.query", "raw_score", "score", "verdict")
