@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from contentfit import config
 from contentfit.operators.fit import fits_broadcast
-from contentfit.operators.match import match_postings, postings
+from contentfit.operators.match import dealt, match_postings, of_terms, postings
 from contentfit.operators.vectors import tokens
 from contentfit.sources.tables import stage_table
 
@@ -59,18 +59,21 @@ def idf(df: Column, n: Column) -> Column:
     return F.log((1 + n) / (1 + F.coalesce(df, F.lit(0)))) + 1
 
 
-def weighted(entries: DataFrame, keys: Sequence[str], side: str, model: DataFrame) -> DataFrame:
-    """Postings with weights in place of counts, and their rows' norms."""
+def weighted(entries: DataFrame, keys: Sequence[str], side: str, model: DataFrame, other: DataFrame | None = None) -> DataFrame:
+    """Postings with weights in place of counts, and their rows' norms; with
+    ``other`` postings, those of their terms alone (norms are of all terms)."""
     n = model.where("term is null").select("df").first()["df"]  # one row
     terms = model.where("term is not null")
     terms = F.broadcast(terms) if fits_broadcast(terms, config.BROADCAST_MAX_ROWS) else terms
     known = entries.join(terms, "term", "left")
     known = known.withColumn(f"{side}tf", F.col(f"{side}tf") * idf(F.col("df"), F.lit(n))).drop("df")
-    # Repeated rows have each entry as often; their norm is that of one.
+    # Repeated rows have each entry as often; their norm is that of one.  Rows dealt by keys and text serve both windows.
+    known = dealt(known, [*keys, f"{side}h"], entries.count())
     row = Window.partitionBy(*keys, f"{side}h")
     times = F.count(F.lit(1)).over(Window.partitionBy(*keys, f"{side}h", "term"))
     norm = F.sqrt(F.sum(F.col(f"{side}tf") * F.col(f"{side}tf") / F.col("_times")).over(row))
-    return stage_table(known.withColumn("_times", times).withColumn(f"{side}norm", F.round(norm, 12)).drop("_times"), f"weighted-{side}")
+    known = known.withColumn("_times", times).withColumn(f"{side}norm", F.round(norm, 12)).drop("_times")
+    return stage_table(of_terms(known, other), f"weighted-{side}")
 
 
 def idf_match(left: DataFrame, left_keys: Sequence[str], left_text: str, right: DataFrame, right_keys: Sequence[str],
@@ -79,6 +82,6 @@ def idf_match(left: DataFrame, left_keys: Sequence[str], left_text: str, right:
     """J7 on weighted vectors: pairs with a cosine of ``min_score`` or more, as
     left keys, right keys, ``score`` (rounded) and ``raw_score``."""
     lk, rk = list(left_keys), list(right_keys)
-    lp = weighted(postings(left, lk, left_text, "l"), lk, "l", model)
-    rp = weighted(postings(right, rk, right_text, "r"), rk, "r", model)
+    lp, rp = postings(left, lk, left_text, "l"), postings(right, rk, right_text, "r")
+    lp, rp = weighted(lp, lk, "l", model, rp), weighted(rp, rk, "r", model)
     return match_postings(lp, lk, rp, rk, min_score, digits, max_rows)

@@ -104,3 +104,19 @@ def test_best_match_equals_the_full_table(spark, seed, skew, monkeypatch):
     assert got == want
     pairs = sum(1 for t in set(items) for x in labels if cosine(t, x))
     assert sizes["near"] < pairs / 2
+
+
+def test_entries_of_the_other_sides_terms_only(spark):
+    """What makes no pair is not written, and labels' texts go with no entry."""
+    left = spark.createDataFrame([(1, "cat mat only"), (2, "left only"), (None, "mat")], "lid long, ltext string")
+    right = spark.createDataFrame([(7, "cat mat right")], "rid long, rtext string")
+    rp = mt.postings(right, ["rid"], "rtext", "r")
+    lp = mt.postings(left, ["lid"], "ltext", "l", rp)
+    assert sorted((str(r.lid), r.term, round(r.lnorm ** 2)) for r in lp.collect()) == [("1", "cat", 3), ("1", "mat", 3), ("None", "mat", 1)]
+
+
+def test_a_tasks_rows_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(mt, "TASK_ROWS", 10)
+    df = spark.range(95)
+    assert mt.dealt(df, ["id"], 95).rdd.getNumPartitions() == 10
+    assert mt.dealt(df, ["id"], 5).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
