@@ -88,6 +88,31 @@ def test_grain_aware_improver_equals_rowwise(spark):
         assert a == b == c == d
 
 
+def test_candidates_are_scored_at_every_cut(spark):
+    import random
+
+    from contentfit.functions import rules as R
+    from contentfit.operators.vectors import lexical_cosine, lexical_vector
+    rnd = random.Random(5)
+    words = ["the", "The", "of", "in", "with", "that", "how", "from", "it's", "text", "--", "a", "x,y", "rehberi", "verme", "nasıl"]
+    pick = lambda most: " ".join(rnd.choice(words) for _ in range(rnd.randrange(most)))
+    work = spark.createDataFrame([(i, rnd.choice(["h1", "h2", "p", "div", "li", "title", "h3", None]), pick(25), pick(40), rnd.random())
+                                  for i in range(300)], "k long, section string, text string, query string, score double")
+    args = dict(keys=["k"], query_col="query", text_col="text", section_col="section", score_col="score")
+    for pack, rollback in ((R.ENGLISH_TEST, False), (R.TURKISH_ADS, True)):
+        a = sorted(map(str, im.improve_by_rules_rowwise(work, pack, rollback=rollback, **args).collect()))
+        assert a == sorted(map(str, im.improve_by_rules(work, pack, rollback=rollback, **args).collect()))
+    # Texts are taken apart once a section or query, not once a pair.
+    plan = im.improve_by_rules(work, R.ENGLISH_TEST, **args)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" in plan and "regexp_extract_all" not in plan.split("Join")[0]
+    cuts = [(q, " ".join(c.split()[:n])) for q, c in [("a b a", "a x b b, a"), ("a", ""), ("", "a"), ("é É", "É é-é")]
+            for n in range(1, len(c.split()) + 1)]
+    whole = spark.createDataFrame(cuts, "q string, c string").select(lexical_cosine(lexical_vector("q"), lexical_vector("c")))
+    made = [s for q, c in [("a b a", [["a"], ["x"], ["b"], ["b"], ["a"]]), ("", [["a"]]), ("é é", [["é"], ["é", "é"]])]
+            for s in im._cut_cosines(q.split(), [c])[0]]
+    assert made == [r[0] for r in whole.collect()] and im._cut_cosines(["a"], [[[]]]) == [[0.0]]
+
+
 def test_report_parses_text_numbers(spark):
     # An improvement table read from CSV holds numbers as text.
     df = spark.createDataFrame([("li", "q", "a", "b", "0.714652", " 0.816071 ", "14,19%"),
