@@ -78,3 +78,19 @@ def test_small_tables_are_dealt_over_all_cores(spark):
     assert dealt.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert sorted(map(str, dealt.collect())) == sorted(map(str, pages.collect()))
     assert "Exchange" not in spread(pages, bytes_per_task=1)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_row_groups_are_dealt_over_all_cores(spark, tmp_path):
+    from contentfit.sources.tables import spread
+    rows = [(None if i % 7 == 0 else i // 2, None if i % 5 == 0 else f"text {i // 2}") for i in range(1000)]
+    df = spark.createDataFrame(rows, "k long, t string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/one")
+    one = spark.read.parquet(f"{tmp_path}/one")
+    dealt = spread(one, bytes_per_task=1, uneven_bytes=1)
+    sizes = [len(p) for p in dealt.rdd.glom().collect()]
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, one.collect()))
+    assert dealt.columns == one.columns and max(sizes) < 100 and len(sizes) >= spark.sparkContext.defaultParallelism
+    df.repartition(16).write.parquet(f"{tmp_path}/many")
+    many = spark.read.parquet(f"{tmp_path}/many")
+    for as_it_is in (spread(many, bytes_per_task=1, uneven_bytes=1), spread(one.where("k < 0"), bytes_per_task=0, uneven_bytes=0)):
+        assert "Exchange" not in as_it_is._jdf.queryExecution().executedPlan().toString()
