@@ -214,3 +214,12 @@ def test_the_grid_of_all_pairs_is_not_shuffled(spark):
     p = fx.lexical_all_pairs(left, "ltext", right, "rtext", ["rid"])._jdf.queryExecution().executedPlan().toString()
     above = p[:p.index("BroadcastNestedLoopJoin") if "BroadcastNestedLoopJoin" in p else p.index("CartesianProduct")]
     assert "Exchange" not in above
+
+
+def test_all_pairs_shuffle_neither_scores_nor_texts(spark):
+    """Scores were summed and gathered by shuffles of every pair that shares a term."""
+    left, right = _frames(spark)
+    out = fx.lexical_all_pairs(left.repartition(3), "ltext", right, "rtext", ["rid"])
+    out.collect()
+    final = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "HashAggregate" not in final and "hashpartitioning" not in final
