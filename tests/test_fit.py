@@ -223,3 +223,15 @@ def test_all_pairs_shuffle_neither_scores_nor_texts(spark):
     out.collect()
     final = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert "HashAggregate" not in final and "hashpartitioning" not in final
+
+
+def test_texts_of_a_repeated_right_key(spark):
+    """Scores above zero, equal ones once; zero where none is; in blocks as in one."""
+    rows, keys = [("a b", 1), ("zz", 2), (None, 3), ("a b", 1)], [(1, "a"), (1, "b"), (1, "q"), (1, "a b"), (2, "q"), (2, None), (None, "a")]
+    left, right = spark.createDataFrame(rows, "ltext string, lid int"), spark.createDataFrame(keys, "rid int, rtext string")
+    half = 1 / math.sqrt(2)
+    ab, none = [(1, half), (1, 1.0), (2, 0.0), (None, half)], [(1, 0.0), (2, 0.0), (None, 0.0)]
+    want = sorted(str((t, i, k, round(s, 6))) for t, i in rows for k, s in (ab if t == "a b" else none))
+    for most in (1000, 1):
+        got = fx.lexical_all_pairs(left, "ltext", right, "rtext", ["rid"], max_rows=most).collect()
+        assert sorted(str((r.ltext, r.lid, r.rid, round(r.score, 6))) for r in got) == want
