@@ -235,3 +235,26 @@ def test_texts_of_a_repeated_right_key(spark):
     for most in (1000, 1):
         got = fx.lexical_all_pairs(left, "ltext", right, "rtext", ["rid"], max_rows=most).collect()
         assert sorted(str((r.ltext, r.lid, r.rid, round(r.score, 6))) for r in got) == want
+
+
+def test_best_sections_are_found_in_the_task(spark, monkeypatch):
+    """Only pages whose sections lie apart are compared by a shuffle; before, every scored pair was."""
+    rows = [(p if p % 5 else None if p else 3, s, o, f"w{(p * o) % 4} w{(p + o) % 3} {s}") for p in range(12) for s in ("p", "h1", "li") for o in (2, 1, 3)]
+    rows += [(40, "p", 1, None), (40, "h1", 1, ""), (41, None, 1, "w1"), (41, "p", None, "w1")]
+    items = [(i, f"w{i % 4} w{i % 2}") for i in range(6)] + [(2, "h1"), (None, "w1 li"), (7, None), (2, "h1")]
+    queries, order = spark.createDataFrame(items, "item_id long, qtext string"), lambda r: tuple((x is not None, x) for x in r[:2])
+    want = {}
+    for p, k in {(r[0], i[0]) for r in rows for i in items}:
+        scored = [(s, o, max(_brute(t or "", x or "") for i, x in items if i == k)) for q, s, o, t in rows if q == p]
+        top = max(r[2] for r in scored)
+        want[p, k] = (*min((r for r in scored if r[2] >= top - 1e-12), key=order)[:2], round(top, 6))
+    seen, best = [], fx.best_by
+    monkeypatch.setattr(fx, "best_by", lambda pairs, *a: seen.append(pairs) or best(pairs, *a))
+    schema = "page_id long, section string, ordinal int, text string"
+    for frame, most in ((spark.createDataFrame(rows, schema).coalesce(1), 1000), (spark.createDataFrame(rows, schema).repartition(4), 1000),
+                        (spark.createDataFrame(rows, schema), 1)):
+        got = {(r.page_id, r.item_id): (r.section, r.ordinal, round(r.score, 6)) for r in
+               fx.best_section_per_query(frame, queries, "item_id", "qtext", max_rows=most).collect()}
+        assert got == want
+    # In one task all pages but the two that occur twice are whole: two runs of either, of eight keys.
+    assert seen[0].count() == (2 + 2) * 8
