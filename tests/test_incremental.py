@@ -60,3 +60,34 @@ def test_a_dead_run_leaves_the_tables(spark, tmp_path, steps, monkeypatch):
     monkeypatch.undo()
     assert fits(spark, path, 4) == before
     assert inc.update_fits(spark, *frames(spark, *steps[1]), path, 0.3, buckets=4)["pages_parsed"] == 2
+
+
+def test_a_run_writes_what_is_new_alone(spark, tmp_path, steps):
+    """A row for a section, not for a pair; of pages that stay as they are nothing is written again."""
+    path = str(tmp_path / "t")
+    for step in steps[:2]:
+        inc.update_fits(spark, *frames(spark, *step), path, 0.3, buckets=4)
+    sections, fits_1 = (spark.read.parquet(f"{path}/{name}/run=1").count() for name in ("sections", "fits"))
+    assert fits_1 == sections > 100
+    for name in ("sections", "fits"):
+        new = spark.read.parquet(f"{path}/{name}/run=2")
+        assert {r.page_id for r in new.collect()} == {3, 17} and new.count() * 10 < sections
+
+
+def test_rewritten_tables_and_queries_beyond_the_bound(spark, tmp_path, steps, monkeypatch):
+    """Every run writes the tables anew first, queries are scored in blocks, and a pair keeps the cut it was scored with."""
+    path = str(tmp_path / "t")
+    monkeypatch.setattr(inc, "MAX_RUNS", 0)
+    monkeypatch.setattr(inc.config, "BROADCAST_MAX_ROWS", 2)
+    pages, queries = steps[3]
+    inc.update_fits(spark, *frames(spark, *steps[0]), path, 0.3, buckets=4)
+    assert inc.Tables(spark, path, 4).rows("queries", inc.NUMBERED).select("batch").distinct().count() > 1
+    p, q = frames(spark, pages, queries)
+    inc.update_fits(spark, p, q, path, 0.3, buckets=4)
+    whole = inc._fits(sx.page_sections(p), q, 0.3)
+    whole = sorted(map(str, whole.select(inc.Tables(spark, path, 4).read("fits", inc.FITS).drop("bucket").columns).collect()))
+    assert fits(spark, path, 4) == whole
+    p, q = frames(spark, pages, [*queries, (5, "green head")])
+    inc.update_fits(spark, p, q, path, 1.1, buckets=4)
+    now = inc.Tables(spark, path, 4).read("fits", inc.FITS).where("raw_score >= 0.3").select("query_id", "verdict").distinct().collect()
+    assert {tuple(r) for r in now} == {(2, "fit"), (4, "fit"), (5, "low_fit")}
